@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, rules, simhash
+from . import embeddings, packing, pieces, rules, simhash, substrings
 
-MODULES = (simhash, packing, pieces, rules)
+MODULES = (simhash, packing, pieces, embeddings, substrings, rules)
 
 
 def queries() -> dict:
