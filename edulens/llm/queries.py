@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import embeddings, packing, pieces, rules, simhash, substrings
+from . import embeddings, language, packing, pieces, quality_model, rules, secrets, simhash, substrings, warc
 
-MODULES = (simhash, packing, pieces, embeddings, substrings, rules)
+MODULES = (simhash, packing, pieces, embeddings, substrings, rules, warc, quality_model, secrets, language)
 
 
 def queries() -> dict:

@@ -16,6 +16,7 @@ exactness at radius 2 costs in 64 nearly independent bits.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,46 +31,74 @@ RADIUS = 2
 SEED = 42
 LEAF = 16384
 MIN_DEPTH, MAX_DEPTH = 6, 16
-BLOCK = 512
+BLOCK = 256
 
 
-def fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """SimHash of the k-word shingles of one text, as a signed 64-bit integer.
+@dataclass(frozen=True)
+class Nearness:
+    """What counts as near, and how the trees look for it."""
+
+    shingle: int
+    words: int  # 64-bit words of a fingerprint
+    radius: int  # differing bits over all words
+    overlap: int  # bits around a median that both sides get
+    trees: int
+    coarse: int = 64  # bits of the tree's own word, beyond which a pair is not looked at
+
+
+EXACT = Nearness(SHINGLE_WORDS, 1, RADIUS, RADIUS, 1)
+# Sets of similarity 0.8 have a cosine of 0.89, so 15 % of the bits differ: 39
+# of 256, with a standard deviation of 6. Unrelated texts differ in 128, give
+# or take 8.
+SIMILAR = Nearness(5, 4, 45, 2, 3, coarse=20)
+
+
+def fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = SEED, words: int = 1) -> list[int]:
+    """SimHash of the k-word shingles of one text, as signed 64-bit words; the
+    first is the plain one, more come from remixing the shingles' hashes.
 
     bytes.lower() touches A-Z only and bytes.split() cuts at 0x20 and
-    0x09-0x0D. Null, empty and blank texts give 0.
+    0x09-0x0D. Null, empty and blank texts give 0 in every word.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= k:
-        return int(np.uint64(xxhash.xxh64_intdigest(joined, seed)).astype(np.int64))
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(length + 1) - 1
-    start = end - length
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return [0] * words
+    joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
-    h = np.array(
-        [digest(joined[a:b], seed) for a, b in zip(start[: 1 - k].tolist(), end[k - 1 :].tolist())], dtype=">u8"
-    )
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 65536):
-        bits = np.unpackbits(h[at : at + 65536].view(np.uint8)).reshape(-1, 64)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)`` for every row; null and blank texts have fp 0."""
+    if len(parts) <= k:
+        h = np.array([digest(joined, seed)], np.uint64)
+    else:
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        end = np.cumsum(length + 1) - 1
+        spans = zip((end - length)[: 1 - k].tolist(), end[k - 1 :].tolist())
+        h = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+    out = []
+    for _ in range(words):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 65536):
+            bits = np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8)).reshape(-1, 64)
+            ones += bits.sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(h)).view(">i8")[0]))
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(29)
+    return out
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, words: int = 1
+) -> DataFrame:
+    """``(doc_id, f0, f1, ...)`` for every row; null and blank texts have 0."""
+    names = [f"f{w}" for w in range(words)]
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"].astype("Int64"), "fp": [fingerprint(t, k) for t in pdf["text"]]}
-            )
+            found = np.array([fingerprint(t, k, SEED, words) for t in pdf["text"]], np.int64).reshape(-1, words)
+            out = pd.DataFrame(found, columns=names)
+            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
+            yield out.astype({"doc_id": "Int64"})
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return named.mapInPandas(run, "doc_id long, fp long")
+    return named.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -128,56 +157,89 @@ def link_leaf(points: np.ndarray, queries: np.ndarray, t: int):
                 yield pp[i], qq[j]
 
 
-def leaf_forest(pdf: pd.DataFrame, t: int) -> pd.DataFrame:
-    """A spanning forest of the links in one leaf, as (a, b) fingerprints."""
-    fp = pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)
+def compare_leaf(points: np.ndarray, queries: np.ndarray, word: int, coarse: int, radius: int):
+    """Yield index pairs (point, query) within ``radius`` over all words, looked
+    at in full where word ``word`` alone is within ``coarse``."""
+    for a in range(0, len(points), BLOCK):
+        p = points[a : a + BLOCK]
+        for b in range(0, len(queries), 4096):
+            q = queries[b : b + 4096]
+            i, j = np.nonzero(np.bitwise_count(p[:, word][:, None] ^ q[:, word][None]) <= coarse)
+            near = np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=np.int64) <= radius
+            yield a + i[near], b + j[near]
+
+
+def leaf_forest(pdf: pd.DataFrame, near: Nearness) -> pd.DataFrame:
+    """A spanning forest of the links in one leaf, as (a, b) row numbers."""
+    names = [f"f{w}" for w in range(near.words)]
+    fp = pdf[names].to_numpy(np.int64).view(np.uint64)
     home = np.nonzero(pdf["home"].to_numpy(dtype=bool))[0]
     label = np.arange(len(fp))
-    for i, j in link_leaf(fp[home], fp, t):
+    if near.words == 1:
+        found = link_leaf(fp[home, 0], fp[:, 0], near.radius)
+    else:
+        found = compare_leaf(fp[home], fp, int(pdf["leaf"].iloc[0] >> 32), near.coarse, near.radius)
+    for i, j in found:
         label = merge_labels(label, home[i], j)
     linked = np.nonzero(label != np.arange(len(fp)))[0]
-    return pd.DataFrame({"a": fp[linked].view(np.int64), "b": fp[label[linked]].view(np.int64)})
+    row = pdf["row"].to_numpy(np.int64)
+    return pd.DataFrame({"a": row[linked], "b": row[label[linked]]})
+
 
+def near_links(uniq: DataFrame, near: Nearness) -> DataFrame:
+    """Edges ``(a, b)`` between rows of ``uniq(row, f0, f1, ...)`` that connect
+    the fingerprints reachable by steps within ``near.radius``.
 
-def near_links(uniq: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges ``(a, b)`` that connect exactly the fingerprints ``uniq(fp)``
-    reachable by steps of at most ``radius`` bits."""
+    With ``radius <= overlap`` every link is found. Beyond that, the distances
+    of two fingerprints to a vantage point still differ by about the root of
+    their own distance only, and each of ``near.trees`` trees on its own word
+    is another chance to meet.
+    """
     n = uniq.count()
     depth = min(MAX_DEPTH, max(MIN_DEPTH, math.ceil(math.log2(max(n, 1) / LEAF))))
-    rows = uniq.orderBy(F.xxhash64("fp", F.lit(1)), "fp").limit(16 * 2**depth).select("fp").collect()
-    sample = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    tree = uniq.sparkSession.sparkContext.broadcast(build_tree(sample, depth))
+    names = [f"f{w}" for w in range(near.words)]
+    rows = uniq.orderBy(F.xxhash64("f0", F.lit(1)), *names).limit(16 * 2**depth).select(*names).collect()
+    sample = np.array(rows, np.int64).reshape(-1, near.words).view(np.uint64)
+    trees = uniq.sparkSession.sparkContext.broadcast(
+        [build_tree(sample[:, w], depth) for w in range(near.trees)]
+    )
 
     def assign(batches):
-        point, mu = tree.value
         for pdf in batches:
-            fp = pdf["fp"].to_numpy().astype(np.int64)
-            row, leaf, home = route(fp.view(np.uint64), point, mu, depth, radius)
-            yield pd.DataFrame({"leaf": leaf, "fp": fp[row], "home": home})
-
-    placed = uniq.select("fp").mapInPandas(assign, "leaf long, fp long, home boolean")
-    return placed.groupBy("leaf").applyInPandas(lambda pdf: leaf_forest(pdf, radius), "a long, b long")
+            for w, (point, mu) in enumerate(trees.value):
+                fp = pdf[f"f{w}"].to_numpy(np.int64).view(np.uint64)
+                row, leaf, home = route(fp, point, mu, depth, near.overlap)
+                yield pdf.iloc[row].assign(leaf=leaf + (w << 32), home=home)
+
+    columns = "row long, " + ", ".join(f"{n} long" for n in names) + ", leaf long, home boolean"
+    placed = uniq.select("row", *names).mapInPandas(assign, columns)
+    return placed.groupBy("leaf").applyInPandas(lambda pdf: leaf_forest(pdf, near), "a long, b long")
+
+
+def groups(docs: DataFrame, near: Nearness, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, f0, ..., component_id)`` for every row of ``docs``."""
+    names = [f"f{w}" for w in range(near.words)]
+    fps = shared_checkpoint(fingerprints(docs, id_col, text_col, near.shingle, near.words))
+    uniq = fps.groupBy(*names).agg(F.min("doc_id").alias("low"))
+    uniq = shared_checkpoint(uniq.withColumn("row", F.monotonically_increasing_id()))
+    comp = connected_components(near_links(uniq, near))
+    comp = comp.join(uniq.select(F.col("row").alias("node"), "low"), "node")
+    least = comp.groupBy("component").agg(F.min("low").alias("component_id"))
+    linked = comp.join(least, "component").select(F.col("node").alias("row"), "component_id")
+    classes = uniq.join(linked, "row", "left").select(*names, F.coalesce("component_id", "low").alias("component_id"))
+    return fps.join(classes, names)
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, radius: int = RADIUS
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
     component_id is the smallest non-null id reachable by links of at most
-    ``radius`` differing bits (null only if no reachable row has an id).
-    Repeated rows are kept; other columns are not looked at; an empty table
-    gives an empty result.
+    RADIUS differing bits (null only if no reachable row has an id). Repeated
+    rows are kept; other columns are not looked at; an empty table gives an
+    empty result.
     """
-    fps = shared_checkpoint(fingerprints(docs, id_col, text_col, k))
-    uniq = shared_checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    comp = connected_components(near_links(uniq, radius))
-    comp = comp.join(uniq, comp["node"] == uniq["fp"]).select("node", "component", "low")
-    least = comp.groupBy("component").agg(F.min("low").alias("component_id"))
-    linked = comp.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    classes = uniq.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return fps.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return groups(docs, EXACT, id_col, text_col).select(
+        "doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
@@ -186,16 +248,15 @@ def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the rows with the smallest id stay, once.
-
-    Five-word shingles are the house rule for stages on word shingles; the
-    group is still the set of fingerprints linked at ``RADIUS`` bits. Rows
-    without an id are kept when no row of their group has one.
+    """Pipeline stage: of each group of near-duplicates at SIMILAR (five-word
+    shingles, similarity of 0.8 or more) the row with the smallest id stays,
+    unchanged. Of rows that share that id one stays; rows without an id stay
+    only if their whole group has none, and then all do.
     """
-    found = near_duplicates(docs, k=5).select("doc_id", "component_id").distinct()
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    kept = docs.join(keep.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keep = groups(docs, SIMILAR).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = keep.select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 QUERIES = {"op1_simhash_vptree": op1_simhash_vptree}
