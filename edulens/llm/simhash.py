@@ -50,7 +50,7 @@ EXACT = Nearness(SHINGLE_WORDS, 1, RADIUS, RADIUS, 1)
 # Sets of similarity 0.8 have a cosine of 0.89, so 15 % of the bits differ: 39
 # of 256, with a standard deviation of 6. Unrelated texts differ in 128, give
 # or take 8.
-SIMILAR = Nearness(5, 4, 45, 2, 3, coarse=20)
+SIMILAR = Nearness(5, 4, 43, 2, 3, coarse=20)
 
 
 def fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = SEED, words: int = 1) -> list[int]:
