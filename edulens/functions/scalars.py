@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DASHES = "‐‑‒–—−"
 # Aliases of exam subjects.
@@ -19,7 +20,7 @@ SUBJECT_ALIASES = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 

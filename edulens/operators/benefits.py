@@ -111,7 +111,7 @@ def best_choice_exams(exams: DataFrame) -> DataFrame:
 def dedupe_achievements(facts: DataFrame) -> DataFrame:
     """First fact per (code, year) in source order, then the best per combination."""
     a = Window.partitionBy("applicant_id", "code", "year").orderBy("place")
-    b = Window.partitionBy("applicant_id", "combination").orderBy(F.col("points").desc(), "place")
+    b = Window.partitionBy("applicant_id", "combination").orderBy(F.col("points").desc(), "place", "code", "year")
     once = facts.withColumn("_n", F.row_number().over(a)).where("_n = 1")
     ranked = once.withColumn("_n", F.when(F.col("combination").isNull(), 1).otherwise(F.row_number().over(b)))
     return ranked.where("_n = 1").drop("_n")
@@ -119,8 +119,8 @@ def dedupe_achievements(facts: DataFrame) -> DataFrame:
 
 def apply_caps(awards: DataFrame, global_cap: float) -> DataFrame:
     """Points after a cap per category and one over all, used up in source order."""
-    cat = Window.partitionBy("applicant_id", "category").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy("applicant_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    cat = Window.partitionBy("applicant_id", "category").orderBy("place", "code", "year").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy("applicant_id").orderBy("place", "code", "year").rowsBetween(Window.unboundedPreceding, -1)
     used = F.least(F.col("category_cap"), F.coalesce(F.sum("points").over(cat), F.lit(0.0)))
     inner = awards.withColumn("in_category", F.least("points", F.greatest(F.lit(0.0), F.col("category_cap") - used)))
     spent = F.coalesce(F.sum("in_category").over(all_), F.lit(0.0))

@@ -15,8 +15,8 @@ def constraint_outcomes(offerings: DataFrame, constraints: DataFrame) -> DataFra
         F.inline(
             F.array(
                 F.struct(F.lit("year").alias("field"), F.col("admission_year").cast("string").alias("actual")),
-                F.struct(F.lit("form"), F.col("study_form")),
-                F.struct(F.lit("funding"), F.col("funding_type")),
+                F.struct(F.lit("form").alias("field"), F.col("study_form").alias("actual")),
+                F.struct(F.lit("funding").alias("field"), F.col("funding_type").alias("actual")),
             )
         ),
     )
@@ -88,12 +88,12 @@ def suggest(requests: DataFrame, fits: DataFrame, outcomes: DataFrame, admission
 def plan_steps(recommendations: DataFrame, events: DataFrame, now) -> DataFrame:
     """Numbered steps of a plan: explore the first program, compare the first
     two, then the linked events to come, by start."""
-    explore = recommendations.where("place = 1").select("profile_id", F.lit(1).alias("o"), F.lit("explore").alias("step"), F.col("program_id").cast("string").alias("what"), F.lit(None).cast("timestamp").alias("at"))
+    explore = recommendations.where("place = 1").select("profile_id", F.lit(1).alias("o"), F.lit("explore").alias("step"), F.col("program_id").cast("string").alias("what"), F.lit(None).cast("timestamp").alias("starts_at"))
     pair = recommendations.where("place <= 2").groupBy("profile_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "program_id"))), lambda s: s["program_id"].cast("string")), ",").alias("what"), F.count(F.lit(1)).alias("n"))
-    compare = pair.where("n = 2").select("profile_id", F.lit(2).alias("o"), F.lit("compare").alias("step"), "what", F.lit(None).cast("timestamp").alias("at"))
-    linked = recommendations.join(events.where(F.col("starts_at") > now), "program_id").groupBy("profile_id", "event_id").agg(F.min("starts_at").alias("at"))
-    attend = linked.select("profile_id", F.lit(3).alias("o"), F.lit("attend").alias("step"), F.col("event_id").cast("string").alias("what"), "at")
-    w = Window.partitionBy("profile_id").orderBy("o", "at", "what")
+    compare = pair.where("n = 2").select("profile_id", F.lit(2).alias("o"), F.lit("compare").alias("step"), "what", F.lit(None).cast("timestamp").alias("starts_at"))
+    linked = recommendations.join(events.where(F.col("starts_at") > now), "program_id").groupBy("profile_id", "event_id").agg(F.min("starts_at").alias("starts_at"))
+    attend = linked.select("profile_id", F.lit(3).alias("o"), F.lit("attend").alias("step"), F.col("event_id").cast("string").alias("what"), "starts_at")
+    w = Window.partitionBy("profile_id").orderBy("o", "starts_at", "what")
     return explore.unionByName(compare).unionByName(attend).withColumn("step_number", F.row_number().over(w)).drop("o")
 
 

@@ -127,8 +127,8 @@ def decision_events(spark, d) -> DataFrame:
         "event_id",
         names[F.col("event_type")].alias("event_type"),
         F.col("props").alias("payload"),
-        F.col("ts").alias("occurred_at"),
-        (F.col("ts") + F.expr("INTERVAL 20 DAYS")).alias("expires_at"),
+        F.col("ts").cast("timestamp").alias("occurred_at"),
+        (F.col("ts").cast("timestamp") + F.expr("INTERVAL 20 DAYS")).alias("expires_at"),
     )
 
 
