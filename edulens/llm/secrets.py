@@ -24,10 +24,13 @@ VENDOR = (
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
 )
 #: (kind, pattern, group of the value, least length of the value), in order.
+#: Runs of one class that are long enough are found as such: a match starts at
+#: the first place of its run, so shorter ones hide none. A short assignment
+#: does hide what it covers, so it is matched and then dropped.
 KINDS = (
     ("assign", ASSIGN, 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
     ("vendor", VENDOR, 0, 1),
 )
 #: The same texts, found with less work: runs long enough to pass.
