@@ -22,7 +22,10 @@ def add(name, func, oracle=None):
         S[name] = oracle
 
 
-ORDER = F.struct("source_row", "position", "hours", "captured_at", "assessment")
+def source_order():
+    return F.struct("source_row", "position", "hours", "captured_at", "assessment")
+
+
 _O = "(source_row, position, hours, captured_at, assessment)"
 add(
     "cln1_dedupe_first",
@@ -31,7 +34,7 @@ add(
   ORDER BY captured_at, program_id, discipline_id, hours) AS n FROM items) WHERE n = 1""", "items"),
 )
 add(
-    "cln2_collapse_rows", lambda s, d: cleansing.collapse_rows(P.items(s, d), ORDER).drop("assessments"),
+    "cln2_collapse_rows", lambda s, d: cleansing.collapse_rows(P.items(s, d), source_order()).drop("assessments"),
     sql(f"""SELECT program_id, discipline_id, semester, max(hours) AS hours, arg_min(credits, {_O}) FILTER (credits IS NOT NULL) AS credits,
   min(position) AS position, count(*) AS merged FROM items GROUP BY 1, 2, 3""", "items"),
 )
@@ -171,7 +174,7 @@ def measures(s, d):
 
 
 P.CTES["measures"] = """SELECT university_id, count(*) AS programs, round(count(c.program_id)::DOUBLE / count(*), 6) AS curriculum_coverage,
-  round(count(o.program_id)::DOUBLE / count(*), 6) AS admission_coverage, round(coalesce(sum(k), 0)::DOUBLE / sum(n), 6) AS taxonomy_coverage FROM programs p
+  round(count(o.program_id)::DOUBLE / count(*), 6) AS admission_coverage, round(CASE WHEN coalesce(sum(n), 0) = 0 THEN 1.0 ELSE coalesce(sum(k), 0)::DOUBLE / sum(n) END, 6) AS taxonomy_coverage FROM programs p
   LEFT JOIN (SELECT program_id, count(DISTINCT discipline_id) AS n, count(DISTINCT CASE WHEN discipline_id IN (SELECT discipline_id FROM features) THEN discipline_id END) AS k FROM items WHERE program_id % 9 <> 0 GROUP BY 1) c USING (program_id)
   LEFT JOIN (SELECT DISTINCT program_id FROM offerings) o USING (program_id) GROUP BY 1"""
 MEAS = ("programs", "items", "offerings", *A.FEAT, "measures")

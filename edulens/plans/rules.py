@@ -145,6 +145,7 @@ P.CTES["eff"] = """WITH c AS (SELECT *, CASE scope_level WHEN 'federal' THEN 0 W
   w AS (SELECT request_id, family_id, count(*) AS n, min(rule_id) AS rule_id, min(content_hash) AS content_hash FROM t GROUP BY 1, 2)
   SELECT a.request_id, a.family_id, candidates, CASE WHEN n IS NULL THEN 'cycle' WHEN n > 1 THEN 'ambiguous' ELSE 'effective' END AS state, CASE WHEN n = 1 THEN rule_id END AS rule_id,
   CASE WHEN n = 1 THEN content_hash END AS content_hash FROM (SELECT request_id, family_id, count(*) AS candidates FROM c GROUP BY 1, 2) a LEFT JOIN w USING (request_id, family_id)"""
+P.CTES["eff2"] = P.CTES["eff"].replace("FROM cand WHERE", "FROM cand WHERE rule_id % 3 <> 0 AND")
 EFF = (*CAND, "rel", "eff")
 
 
@@ -159,6 +160,8 @@ add(
 )
 add(
     "pl8_diff_effective", lambda s, d: policy.diff_effective(effective(s, d), policy.effective_rules(candidates(s, d).where("rule_id % 3 <> 0"), relations(s, d))).groupBy("change").agg(F.count(F.lit(1)).alias("n")),
+    sql("""SELECT change, count(*) AS n FROM (SELECT CASE WHEN coalesce(a.state, 'effective') <> 'effective' OR coalesce(b.state, 'effective') <> 'effective' THEN 'ambiguous' WHEN a.rule_id IS NULL THEN 'added'
+  WHEN b.rule_id IS NULL THEN 'removed' WHEN a.content_hash <> b.content_hash THEN 'changed' ELSE 'unchanged' END AS change FROM eff a FULL JOIN eff2 b USING (request_id, family_id)) GROUP BY 1""", *EFF, "eff2"),
 )
 add(
     "st3_changed_selections", lambda s, d: policy.changed_selections(newest(s, d), revisions(s, d).where("revision = 1 and rule_id % 5 = 0"), ["rule_id", "revision", "content_hash"]).select("rule_id", "revision", "side"),
@@ -419,6 +422,11 @@ add(
 )
 add(
     "tx10_parse_questions", lambda s, d: text.parse_questions(P.table(s, d, "conversations")).groupBy("intent", "form").agg(F.count(F.lit(1)).alias("n"), F.count("year").alias("years"), F.sum("n_words").alias("words")),
+    r"""WITH t AS (SELECT lower(text) AS t FROM conversations), q AS (SELECT CASE WHEN regexp_matches(t, 'сравн|compare|versus') THEN 'compare' WHEN regexp_matches(t, 'поступ|балл|admission|score') THEN 'admission_fit'
+  WHEN regexp_matches(t, 'посовет|рекоменд|recommend|suggest') THEN 'recommend' WHEN regexp_matches(t, 'сколько|доля|share|how many|average') THEN 'metric' ELSE 'unknown' END AS intent,
+  CASE WHEN regexp_matches(t, 'заочн|distance') THEN 'extramural' WHEN regexp_matches(t, 'очн|full.?time') THEN 'full_time' END AS form,
+  try_cast(nullif(regexp_extract(t, '\b(20[0-9]{2})\b', 1), '') AS INT) AS year, len(regexp_split_to_array(t, '\s+')) AS n_words FROM t)
+  SELECT intent, form, count(*) AS n, count(year) AS years, CAST(sum(n_words) AS BIGINT) AS words FROM q GROUP BY 1, 2""".replace("\\\\", "\\"),
 )
 
 
