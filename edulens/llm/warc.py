@@ -46,9 +46,11 @@ def manifest(records: DataFrame, archive_records: int = ARCHIVE_RECORDS) -> Data
     page_id, n_copies)``, one row per distinct record.
 
     Archives are dealt by digest and ordered by (page_id, digest), nulls first;
-    identical records are one with their count. Empty input, empty result.
+    identical records are one with their count. Null and empty records take
+    no place and are left out. Empty input, empty result.
     """
     hashed = records.select("page_id", F.sha2("record", 256).alias("digest"), F.octet_length("record").alias("length"))
+    hashed = hashed.where("length > 0")
     unique = hashed.groupBy("digest").agg(
         F.min("page_id").alias("page_id"),
         F.first("length").cast("long").alias("length"),
