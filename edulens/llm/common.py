@@ -24,6 +24,18 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_ROWS = 1000
+
+
+def lean_batches(df: DataFrame) -> DataFrame:
+    """Hold Arrow batches of texts to BATCH_ROWS rows, unless the session sets
+    its own number, so that a Python worker stays small."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean_batches, table
 
 SAMPLE = 4000
 BUCKETS = 4096
@@ -125,7 +125,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
         .limit(sample)
     )
     # At most ``sample`` ids, so the side is broadcast.
-    chosen = docs.where("lang is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang")
+    chosen = lean_batches(docs).where("lang is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang")
 
     def extract(batches):
         for pdf in batches:
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 }
             )
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), "text")
+    named = lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), "text")
     return named.mapInPandas(
         run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
     )

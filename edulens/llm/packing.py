@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -24,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoint, table
+from .common import lean_batches, shared_checkpoint, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -32,7 +33,7 @@ NEARLY_FULL = 0.98
 GROUP_ITEMS = 8192
 GROUP_BINS = 256
 TOKENIZER = "byte_bpe_50k"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 # Characters whose class is the same to every regex engine; a text with any
 # other goes through the tokenizer whole.
@@ -57,6 +58,14 @@ class WordIds(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
+def _whole(name: str):
+    """The tokenizer itself, loaded for the first text that needs it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
 @lru_cache(maxsize=2)
 def text_encoder(name: str):
     """text -> uint32 ids, as ``Tokenizer.encode(text, add_special_tokens=False)``.
@@ -65,19 +74,19 @@ def text_encoder(name: str):
     in order; each distinct pre-token is merged once, by the same ranks.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    with open(public_tokenizers.path(f"{name}.json")) as f:
+        specials = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     bpe = tiktoken.Encoding(
         name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
     )
-    words, specials = WordIds(bpe.encode_ordinary), [t.content for t in whole.get_added_tokens_decoder().values()]
+    words = WordIds(bpe.encode_ordinary)
 
     def encode(text: str) -> np.ndarray:
         if _PLAIN.search(text) or any(s in text for s in specials):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(_whole(name).encode(text, add_special_tokens=False).ids, np.uint32)
         parts = map(words.__getitem__, _WORDS.findall(text))
         return np.fromiter(itertools.chain.from_iterable(parts), np.uint32)
 
@@ -106,7 +115,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 

@@ -23,11 +23,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean_batches, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁".encode()
-CACHE_RUNS = 400_000
+CACHE_RUNS = 150_000
 _RUN = re.compile(r" +[^ ]*")
 
 
@@ -204,7 +204,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         run, "doc_id long, ids array<int>, spans array<struct<begin:long,end:long>>"
     )
 
@@ -237,7 +237,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long"
     )
 

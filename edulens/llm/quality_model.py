@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean_batches, table
 
 SAMPLE = 16_000
 WORD_BITS = 14
@@ -129,7 +129,7 @@ def _held_out(modulus: int, remainder: int):
 
 def with_length(docs: DataFrame) -> DataFrame:
     chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", chars.alias("n_chars"))
+    return lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", chars.alias("n_chars"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:

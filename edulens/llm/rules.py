@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean_batches, table
 
 MIN_WORDS = 50
 # Largest share of word characters that the most frequent n-gram may cover.
@@ -153,7 +153,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         run, f"doc_id long, {COLUMNS}"
     )
 
@@ -169,7 +169,7 @@ def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         for pdf in batches:
             yield pdf[[measure(t)["kept"] for t in pdf["text"]]]
 
-    return docs.mapInPandas(run, docs.schema)
+    return lean_batches(docs).mapInPandas(run, docs.schema)
 
 
 QUERIES = {"op6_repetition_rules": op6_repetition_rules}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, merge_labels, shared_checkpoint, table
+from .common import connected_components, lean_batches, merge_labels, shared_checkpoint, table
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -97,7 +97,7 @@ def fingerprints(
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    named = lean_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return named.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
@@ -162,8 +162,8 @@ def compare_leaf(points: np.ndarray, queries: np.ndarray, word: int, coarse: int
     at in full where word ``word`` alone is within ``coarse``."""
     for a in range(0, len(points), BLOCK):
         p = points[a : a + BLOCK]
-        for b in range(0, len(queries), 4096):
-            q = queries[b : b + 4096]
+        for b in range(0, len(queries), 1024):
+            q = queries[b : b + 1024]
             i, j = np.nonzero(np.bitwise_count(p[:, word][:, None] ^ q[:, word][None]) <= coarse)
             near = np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=np.int64) <= radius
             yield a + i[near], b + j[near]
