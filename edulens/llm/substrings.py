@@ -16,7 +16,7 @@ suffix sort, cut off at the length that matters:
 
 A name is a hash of the names below it, so it needs no round of its own. Names
 of rounds 1 and 3 only select (40 bits and their bucket); those of rounds 2 and
-4 decide and have 128 bits.
+4 decide and have 96 bits.
 
 Scale: texts are shuffled once, after copies collapse to one per input
 partition; later rounds move only names and one bit back for each. A block of
@@ -30,14 +30,18 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, table
+from .common import lean_batches, shuffle_width, table
 
 MIN_LEN = 200
-BLOCK_BYTES = 4_000_000
-CHUNK_BYTES = 1_000_000
+BLOCK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+PACK_BYTES = 16_000_000
+BUCKET_BYTES = 16_000_000
+DECIDE = 12  # bytes of a name that decides; one that selects has 5
 # Perfect difference sets, modulus -> residues.
 COVERS = {
     7: [0, 1, 3],
@@ -102,10 +106,18 @@ class Block:
     """The distinct texts of one block, in a fixed order, and their rounds."""
 
     def __init__(self, pdf: pd.DataFrame, min_len: int):
-        first = pdf[pdf["text"].notna()].drop_duplicates("digest").sort_values("digest")
-        self.n = pdf.groupby("digest")["n"].sum()
-        self.digest = first["digest"].tolist()
-        self.text = [bytes(t) for t in first["text"]]
+        self.n: dict[str, int] = {}
+        texts: dict[str, bytes] = {}
+        unpack = zstandard.ZstdDecompressor()
+        for digests, counts, sizes, data in zip(pdf["digest"], pdf["n"], pdf["size"], pdf["data"]):
+            whole, at = unpack.decompress(data) if len(data) else b"", 0
+            for d, k, size in zip(digests, counts, sizes):
+                self.n[d] = self.n.get(d, 0) + int(k)
+                if size >= 0:
+                    texts[d] = whole[at : at + size]
+                    at += size
+        self.digest = sorted(texts)
+        self.text = [texts[d] for d in self.digest]
         self.min_len = min_len
         self.period, self.cover = cover_for(min_len)
         longest = max(map(len, self.text), default=0)
@@ -203,7 +215,8 @@ def send(block: int, halves: list[np.ndarray], buckets: int, told: np.ndarray |
     bucket = ((name[0] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cut = np.searchsorted(bucket, np.arange(buckets + 1))
     if len(name) == 2:
-        raw = np.ascontiguousarray(np.stack(name, axis=1)).view(np.uint8)
+        raw = np.ascontiguousarray(np.stack(name, axis=1)).view(np.uint8)[:, :DECIDE]
+        raw = np.ascontiguousarray(raw)
     else:
         raw = name[0][:, None].view(np.uint8)[:, :5]
         if told is not None:
@@ -244,8 +257,7 @@ def meet(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
         sizes = [len(d) // width for d in own["data"]]
         raw = np.frombuffer(b"".join(own["data"]), np.uint8).reshape(-1, width)
         told = raw[:, 5] if width == 6 else None
-        if width < 8:
-            raw = np.pad(raw[:, :5], ((0, 0), (0, 3)))
+        raw = np.pad(raw[:, :5], ((0, 0), (0, 3))) if width < 8 else np.pad(raw, ((0, 0), (0, 16 - width)))
         halves = np.ascontiguousarray(raw).view("<u8")
         order, new, number = distinct([halves[:, k] for k in range(halves.shape[1])])
         hit = np.zeros(len(order), bool)
@@ -282,31 +294,58 @@ def _pack(hits: list[np.ndarray]) -> bytes:
 
 def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep_text: bool = False) -> DataFrame:
     """Per distinct text: ``(digest, n_bytes, n_removed, n_spans, kept_sha256)``
-    and, with ``keep_text``, the remaining bytes ``kept``.
+    and, with ``keep_text``, the remaining text ``kept`` without cut characters.
 
     ``docs`` has ``digest`` (of the text) and ``text`` as binary.
     """
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     width = shuffle_width(spark)
-    n_blocks = max(-(-int(total) // BLOCK_BYTES), 4 * width)
+    n_blocks = max(-(-int(total) // BLOCK_BYTES), width)
+    n_buckets = max(-(-int(total) // BUCKET_BYTES), -(-width // 2))
 
     def collapse(batches):
-        """Copies within an input partition: the text once, then a count."""
+        """Texts of each block packed together, each text once per input
+        partition; how often it came again follows at the end (size -1)."""
         more: dict[str, int] = {}
+        press = zstandard.ZstdCompressor(level=3)
+
+        def packs(rows):
+            by_block: dict[int, list] = {}
+            for digest, n, text in rows:
+                by_block.setdefault(int(digest[:15], 16) % n_blocks, []).append((digest, n, text))
+            return pd.DataFrame(
+                [
+                    (
+                        block,
+                        [d for d, *_ in own],
+                        [n for _, n, _ in own],
+                        [-1 if t is None else len(t) for *_, t in own],
+                        press.compress(b"".join(t or b"" for *_, t in own)),
+                    )
+                    for block, own in by_block.items()
+                ],
+                columns=["block", "digest", "n", "size", "data"],
+            )
+
+        rows, held = [], 0
         for pdf in batches:
-            rows = []
             for digest, text in zip(pdf["digest"], pdf["text"]):
                 if digest in more:
                     more[digest] += 1
                 else:
                     more[digest] = 0
-                    rows.append((int(digest[:15], 16) % n_blocks, digest, 1, text))
-            yield pd.DataFrame(rows, columns=["block", "digest", "n", "text"])
-        rows = [(int(d[:15], 16) % n_blocks, d, n, None) for d, n in more.items() if n]
-        yield pd.DataFrame(rows, columns=["block", "digest", "n", "text"])
-
-    texts = docs.select("digest", "text").mapInPandas(collapse, "block int, digest string, n long, text binary")
+                    rows.append((digest, 1, bytes(text)))
+                    held += len(text)
+            if held > PACK_BYTES:
+                yield packs(rows)
+                rows, held = [], 0
+        yield packs(rows)
+        yield packs((d, n, None) for d, n in more.items() if n)
+
+    texts = lean_batches(docs).select("digest", "text").mapInPandas(
+        collapse, "block int, digest array<string>, n array<long>, size array<int>, data binary"
+    )
     texts = texts.repartition(width, "block")
     by_block = texts.groupBy("block")
 
@@ -315,7 +354,7 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep_text: bool = Fa
 
     def first(pdf):
         b = Block(pdf, min_len)
-        return _frame(send(int(pdf["block"].iloc[0]), b.named(b.round1(), prefix, False), n_blocks))
+        return _frame(send(int(pdf["block"].iloc[0]), b.named(b.round1(), prefix, False), n_buckets))
 
     def second(pdf, back):
         if not len(pdf):
@@ -324,7 +363,7 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep_text: bool = Fa
         per_doc = b.round1()
         hit1 = b.split(answer(b.named(per_doc, prefix, False), back), per_doc)
         names = b.named(b.round2(hit1), longer, True)
-        return _frame([*send(block, names, n_blocks), (block, block, 1, _pack(hit1))])
+        return _frame([*send(block, names, n_buckets), (block % n_buckets, block, 1, _pack(hit1))])
 
     def third(pdf, back):
         if not len(pdf):
@@ -334,8 +373,8 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep_text: bool = Fa
         per_doc = b.round2(hit1)
         hit2 = b.split(answer(b.named(per_doc, longer, True), back), per_doc)
         places, open_ = b.round3(hit1, hit2)
-        rows = send(block, b.named(places, prefix, False), n_blocks, _flat(open_))
-        return _frame([*rows, (block, block, 1, _pack(hit1)), (block, block, 2, _pack(hit2))])
+        rows = send(block, b.named(places, prefix, False), n_buckets, _flat(open_))
+        return _frame([*rows, (block % n_buckets, block, 1, _pack(hit1)), (block % n_buckets, block, 2, _pack(hit2))])
 
     def fourth(pdf, back):
         if not len(pdf):
@@ -345,8 +384,8 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep_text: bool = Fa
         hit2 = _bits(back, 2, b.round2(hit1), b)
         places, open_ = b.round3(hit1, hit2)
         hit3 = b.split(answer(b.named(places, prefix, False), back, _flat(open_)), places)
-        rows = send(block, b.named(b.round4(hit1, hit2, hit3), min_len, True), n_blocks)
-        return _frame([*rows, *((block, block, k + 1, _pack(h)) for k, h in enumerate((hit1, hit2, hit3)))])
+        rows = send(block, b.named(b.round4(hit1, hit2, hit3), min_len, True), n_buckets)
+        return _frame([*rows, *((block % n_buckets, block, k + 1, _pack(h)) for k, h in enumerate((hit1, hit2, hit3)))])
 
     def last(pdf, back):
         columns = ["digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
@@ -366,17 +405,17 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep_text: bool = Fa
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             row = (digest, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
-            rows.append((*row, kept) if keep_text else row)
+            rows.append((*row, kept.decode("utf-8", "ignore")) if keep_text else row)
         return pd.DataFrame(rows, columns=columns)
 
     def back(sent: DataFrame, width: int) -> DataFrame:
         return sent.groupBy("bucket").applyInPandas(lambda pdf: meet(pdf, width), BACK)
 
     found = back(by_block.applyInPandas(first, SENT), 5)
-    found = back(by_block.cogroup(found.groupBy("block")).applyInPandas(second, SENT), 16)
+    found = back(by_block.cogroup(found.groupBy("block")).applyInPandas(second, SENT), DECIDE)
     found = back(by_block.cogroup(found.groupBy("block")).applyInPandas(third, SENT), 6)
-    found = back(by_block.cogroup(found.groupBy("block")).applyInPandas(fourth, SENT), 16)
-    out = "digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    found = back(by_block.cogroup(found.groupBy("block")).applyInPandas(fourth, SENT), DECIDE)
+    out = "digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
     return by_block.cogroup(found.groupBy("block")).applyInPandas(last, out)
 
 
@@ -413,12 +452,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     found = repeated_spans(_prepared(docs), MIN_LEN, keep_text=True).where("n_removed > 0")
 
-    def decode(batches):
-        for pdf in batches:
-            kept = [bytes(k).decode("utf-8", "ignore") for k in pdf["kept"]]
-            yield pd.DataFrame({"_digest": pdf["digest"], "_text": kept})
-
-    cut = found.select("digest", "kept").mapInPandas(decode, "_digest string, _text string")
+    cut = found.select(F.col("digest").alias("_digest"), F.col("kept").alias("_text"))
     joined = docs.withColumn("_key", F.sha2(raw, 256)).join(cut, F.col("_key") == F.col("_digest"), "left")
     text = F.when(F.col("_digest").isNotNull() & F.col("text").isNotNull(), F.col("_text")).otherwise(F.col("text"))
     out = joined.withColumn("text", text)
