@@ -158,10 +158,14 @@ def encoder(path: str):
         and not any(p.type == model.SentencePiece.USER_DEFINED or mark in p.piece.lstrip(mark) for p in model.pieces)
     )
     runs = RunIds(lambda run: sp.encode(run[1:], add_bos=False, add_eos=False))
+    # A run of one space ends a text; without its text there is no dummy prefix.
+    lone = sp.encode("a ", add_bos=False, add_eos=False)[len(sp.encode("a", add_bos=False, add_eos=False)) :]
 
     def ids_of(text: str) -> np.ndarray:
         if apart and text and mark not in text:
-            parts = map(runs.__getitem__, _RUN.findall(" " + text))
+            found = _RUN.findall(" " + text)
+            last = lone if found[-1] == " " else runs[found[-1]]
+            parts = itertools.chain(map(runs.__getitem__, found[:-1]), (last,))
             return np.fromiter(itertools.chain.from_iterable(parts), np.int64)
         return np.array(sp.encode(text, add_bos=False, add_eos=False), np.int64)
 
