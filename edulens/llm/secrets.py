@@ -2,8 +2,9 @@
 
 Patterns give candidate spans; a candidate value is then looked up across the
 corpus by the distinct owners and repositories that hold it. A value that many
-owners share is a copied example; one that stays with few owners and looks
-like a key is live-looking and adds a span of its own.
+owners share, or that one owner has in many repositories, is a copied example;
+one that stays with few of both and looks like a key is live-looking and adds a
+span of its own.
 
 Scale: texts are scanned once in place. What is shuffled are the matches, once
 per distinct text, with values as hashes. Places come from running sums of the
@@ -37,6 +38,8 @@ KINDS = (
 SOME = "|".join((r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}", VENDOR, ASSIGN))
 PLACEHOLDER = r"(?i)example|changeme|your|dummy|sample|placeholder|x{4,}|\*{3,}"
 MAX_OWNERS = 2
+#: Distinct repositories of one owner; a key in use is seen in a handful.
+MAX_REPOSITORIES = 4
 LIVE_LENGTH, LIVE_CHARS = 16, 8
 LIVE = len(KINDS)
 
@@ -101,8 +104,9 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
     """``(digest, kind, start, end, copied, live)`` of every passing span of
     every distinct text; ``kind`` indexes KINDS, start and end are code points.
 
-    A value is ``copied`` when more than MAX_OWNERS owners hold it. ``live``
-    spans, kind LIVE, cover the value alone. A null owner counts as one owner.
+    A value is ``copied`` when more than MAX_OWNERS owners hold it, or one owner
+    in more than MAX_REPOSITORIES distinct repositories. ``live`` spans, kind
+    LIVE, cover the value alone. A null owner counts as one owner.
     """
     hits = shared_checkpoint(candidates(docs, owner, repository).distinct())
     owned = hits.where("passes").select("value", F.coalesce("owner", F.lit("")).alias("owner"), "repository")
@@ -110,7 +114,7 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
         owned.groupBy("value", "owner")
         .agg(F.count_distinct("repository").alias("n"))
         .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+        .agg(F.count(F.lit(1)).alias("owners"), F.max("n").alias("repositories"))
     )
     once = hits.groupBy("digest", "kind", "idx").agg(
         *[F.first(c).alias(c) for c in ("gap", "size", "value_size", "passes", "value", "live_look")]
@@ -118,7 +122,7 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
     run = Window.partitionBy("digest", "kind").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     placed = once.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(run)).where("passes")
     placed = placed.withColumn("start", F.col("end") - F.col("size")).join(freq, "value")
-    copied = F.col("owners") > MAX_OWNERS
+    copied = (F.col("owners") > MAX_OWNERS) | (F.col("repositories") > MAX_REPOSITORIES)
     live = ~copied & F.col("live_look")
     base = placed.select("digest", "kind", "start", "end", copied.alias("copied"), live.alias("live"))
     added = placed.where(live).select(
