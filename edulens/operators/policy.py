@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
 from ..functions.scalars import in_interval
 
 RELATIONS = ("overrides", "supersedes", "amends", "exception")
@@ -222,14 +223,49 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
     return out.withColumn("truncated", (F.col("depth") == depth) & F.coalesce("_more", F.lit(False))).drop("_more")
 
 
-def cyclic_nodes(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """Nodes on or behind a cycle: what is left after ``rounds`` rounds of
-    taking away nodes without an outgoing edge to a node that is left."""
-    cur = edges.select("source", "target").distinct()
-    for _ in range(rounds):
-        alive = cur.select(F.col("source").alias("_s")).distinct()
-        cur = cur.join(alive, cur["target"] == alive["_s"], "left_semi")
-    return cur.select(F.col("source").alias("node")).distinct()
+def follow_chains(step: DataFrame, node: str, target: str, max_rounds: int = 60) -> DataFrame:
+    """The end of each node's chain in ``step``, which has one target a node, and
+    the steps to it; ``cyclic`` where the chain never ends.
+
+    Pointers double until the number of open chains no longer falls. An open
+    chain that does end has nodes at every distance from its end, so some close
+    in each round; what stays open has no end.
+    """
+    cur = settle(step.select(F.col(node).alias("node"), F.col(target).alias("target"), F.lit(1).alias("steps")))
+    heads, before = cur.select(F.col("node").alias("_h")), None
+    for _ in range(max_rounds):
+        ended = cur.join(heads, cur["target"] == heads["_h"], "left").withColumn("cyclic", F.col("_h").isNotNull()).drop("_h")
+        left = ended.where("cyclic").count()
+        if left in (0, before):
+            return ended
+        before = left
+        nxt = cur.select(F.col("node").alias("_n"), F.col("target").alias("_t"), F.col("steps").alias("_s"))
+        cur = settle(cur.join(nxt, cur["target"] == nxt["_n"], "left").select(
+            "node", F.coalesce("_t", "target").alias("target"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps")
+        ))
+    raise RuntimeError("chains did not settle")
+
+
+def cyclic_nodes(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Nodes on or behind a cycle: what is left when no node without an outgoing
+    edge to a node that is left can be taken away any more.
+
+    Each round first lets edges skip chains of nodes with a single target, so
+    rounds grow with the number of branchings on a path, not with its length.
+    """
+    cur = settle(edges.select("source", "target").where("target is not null").distinct())
+    before = None
+    for _ in range(max_rounds):
+        single = cur.groupBy("source").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n")).where("n = 1")
+        ends = follow_chains(single, "source", "target").where("not cyclic").select(F.col("node").alias("_n"), F.col("target").alias("_e"))
+        cut = cur.join(ends, cur["target"] == ends["_n"], "left").select("source", F.coalesce("_e", "target").alias("target")).distinct()
+        alive = cut.select(F.col("source").alias("_s")).distinct()
+        cur = settle(cut.join(alive, cut["target"] == alive["_s"], "left_semi"))
+        now = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("source", "target"))).first()
+        if now == before or not now[0]:
+            return cur.select(F.col("source").alias("node")).distinct()
+        before = now
+    raise RuntimeError("cycles did not settle")
 
 
 def impact(changed: DataFrame, edges: DataFrame, objects: DataFrame, depth: int = 8) -> DataFrame:

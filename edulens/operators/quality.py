@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .policy import follow_chains
+
 LOW_CONFIDENCE = 0.80
 
 
@@ -138,24 +140,14 @@ def unknown_queue(outcomes: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def resolve_aliases(aliases: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Follow ``(alias, target)`` chains: final target, steps, and whether the
-    chain runs into a cycle (target null) within ``max_depth`` doublings."""
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
+    """Follow ``(alias, target)`` chains of any length: final target, steps, and
+    whether the chain runs into a cycle (target null)."""
     pick = aliases.groupBy("alias").agg(F.min("target").alias("target"), (F.count_distinct("target") > 1).alias("conflicting"))
-    cur = pick.withColumn("steps", F.lit(1))
-    for _ in range(max_depth):  # pointer doubling: chains of 2**max_depth end
-        nxt = cur.select(F.col("alias").alias("_a"), F.col("target").alias("_t"), F.col("steps").alias("_s"))
-        cur = cur.join(nxt, cur["target"] == nxt["_a"], "left").select(
-            "alias",
-            F.coalesce("_t", "target").alias("target"),
-            "conflicting",
-            (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"),
-        )
-    heads = pick.select(F.col("alias").alias("_h"))
-    out = cur.join(heads, cur["target"] == heads["_h"], "left")
-    cyclic = F.col("_h").isNotNull()
+    ends = follow_chains(pick, "alias", "target")
+    out = pick.select("alias", "conflicting").join(ends, F.col("alias").eqNullSafe(F.col("node")))
     return out.select(
-        "alias", F.when(~cyclic, F.col("target")).alias("target"), F.when(~cyclic, F.col("steps")).alias("steps"), cyclic.alias("cyclic"), "conflicting"
+        "alias", F.when(~F.col("cyclic"), F.col("target")).alias("target"), F.when(~F.col("cyclic"), F.col("steps")).alias("steps"), "cyclic", "conflicting"
     )
 
 
