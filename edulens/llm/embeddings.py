@@ -132,7 +132,7 @@ def chunks(points: DataFrame) -> DataFrame:
     """Give every point ``(cid, label, unit)`` a chunk of about ``CHUNK`` rows.
 
     Centres are a hash-ordered sample, ``MAX_CENTRES`` a label at most; a cell
-    with more points than a chunk is dealt on by a hash.
+    with more points than a chunk, by its own count, is dealt on by a hash.
     """
     sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     wanted = F.least(F.lit(MAX_CENTRES), F.ceil(F.col("size") / CHUNK))
@@ -170,8 +170,10 @@ def chunks(points: DataFrame) -> DataFrame:
         .cogroup(shared.groupBy("of", "part"))
         .applyInPandas(nearest, schema)
     )
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / wanted / CHUNK))
-    return near.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(3)), parts)).drop("size", "slice")
+    near = shared_checkpoint(near.drop("size", "slice"))
+    parts = near.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
+    dealt_on = near.join(parts, ["label", "cell"]).withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts")))
+    return dealt_on.select("label", "cid", "n", "unit", "cell", "salt")
 
 
 def euclid(a: str, b: str):
@@ -182,7 +184,7 @@ def euclid(a: str, b: str):
 
 def embedding_links(points: DataFrame, threshold: float) -> DataFrame:
     """(cid, links, root) of every chunk pair, for points of equal label."""
-    placed = shared_checkpoint(chunks(points))
+    placed = chunks(points)
     mean = F.array(*[F.avg(F.get("unit", F.lit(k))) for k in range(_width(points))])
     cells = placed.groupBy("label", "cell", "salt").agg(mean.alias("mid"))
     dist = euclid("unit", "mid")
