@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -14,26 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder in ``spark.checkpoint.dir``; where that is
-    unset (tests on one machine) a temporary folder is taken."""
+    """Cut lineage through the shared folder in ``spark.checkpoint.dir``. Where
+    that is unset, only a local master may take a temporary folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
-BATCH_ROWS = 1000
+SLICE_ROWS = 1000
 
 
-def lean_batches(df: DataFrame) -> DataFrame:
-    """Hold Arrow batches of texts to BATCH_ROWS rows, unless the session sets
-    its own number, so that a Python worker stays small."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
-    return df
+def text_slices(batches):
+    """``(doc_id, text)`` lists of at most SLICE_ROWS rows from Arrow batches, so
+    that few rows at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
 def shuffle_width(spark: SparkSession) -> int:

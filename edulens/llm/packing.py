@@ -13,19 +13,19 @@ underfull bins only.
 from __future__ import annotations
 
 import base64
-import itertools
 import json
 import re
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean_batches, shared_checkpoint, table
+from .common import shared_checkpoint, table, text_slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -33,89 +33,125 @@ NEARLY_FULL = 0.98
 GROUP_ITEMS = 8192
 GROUP_BINS = 256
 TOKENIZER = "byte_bpe_50k"
-CACHE_WORDS = 100_000
-
-# Characters whose class is the same to every regex engine; a text with any
-# other goes through the tokenizer whole.
-_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-ɏ]")
-_WORDS = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
-)
-
+CACHE_RUNS = 300_000
 
-class WordIds(dict):
-    """Ids of pre-tokens, filled on demand and emptied when it grows too large."""
+# Characters whose class is the same to every regex engine; a run with any
+# other goes through the tokenizer itself.
+_OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-ɏ]")
+_GAP = re.compile(r" \s")
+_LEAD = re.compile(r" (?=\S)")
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
 
-    def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self[word] = self.encode(word)
-        return ids
+class TextEncoder:
+    """text -> little-endian uint32 ids, as the tokenizer file gives them.
 
+    A space before a visible character always begins a pre-token, and merges
+    never cross pre-tokens. So a text is cut there into runs, each distinct run
+    is encoded once, and the new runs of many texts are encoded together: the
+    ids of a run are those that cover its bytes.
+    """
 
-@lru_cache(maxsize=2)
-def _whole(name: str):
-    """The tokenizer itself, loaded for the first text that needs it."""
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    def __init__(self, name: str):
+        import tiktoken
+
+        self.file = public_tokenizers.path(f"{name}.json")
+        with open(self.file) as f:
+            self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
+        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, k in ranks.items():
+            self.width[k] = len(token)
+        self.bpe = tiktoken.Encoding(
+            name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+        self.known: dict[str, bytes] = {}
+        self._whole = None
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of one text from the tokenizer itself, loaded when first needed."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.file)
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def cut(self, text: str) -> list[str] | None:
+        """The runs of a text, all but the first without their leading space."""
+        if any(s in text for s in self.specials):
+            return None
+        return _LEAD.split(text) if _GAP.search(text) else text.split(" ")
+
+    def learn(self, runs: list[str], encode) -> None:
+        """Encode space-led runs together and keep the ids of each."""
+        if not runs:
+            return
+        text = " " + " ".join(runs)
+        ids = encode(text).astype("<u4")
+        data = np.frombuffer(text.encode(), np.uint8)
+        end = np.append(np.flatnonzero(data == 32)[1:], len(data))
+        if len(end) > len(runs):  # some run ends in more space
+            end = np.cumsum([len(r.encode()) + 1 for r in runs])
+        at = np.cumsum(self.width[ids])
+        cut = np.searchsorted(at, end) + 1
+        if at[-1] != end[-1] or (at[cut - 1] != end).any():
+            raise ValueError("tokens do not end where runs end")
+        raw, cut = ids.tobytes(), (4 * cut).tolist()
+        self.known.update(zip(runs, map(raw.__getitem__, map(slice, [0, *cut], cut))))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cuts = [self.cut(t) for t in texts]
+        if len(self.known) > CACHE_RUNS:
+            self.known.clear()
+        new = set().union(*(c[1:] for c in cuts if c)).difference(self.known)
+        odd = {r for r in new if _OTHER.search(r)} if _OTHER.search(" ".join(new)) else set()
+        self.learn(list(new - odd), self.bpe.encode_to_numpy)
+        self.learn(list(odd), self.whole)
+        known, out = self.known.__getitem__, []
+        for text, runs in zip(texts, cuts):
+            if runs is None:
+                out.append(self.whole(text).tobytes())
+            else:
+                first = self.whole(runs[0]) if _OTHER.search(runs[0]) else self.bpe.encode_to_numpy(runs[0])
+                out.append(first.astype("<u4").tobytes() + b"".join(map(known, runs[1:])))
+        return out
 
 
 @lru_cache(maxsize=2)
-def text_encoder(name: str):
-    """text -> uint32 ids, as ``Tokenizer.encode(text, add_special_tokens=False)``.
+def text_encoder(name: str) -> TextEncoder:
+    return TextEncoder(name)
 
-    BPE never crosses pre-tokens, so a text's ids are those of its pre-tokens
-    in order; each distinct pre-token is merged once, by the same ranks.
-    """
-    import tiktoken
-
-    with open(public_tokenizers.path(f"{name}.json")) as f:
-        specials = [t["content"] for t in json.load(f)["added_tokens"]]
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    bpe = tiktoken.Encoding(
-        name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-    )
-    words = WordIds(bpe.encode_ordinary)
 
-    def encode(text: str) -> np.ndarray:
-        if _PLAIN.search(text) or any(s in text for s in specials):
-            return np.array(_whole(name).encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = map(words.__getitem__, _WORDS.findall(text))
-        return np.fromiter(itertools.chain.from_iterable(parts), np.uint32)
-
-    return encode
+PIECE = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every row of ``docs``.
 
-    A null text is empty and still yields its end id. Only documents longer
-    than ``capacity`` are cut; their first piece takes the remainder.
+    A null text is empty and still yields its end id; a null doc_id stays null.
+    Only documents longer than ``capacity`` are cut; their first piece takes the
+    remainder. Repeated rows are encoded each; other columns are not looked at;
+    an empty table gives an empty result.
     """
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = text_encoder(tokenizer)
-        for pdf in batches:
+        encode = text_encoder(tokenizer).encode_all
+        for ids, texts in text_slices(batches):
             rows = []
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
-                ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-                first = len(ids) % capacity or capacity
-                cuts = [0, *range(first, len(ids), capacity), len(ids)]
+            for doc_id, raw in zip(ids, encode([t or "" for t in texts])):
+                raw += end
+                n = len(raw) // 4
+                cuts = [0, *range(n % capacity or capacity, n, capacity), n]
                 rows += [
-                    (doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))
-                    for k, (a, b) in enumerate(itertools.pairwise(cuts))
+                    (doc_id, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(pairwise(cuts))
                 ]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            columns = zip(*rows) if rows else [[]] * len(PIECE)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, PIECE)], schema=PIECE)
 
-    return lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
@@ -143,28 +179,31 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
-BIN = f"size int, n int, members array<{MEMBER}>"
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, size long"
 
 
-def pack_round(items: DataFrame, groups: int, seed: int, capacity: int) -> DataFrame:
-    """One best-fit round: items ``(size, n, members)`` dealt to ``groups``
-    groups become bins of the same shape; ``size`` stays an upper-bounded sum."""
+def pack_round(rows: DataFrame, groups: int, seed: int, capacity: int) -> DataFrame:
+    """One best-fit round over bins dealt to ``groups`` groups.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "uid"], ignore_index=True)
-        made, members, size = best_fit(pdf["size"].tolist(), capacity), pdf["members"], pdf["size"]
-        return pd.DataFrame(
-            {
-                "size": [int(size[b].sum()) for b in made],
-                "n": [len(b) for b in made],
-                "members": [[m for i in b for m in members[i]] for b in made],
-            }
-        )
+    ``rows`` are pieces with their ``bin``, ``offset`` in it and its ``size``;
+    bins packed together become one, under the number of the first.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        bins, offset, size = (part[c].to_numpy() for c in ("bin", "offset", "size"))
+        own, first, which = np.unique(bins, return_index=True, return_inverse=True)
+        sizes = size[first]
+        new, base, total = np.empty_like(own), np.empty_like(own), np.empty_like(own)
+        for members in best_fit(sizes.tolist(), capacity):
+            ends = np.cumsum(sizes[members])
+            new[members], base[members], total[members] = own[members[0]], ends - sizes[members], ends[-1]
+        out = part.drop_columns(["bin", "offset", "size"])
+        for name, column in (("bin", new[which]), ("offset", offset + base[which]), ("size", total[which])):
+            out = out.append_column(name, pa.array(column))
+        return out.drop_columns(["g"])
 
-    uid = F.monotonically_increasing_id()
-    dealt = items.withColumn("uid", uid).withColumn("g", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(run, BIN)
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("bin", F.lit(seed)), F.lit(groups)))
+    return dealt.groupBy("g").applyInArrow(run, PLACED)
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL) -> DataFrame:
@@ -173,30 +212,24 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
     Every input row is placed exactly once, repeated rows each on their own;
     an empty table gives an empty result.
     """
-    keep = shared_checkpoint(parts)
-    one = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32").cast(MEMBER))
-    items = keep.select(F.col("length").cast("int").alias("size"), F.lit(1).alias("n"), one.alias("members"))
+    keep = shared_checkpoint(parts.withColumn("bin", F.monotonically_increasing_id()))
+    rows = keep.select("*", F.lit(0).cast("long").alias("offset"), F.col("length").alias("size"))
     full = F.col("size") >= int(capacity * nearly_full)
-    done, open_ = [items.where(full)], items.where(~full)
-    left = open_.count()
+    bins = F.count_if(F.col("offset") == 0)  # each bin has one piece there
+    done, open_ = [rows.where(full)], rows.where(~full)
+    left = open_.select(bins).first()[0]
     groups, seed = max(1, -(-left // GROUP_ITEMS)), 0
     while left:
         made = shared_checkpoint(pack_round(open_, groups, seed, capacity))
         done.append(made.where(full))
         open_ = made.where(~full)
-        was, left = left, open_.count()
+        was, left = left, open_.select(bins).first()[0]
         if groups == 1 or (seed and left > 0.97 * was):
             done.append(open_)
             break
         groups, seed = max(1, min(groups - 1, -(-left // GROUP_BINS))), seed + 1
-    bins = done[0]
-    for more in done[1:]:
-        bins = bins.unionByName(more)
-    placed = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "members").select(
-        "sequence_id", "members", F.posexplode("members").alias("at", "m")
-    )
-    offset = F.aggregate(F.slice("members", 1, F.col("at")), F.lit(0).cast("long"), lambda a, m: a + m["length"])
-    return placed.select("m.*", "sequence_id", offset.alias("offset"))
+    placed = reduce(DataFrame.unionByName, done)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +237,9 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row per piece of every document it is given."""
+    """Pipeline stage: one row per piece of every document it is given. A null
+    text is one end id, a repeated row is packed again, other columns are not
+    looked at, and an empty table gives an empty result."""
     return pack(pieces(docs))
 
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean_batches, shuffle_width, table
+from .common import shuffle_width, table
 
 MIN_LEN = 200
 BLOCK_BYTES = 2_000_000
@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep_text: bool = Fa
         yield packs(rows)
         yield packs((d, n, None) for d, n in more.items() if n)
 
-    texts = lean_batches(docs).select("digest", "text").mapInPandas(
+    texts = docs.select("digest", "text").mapInPandas(
         collapse, "block int, digest array<string>, n array<long>, size array<int>, data binary"
     )
     texts = texts.repartition(width, "block")
