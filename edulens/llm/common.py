@@ -61,14 +61,32 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def spanning_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the edges (i[k], j[k]) of a forest of least total ``d`` over n
+    nodes. Ties go by i, then j, so equal pieces of a graph give equal forests."""
+    order = np.lexsort((j, i, d))
+    i, j = i[order], j[order]
+    label, open_, chosen = np.arange(n), np.arange(len(i)), [order[:0]]
+    while len(open_):
+        ends = np.stack([label[i[open_]], label[j[open_]]], axis=1)
+        apart = ends[:, 0] != ends[:, 1]
+        open_, ends = open_[apart], ends[apart]
+        first = np.unique(ends.ravel(), return_index=True)[1]  # the best edge of each tree
+        pick = np.unique(open_[first // 2])
+        chosen.append(order[pick])
+        label = merge_labels(label, i[pick], j[pick])
+    return np.concatenate(chosen)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
     ``edges(a, b)`` of one orderable type; returns ``(node, component)``. Each
-    round is one large-star and one small-star step, both a partial minimum and
-    an equi-join, so no node's neighbours meet in one task. Rounds needed grow
-    with the logarithm of the longest path. Loops, repeats and null ends are
-    ignored; an empty input gives an empty result.
+    round is one large-star and one small-star step. The minima are partial
+    aggregates and are written before they are joined, so both sides of a join
+    are plain shuffles and AQE splits the neighbours of a hub over many tasks.
+    Rounds needed grow with the logarithm of the longest path. Loops, repeats
+    and null ends are ignored; an empty input gives an empty result.
     """
     cur = shared_checkpoint(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -78,10 +96,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Large star: each node hands its larger neighbours the smallest one around it.
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = both.where("b > a").join(shared_checkpoint(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = shared_checkpoint(large.where("a <> b").distinct())
         # Small star: every edge points down; link the smaller neighbours to the least.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = shared_checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = small.where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         cur = shared_checkpoint(nxt)

@@ -1,16 +1,17 @@
 """SimHash near-duplicates through a distributed vantage-point tree.
 
-Fingerprints are partitioned by their Hamming distance to vantage points. A
-fingerprint has one home leaf; as a query it also visits the leaves that the
-triangle inequality cannot rule out within the radius, so every pair within
-the radius meets in the home leaf of at least one member. Inside a leaf the
-same tree goes on in memory down to blocks compared directly.
+Fingerprints are partitioned by their Hamming distance to vantage points. At a
+node the near side takes everything up to the median plus the radius, the far
+side everything beyond the median. By the triangle inequality a pair within the
+radius is then together on one side, so every such pair meets in some leaf, and
+only the fingerprints just beyond a median go both ways. Inside a leaf the same
+tree goes on in memory down to blocks compared directly.
 
 Scale: copies collapse to one fingerprint before anything is shuffled; leaves
 emit a spanning forest of their links, never all pairs. The top tree is built
-from a sample bounded by ``16 * 2**MAX_DEPTH`` fingerprints and is all that is
-broadcast. Each level sends about 1.4 copies of a fingerprint, which is what
-exactness at radius 2 costs in 64 nearly independent bits.
+from a sample of about ``SAMPLE * 2**MAX_DEPTH`` fingerprints at most and is
+all that is broadcast. A level sends about 1.2 copies of a fingerprint, which
+is what exactness at radius 2 costs in 64 nearly independent bits.
 """
 
 from __future__ import annotations
@@ -20,18 +21,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, merge_labels, shared_checkpoint, table
+from .common import connected_components, shared_checkpoint, spanning_forest, table
 
 SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
 LEAF = 16384
 MIN_DEPTH, MAX_DEPTH = 6, 16
+SAMPLE = 8
 BLOCK = 256
+HELD_EDGES = 1_000_000
+SIMILARITY = 0.8
 
 
 @dataclass(frozen=True)
@@ -41,37 +46,41 @@ class Nearness:
     shingle: int
     words: int  # 64-bit words of a fingerprint
     radius: int  # differing bits over all words
-    overlap: int  # bits around a median that both sides get
+    overlap: int  # bits beyond a median that both sides get
     trees: int
     coarse: int = 64  # bits of the tree's own word, beyond which a pair is not looked at
+    forests: int = 1  # edge-disjoint forests that a leaf emits
 
 
 EXACT = Nearness(SHINGLE_WORDS, 1, RADIUS, RADIUS, 1)
-# Sets of similarity 0.8 have a cosine of 0.89, so 15 % of the bits differ: 39
-# of 256, with a standard deviation of 6. Unrelated texts differ in 128, give
-# or take 8.
-SIMILAR = Nearness(5, 4, 43, 2, 3, coarse=20)
+# Candidates for similarity 0.8: such sets have a cosine of 0.89, so 15 % of the
+# bits differ: 39 of 256, with a standard deviation of 5.8. Unrelated texts
+# differ in 128, give or take 8.
+SIMILAR = Nearness(5, 4, 56, 3, 3, coarse=21, forests=2)
 
 
-def fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = SEED, words: int = 1) -> list[int]:
-    """SimHash of the k-word shingles of one text, as signed 64-bit words; the
-    first is the plain one, more come from remixing the shingles' hashes.
+def shingle_hashes(text: str | None, k: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the k-word shingles of one text, repeats included; of the whole
+    word sequence if it is shorter; none if there are no words.
 
-    bytes.lower() touches A-Z only and bytes.split() cuts at 0x20 and
-    0x09-0x0D. Null, empty and blank texts give 0 in every word.
+    bytes.lower() touches A-Z only and bytes.split() cuts at 0x20 and 0x09-0x0D.
     """
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return [0] * words
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) <= k:
-        h = np.array([digest(joined, seed)], np.uint64)
-    else:
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
-        end = np.cumsum(length + 1) - 1
-        spans = zip((end - length)[: 1 - k].tolist(), end[k - 1 :].tolist())
-        h = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+        return np.array([digest(joined, seed)][: len(parts)], np.uint64)
+    length = np.fromiter(map(len, parts), np.int64, len(parts))
+    end = np.cumsum(length + 1) - 1
+    spans = zip((end - length)[: 1 - k].tolist(), end[k - 1 :].tolist())
+    return np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = SEED, words: int = 1) -> list[int]:
+    """SimHash of the k-word shingles of one text, as signed 64-bit words; the
+    first is the plain one, more come from remixing the shingles' hashes.
+    Null, empty and blank texts give 0 in every word."""
+    h = shingle_hashes(text, k, seed)
     out = []
     for _ in range(words):
         ones = np.zeros(64, np.int64)
@@ -84,21 +93,24 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = SEED, word
     return out
 
 
-def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, words: int = 1
-) -> DataFrame:
-    """``(doc_id, f0, f1, ...)`` for every row; null and blank texts have 0."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, h, text)``: rows are told apart by their id and a hash of their text."""
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")
+    )
+
+
+def fingerprints(rows: DataFrame, k: int = SHINGLE_WORDS, words: int = 1) -> DataFrame:
+    """``(doc_id, h, f0, f1, ...)`` for every row of ``keyed``; null and blank texts have 0."""
     names = [f"f{w}" for w in range(words)]
 
     def run(batches):
-        for pdf in batches:
-            found = np.array([fingerprint(t, k, SEED, words) for t in pdf["text"]], np.int64).reshape(-1, words)
-            out = pd.DataFrame(found, columns=names)
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+        for b in batches:
+            found = np.array([fingerprint(t.as_py(), k, SEED, words) for t in b.column("text")], np.int64)
+            columns = [b.column("doc_id"), b.column("h"), *map(pa.array, found.reshape(-1, words).T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", *names])
 
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return named.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, "doc_id long, h long, " + ", ".join(f"{n} long" for n in names))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -122,68 +134,80 @@ def build_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def route(fp: np.ndarray, point: np.ndarray, radius: np.ndarray, depth: int, t: int):
-    """(row, leaf, home) of every leaf that may hold something within t of fp."""
-    row, node, home = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
+    """(row, leaf) of every leaf that a fingerprint goes to."""
+    row, node = np.arange(len(fp)), np.zeros(len(fp), np.int64)
     for _ in range(depth):
         d, mu = distance(fp[row], point[node]), radius[node]
-        near, far = d - t <= mu, d + t > mu
-        row, node, home = (
+        near, far = d <= mu + t, d > mu
+        row, node = (
             np.concatenate([row[near], row[far]]),
             np.concatenate([2 * node[near] + 1, 2 * node[far] + 2]),
-            np.concatenate([home[near] & (d <= mu)[near], home[far] & (d > mu)[far]]),
         )
-    return row, node, home
+    return row, node
 
 
-def link_leaf(points: np.ndarray, queries: np.ndarray, t: int):
-    """Yield index pairs (point, query) within t, by the tree inside a leaf."""
-    todo = [(np.arange(len(points)), np.arange(len(queries)))]
+def link_leaf(fp: np.ndarray, t: int):
+    """Yield (i, j, bits) of pairs i < j within t, by the tree inside a leaf; a
+    pair may come more than once."""
+    todo = [np.arange(len(fp))]
     while todo:
-        p, q = todo.pop()
-        if not len(p) or not len(q):
-            continue
+        p = todo.pop()
         if len(p) > BLOCK:
-            d = distance(points[p], points[p[len(p) // 2]])
+            d = distance(fp[p], fp[p[len(p) // 2]])
             mu = np.sort(d)[(len(d) - 1) // 2]
-            if (d > mu).any():
-                dq = distance(queries[q], points[p[len(p) // 2]])
-                todo.append((p[d <= mu], q[dq - t <= mu]))
-                todo.append((p[d > mu], q[dq + t > mu]))
+            near, far = p[d <= mu + t], p[d > mu]
+            if max(len(near), len(far)) <= 0.9 * len(p):
+                todo += [near, far]
                 continue
         for a in range(0, len(p), BLOCK):
-            for b in range(0, len(q), 4096):
-                pp, qq = p[a : a + BLOCK], q[b : b + 4096]
-                i, j = np.nonzero(np.bitwise_count(points[pp][:, None] ^ queries[qq][None]) <= t)
-                yield pp[i], qq[j]
+            for b in range(a, len(p), 4096):
+                pp, qq = p[a : a + BLOCK], p[b : b + 4096]
+                d = np.bitwise_count(fp[pp][:, None] ^ fp[qq][None])
+                i, j = np.nonzero((d <= t) & (pp[:, None] < qq[None]))
+                yield pp[i], qq[j], d[i, j].astype(np.int64)
 
 
-def compare_leaf(points: np.ndarray, queries: np.ndarray, word: int, coarse: int, radius: int):
-    """Yield index pairs (point, query) within ``radius`` over all words, looked
+def compare_leaf(fp: np.ndarray, word: int, coarse: int, radius: int):
+    """Yield (i, j, bits) of pairs i < j within ``radius`` over all words, looked
     at in full where word ``word`` alone is within ``coarse``."""
-    for a in range(0, len(points), BLOCK):
-        p = points[a : a + BLOCK]
-        for b in range(0, len(queries), 1024):
-            q = queries[b : b + 1024]
+    for a in range(0, len(fp), BLOCK):
+        p = fp[a : a + BLOCK]
+        for b in range(a, len(fp), 1024):
+            q = fp[b : b + 1024]
             i, j = np.nonzero(np.bitwise_count(p[:, word][:, None] ^ q[:, word][None]) <= coarse)
-            near = np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=np.int64) <= radius
-            yield a + i[near], b + j[near]
+            ahead = a + i < b + j
+            i, j = i[ahead], j[ahead]
+            d = np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=np.int64)
+            near = d <= radius
+            yield a + i[near], b + j[near], d[near]
 
 
 def leaf_forest(pdf: pd.DataFrame, near: Nearness) -> pd.DataFrame:
-    """A spanning forest of the links in one leaf, as (a, b) row numbers."""
-    names = [f"f{w}" for w in range(near.words)]
-    fp = pdf[names].to_numpy(np.int64).view(np.uint64)
-    home = np.nonzero(pdf["home"].to_numpy(dtype=bool))[0]
-    label = np.arange(len(fp))
+    """Spanning forests of least bits over the links of one leaf, as (a, b) row numbers."""
+    pdf = pdf.sort_values("row", ignore_index=True)
+    fp = pdf[[f"f{w}" for w in range(near.words)]].to_numpy(np.int64).view(np.uint64)
+
+    def thin(parts: list) -> np.ndarray:
+        rest, kept = np.concatenate(parts, axis=1), []
+        for _ in range(near.forests):
+            pick = spanning_forest(len(fp), *rest)
+            kept.append(rest[:, pick])
+            rest = np.delete(rest, pick, axis=1)
+        return np.concatenate(kept, axis=1)
+
     if near.words == 1:
-        found = link_leaf(fp[home, 0], fp[:, 0], near.radius)
+        found = link_leaf(fp[:, 0], near.radius)
     else:
-        found = compare_leaf(fp[home], fp, int(pdf["leaf"].iloc[0] >> 32), near.coarse, near.radius)
-    for i, j in found:
-        label = merge_labels(label, home[i], j)
-    linked = np.nonzero(label != np.arange(len(fp)))[0]
+        found = compare_leaf(fp, int(pdf["leaf"].iloc[0] >> 32), near.coarse, near.radius)
+    held, size = [np.zeros((3, 0), np.int64)], 0
+    for edges in found:
+        held.append(np.stack(edges))
+        size += len(edges[0])
+        if size > HELD_EDGES:
+            held, size = [thin(held)], 0
     row = pdf["row"].to_numpy(np.int64)
-    return pd.DataFrame({"a": row[linked], "b": row[label[linked]]})
+    a, b, _ = thin(held)
+    return pd.DataFrame({"a": row[a], "b": row[b]})
 
 
 def near_links(uniq: DataFrame, near: Nearness) -> DataFrame:
@@ -198,8 +222,11 @@ def near_links(uniq: DataFrame, near: Nearness) -> DataFrame:
     n = uniq.count()
     depth = min(MAX_DEPTH, max(MIN_DEPTH, math.ceil(math.log2(max(n, 1) / LEAF))))
     names = [f"f{w}" for w in range(near.words)]
-    rows = uniq.orderBy(F.xxhash64("f0", F.lit(1)), *names).limit(16 * 2**depth).select(*names).collect()
-    sample = np.array(rows, np.int64).reshape(-1, near.words).view(np.uint64)
+    share = min(1.0, SAMPLE * 2**depth / max(n, 1))  # of the hash range, so about that share of the rows
+    below = F.lit(int(-(2**63) + share * (2**64 - 1025)))
+    rows = uniq.where(F.xxhash64("f0", F.lit(1)) <= below).select(*names).collect()
+    sample = np.array(sorted(rows), np.int64).reshape(-1, near.words).view(np.uint64)
+    np.random.default_rng(SEED).shuffle(sample)
     trees = uniq.sparkSession.sparkContext.broadcast(
         [build_tree(sample[:, w], depth) for w in range(near.trees)]
     )
@@ -208,25 +235,62 @@ def near_links(uniq: DataFrame, near: Nearness) -> DataFrame:
         for pdf in batches:
             for w, (point, mu) in enumerate(trees.value):
                 fp = pdf[f"f{w}"].to_numpy(np.int64).view(np.uint64)
-                row, leaf, home = route(fp, point, mu, depth, near.overlap)
-                yield pdf.iloc[row].assign(leaf=leaf + (w << 32), home=home)
+                row, leaf = route(fp, point, mu, depth, near.overlap)
+                yield pdf.iloc[row].assign(leaf=leaf + (w << 32))
 
-    columns = "row long, " + ", ".join(f"{n} long" for n in names) + ", leaf long, home boolean"
+    columns = "row long, " + ", ".join(f"{n} long" for n in names) + ", leaf long"
     placed = uniq.select("row", *names).mapInPandas(assign, columns)
     return placed.groupBy("leaf").applyInPandas(lambda pdf: leaf_forest(pdf, near), "a long, b long")
 
 
-def groups(docs: DataFrame, near: Nearness, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, f0, ..., component_id)`` for every row of ``docs``."""
+def confirmed(links: DataFrame, uniq: DataFrame, rows: DataFrame, near: Nearness) -> DataFrame:
+    """The links whose texts' sets of shingles are similar by SIMILARITY or more.
+
+    A fingerprint stands for the text of its first row. Sets hold 32 bits of
+    each shingle's hash; they travel with links, one or two a text.
+    """
+
+    def sets(batches):
+        for b in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), near.shingle).astype("<u4")) for t in b.column("text")]
+            data = pa.array([s.tobytes() for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row"), data], ["row", "shingles"])
+
+    def similar(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("left"), b.column("right")):
+                x, y = (np.frombuffer(s.as_py(), "<u4") for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    links = shared_checkpoint(links.distinct())
+    ends = links.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    key = uniq.join(ends, "row").select("row", "low.*")
+    texts = rows.select("text", "h", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
+    texts = texts.join(key, ["none", "id", "h"]).select("row", "text").dropDuplicates(["row"])
+    own = shared_checkpoint(texts.mapInArrow(sets, "row long, shingles binary"))
+    left = own.select(F.col("row").alias("a"), F.col("shingles").alias("left"))
+    right = own.select(F.col("row").alias("b"), F.col("shingles").alias("right"))
+    pairs = links.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return pairs.mapInArrow(similar, "a long, b long")
+
+
+def groups(rows: DataFrame, near: Nearness, check: bool = False) -> DataFrame:
+    """``(doc_id, h, f0, ..., least)`` for every row of ``keyed``; ``least`` is
+    ``struct<none, id, h>`` of the first row of its group, those without an id last."""
     names = [f"f{w}" for w in range(near.words)]
-    fps = shared_checkpoint(fingerprints(docs, id_col, text_col, near.shingle, near.words))
-    uniq = fps.groupBy(*names).agg(F.min("doc_id").alias("low"))
+    fps = shared_checkpoint(fingerprints(rows, near.shingle, near.words))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    uniq = fps.groupBy(*names).agg(F.min(first).alias("low"))
     uniq = shared_checkpoint(uniq.withColumn("row", F.monotonically_increasing_id()))
-    comp = connected_components(near_links(uniq, near))
-    comp = comp.join(uniq.select(F.col("row").alias("node"), "low"), "node")
-    least = comp.groupBy("component").agg(F.min("low").alias("component_id"))
-    linked = comp.join(least, "component").select(F.col("node").alias("row"), "component_id")
-    classes = uniq.join(linked, "row", "left").select(*names, F.coalesce("component_id", "low").alias("component_id"))
+    links = near_links(uniq, near)
+    comp = connected_components(confirmed(links, uniq, rows, near) if check else links)
+    comp = shared_checkpoint(comp.join(uniq.select(F.col("row").alias("node"), "low"), "node"))
+    least = shared_checkpoint(comp.groupBy("component").agg(F.min("low").alias("least")))
+    linked = comp.join(least, "component").select(F.col("node").alias("row"), "least")
+    classes = uniq.join(linked, "row", "left").select(*names, F.coalesce("least", "low").alias("least"))
     return fps.join(classes, names)
 
 
@@ -238,8 +302,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows are kept; other columns are not looked at; an empty table gives an
     empty result.
     """
-    return groups(docs, EXACT, id_col, text_col).select(
-        "doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id"
+    return groups(keyed(docs, id_col, text_col), EXACT).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"),
+        F.when(~F.col("least.none"), F.col("least.id")).alias("component_id"),
     )
 
 
@@ -249,14 +315,20 @@ def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates at SIMILAR (five-word
-    shingles, similarity of 0.8 or more) the row with the smallest id stays,
-    unchanged. Of rows that share that id one stays; rows without an id stay
-    only if their whole group has none, and then all do.
+    shingles, similarity of 0.8 or more, confirmed on the sets) the row with the
+    smallest id stays, unchanged; rows without an id come last, and of repeated
+    rows one stays. Different texts under one id are different documents. Null,
+    empty and blank texts are one group; an empty table gives an empty result;
+    columns may have any name.
     """
-    keep = groups(docs, SIMILAR).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    whole = docs.select(F.struct("*").alias("doc"))
+    found = groups(keyed(whole, "doc.doc_id", "doc.text"), SIMILAR, check=True)
+    own = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("h")]
+    keep = found.where(F.struct(*own) == F.col("least")).select("least.*").distinct()
+    rows = whole.withColumns({"doc_id": F.col("doc.doc_id").cast("long"), "h": F.xxhash64("doc.text")})
+    keys = ["none", "id", "h"]
+    kept = rows.select("doc", *own).join(keep, keys, "left_semi").dropDuplicates(keys)
+    return kept.select("doc.*")
 
 
 QUERIES = {"op1_simhash_vptree": op1_simhash_vptree}

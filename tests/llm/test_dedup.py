@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from edulens.llm import common, embeddings, simhash, substrings
 
@@ -73,17 +74,80 @@ def test_trees_find_all_pairs_in_memory():
     near = base[:500] ^ (np.uint64(1) << rng.integers(0, 63, 500).astype(np.uint64))
     fp = np.unique(np.concatenate([base, near, np.arange(40, dtype=np.uint64)]))
     tree = simhash.build_tree(fp[:200], 6)
-    row, leaf, home = simhash.route(fp, *tree, 6, 2)
-    assert home.sum() == len(fp)
+    row, leaf = simhash.route(fp, *tree, 6, 2)
+    assert set(row) == set(range(len(fp)))
     found = set()
     for k in np.unique(leaf):
-        own, at_home = row[leaf == k], home[leaf == k]
-        for i, j in simhash.link_leaf(fp[own[at_home]], fp[own], 2):
-            found |= {tuple(sorted(p)) for p in zip(own[at_home][i], own[j]) if p[0] != p[1]}
+        own = row[leaf == k]
+        for i, j, bits in simhash.link_leaf(fp[own], 2):
+            assert (np.bitwise_count(fp[own[i]] ^ fp[own[j]]) == bits).all()
+            found |= {tuple(sorted(p)) for p in zip(own[i], own[j])}
     want = {(i, j) for i in range(len(fp)) for j in np.nonzero(np.bitwise_count(fp[i] ^ fp) <= 2)[0] if i < j}
     assert found == want
 
 
+@pytest.mark.parametrize("depth", [6, 10, 14])
+def test_copies_of_a_fingerprint_grow_slowly(depth):
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 2**64 - 1, 200_000, dtype=np.uint64)
+    row, _ = simhash.route(fp, *simhash.build_tree(fp[: 8 * 2**depth], depth), depth, simhash.RADIUS)
+    assert len(row) <= 1.27**depth * len(fp)
+
+
+def test_leaf_forests_span_and_do_not_share_edges():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
+    fp = np.repeat(base, 20, axis=0)
+    for w in range(4):
+        fp[:, w] ^= np.uint64(1) << rng.integers(0, 63, len(fp)).astype(np.uint64)
+    pdf = pd.DataFrame(fp.view(np.int64), columns=["f0", "f1", "f2", "f3"]).assign(row=np.arange(len(fp)) * 3, leaf=0)
+    got = simhash.leaf_forest(pdf, simhash.SIMILAR)
+    assert len(got) == len(got.drop_duplicates()) <= 2 * len(fp)
+    label = common.merge_labels(np.arange(len(fp)), got["a"].to_numpy() // 3, got["b"].to_numpy() // 3)
+    assert (label == np.repeat(np.arange(40) * 20, 20)).all()
+
+
+def test_stage_confirms_similarity_and_recalls_near_copies(spark):
+    """Edited copies on both sides of similarity 0.8, against the sets themselves."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        t = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts.append(t)
+        for edits in (3, 6, 8, 12, 20):
+            c = list(t)
+            for k in rng.sample(range(300), edits):
+                c[k] = "edit"
+            texts.append(c)
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark, df, "").collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(296)} for t in texts]
+    linked = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    want = {i for i, c in enumerate(reach(list(range(len(texts))), linked)) if i == c}
+    assert want <= kept  # nothing goes that is not similar
+    assert len(kept - want) <= 0.03 * (len(texts) - len(want))
+
+
+def test_stage_bears_any_columns_and_repeated_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "x"), (2, None, "z"), (3, "", "z"), (None, b, "n"), (None, "own text", "n"), (None, "own text", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = ["h", "f0", "id", "none", "least", "low", "row", "_id", "_key", "leaf", "doc"]
+    for name in own:
+        df = df.withColumn(name, F.lit(name))
+    got = simhash.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (2, None), (None, "own text")], key=str)
+    assert all(r[n] == n for r in got.collect() for n in own)
+    assert simhash.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, k) for k in range(1, 3000)] + [(k, k + 3000) for k in range(1, 3000, 7)]
+    got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.component for r in got} == {0} and len(got) == 3000 + len(range(1, 3000, 7))
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rng = random.Random(5)
     base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(30)]
