@@ -30,12 +30,12 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 SLICE_ROWS = 1000
 
 
-def text_slices(batches):
-    """``(doc_id, text)`` lists of at most SLICE_ROWS rows from Arrow batches, so
+def text_slices(batches, rows: int = SLICE_ROWS):
+    """``(doc_id, text)`` lists of at most ``rows`` rows from Arrow batches, so
     that few rows at a time are Python objects."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
