@@ -6,7 +6,7 @@ import re
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,18 @@ def text_slices(batches, rows: int = SLICE_ROWS):
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+def replace_text(rows: DataFrame, changed: Column, text: Column) -> DataFrame:
+    """``rows`` with ``text`` in the struct ``doc`` where ``changed``; ``n_chars``,
+    where there is one, follows."""
+    rows = rows.withColumn("new_text", F.when(changed, text))
+    new = F.when(changed, F.col("new_text")).otherwise(F.col("doc.text"))
+    doc = F.col("doc").withField("text", new)
+    if "n_chars" in rows.schema["doc"].dataType.names:
+        chars = F.when(changed, F.length("new_text").cast("long")).otherwise(F.col("doc.n_chars"))
+        doc = doc.withField("n_chars", chars)
+    return rows.withColumn("doc", doc)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,6 +12,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,13 +164,15 @@ def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows that the rules reject go; the rest are unchanged."""
+    """Pipeline stage: rows that the rules reject go, null, empty and blank texts
+    among them; the rest, repeated rows and columns of any name included, are
+    unchanged. An empty table gives an empty result."""
 
     def run(batches):
-        for pdf in batches:
-            yield pdf[[measure(t)["kept"] for t in pdf["text"]]]
+        for b in batches:
+            yield b.filter(pa.array([measure(t.as_py())["kept"] for t in b.column("text")], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 QUERIES = {"op6_repetition_rules": op6_repetition_rules}

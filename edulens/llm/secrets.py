@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoint, table
+from .common import replace_text, shared_checkpoint, table
 
 VALUE = r"[A-Za-z0-9+/_.=-]"
 ASSIGN = rf"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?({VALUE}+)"""
@@ -121,7 +121,8 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
     )
     run = Window.partitionBy("digest", "kind").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     placed = once.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(run)).where("passes")
-    placed = placed.withColumn("start", F.col("end") - F.col("size")).join(freq, "value")
+    # Written first, so that AQE can split the places of a value that is everywhere.
+    placed = placed.withColumn("start", F.col("end") - F.col("size")).join(shared_checkpoint(freq), "value")
     copied = (F.col("owners") > MAX_OWNERS) | (F.col("repositories") > MAX_REPOSITORIES)
     live = ~copied & F.col("live_look")
     base = placed.select("digest", "kind", "start", "end", copied.alias("copied"), live.alias("live"))
@@ -153,6 +154,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     other columns are not looked at.
     """
     spans = secret_spans(docs, owner, repository)
+    # Written before the join, so that AQE can split the copies of one text.
     by_text = spans.groupBy("digest").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)],
         F.sha2(_joined(True), 256).alias("base_sha256"),
@@ -164,7 +166,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
         F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
     )
     counts = ["n_assign", "n_access", "n_hex"]
-    return rows.join(by_text, "digest", "left").select(
+    return rows.join(shared_checkpoint(by_text), "digest", "left").select(
         "doc_id",
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
         F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"),
@@ -180,7 +182,10 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: spans go, overlapping ones together. ``[EXAMPLE]`` takes
     their place where only copied values are covered, else ``[SECRET]``. Other
-    rows and columns are unchanged, but ``n_chars`` follows the text."""
+    rows and columns are unchanged, but ``n_chars`` follows the text. Null and
+    empty texts stay as they are, repeated rows are cut alike, an empty table
+    gives an empty result, and columns may have any name.
+    """
     spans = secret_spans(docs)
     before = Window.partitionBy("digest").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     marked = spans.withColumn(
@@ -191,30 +196,27 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         marked.withColumn("island", F.sum("new").over(upto))
         .groupBy("digest", "island")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("copied").alias("copied"))
-        .groupBy(F.col("digest").alias("_digest"))
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "copied"))).alias("_cut"))
+        .groupBy("digest")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "copied"))).alias("cut"))
     )
     # Each piece is the text since the span before, then the mark; the rest follows the last span.
-    since = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cut", lambda s: s["end"]))
+    since = F.concat(F.array(F.lit(0).cast("long")), F.transform("cut", lambda s: s["end"]))
     pieces = F.transform(
-        F.arrays_zip(F.col("_cut").alias("s"), since.alias("at")),
+        F.arrays_zip(F.col("cut").alias("s"), since.alias("at")),
         lambda z: F.when(
             z["s"].isNotNull(),
             F.concat(
-                F.substring("text", z["at"].cast("int") + 1, (z["s"]["start"] - z["at"]).cast("int")),
+                F.substring("doc.text", z["at"].cast("int") + 1, (z["s"]["start"] - z["at"]).cast("int")),
                 F.when(z["s"]["copied"], "[EXAMPLE]").otherwise("[SECRET]"),
             ),
-        ).otherwise(F.substring("text", z["at"].cast("int") + 1, F.length("text"))),
-    )
-    maybe = has_candidate(F.col("text"))
-    cut = docs.where(maybe).withColumn("_key", F.sha2("text", 256)).join(
-        islands, F.col("_key") == F.col("_digest"), "left"
+        ).otherwise(F.substring("doc.text", z["at"].cast("int") + 1, F.length("doc.text"))),
     )
-    cut = cut.withColumn("text", F.when(F.col("_cut").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        chars = F.when(F.col("_cut").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        cut = cut.withColumn("n_chars", chars)
-    return cut.select(*docs.columns).unionByName(docs.where(~maybe))
+    whole = docs.select(F.struct("*").alias("doc"))  # own names beside any column's
+    maybe = has_candidate(F.col("doc.text"))
+    cut = whole.where(maybe).withColumn("digest", F.sha2("doc.text", 256))
+    cut = cut.join(shared_checkpoint(islands), "digest", "left")
+    cut = replace_text(cut, F.col("cut").isNotNull(), F.array_join(pieces, ""))
+    return cut.select("doc.*").unionByName(whole.where(~maybe).select("doc.*"))
 
 
 QUERIES = {"op9_secret_ownership": op9_secret_ownership}

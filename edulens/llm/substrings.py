@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, table
+from .common import replace_text, shared_checkpoint, shuffle_width, table
 
 MIN_LEN = 200
 BLOCK_BYTES = 2_000_000
@@ -213,7 +213,8 @@ def send(block: int, halves: list[np.ndarray], buckets: int, told: np.ndarray |
     order, new, number = distinct(halves)
     name = [h[order][new] for h in halves]
     bucket = ((name[0] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cut = np.searchsorted(bucket, np.arange(buckets + 1))
+    own, cut = np.unique(bucket, return_index=True)  # buckets that get any, in order
+    cut = [*cut.tolist(), len(bucket)]
     if len(name) == 2:
         raw = np.ascontiguousarray(np.stack(name, axis=1)).view(np.uint8)[:, :DECIDE]
         raw = np.ascontiguousarray(raw)
@@ -223,9 +224,7 @@ def send(block: int, halves: list[np.ndarray], buckets: int, told: np.ndarray |
             any_ = np.bincount(number, weights=told[order], minlength=len(raw)) > 0
             raw = np.concatenate([raw, any_[:, None].astype(np.uint8)], axis=1)
         raw = np.ascontiguousarray(raw)
-    return [
-        (int(b), block, 0, raw[cut[b] : cut[b + 1]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]
-    ]
+    return [(int(b), block, 0, raw[x:y].tobytes()) for b, x, y in zip(own, cut, cut[1:])]
 
 
 def answer(halves: list[np.ndarray], back: pd.DataFrame, told: np.ndarray | None = None) -> np.ndarray:
@@ -445,23 +444,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts lose every repeated string of ``MIN_LEN`` bytes.
 
     A character cut in two by a byte boundary goes whole. Null texts stay
-    null, other columns stay as they are but for ``n_chars``, which follows
-    the text.
+    null, empty ones empty; a row that comes twice loses its text if that has
+    ``MIN_LEN`` bytes. Other columns, of any name, stay as they are but for
+    ``n_chars``, which follows the text. An empty table gives an empty result.
     """
-    names = docs.columns
-    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
-    found = repeated_spans(_prepared(docs), MIN_LEN, keep_text=True).where("n_removed > 0")
-
-    cut = found.select(F.col("digest").alias("_digest"), F.col("kept").alias("_text"))
-    joined = docs.withColumn("_key", F.sha2(raw, 256)).join(cut, F.col("_key") == F.col("_digest"), "left")
-    text = F.when(F.col("_digest").isNotNull() & F.col("text").isNotNull(), F.col("_text")).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn(
-            "n_chars",
-            F.when(F.col("_digest").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")),
-        )
-    return out.select(*names)
+    found = repeated_spans(_prepared(docs), MIN_LEN, keep_text=True).where("n_removed > 0").select("digest", "kept")
+    whole = docs.select(F.struct("*").alias("doc"))  # own names beside any column's
+    raw = F.encode(F.coalesce(F.col("doc.text"), F.lit("")), "utf-8")
+    joined = whole.withColumn("digest", F.sha2(raw, 256)).join(found, "digest", "left")
+    changed = F.col("kept").isNotNull() & F.col("doc.text").isNotNull()
+    return replace_text(joined, changed, F.col("kept")).select("doc.*")
 
 
 QUERIES = {"op5_suffix_array": op5_suffix_array}
