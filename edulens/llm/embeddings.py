@@ -1,11 +1,13 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
-Vectors of one label are dealt to chunks around bounded sets of centres. Pairs
-of chunks survive unless the triangle inequality on their covering radii rules
-them out. For a surviving pair each side is a cover tree, with nested levels of
-halving radii; levels are walked together and node pairs farther apart than
-their covering radii plus the threshold are dropped, so what reaches the leaves
-is compared exactly.
+Vectors of one label form a cover tree whose upper levels are DataFrames: a
+cell with more points than a chunk is split around centres that lie farther
+apart than the level's radius, radii halve from level to level, and a cell's
+centre stays one below. Pairs of cells descend level by level, and a pair goes
+on only if its centres are no farther apart than both covering radii and the
+threshold allow. For pairs of chunks that survive, each side is a cover tree in
+memory that is walked in the same way, so what reaches its leaves is compared
+exactly.
 
 Scale: equal vectors are one point with a count; links are counted and turned
 into a spanning forest inside the task, never emitted as pairs; a chunk holds a
@@ -26,9 +28,12 @@ from pyspark.sql import functions as F
 from .common import connected_components, merge_labels, shared_checkpoint, table
 
 THRESHOLD = 0.93
-CHUNK = 1024
+CHUNK = 4096
 MAX_CENTRES = 64
-SLICE = 8192
+LEVELS = 4  # radii 1, 1/2, 1/4, 1/8; the threshold is a distance of 0.37
+SAMPLE = 1024  # points of a cell among which its centres are sought
+SLICE = 8192  # points that meet the centres of their cell in one group
+BLOCK = 1024  # points of one tree in memory
 SLACK = 1e-9
 
 
@@ -72,10 +77,11 @@ def cover_tree(x: np.ndarray, floor: float = 0.2) -> list[dict]:
     return levels
 
 
-def dual_traverse(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Index pairs (i, j) with cosine >= threshold between the rows of a and b."""
+def dual_traverse(a: np.ndarray, b: np.ndarray, threshold: float, ta=None, tb=None) -> np.ndarray:
+    """Index pairs (i, j) with cosine >= threshold between the rows of a and b,
+    whose cover trees are ``ta`` and ``tb``."""
     t = chord(np.array(threshold)) + SLACK
-    ta, tb = cover_tree(a), cover_tree(b)
+    ta, tb = ta or cover_tree(a), tb or cover_tree(b)
     open_ = np.ones((1, 1), bool)
     ka, kb = np.zeros(1, np.int64), np.zeros(1, np.int64)  # nodes that still have a partner
     for la, lb in zip(ta, tb):
@@ -111,115 +117,163 @@ def unit_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """
     x = np.stack(pdf["unit"].to_numpy()).astype(np.float64)
     mult, cid, side = pdf["n"].to_numpy(np.int64), pdf["cid"].to_numpy(np.int64), pdf["side"].to_numpy()
-    left = np.nonzero(side == 0)[0]
-    right = np.nonzero(side == 1)[0]
+    left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
     own = not len(right)
     links, label = np.zeros(len(x), np.int64), np.arange(len(x))
-    if len(left) and (own or len(right)):
-        pairs = dual_traverse(x[left], x[left if own else right], threshold)
-        i, j = left[pairs[:, 0]], (left if own else right)[pairs[:, 1]]
-        other = i != j
-        i, j = i[other], j[other]
-        np.add.at(links, i, mult[j])
-        if not own:
+
+    def trees(rows):
+        blocks = [rows[k : k + BLOCK] for k in range(0, len(rows), BLOCK)]
+        return [(r, x[r], cover_tree(x[r])) for r in blocks]
+
+    lefts = trees(left)
+    for k, (p, a, ta) in enumerate(lefts):
+        for q, b, tb in lefts[k:] if own else trees(right):
+            pairs = dual_traverse(a, b, threshold, ta, tb)
+            i, j = p[pairs[:, 0]], q[pairs[:, 1]]
+            keep = i != j if p is not q else i < j
+            i, j = i[keep], j[keep]
+            np.add.at(links, i, mult[j])
             np.add.at(links, j, mult[i])
-        label = merge_labels(label, i, j)
+            label = merge_labels(label, i, j)
     found = np.nonzero(links)[0]
     return pd.DataFrame({"cid": cid[found], "links": links[found], "root": cid[label[found]]})
 
 
-def chunks(points: DataFrame) -> DataFrame:
-    """Give every point ``(cid, label, unit)`` a chunk of about ``CHUNK`` rows.
+def thinned(x: np.ndarray, radius: float, least: int) -> np.ndarray:
+    """Rows of x that lie more than ``radius`` from every row taken before. Where
+    more than MAX_CENTRES do, the radius finds no structure and the first
+    ``least`` are taken."""
+    kept = [0]
+    far = chord(x @ x[0])
+    while (far > radius).any():
+        kept.append(int(np.argmax(far > radius)))
+        if len(kept) > MAX_CENTRES:
+            return np.array(kept[:least])
+        far = np.minimum(far, chord(x @ x[kept[-1]]))
+    return np.array(kept)
 
-    Centres are a hash-ordered sample, ``MAX_CENTRES`` a label at most; a cell
-    with more points than a chunk, by its own count, is dealt on by a hash.
-    """
-    sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    wanted = F.least(F.lit(MAX_CENTRES), F.ceil(F.col("size") / CHUNK))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("cid", F.lit(7)), "cid")
-    centres = (
-        points.withColumn("c", F.row_number().over(order))
-        .where(F.col("c") <= MAX_CENTRES)
-        .join(sizes, "label")
-        .where(F.col("c") <= wanted)
-        .groupBy("label")
-        .agg(
-            F.first("size").alias("size"),
-            F.array_sort(F.collect_list(F.struct("c", "unit"))).alias("centres"),
-        )
-    )
 
-    # Points and their label's centres meet in slices of bounded size.
+PLACED = "label string, cell string, cid long, n long, unit array<double>"
+
+
+def split_cells(placed: DataFrame, radius: float) -> DataFrame:
+    """``placed`` with cells of more than CHUNK points split: ``cell`` becomes
+    that of the nearest centre, at ``far``; ``parent`` is the cell before."""
+    sizes = placed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK)
+    wanted = F.least(F.lit(MAX_CENTRES), 2 * F.ceil(F.col("size") / CHUNK))
     slices = F.ceil(F.col("size") / SLICE).cast("int")
-    dealt = points.join(sizes, "label").withColumn("slice", F.pmod(F.xxhash64("cid", F.lit(5)), slices).cast("int"))
-    shared = centres.select(
-        F.col("label").alias("of"), "centres", F.explode(F.sequence(F.lit(0), slices - 1)).alias("part")
+    sizes = shared_checkpoint(sizes.select("label", "cell", wanted.alias("wanted"), slices.alias("slices")))
+    large = placed.join(sizes, ["label", "cell"])
+    # A hash orders the points, so the first of a cell, its centre, is first in its child too.
+    order = Window.partitionBy("label", "cell").orderBy(F.xxhash64("cid", F.lit(7)), "cid")
+    sample = (
+        large.withColumn("c", F.row_number().over(order))
+        .where(F.col("c") <= SAMPLE)
+        .select("label", "cell", "wanted", "slices", "c", "unit")
     )
 
+    def centres(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("c")["unit"].to_numpy()).astype(np.float64)
+        first = pdf.iloc[0]
+        c = x[thinned(x, radius, int(first["wanted"]))]
+        return pd.DataFrame({"of": [first["label"]], "in": [first["cell"]], "slices": [first["slices"]], "centres": [c.ravel()]})
+
+    net = sample.groupBy("label", "cell").applyInPandas(centres, "of string, in string, slices int, centres array<double>")
+    shared = net.select("of", "in", "centres", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"))
+    dealt = large.withColumn("slice", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("slices")).cast("int"))
+
     def nearest(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns=["wanted", "slices", "slice"])
         if not len(pdf):
-            return pdf.assign(cell=0)
-        c = np.stack([r["unit"] for r in own["centres"].iloc[0]]).astype(np.float64)
+            return pdf.assign(parent="", far=0.0, centre=None)
         x = np.stack(pdf["unit"].to_numpy()).astype(np.float64)
-        return pdf.assign(cell=np.argmax(x @ c.T, axis=1).astype(np.int32))
-
-    schema = "label string, cid long, n long, unit array<double>, size long, slice int, cell int"
-    near = (
-        dealt.select("label", "cid", "n", "unit", "size", "slice")
-        .groupBy("label", "slice")
-        .cogroup(shared.groupBy("of", "part"))
-        .applyInPandas(nearest, schema)
+        centre = np.asarray(own["centres"].iloc[0], np.float64).reshape(-1, x.shape[1])
+        cos = x @ centre.T
+        near = cos.argmax(axis=1)
+        child = pdf["cell"] + "." + near.astype(str)
+        told = pd.Series(near).duplicated().to_numpy()  # a centre goes with one of its points only
+        mid = [None if again else centre[k] for k, again in zip(near, told)]
+        return pdf.assign(parent=pdf["cell"], cell=child, far=chord(cos.max(axis=1)), centre=mid)
+
+    split = (
+        dealt.groupBy("label", "cell", "slice")
+        .cogroup(shared.groupBy("of", "in", "part"))
+        .applyInPandas(nearest, f"{PLACED}, parent string, far double, centre array<double>")
     )
-    near = shared_checkpoint(near.drop("size", "slice"))
-    parts = near.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
-    dealt_on = near.join(parts, ["label", "cell"]).withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts")))
-    return dealt_on.select("label", "cid", "n", "unit", "cell", "salt")
+    return shared_checkpoint(split)
 
 
 def euclid(a: str, b: str):
-    """Distance of two vectors; a mean has nulls beyond the width of its label."""
-    square = F.zip_with(a, b, lambda p, q: F.coalesce((p - q) * (p - q), F.lit(0.0)))
+    square = F.zip_with(a, b, lambda p, q: (p - q) * (p - q))
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, v: s + v))
 
 
+def chunk_pairs(points: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The chunks of ``points``, as ``(label, cell, cid, n, unit)``, and the pairs
+    ``(label, a, b)`` of cells, a <= b, that may hold links."""
+    t = math.sqrt(2 - 2 * threshold) + SLACK
+    open_ = points.select("label", F.lit("0").alias("cell"), "cid", "n", "unit")
+    placed: list[DataFrame] = []
+    pairs = open_.select("label", F.col("cell").alias("a"), F.col("cell").alias("b")).distinct()
+    for level in range(LEVELS):
+        split = split_cells(open_, 0.5**level)
+        small = open_.join(split.select("label", F.col("parent").alias("cell")).distinct(), ["label", "cell"], "left_anti")
+        placed.append(small.select("label", "cell", "cid", "n", "unit"))
+        made = split.groupBy("label", "parent", "cell").agg(F.max("far").alias("reach"), F.first("centre", ignorenulls=True).alias("mid"))
+        open_ = split.select("label", "cell", "cid", "n", "unit")
+        pairs = shared_checkpoint(descend(pairs, shared_checkpoint(made), t))
+        if split.isEmpty():
+            break
+    # Where no radius parts a cell, a hash does; all parts keep its place in the pairs.
+    parts = open_.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
+    dealt = open_.join(shared_checkpoint(parts), ["label", "cell"])
+    cell = F.concat("cell", F.lit("#"), F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts")))
+    dealt = dealt.select("label", F.col("cell").alias("parent"), cell.alias("cell"), "cid", "n", "unit")
+    made = dealt.select("label", "parent", "cell").distinct()
+    none = F.lit(None)
+    made = made.select("*", none.cast("double").alias("reach"), none.cast("array<double>").alias("mid"))
+    pairs = shared_checkpoint(descend(pairs, made, t).select("label", "a", "b"))
+    placed.append(dealt.select("label", "cell", "cid", "n", "unit"))
+    chunks = placed[0]
+    for more in placed[1:]:
+        chunks = chunks.unionByName(more)
+    return chunks, pairs
+
+
 def embedding_links(points: DataFrame, threshold: float) -> DataFrame:
     """(cid, links, root) of every chunk pair, for points of equal label."""
-    placed = chunks(points)
-    mean = F.array(*[F.avg(F.get("unit", F.lit(k))) for k in range(_width(points))])
-    cells = placed.groupBy("label", "cell", "salt").agg(mean.alias("mid"))
-    dist = euclid("unit", "mid")
-    keys = ["label", "cell", "salt"]
-    reach = (
-        placed.join(cells, keys).groupBy(*keys).agg(F.max(dist).alias("reach"), F.first("mid").alias("mid"))
+    chunks, pairs = chunk_pairs(points, threshold)
+    sides = F.array(
+        F.struct(F.col("a").alias("cell"), F.lit(0).alias("side")),
+        F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("cell"), F.lit(1).alias("side"))),
     )
-    named = reach.select("label", F.struct("cell", "salt").alias("k"), "mid", "reach")
-    a, b = named.alias("a"), named.alias("b")
-    gap = euclid("a.mid", "b.mid")
-    t = math.sqrt(2 - 2 * threshold) + SLACK
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.k") <= F.col("b.k"))).where(
-        gap <= F.col("a.reach") + F.col("b.reach") + t
-    )
-    units = pairs.select(
-        F.col("a.label").alias("label"),
-        F.xxhash64("a.label", "a.k", "b.k").alias("work"),
-        F.explode(
-            F.when(F.col("a.k") == F.col("b.k"), F.array(F.struct("a.k", F.lit(0).alias("side")))).otherwise(
-                F.array(
-                    F.struct(F.col("a.k").alias("k"), F.lit(0).alias("side")),
-                    F.struct(F.col("b.k").alias("k"), F.lit(1).alias("side")),
-                )
-            )
-        ).alias("e"),
-    ).select("label", "work", "e.k.cell", "e.k.salt", "e.side")
-    sent = placed.join(units, keys).select("work", "side", "cid", "n", "unit")
+    units = pairs.select("label", F.xxhash64("label", "a", "b").alias("work"), F.explode(sides).alias("e"))
+    units = units.where("e is not null").select("label", "work", "e.*")
+    sent = chunks.join(units, ["label", "cell"]).select("work", "side", "cid", "n", "unit")
     return sent.groupBy("work").applyInPandas(
         lambda pdf: unit_links(pdf, threshold), "cid long, links long, root long"
     )
 
 
-def _width(points: DataFrame) -> int:
-    row = points.select(F.max(F.size("unit"))).first()
-    return max(1, row[0] or 1)
+def descend(pairs: DataFrame, made: DataFrame, t: float) -> DataFrame:
+    """Pairs of cells one level down: those of ``made(label, parent, cell, reach,
+    mid)`` in place of their parents, where the triangle inequality allows a
+    pair within t. Cells without children stay; a cell that is not split by
+    distance has no centre and is never ruled out."""
+    down = pairs
+    for side in ("a", "b"):
+        child = made.select(
+            "label", F.col("parent").alias(side), F.col("cell").alias(f"{side}_new"), F.col("reach").alias(f"{side}_reach"), F.col("mid").alias(f"{side}_mid")
+        )
+        keep = [c for c in down.columns if c not in ("label", side, f"{side}_reach", f"{side}_mid")]
+        old = [F.col(c).alias(f"old_{c}") for c in (f"{side}_reach", f"{side}_mid") if c in down.columns]
+        down = down.select("label", side, *keep, *old).join(child, ["label", side], "left")
+        new = [F.coalesce(f"{side}_new", side).alias(side)]
+        for c in (f"{side}_reach", f"{side}_mid"):
+            new.append((F.coalesce(c, f"old_{c}") if f"old_{c}" in down.columns else F.col(c)).alias(c))
+        down = down.select("label", *keep, *new)
+    apart = euclid("a_mid", "b_mid") > F.col("a_reach") + F.col("b_reach") + t
+    return down.where((F.col("a") <= F.col("b")) & ~F.coalesce(apart, F.lit(False)))
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -250,11 +304,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
         .select(F.monotonically_increasing_id().alias("cid"), "label", "key", "low", "n", "unit")
     )
     found = shared_checkpoint(embedding_links(classes.select("label", "cid", "n", "unit"), threshold))
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    links = shared_checkpoint(found.groupBy("cid").agg(F.sum("links").alias("links")))
     comp = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     comp = comp.join(classes.select(F.col("cid").alias("node"), "low"), "node")
+    comp = shared_checkpoint(comp)
     least = comp.groupBy("component").agg(F.min("low").alias("least"))
-    comp = comp.join(least, "component").select(F.col("node").alias("cid"), "least")
+    comp = comp.join(shared_checkpoint(least), "component").select(F.col("node").alias("cid"), "least")
     facts = (
         classes.join(links, "cid", "left")
         .join(comp, "cid", "left")
@@ -265,11 +320,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
             F.coalesce("least", "low").alias("component_id"),
         )
     )
-    out = rows.join(facts, ["label", "key"], "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
+    good = rows.where("ok").join(facts, ["label", "key"]).select("vec_id", "n_links", "component_id")
+    rest = rows.where(~F.col("ok")).select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
+    out = good.unionByName(rest)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
