@@ -6,8 +6,11 @@ import re
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,19 @@ def text_slices(batches, rows: int = SLICE_ROWS):
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+def map_texts(rows: DataFrame, run, columns: str) -> DataFrame:
+    """``doc_id`` of ``rows`` and beside it the ``columns`` that ``run`` makes of
+    each pandas batch. Ids stay in Arrow, so a null leaves the others exact."""
+    schema = to_arrow_schema(StructType.fromDDL(columns))
+
+    def each(batches):
+        for b in batches:
+            out = pa.RecordBatch.from_pandas(run(b.to_pandas()), schema, preserve_index=False)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out.columns], ["doc_id", *schema.names])
+
+    return rows.mapInArrow(each, f"doc_id long, {columns}")
+
+
 def replace_text(rows: DataFrame, changed: Column, text: Column) -> DataFrame:
     """``rows`` with ``text`` in the struct ``doc`` where ``changed``; ``n_chars``,
     where there is one, follows."""

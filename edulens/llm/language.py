@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 SAMPLE = 4000
 BUCKETS = 4096
@@ -133,7 +133,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
             x = [ngrams(t).astype(np.float32).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "x": x})
 
-    rows = chosen.mapInPandas(extract, "doc_id long, lang string, x binary").dropDuplicates(["doc_id"])
+    rows = chosen.mapInPandas(extract, "doc_id long, lang string, x binary")
+    # Of different texts under one id always the same one is learned.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "x")).alias("one")).select("doc_id", "one.*")
 
     def run(batches):
         pdf = pd.concat([*batches, pd.DataFrame({"doc_id": [], "lang": [], "x": []})])
@@ -166,36 +168,26 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, ambiguous)`` of every row.
 
     ``und`` with score 0 for texts that are null or have no letter, and for
-    all texts if no language was learned.
+    all texts if no language was learned. Repeated rows are read each, other
+    columns are not looked at, and an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def run(pdf):
         m = shared.value
-        for pdf in batches:
-            lang = np.full(len(pdf), UNKNOWN, dtype=object)
-            score, unsure = np.zeros(len(pdf)), np.ones(len(pdf), bool)
-            known = [k for k, t in enumerate(pdf["text"]) if m["names"] and has_letter(t)]
-            for at in range(0, len(known), 512):
-                part = known[at : at + 512]
-                x = np.stack([ngrams(pdf["text"].iloc[k]) for k in part])
-                best, p, close = decode(m, x)
-                lang[part] = np.array(m["names"], dtype=object)[best]
-                score[part], unsure[part] = p, close
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"].astype("Int64"),
-                    "held_out": pdf["held_out"],
-                    "lang_pred": lang,
-                    "score": score,
-                    "ambiguous": unsure,
-                }
-            )
+        lang = np.full(len(pdf), UNKNOWN, dtype=object)
+        score, unsure = np.zeros(len(pdf)), np.ones(len(pdf), bool)
+        known = [k for k, t in enumerate(pdf["text"]) if m["names"] and has_letter(t)]
+        for at in range(0, len(known), 512):
+            part = known[at : at + 512]
+            x = np.stack([ngrams(pdf["text"].iloc[k]) for k in part])
+            best, p, close = decode(m, x)
+            lang[part] = np.array(m["names"], dtype=object)[best]
+            score[part], unsure[part] = p, close
+        return pd.DataFrame({"held_out": pdf["held_out"], "lang_pred": lang, "score": score, "ambiguous": unsure})
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), "text")
-    return named.mapInPandas(
-        run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
-    )
+    return map_texts(named, run, "held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def op10_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

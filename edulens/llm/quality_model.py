@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 SAMPLE = 16_000
 WORD_BITS = 14
@@ -28,6 +28,7 @@ BINS = 16
 RANK = 4
 EPOCHS, MIN_STEPS, BATCH, RATE, DECAY = 8, 800, 64, 0.05, 1e-5
 CUT = 0.3
+SLICE = 500  # texts scored together
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _MARKS = re.compile(r"[!?.,;:]")
@@ -159,7 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
                 }
             )
 
-    rows = chosen.mapInPandas(extract, "doc_id long, y int, idx binary, val binary").dropDuplicates(["doc_id"])
+    rows = chosen.mapInPandas(extract, "doc_id long, y int, idx binary, val binary")
+    # Of different texts under one id always the same one is learned.
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("idx", "val")).alias("x")).select("doc_id", "y", "x.*")
 
     def run(batches):
         pdf = pd.concat([*batches, pd.DataFrame({"doc_id": [], "y": [], "idx": [], "val": []})])
@@ -177,28 +180,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
 def classify(docs: DataFrame, model: np.ndarray, cut: float = CUT) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row. Null and empty
     texts are scored like any other; a table without ``n_chars`` is scored by
-    the texts' own lengths."""
+    the texts' own lengths. Repeated rows are scored each, other columns are not
+    looked at, and an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
 
-    def run(batches):
-        weights = shared.value.astype(np.float64)
-        for pdf in batches:
-            score = np.empty(len(pdf))
-            for k, (t, c) in enumerate(zip(pdf["text"], pdf["n_chars"])):
-                idx, val = features(t, c)
-                z = margin(weights, idx, val.astype(np.float64), np.zeros(len(idx), np.int64), 1)[0][0]
-                score[k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"].astype("Int64"),
-                    "held_out": pdf["held_out"],
-                    "score": score,
-                    "predicted": (score >= cut).astype(np.int32),
-                }
-            )
+    def run(pdf):
+        weights, score = shared.value.astype(np.float64), [np.zeros(0)]
+        for at in range(0, len(pdf), SLICE):
+            part = pdf.iloc[at : at + SLICE]
+            got = [features(t, c) for t, c in zip(part["text"], part["n_chars"])]
+            row = np.repeat(np.arange(len(got)), [len(i) for i, _ in got])
+            idx, val = (np.concatenate(x) for x in zip(*got))
+            z = margin(weights, idx, val.astype(np.float64), row, len(got))[0]
+            score.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        score = np.concatenate(score)
+        return pd.DataFrame({"held_out": pdf["held_out"], "score": score, "predicted": (score >= cut).astype(np.int32)})
 
     named = with_length(docs).withColumn("held_out", _held_out(5, 0))
-    return named.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_texts(named, run, "held_out boolean, score double, predicted int")
 
 
 def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

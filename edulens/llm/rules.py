@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 MIN_WORDS = 50
 # Largest share of word characters that the most frequent n-gram may cover.
@@ -146,17 +146,11 @@ COLUMNS = (
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)`` with the rules' counts and
     verdict. Null and blank texts have no words and fail the base rules;
-    repeated rows are judged alike; other columns are not looked at."""
+    repeated rows are judged alike; other columns are not looked at; an empty
+    table gives an empty result."""
 
-    def run(batches):
-        for pdf in batches:
-            out = pd.DataFrame([measure(t) for t in pdf["text"]])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, f"doc_id long, {COLUMNS}"
-    )
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_texts(named, lambda pdf: pd.DataFrame([measure(t) for t in pdf["text"]]), COLUMNS)
 
 
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
