@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder in ``spark.checkpoint.dir``; where that is
-    unset (tests on one machine) a temporary folder is taken."""
+    """Checkpoint into the shared folder in ``spark.checkpoint.dir``. Where that
+    is unset, only a local master may take a temporary folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

@@ -15,18 +15,16 @@ def rule_scope(rules: DataFrame, targets: DataFrame, programs: DataFrame) -> Dat
     ``direction``, mode ``all``, ``only`` or ``except``. A null value is an
     unresolved target and asks for review.
     """
-    pairs = rules.select("rule_id", "university_id", "mode").join(programs.select("program_id", "direction_id", "university_id"), "university_id")
     t = targets.select("rule_id", "kind", "value")
-    hit = pairs.join(t, "rule_id", "left").groupBy("rule_id", "program_id", "mode").agg(
-        F.coalesce(
-            F.bool_or(
-                ((F.col("kind") == "program") & (F.col("value") == F.col("program_id").cast("string")))
-                | ((F.col("kind") == "direction") & (F.col("value") == F.col("direction_id").cast("string")))
-            ),
-            F.lit(False),
-        ).alias("hit"),
-        F.coalesce(F.bool_or(F.col("kind").isNotNull() & F.col("value").isNull()), F.lit(False)).alias("open"),
-    )
+    unresolved = t.where("kind is not null and value is null").select("rule_id").distinct().withColumn("open", F.lit(True))
+    named = []  # programs that a target names, found by the target's own value
+    for kind, column in (("program", "program_id"), ("direction", "direction_id")):
+        own = programs.select("program_id", F.col(column).cast("string").alias("value"))
+        named.append(t.where(F.col("kind") == kind).join(own, "value").select("rule_id", "program_id"))
+    hits = named[0].unionByName(named[1]).distinct().withColumn("hit", F.lit(True))
+    own = rules.select("rule_id", "university_id", "mode").join(unresolved, "rule_id", "left")
+    pairs = own.join(programs.select("program_id", "university_id"), "university_id").join(hits, ["rule_id", "program_id"], "left")
+    hit = pairs.withColumns({"hit": F.coalesce("hit", F.lit(False)), "open": F.coalesce("open", F.lit(False))})
     verdict = (
         F.when(F.col("mode") == "all", "applies")
         .when(F.col("open") & ~F.col("hit"), "review_required")
@@ -70,9 +68,8 @@ def benefit_eligibility(facts: DataFrame, rules: DataFrame, scoped: DataFrame, c
     """Best outcome per (applicant, program), with the route of the best rule
     (admission without exams first). Facts and rules meet on the olympiad."""
     level = F.col("level") <= F.col("max_level")
-    j = facts.join(rules.drop("university_id", "mode"), "olympiad_id").join(scoped, "rule_id").join(
-        confirmed, ["applicant_id", "fact_id", "rule_id"], "left"
-    )
+    j = facts.join(rules.drop("university_id", "mode"), "olympiad_id")
+    j = j.join(confirmed, ["applicant_id", "fact_id", "rule_id"], "left").join(scoped, "rule_id")
     fresh = F.col("result_year") >= F.col("min_year")
     status = (
         F.when(F.col("status") != "active", "review_required")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,14 +89,17 @@ def match_scope(rules: DataFrame, context: DataFrame) -> DataFrame:
     )
 
 
-def eval_selectors(nodes: DataFrame, context: DataFrame, depth: int = 4) -> DataFrame:
+def eval_selectors(nodes: DataFrame, context: DataFrame) -> DataFrame:
     """Kleene value of each rule's selector tree per request.
 
     ``nodes(rule_id, node_id, parent_id, kind, field, values)``: leaves equals,
     in, exists; inner all, any. Values are 0, 0.5 (unknown) and 1, so all is a
-    minimum and any a maximum; ``depth`` levels are folded bottom up.
+    minimum and any a maximum. Nodes are folded bottom up, those whose children
+    are all folded at once; rounds grow with the height of the highest tree.
+    Raises if a rule's nodes run in a circle.
     """
-    leaves = nodes.where("kind in ('equals', 'in', 'exists')")
+    is_leaf = F.col("kind").isin("equals", "in", "exists")
+    leaves = nodes.where(is_leaf)
     requests = context.select("request_id").distinct()
     asked = leaves.join(requests)  # every request asks every leaf
     j = asked.join(context, ["request_id", "field"], "left")
@@ -106,16 +111,37 @@ def eval_selectors(nodes: DataFrame, context: DataFrame, depth: int = 4) -> Data
         .otherwise(0.0)
     )
     cur = j.select("request_id", "rule_id", "node_id", "parent_id", value.alias("v"))
-    inner = nodes.where("kind in ('all', 'any')").select("rule_id", F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"), "kind")
+    # The round in which each inner node can be folded: one after its highest child.
+    level = settle(nodes.select("rule_id", "node_id", "parent_id", "kind", F.when(is_leaf, 0).alias("level")))
+    inner = level.where("level is null").select("rule_id", "node_id").count()
+    height = 0
+    while inner:
+        height += 1
+        child = level.select("rule_id", F.col("parent_id").alias("node_id"), F.col("level").alias("below"))
+        ready = child.groupBy("rule_id", "node_id").agg(F.max("below").alias("top"), F.count_if(F.col("below").isNull()).alias("open"))
+        ready = ready.where("open = 0 and node_id is not null").drop("open")
+        level = settle(
+            level.join(ready, ["rule_id", "node_id"], "left")
+            .withColumn("level", F.coalesce("level", F.when(F.col("top") == height - 1, height)))
+            .drop("top")
+        )
+        was, inner = inner, level.where("level is null and kind in ('all', 'any')").count()
+        if inner == was:
+            raise ValueError("selector nodes form a circle or an inner node has no children")
+    up = level.where("level > 0").select("rule_id", F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"), "kind", "level")
     done = cur.where("parent_id is null").select("request_id", "rule_id", "v")
-    for _ in range(depth):
-        folded = cur.where("parent_id is not null").join(inner, (cur["rule_id"] == inner["rule_id"]) & (cur["parent_id"] == inner["_id"])).select(
-            "request_id", cur["rule_id"], "_id", "_up", "kind", "v"
+    for h in range(1, height + 1):
+        at = up.where(F.col("level") == h)
+        on = (cur["rule_id"] == at["rule_id"]) & (cur["parent_id"] == at["_id"])
+        folded = (
+            cur.join(at, on)
+            .groupBy("request_id", cur["rule_id"], "_id", "_up")
+            .agg(F.when(F.first("kind") == "all", F.min("v")).otherwise(F.max("v")).alias("v"))
+            .select("request_id", "rule_id", F.col("_id").alias("node_id"), F.col("_up").alias("parent_id"), "v")
         )
-        cur = folded.groupBy("request_id", "rule_id", "_id", "_up").agg(
-            F.when(F.first("kind") == "all", F.min("v")).otherwise(F.max("v")).alias("v")
-        ).select("request_id", "rule_id", F.col("_id").alias("node_id"), F.col("_up").alias("parent_id"), "v")
-        done = done.unionByName(cur.where("parent_id is null").select("request_id", "rule_id", "v"))
+        used = at.select("rule_id", F.col("_id").alias("parent_id"))
+        cur = settle(cur.join(used, ["rule_id", "parent_id"], "left_anti").select(folded.columns).unionByName(folded))
+    done = cur.where("parent_id is null") if height else done
     return done.groupBy("request_id", "rule_id").agg(F.min("v").alias("v"))
 
 
@@ -207,20 +233,34 @@ def diff_effective(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, keys, "full").select(*keys, "was", "is", change.alias("change"))
 
 
-def traverse(edges: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
+def traverse(edges: DataFrame, roots: DataFrame, depth: int = 8, max_nodes: int | None = None) -> DataFrame:
     """Nodes reachable from each root within ``depth`` steps, at their least
-    depth; ``truncated`` marks nodes at the limit that lead on. Frontiers are
-    joined with the edges; visited nodes leave by an anti-join."""
-    seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    front = seen
+    depth; ``truncated`` marks nodes at the limit that lead on.
+
+    Frontiers are joined with the edges and visited nodes leave by an anti-join;
+    each frontier is written, so the plan does not grow with the depth. With
+    ``max_nodes`` a root keeps that many nodes, nearest and smallest first, and
+    is marked truncated as a whole if it has more.
+    """
+    front = settle(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
+    levels = [front]
     step = edges.select(F.col("source").alias("node"), F.col("target"))
     for d in range(1, depth + 1):
+        seen = reduce(DataFrame.unionByName, levels).select("root", "node")
         nxt = front.join(step, "node").select("root", F.col("target").alias("node")).distinct()
-        front = nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
+        front = settle(nxt.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
+        levels.append(front)
     leads = step.select("node").distinct().withColumn("_more", F.lit(True))
-    out = seen.join(leads, "node", "left")
-    return out.withColumn("truncated", (F.col("depth") == depth) & F.coalesce("_more", F.lit(False))).drop("_more")
+    out = reduce(DataFrame.unionByName, levels).join(leads, "node", "left")
+    out = out.withColumn("truncated", (F.col("depth") == depth) & F.coalesce("_more", F.lit(False))).drop("_more")
+    if max_nodes is None:
+        return out
+    order = Window.partitionBy("root").orderBy("depth", "node")
+    more = F.count(F.lit(1)).over(Window.partitionBy("root")) > max_nodes
+    out = out.withColumn("_n", F.row_number().over(order)).withColumn("truncated", F.col("truncated") | more)
+    return out.where(F.col("_n") <= max_nodes).drop("_n")
 
 
 def follow_chains(step: DataFrame, node: str, target: str, max_rounds: int = 60) -> DataFrame:

@@ -94,7 +94,7 @@ def rows_by_name(spark, d):
 def selection(spark, d):
     """Three neighbouring programs per selection."""
     k = F.col("program_id")
-    return P.programs(spark, d).where(k < 30).select((k / 3).cast("bigint").alias("selection_id"), "program_id", (k % 3).alias("place"))
+    return P.programs(spark, d).select((k / 3).cast("bigint").alias("selection_id"), "program_id", (k % 3).alias("place"))
 
 
 def pairs(spark, d):
@@ -104,7 +104,7 @@ def pairs(spark, d):
 P.CTES["by_name"] = """SELECT program_id, name, semester, sum(hours) AS hours, sum(credits) AS credits
   FROM items JOIN disciplines USING (discipline_id) GROUP BY ALL"""
 P.CTES["pairs"] = """SELECT a.program_id AS a, b.program_id AS b FROM programs a JOIN programs b
-  ON a.program_id // 3 = b.program_id // 3 AND a.program_id < b.program_id WHERE a.program_id < 30 AND b.program_id < 30"""
+  ON a.program_id // 3 = b.program_id // 3 AND a.program_id < b.program_id"""
 P.CTES["aligned"] = """SELECT a, b, name, semester, max(CASE WHEN side = 0 THEN hours END) AS hours_a,
   max(CASE WHEN side = 1 THEN hours END) AS hours_b, max(CASE WHEN side = 0 THEN credits END) AS credits_a,
   max(CASE WHEN side = 1 THEN credits END) AS credits_b, count(*) FILTER (side = 0) AS na, count(*) FILTER (side = 1) AS nb
@@ -149,26 +149,28 @@ def subjects(spark, d):
 
 
 def profiles(spark, d):
-    """Tall profiles of every 15th customer, from the market segment."""
-    c = P.table(spark, d, "customer").where("c_custkey % 15 = 0")
+    """The query set: tall profiles of the customers whose id is divisible by 100,
+    each ranked against all programs."""
+    c = P.table(spark, d, "customer").where("c_custkey % 100 = 0")
+    k = (F.col("c_custkey") / 100).cast("bigint")
     seg = F.col("c_mktsegment")
     first = F.when(seg == "BUILDING", "engineering_technology").when(seg == "MACHINERY", "computer_science_data").when(seg == "HOUSEHOLD", "medicine_health").otherwise("economics_finance")
     weight = lambda kind, key, w: F.struct(kind.alias("kind"), (F.lit(key) if isinstance(key, str) else key).alias("key"), F.lit(w).alias("weight"))
     rows = F.array(
         weight(F.lit("subject"), first, 0.75),
         weight(F.lit("subject"), "mathematics_statistics", 0.25),
-        weight(F.when(F.col("c_custkey") % 2 == 0, "activity"), "analytical", 1.0),
-        weight(F.when(F.col("c_custkey") % 5 == 0, "negative"), "business_management", 0.5),
+        weight(F.when(k % 2 == 0, "activity"), "analytical", 1.0),
+        weight(F.when(k % 5 != 1, "negative"), "business_management", 0.5),
     )
     return c.select(F.col("c_custkey").alias("profile_id"), F.inline(rows)).where("kind is not null")
 
 
 P.CTES["profiles"] = """SELECT c_custkey AS profile_id, 'subject' AS kind, CASE c_mktsegment WHEN 'BUILDING' THEN 'engineering_technology'
   WHEN 'MACHINERY' THEN 'computer_science_data' WHEN 'HOUSEHOLD' THEN 'medicine_health' ELSE 'economics_finance' END AS key,
-  0.75::DOUBLE AS weight FROM customer WHERE c_custkey % 15 = 0
-  UNION ALL SELECT c_custkey, 'subject', 'mathematics_statistics', 0.25 FROM customer WHERE c_custkey % 15 = 0
-  UNION ALL SELECT c_custkey, 'activity', 'analytical', 1.0 FROM customer WHERE c_custkey % 30 = 0
-  UNION ALL SELECT c_custkey, 'negative', 'business_management', 0.5 FROM customer WHERE c_custkey % 15 = 0 AND c_custkey % 5 = 0"""
+  0.75::DOUBLE AS weight FROM customer WHERE c_custkey % 100 = 0
+  UNION ALL SELECT c_custkey, 'subject', 'mathematics_statistics', 0.25 FROM customer WHERE c_custkey % 100 = 0
+  UNION ALL SELECT c_custkey, 'activity', 'analytical', 1.0 FROM customer WHERE c_custkey % 200 = 0
+  UNION ALL SELECT c_custkey, 'negative', 'business_management', 0.5 FROM customer WHERE c_custkey % 100 = 0 AND c_custkey // 100 % 5 <> 1"""
 
 
 def subject_areas(spark, d):
@@ -397,7 +399,7 @@ add(
 )
 add(
     "cp2_summary_gaps", lambda s, d: compare.summary_gaps(selection(s, d), P.items(s, d).where("program_id % 7 <> 0")).select("selection_id", "program_id"),
-    sql("SELECT program_id // 3 AS selection_id, program_id FROM programs WHERE program_id < 30 AND program_id NOT IN (SELECT program_id FROM items WHERE program_id % 7 <> 0)", "programs", "items"),
+    sql("SELECT program_id // 3 AS selection_id, program_id FROM programs WHERE program_id NOT IN (SELECT program_id FROM items WHERE program_id % 7 <> 0)", "programs", "items"),
 )
 add(
     "st1_vector_delta", lambda s, d: compare.vector_delta(shares(s, d).where("program_id = 1"), shares(s, d).where("program_id = 2 and area <> 'medicine_health'"), "area", "share"),

@@ -106,10 +106,9 @@ def exams(spark, d) -> DataFrame:
 
 
 def applicants(spark, d) -> DataFrame:
-    """Scores of every 20th customer: subjects 0..8, those divisible by c+s lack."""
+    """Scores of every customer: subjects 0..8, those divisible by c+s lack."""
     return (
         table(spark, d, "customer")
-        .where("c_custkey % 20 = 0")
         .select(F.col("c_custkey").alias("applicant_id"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("s"))
         .where("(applicant_id + s) % 13 <> 0")
         .select(
@@ -158,7 +157,7 @@ CTES = {
   GROUP BY l_orderkey, l_partkey % 11""",
     "applicants": """SELECT c_custkey AS applicant_id, CAST(s AS BIGINT) AS subject,
   CAST(30 + (c_custkey * 7 + s * 11) % 71 AS DOUBLE) AS score FROM customer, range(0, 9) AS r(s)
-  WHERE c_custkey % 20 = 0 AND (c_custkey + s) % 13 <> 0""",
+  WHERE (c_custkey + s) % 13 <> 0""",
     "decisions": f"""SELECT user_id AS owner_key, event_id, {_CASE_EVENT} AS event_type, props AS payload,
   ts AS occurred_at, ts + INTERVAL 20 DAY AS expires_at FROM events""",
 }

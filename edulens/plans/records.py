@@ -66,16 +66,16 @@ add(
 
 def raw_records(s, d):
     k = F.col("o_orderkey")
-    return P.table(s, d, "orders").where("o_orderkey % 50 = 0").select(
-        k.alias("record_id"), F.when(k % 100 == 0, "program").otherwise("direction").alias("scope"),
-        F.when(k % 100 == 0, F.concat(F.lit(" supplier#"), F.lpad((k / 100 % 120).cast("bigint").cast("string"), 9, "0"), F.lit(" "))).otherwise(((k / 50).cast("bigint") % 25).cast("string")).alias("target"),
+    return P.table(s, d, "orders").select(
+        k.alias("record_id"), F.when(k % 2 == 0, "program").otherwise("direction").alias("scope"),
+        F.when(k % 2 == 0, F.concat(F.lit(" supplier#"), F.lpad(((k / 2).cast("bigint") % 120).cast("bigint").cast("string"), 9, "0"), F.lit(" "))).otherwise(((k / 10).cast("bigint") % 25).cast("string")).alias("target"),
     )
 
 
 add(
     "cln6_resolve_targets", lambda s, d: cleansing.resolve_targets(raw_records(s, d), P.programs(s, d)).select("record_id", "program_id"),
-    sql("""SELECT o_orderkey AS record_id, program_id FROM orders JOIN programs ON CASE WHEN o_orderkey % 100 = 0 THEN lower(code) = 'supplier#' || lpad(CAST(o_orderkey // 100 % 120 AS VARCHAR), 9, '0')
-  ELSE direction_id = (o_orderkey // 50) % 25 END WHERE o_orderkey % 50 = 0""", "programs"),
+    sql("""SELECT o_orderkey AS record_id, program_id FROM orders JOIN programs ON CASE WHEN o_orderkey % 2 = 0 THEN lower(code) = 'supplier#' || lpad(CAST(o_orderkey // 2 % 120 AS VARCHAR), 9, '0')
+  ELSE direction_id = (o_orderkey // 10) % 25 END""", "programs"),
 )
 add(
     "cln7_conflicts", lambda s, d: cleansing.conflicts(P.items(s, d), ["source_row", "position"], "hours"),
@@ -279,12 +279,12 @@ add(
 add(
     "src7_due_sources",
     lambda s, d: readers.due_sources(
-        s.range(0, 260).select(F.col("id").alias("source_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("id") % 2)).alias("revision"), (F.col("id") % 6 != 0).alias("enabled"), F.lit(86400).alias("interval_seconds")).join(P.table(s, d, "customer").select(F.col("c_custkey").alias("source_id")), "source_id"),
+        P.table(s, d, "customer").select(F.col("c_custkey").alias("source_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c_custkey") % 2)).alias("revision"), (F.col("c_custkey") % 6 != 0).alias("enabled"), F.lit(86400).alias("interval_seconds")),
         attempts(s, d).groupBy("source_id", "completed_at").agg(F.max("revision").alias("revision"), F.min("next_retry_at").alias("next_retry_at")), F.lit("2001-11-01").cast("timestamp"), 40,
     ).select("source_id", "revision", "due_at"),
     f"""WITH {_ATT}, last AS (SELECT source_id, arg_max(r, completed_at) AS rev, max(completed_at) AS done, arg_max(retry, completed_at) AS retry FROM (SELECT source_id, completed_at, max(sequence % 2) AS r,
     min(CASE WHEN outcome = 'failed' THEN completed_at + INTERVAL 3 DAY END) AS retry FROM att GROUP BY 1, 2) GROUP BY 1),
-  reg AS (SELECT c_custkey AS source_id, c_custkey % 2 AS revision FROM customer WHERE c_custkey < 260 AND c_custkey % 6 <> 0),
+  reg AS (SELECT c_custkey AS source_id, c_custkey % 2 AS revision FROM customer WHERE c_custkey % 6 <> 0),
   j AS (SELECT reg.source_id, reg.revision, last.rev, done, CASE WHEN (SELECT max(CASE WHEN a.outcome = 'failed' THEN 1 ELSE 0 END) FROM att a WHERE a.source_id = last.source_id AND a.completed_at = last.done) = 1
     THEN done + INTERVAL 3 DAY ELSE done + INTERVAL 1 DAY END AS due_at FROM reg LEFT JOIN last USING (source_id))
   SELECT source_id, revision, CASE WHEN done IS NULL THEN NULL ELSE due_at END AS due_at FROM j WHERE done IS NULL OR rev <> revision OR due_at <= TIMESTAMP '2001-11-01' ORDER BY CASE WHEN done IS NULL THEN NULL ELSE due_at END NULLS FIRST, source_id LIMIT 40""",

@@ -28,14 +28,14 @@ def revisions(s, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = P.table(s, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     return o.select(
-        F.col("o_custkey").alias("rule_id"), F.row_number().over(w).alias("revision"), (F.col("o_custkey") % 40).alias("family_id"),
+        F.col("o_custkey").alias("rule_id"), F.row_number().over(w).alias("revision"), F.floor(F.col("o_custkey") / 25).alias("family_id"),
         (F.col("o_custkey") % 4).alias("authority"), F.element_at(F.array(*[F.lit(x) for x in ("federal", "university", "direction", "program")]), (F.col("o_custkey") % 4 + 1).cast("int")).alias("scope_level"),
         (F.col("o_custkey") % 6).cast("string").alias("scope_id"), F.sha2(k.cast("string"), 256).alias("content_hash"),
         F.col("o_orderdate").alias("valid_start"), F.lead("o_orderdate").over(w).alias("valid_end"), F.col("o_orderdate").alias("recorded_at"), k.alias("row_id"), F.col("o_orderstatus").alias("note"),
     )
 
 
-P.CTES["rev"] = """SELECT o_custkey AS rule_id, CAST(row_number() OVER w AS INT) AS revision, o_custkey % 40 AS family_id, o_custkey % 4 AS authority,
+P.CTES["rev"] = """SELECT o_custkey AS rule_id, CAST(row_number() OVER w AS INT) AS revision, o_custkey // 25 AS family_id, o_custkey % 4 AS authority,
   ['federal', 'university', 'direction', 'program'][o_custkey % 4 + 1] AS scope_level, CAST(o_custkey % 6 AS VARCHAR) AS scope_id, sha256(CAST(o_orderkey AS VARCHAR)) AS content_hash,
   o_orderdate AS valid_start, lead(o_orderdate) OVER w AS valid_end, o_orderdate AS recorded_at, o_orderkey AS row_id, o_orderstatus AS note FROM orders
   WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
@@ -72,15 +72,15 @@ add(
 def requests(s, d):
     k = F.col("l_orderkey")
     return P.table(s, d, "lineitem").where("l_linenumber = 1").groupBy(k.alias("request_id")).agg(F.min("l_shipdate").cast("timestamp").alias("known_at")).withColumns(
-        {"valid_at": F.col("known_at") - F.expr("INTERVAL 90 DAYS"), "family_id": F.col("request_id") % 40, "rule_id": F.col("request_id") % 1000}
+        {"valid_at": F.col("known_at") - F.expr("INTERVAL 90 DAYS"), "family_id": F.floor(F.col("request_id") / 250), "rule_id": F.col("request_id") % 1000}
     )
 
 
-P.CTES["req"] = "SELECT l_orderkey AS request_id, min(l_shipdate) AS known_at, min(l_shipdate) - INTERVAL 90 DAY AS valid_at, l_orderkey % 40 AS family_id, l_orderkey % 1000 AS rule_id FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey"
+P.CTES["req"] = "SELECT l_orderkey AS request_id, min(l_shipdate) AS known_at, min(l_shipdate) - INTERVAL 90 DAY AS valid_at, l_orderkey // 250 AS family_id, l_orderkey % 1000 AS rule_id FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey"
 add(
-    "jn9_rules_in_force", lambda s, d: policy.rules_in_force(revisions(s, d).drop("rule_id"), requests(s, d).where("request_id % 7 = 0"), "family_id").groupBy("request_id").agg(F.count(F.lit(1)).alias("rules"), F.max("row_id").alias("last_row")),
+    "jn9_rules_in_force", lambda s, d: policy.rules_in_force(revisions(s, d).drop("rule_id"), requests(s, d), "family_id").groupBy("request_id").agg(F.count(F.lit(1)).alias("rules"), F.max("row_id").alias("last_row")),
     sql("""SELECT request_id, count(*) AS rules, max(row_id) AS last_row FROM req JOIN rev ON rev.family_id = req.family_id AND recorded_at <= known_at AND valid_start <= valid_at
-  AND (valid_end IS NULL OR valid_at < valid_end) WHERE request_id % 7 = 0 GROUP BY 1""", "rev", "req"),
+  AND (valid_end IS NULL OR valid_at < valid_end) GROUP BY 1""", "rev", "req"),
 )
 add(
     "jn15_cycle_as_known", lambda s, d: policy.as_of(revisions(s, d).select("rule_id", "revision", "recorded_at", "row_id"), requests(s, d).select("request_id", "rule_id", "known_at"), ["rule_id"]).select("request_id", "rule_id", "revision", "row_id"),
@@ -90,22 +90,23 @@ add(
 
 
 def context(s, d):
-    k = F.col("request_id")
-    r = requests(s, d).where("request_id % 101 = 0").select("request_id")
+    """The query set: contexts of the requests whose id is divisible by 100."""
+    k = (F.col("request_id") / 100).cast("bigint")
+    r = requests(s, d).where("request_id % 100 = 0").select("request_id")
     f = lambda name, value, av: F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), av.alias("availability"))
     known, maybe = F.lit("known"), F.when(k % 5 == 0, "unknown").otherwise("known")
     return r.select("request_id", F.inline(F.array(f("university", k % 6, known), f("direction", k % 6, maybe), f("program", (k + 1) % 6, known))))
 
 
-P.CTES["ctx"] = """SELECT request_id, f AS field, CAST(CASE f WHEN 'program' THEN (request_id + 1) % 6 ELSE request_id % 6 END AS VARCHAR) AS value,
-  CASE WHEN f = 'direction' AND request_id % 5 = 0 THEN 'unknown' ELSE 'known' END AS availability FROM req, (VALUES ('university'), ('direction'), ('program')) v(f) WHERE request_id % 101 = 0"""
+P.CTES["ctx"] = """SELECT request_id, f AS field, CAST(CASE f WHEN 'program' THEN (request_id // 100 + 1) % 6 ELSE request_id // 100 % 6 END AS VARCHAR) AS value,
+  CASE WHEN f = 'direction' AND request_id // 100 % 5 = 0 THEN 'unknown' ELSE 'known' END AS availability FROM req, (VALUES ('university'), ('direction'), ('program')) v(f) WHERE request_id % 100 = 0"""
 
 
 def newest(s, d):
-    return policy.latest_revision(revisions(s, d), "rule_id").where("rule_id % 5 = 0")
+    return policy.latest_revision(revisions(s, d), "rule_id")
 
 
-P.CTES["newest"] = "SELECT * FROM (SELECT * FROM rev QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY revision DESC) = 1) WHERE rule_id % 5 = 0"
+P.CTES["newest"] = "SELECT * FROM rev QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY revision DESC) = 1"
 P.CTES["inscope"] = """SELECT request_id, rule_id, CASE WHEN scope_level = 'federal' THEN true WHEN availability <> 'known' THEN NULL ELSE scope_id = value END AS in_scope
   FROM newest JOIN ctx ON field = CASE WHEN scope_level = 'federal' THEN 'program' ELSE scope_level END"""
 SC = ("rev", "req", "ctx", "newest", "inscope")
@@ -135,10 +136,10 @@ add("pl3_candidate_states", candidates, sql("SELECT * FROM cand", *CAND))
 
 def relations(s, d):
     k = F.col("rule_id")
-    return newest(s, d).where(k % 15 == 0).select(k.alias("source_rule"), F.element_at(F.array(F.lit("overrides"), F.lit("exception")), (k % 2 + 1).cast("int")).alias("kind"), (k + 40).alias("target_rule"))
+    return newest(s, d).where(k % 15 == 0).select(k.alias("source_rule"), F.element_at(F.array(F.lit("overrides"), F.lit("exception")), (k % 2 + 1).cast("int")).alias("kind"), (k + 1).alias("target_rule"))
 
 
-P.CTES["rel"] = "SELECT rule_id AS source_rule, ['overrides', 'exception'][rule_id % 2 + 1] AS kind, rule_id + 40 AS target_rule FROM newest WHERE rule_id % 15 = 0"
+P.CTES["rel"] = "SELECT rule_id AS source_rule, ['overrides', 'exception'][rule_id % 2 + 1] AS kind, rule_id + 1 AS target_rule FROM newest WHERE rule_id % 15 = 0"
 P.CTES["eff"] = """WITH c AS (SELECT *, CASE scope_level WHEN 'federal' THEN 0 WHEN 'university' THEN 1 WHEN 'direction' THEN 2 ELSE 3 END AS sr FROM cand WHERE state = 'candidate'),
   l AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM rel JOIN c b ON b.rule_id = source_rule WHERE target_rule = c.rule_id AND b.request_id = c.request_id)),
   t AS (SELECT * FROM l QUALIFY rank() OVER (PARTITION BY request_id, family_id ORDER BY authority DESC, sr DESC) = 1),
@@ -164,8 +165,8 @@ add(
   WHEN b.rule_id IS NULL THEN 'removed' WHEN a.content_hash <> b.content_hash THEN 'changed' ELSE 'unchanged' END AS change FROM eff a FULL JOIN eff2 b USING (request_id, family_id)) GROUP BY 1""", *EFF, "eff2"),
 )
 add(
-    "st3_changed_selections", lambda s, d: policy.changed_selections(newest(s, d), revisions(s, d).where("revision = 1 and rule_id % 5 = 0"), ["rule_id", "revision", "content_hash"]).select("rule_id", "revision", "side"),
-    sql("""(SELECT rule_id, revision, 'before' AS side FROM newest WHERE revision <> 1) UNION ALL (SELECT rule_id, revision, 'after' FROM rev WHERE revision = 1 AND rule_id % 5 = 0 AND rule_id IN (SELECT rule_id FROM newest WHERE revision <> 1))""", "rev", "newest"),
+    "st3_changed_selections", lambda s, d: policy.changed_selections(newest(s, d), revisions(s, d).where("revision = 1"), ["rule_id", "revision", "content_hash"]).select("rule_id", "revision", "side"),
+    sql("""(SELECT rule_id, revision, 'before' AS side FROM newest WHERE revision <> 1) UNION ALL (SELECT rule_id, revision, 'after' FROM rev WHERE revision = 1 AND rule_id IN (SELECT rule_id FROM newest WHERE revision <> 1))""", "rev", "newest"),
 )
 add(
     "pl7_diff_revisions",
@@ -177,7 +178,7 @@ add(
 add(
     "pl12_validate_relations", lambda s, d: policy.validate_relations(relations(s, d), newest(s, d)),
     sql("""SELECT source_rule, kind, target_rule, CASE WHEN a.authority < b.authority THEN 'less_authority' ELSE 'not_narrower' END AS problem FROM rel JOIN newest a ON a.rule_id = source_rule JOIN newest b ON b.rule_id = target_rule
-  WHERE a.authority < b.authority OR kind = 'exception'""", "rev", "newest", "rel"),
+  WHERE a.authority < b.authority OR (kind = 'exception' AND a.rule_id % 4 <= b.rule_id % 4)""", "rev", "newest", "rel"),
 )
 
 
@@ -187,10 +188,10 @@ def edges(s, d):
 
 
 def roots(s, d):
-    return P.table(s, d, "customer").where("c_custkey between 3 and 12").select(F.col("c_custkey").alias("root"))
+    return P.table(s, d, "customer").select(F.col("c_custkey").alias("root"))
 
 
-_TRAV = """t AS (WITH RECURSIVE x(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey BETWEEN 3 AND 12
+_TRAV = """t AS (WITH RECURSIVE x(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer
   UNION ALL SELECT root, node * 2 + k, depth + 1 FROM x, (VALUES (1), (2)) v(k) WHERE depth < 6 AND node IN (SELECT c_custkey FROM customer)) SELECT * FROM x)"""
 add(
     "pl9_traverse", lambda s, d: policy.traverse(edges(s, d), roots(s, d), 6).select("root", "node", "depth", "truncated"),
@@ -231,7 +232,7 @@ def selector_nodes(s, d):
 
 
 add(
-    "pl2_eval_selectors", lambda s, d: policy.eval_selectors(selector_nodes(s, d), context(s, d), 2),
+    "pl2_eval_selectors", lambda s, d: policy.eval_selectors(selector_nodes(s, d), context(s, d)),
     sql("""SELECT u.request_id, rule_id, least(CASE WHEN u.value = CAST(rule_id % 6 AS VARCHAR) THEN 1.0 ELSE 0.0 END, CASE WHEN g.availability <> 'known' THEN 0.5 WHEN g.value IN (CAST(rule_id % 6 AS VARCHAR), '0') THEN 1.0 ELSE 0.0 END)::DOUBLE AS v
   FROM newest CROSS JOIN (SELECT * FROM ctx WHERE field = 'university') u JOIN (SELECT * FROM ctx WHERE field = 'direction') g ON g.request_id = u.request_id""", "rev", "req", "ctx", "newest"),
 )
@@ -333,9 +334,9 @@ def links_between(s, d):
 
 
 add(
-    "kn8_relations_for", lambda s, d: knowledge.relations_for(claim_rows(s, d).where("claim_id < 50"), links_between(s, d)).select("relation_id", "claim_id", "other_id"),
+    "kn8_relations_for", lambda s, d: knowledge.relations_for(claim_rows(s, d), links_between(s, d)).select("relation_id", "claim_id", "other_id"),
     """WITH l AS (SELECT o_orderkey // 2 AS relation_id, o_custkey AS claim_id, o_custkey + 7 AS other_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey // 2 ORDER BY o_orderkey % 2 DESC) = 1),
-  c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey < 50) SELECT * FROM l WHERE claim_id IN (SELECT k FROM c) OR other_id IN (SELECT k FROM c)""",
+  c AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT * FROM l WHERE claim_id IN (SELECT k FROM c) OR other_id IN (SELECT k FROM c)""",
 )
 add(
     "flt12_allowlisted", lambda s, d: knowledge.allowlisted(P.table(s, d, "pages").select("page_id", F.regexp_replace("url", "^http:", "https:").alias("url")), P.table(s, d, "pages").select(F.parse_url("url", F.lit("HOST")).alias("host"), F.lit("/fr").alias("prefix")).distinct()).select("page_id"),
@@ -369,9 +370,9 @@ add(
 )
 add(
     "tx9_match_disciplines",
-    lambda s, d: text.match_disciplines(P.table(s, d, "part").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 5 == 0, "no such").otherwise(F.upper("p_name")).alias("name")), P.disciplines(s, d).where("discipline_id % 40 = 0")).select("query_id", "state", "discipline_id"),
+    lambda s, d: text.match_disciplines(P.table(s, d, "part").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 5 == 0, "no such").otherwise(F.upper("p_name")).alias("name")), P.disciplines(s, d)).select("query_id", "state", "discipline_id"),
     """SELECT p_partkey AS query_id, CASE WHEN k IS NULL THEN 'new' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS state, CASE WHEN n = 1 THEN k END AS discipline_id FROM part q
-  LEFT JOIN (SELECT p_name AS nm, count(*) AS n, min(p_partkey) AS k FROM part WHERE p_partkey % 40 = 0 GROUP BY 1) x ON nm = q.p_name AND q.p_partkey % 5 <> 0""",
+  LEFT JOIN (SELECT p_name AS nm, count(*) AS n, min(p_partkey) AS k FROM part GROUP BY 1) x ON nm = q.p_name AND q.p_partkey % 5 <> 0""",
 )
 
 
@@ -385,6 +386,13 @@ def queries_of(s, d):
     return P.table(s, d, "customer").select(k.alias("query_id"), q.alias("query"), F.when(k % 8 == 1, (k % 5).cast("int")).alias("university_id"))
 
 
+def program_queries(s, d):
+    """The query set: customers whose id is divisible by 100, asking for a program by number."""
+    number = (F.col("c_custkey") / 100).cast("bigint") % 40
+    asked = P.table(s, d, "customer").where("c_custkey % 100 = 0")
+    return asked.select(F.col("c_custkey").alias("query_id"), F.concat_ws(" ", F.lit("program"), number.cast("string")).alias("query"))
+
+
 def entity_aliases(s, d):
     return P.programs(s, d).select(F.col("program_id").alias("entity_id"), F.concat(F.lit("Alias "), (F.col("program_id") % 80).cast("string")).alias("alias"))
 
@@ -401,8 +409,8 @@ add(
   FROM customer LEFT JOIN (SELECT * FROM r2 WHERE place <= 5) ON q = c_custkey""", "programs"),
 )
 add(
-    "wn8_narrow_by_tokens", lambda s, d: text.narrow_by_tokens(queries_of(s, d).where("query_id % 4 = 1"), entities(s, d)),
-    sql("""WITH o AS (SELECT c_custkey AS query_id, program_id AS entity_id, 1 + (c_custkey % 40 = program_id % 40 OR c_custkey % 40 = direction_id)::INT AS overlap FROM customer, programs WHERE c_custkey % 4 = 1)
+    "wn8_narrow_by_tokens", lambda s, d: text.narrow_by_tokens(program_queries(s, d), entities(s, d)),
+    sql("""WITH o AS (SELECT c_custkey AS query_id, program_id AS entity_id, 1 + (c_custkey // 100 % 40 = program_id % 40 OR c_custkey // 100 % 40 = direction_id)::INT AS overlap FROM customer, programs WHERE c_custkey % 100 = 0)
   SELECT query_id, entity_id, CAST(overlap AS BIGINT) AS overlap, round(0.7 + overlap / 2::DOUBLE / 10, 6) AS score FROM o QUALIFY overlap = max(overlap) OVER (PARTITION BY query_id)""", "programs"),
 )
 

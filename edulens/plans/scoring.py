@@ -21,14 +21,11 @@ def add(name, fn, oracle=None):
 
 
 def pairs(s, d):
-    """Every 20th customer with the offerings of orders 0, 40, 80, …"""
-    a = P.applicants(s, d).select("applicant_id").distinct()
-    o = P.offerings(s, d).where("offering_id % 40 = 0").select("offering_id")
-    return a.join(o, F.col("applicant_id") % 7 == F.col("offering_id") / 40 % 7)
+    """Every customer with the offerings of their own orders."""
+    return P.table(s, d, "orders").select(F.col("o_custkey").alias("applicant_id"), F.col("o_orderkey").alias("offering_id"))
 
 
-P.CTES["ap_pairs"] = """SELECT applicant_id, offering_id FROM (SELECT DISTINCT applicant_id FROM applicants) a
-  JOIN offerings o ON o.offering_id % 40 = 0 AND applicant_id % 7 = (offering_id // 40) % 7"""
+P.CTES["ap_pairs"] = "SELECT o_custkey AS applicant_id, o_orderkey AS offering_id FROM orders"
 P.CTES["matched"] = """SELECT p.applicant_id, p.offering_id, e.subject, e.minimum_score, s.score,
   CASE WHEN s.score IS NULL THEN 'missing' ELSE 'matched' END AS resolution
   FROM ap_pairs p JOIN exams e USING (offering_id) LEFT JOIN applicants s ON s.applicant_id = p.applicant_id AND s.subject = e.subject"""
@@ -110,16 +107,16 @@ add(
 # --- benefits -------------------------------------------------------------
 def rules(s, d):
     k = F.col("p_partkey")
-    return P.table(s, d, "part").where("p_partkey % 9 = 0").select(
-        k.alias("rule_id"), (k % 5).alias("university_id"), F.element_at(F.array(F.lit("all"), F.lit("only"), F.lit("except")), (k % 3 + 1).cast("int")).alias("mode"),
-        (k % 40).alias("olympiad_id"), F.when(k % 4 == 0, "bvi").when(k % 7 == 0, "special").otherwise("hundred_points").alias("route"),
+    return P.table(s, d, "part").select(
+        k.alias("rule_id"), F.floor(k / 8 % 5).alias("university_id"), F.element_at(F.array(F.lit("all"), F.lit("only"), F.lit("except")), (k % 3 + 1).cast("int")).alias("mode"),
+        F.floor(k / 2).alias("olympiad_id"), F.when(k % 4 == 0, "bvi").when(k % 7 == 0, "special").otherwise("hundred_points").alias("route"),
         F.when(k % 11 == 0, "review").otherwise("active").alias("status"), (k % 3 + 1).alias("max_level"), (2020 + k % 4).alias("min_year"),
     )
 
 
-P.CTES["brules"] = """SELECT p_partkey AS rule_id, p_partkey % 5 AS university_id, ['all', 'only', 'except'][p_partkey % 3 + 1] AS mode, p_partkey % 40 AS olympiad_id,
+P.CTES["brules"] = """SELECT p_partkey AS rule_id, p_partkey // 8 % 5 AS university_id, ['all', 'only', 'except'][p_partkey % 3 + 1] AS mode, p_partkey // 2 AS olympiad_id,
   CASE WHEN p_partkey % 4 = 0 THEN 'bvi' WHEN p_partkey % 7 = 0 THEN 'special' ELSE 'hundred_points' END AS route,
-  CASE WHEN p_partkey % 11 = 0 THEN 'review' ELSE 'active' END AS status, p_partkey % 3 + 1 AS max_level, 2020 + p_partkey % 4 AS min_year FROM part WHERE p_partkey % 9 = 0"""
+  CASE WHEN p_partkey % 11 = 0 THEN 'review' ELSE 'active' END AS status, p_partkey % 3 + 1 AS max_level, 2020 + p_partkey % 4 AS min_year FROM part"""
 
 
 def targets(s, d):
@@ -146,13 +143,13 @@ def scoped(s, d):
 
 def facts(s, d):
     k = F.col("c_custkey")
-    return P.table(s, d, "customer").where("c_custkey % 20 = 0").select(
-        k.alias("applicant_id"), (k * 3).alias("fact_id"), (k / 20 % 40).cast("bigint").alias("olympiad_id"), (k % 3 + 1).alias("level"), (2019 + k / 20 % 6).cast("bigint").alias("result_year")
+    return P.table(s, d, "customer").select(
+        k.alias("applicant_id"), (k * 3).alias("fact_id"), F.floor(k * 2 / 3).alias("olympiad_id"), (k % 3 + 1).alias("level"), (2019 + k % 6).alias("result_year")
     )
 
 
-P.CTES["bfacts"] = """SELECT c_custkey AS applicant_id, c_custkey * 3 AS fact_id, c_custkey // 20 % 40 AS olympiad_id, c_custkey % 3 + 1 AS level,
-  2019 + c_custkey // 20 % 6 AS result_year FROM customer WHERE c_custkey % 20 = 0"""
+P.CTES["bfacts"] = """SELECT c_custkey AS applicant_id, c_custkey * 3 AS fact_id, c_custkey * 2 // 3 AS olympiad_id, c_custkey % 3 + 1 AS level,
+  2019 + c_custkey % 6 AS result_year FROM customer"""
 
 
 def needed(s, d):
@@ -227,7 +224,7 @@ add(
 
 def achievement_facts(s, d):
     k = F.col("l_orderkey")
-    return P.table(s, d, "lineitem").where("l_linenumber <= 4").groupBy(((k % 100) * 20).alias("applicant_id"), (F.col("l_partkey") % 9).alias("code"), (F.year("l_shipdate")).alias("year")).agg(
+    return P.table(s, d, "lineitem").where("l_linenumber <= 4").groupBy((k % 1000).alias("applicant_id"), (F.col("l_partkey") % 9).alias("code"), (F.year("l_shipdate")).alias("year")).agg(
         F.min(k * 10 + F.col("l_linenumber")).alias("place")
     ).withColumn("evidence", F.col("place") % 4 != 0)
 
@@ -239,7 +236,7 @@ def achievement_rules(s, d):
     )
 
 
-P.CTES["afacts"] = """SELECT l_orderkey % 100 * 20 AS applicant_id, l_partkey % 9 AS code, CAST(year(l_shipdate) AS INT) AS year,
+P.CTES["afacts"] = """SELECT l_orderkey % 1000 AS applicant_id, l_partkey % 9 AS code, CAST(year(l_shipdate) AS INT) AS year,
   min(l_orderkey * 10 + l_linenumber) AS place, min(l_orderkey * 10 + l_linenumber) % 4 <> 0 AS evidence FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2, 3"""
 P.CTES["adedup"] = """SELECT * FROM (SELECT *, CASE WHEN combination IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY applicant_id, combination ORDER BY points DESC, place, code, year) END AS n FROM (
   SELECT f.*, r.* EXCLUDE (code), row_number() OVER (PARTITION BY applicant_id, f.code, year ORDER BY place) AS m FROM afacts f JOIN
@@ -293,23 +290,24 @@ add(
 
 # --- decisions ------------------------------------------------------------
 def requests(s, d):
+    """The query set: customers whose id is divisible by 100, against all offerings."""
     k = F.col("c_custkey")
-    return P.table(s, d, "customer").where("c_custkey % 60 = 0").select(
+    return P.table(s, d, "customer").where("c_custkey % 100 = 0").select(
         k.alias("request_id"), F.inline(F.array(
-            F.struct(F.lit("year").alias("field"), (1996 + k / 60 % 5).cast("int").cast("string").alias("value")),
-            F.struct(F.lit("funding").alias("field"), F.when(k % 120 == 0, "F").otherwise("O").alias("value")),
+            F.struct(F.lit("year").alias("field"), (1996 + k / 100 % 5).cast("int").cast("string").alias("value")),
+            F.struct(F.lit("funding").alias("field"), F.when(k % 200 == 0, "F").otherwise("O").alias("value")),
         )),
     )
 
 
 def rough(s, d):
-    """Offerings of one year in twenty, some without a funding type."""
-    return P.offerings(s, d).where("offering_id % 20 = 0").withColumn("funding_type", F.when(F.col("offering_id") % 100 != 0, F.col("funding_type")))
+    """All offerings, some without a funding type."""
+    return P.offerings(s, d).withColumn("funding_type", F.when(F.col("offering_id") % 100 != 0, F.col("funding_type")))
 
 
-P.CTES["requests"] = """SELECT c_custkey AS request_id, 'year' AS field, CAST(1996 + c_custkey // 60 % 5 AS VARCHAR) AS value FROM customer WHERE c_custkey % 60 = 0
-  UNION ALL SELECT c_custkey, 'funding', CASE WHEN c_custkey % 120 = 0 THEN 'F' ELSE 'O' END FROM customer WHERE c_custkey % 60 = 0"""
-P.CTES["rough"] = "SELECT * EXCLUDE (funding_type), CASE WHEN offering_id % 100 <> 0 THEN funding_type END AS funding_type FROM offerings WHERE offering_id % 20 = 0"
+P.CTES["requests"] = """SELECT c_custkey AS request_id, 'year' AS field, CAST(1996 + c_custkey // 100 % 5 AS VARCHAR) AS value FROM customer WHERE c_custkey % 100 = 0
+  UNION ALL SELECT c_custkey, 'funding', CASE WHEN c_custkey % 200 = 0 THEN 'F' ELSE 'O' END FROM customer WHERE c_custkey % 100 = 0"""
+P.CTES["rough"] = "SELECT * EXCLUDE (funding_type), CASE WHEN offering_id % 100 <> 0 THEN funding_type END AS funding_type FROM offerings"
 P.CTES["outcomes"] = """SELECT request_id, program_id, field, CASE WHEN coalesce(bool_or(coalesce(actual = value, false))) THEN 'satisfied' WHEN bool_or(actual IS NULL) THEN 'insufficient_data' ELSE 'violated' END AS outcome
   FROM requests JOIN (SELECT program_id, 'year' AS field, CAST(admission_year AS VARCHAR) AS actual FROM rough UNION ALL SELECT program_id, 'funding', funding_type FROM rough) USING (field) GROUP BY 1, 2, 3"""
 OUT = ("requests", "offerings", "rough", "outcomes")
@@ -323,13 +321,13 @@ add("flt10_constraint_outcomes", outcomes, sql("SELECT * FROM outcomes", *OUT))
 
 
 def priced(s, d):
-    o = P.offerings(s, d).where("offering_id % 20 = 0")
+    o = P.offerings(s, d)
     return o.withColumn("funding_type", F.when(F.col("funding_type") == "F", "budget").otherwise(F.col("funding_type"))).withColumn("currency", F.when(F.col("offering_id") % 3 == 0, "USD").otherwise("RUB"))
 
 
 add(
     "flt11_tuition_outcome", lambda s, d: decision.tuition_outcome(priced(s, d), requests(s, d).select("request_id").distinct().withColumn("max_tuition", 20000.0 + F.col("request_id") * 100)),
-    sql("""WITH o AS (SELECT program_id, count(*) FILTER (funding_type <> 'F') AS n, min(CASE WHEN funding_type <> 'F' AND offering_id % 3 <> 0 THEN tuition END) AS cheapest FROM offerings WHERE offering_id % 20 = 0 GROUP BY 1)
+    sql("""WITH o AS (SELECT program_id, count(*) FILTER (funding_type <> 'F') AS n, min(CASE WHEN funding_type <> 'F' AND offering_id % 3 <> 0 THEN tuition END) AS cheapest FROM offerings GROUP BY 1)
   SELECT request_id, program_id, cheapest, CASE WHEN n = 0 THEN 'not_applicable' WHEN cheapest IS NULL THEN 'insufficient_data' WHEN cheapest <= 20000 + request_id * 100 THEN 'satisfied' ELSE 'violated' END AS outcome
   FROM o CROSS JOIN (SELECT DISTINCT request_id FROM requests)""", "offerings", "requests"),
 )
@@ -379,7 +377,7 @@ add(
 
 # --- events, places -------------------------------------------------------
 def calendar(s, d):
-    return P.table(s, d, "events").where("event_id % 10 = 0").select(
+    return P.table(s, d, "events").select(
         "event_id", F.col("ts").alias("starts_at"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 50).alias("point_id")
     )
 
@@ -389,7 +387,7 @@ def event_links(s, d):
     return calendar(s, d).select("event_id", F.explode(F.array(k % 97, (k / 10).cast("bigint") % 89)).alias("program_id")).distinct()
 
 
-P.CTES["calendar"] = "SELECT event_id, ts AS starts_at, event_type AS kind, CASE WHEN event_id % 3 <> 0 THEN event_id % 50 END AS point_id FROM events WHERE event_id % 10 = 0"
+P.CTES["calendar"] = "SELECT event_id, ts AS starts_at, event_type AS kind, CASE WHEN event_id % 3 <> 0 THEN event_id % 50 END AS point_id FROM events"
 P.CTES["elinks"] = "SELECT event_id, event_id % 97 AS program_id FROM calendar UNION SELECT event_id, event_id // 10 % 89 FROM calendar"
 
 
@@ -469,11 +467,11 @@ add(
   FROM decisions WHERE expires_at > TIMESTAMP '{NOW}' GROUP BY 1""", "decisions"),
 )
 add(
-    "ag20_conversions", lambda s, d: evaluate.conversions(P.decision_events(s, d).where("event_id % 16 = 3"), "session_started", ["final_choice", "program_added"]),
+    "ag20_conversions", lambda s, d: evaluate.conversions(P.decision_events(s, d), "session_started", ["final_choice", "program_added"]),
     sql("""SELECT count(DISTINCT CASE WHEN event_type = 'session_started' THEN owner_key END) AS base_owners,
   round(count(DISTINCT CASE WHEN event_type = 'final_choice' THEN owner_key END) * 100.0::DOUBLE / count(DISTINCT CASE WHEN event_type = 'session_started' THEN owner_key END), 2) AS final_choice_percent,
   round(count(DISTINCT CASE WHEN event_type = 'program_added' THEN owner_key END) * 100.0::DOUBLE / count(DISTINCT CASE WHEN event_type = 'session_started' THEN owner_key END), 2) AS program_added_percent
-  FROM decisions WHERE event_id % 16 = 3""", "decisions"),
+  FROM decisions""", "decisions"),
 )
 add(
     "ag21_questionnaire_stats", lambda s, d: evaluate.questionnaire_stats(P.decision_events(s, d)),
