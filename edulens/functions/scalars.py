@@ -188,7 +188,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def holdout(col: Column, parts: int, seed: int = 17) -> Column:
-    return F.pmod(F.xxhash64(col, F.lit(seed)), F.lit(parts)) == 0
+    """One part in ``parts``, by a hash that other systems have too."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), col.cast("string")), 256)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % parts == 0
 
 
 def bounded_union(limit: int, *arrays: Column) -> Column:

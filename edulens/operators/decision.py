@@ -97,6 +97,15 @@ def plan_steps(recommendations: DataFrame, events: DataFrame, now) -> DataFrame:
     return explore.unionByName(compare).unionByName(attend).withColumn("step_number", F.row_number().over(w)).drop("o")
 
 
+def personal_plan(recommendations: DataFrame, events: DataFrame, links: DataFrame, now) -> DataFrame:
+    """``plan_steps`` with the place of each event to attend: ``point_id`` and
+    whether it has one (null for steps that are no event)."""
+    steps = plan_steps(recommendations, events.join(links, "event_id"), now)
+    at = events.select(F.col("event_id").cast("string").alias("what"), F.lit("attend").alias("step"), "point_id").distinct()
+    out = steps.join(at, ["step", "what"], "left")
+    return out.withColumn("has_point", F.when(F.col("step") == "attend", F.col("point_id").isNotNull()))
+
+
 def candidate_snapshot(programs: DataFrame, fingerprints: DataFrame, offerings: DataFrame, universities: DataFrame) -> DataFrame:
     """Every program with what is known of it; ``repeated`` marks programs with
     more than one fingerprint, which are not to be used."""

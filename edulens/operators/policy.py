@@ -217,7 +217,28 @@ def diff_revisions(before: DataFrame, after: DataFrame, ids: list[str]) -> DataF
     return a.join(b, [*ids, "path"], "full").where(~F.col("before").eqNullSafe(F.col("after"))).withColumn("change", change)
 
 
-diff_owner_rules = diff_revisions
+def diff_owner_rules(before: DataFrame, after: DataFrame, ids: list[str], context: str, evidence: str, max_paths: int = 128) -> DataFrame:
+    """Fields of an owner's rule that differ between two exact revisions.
+
+    Only rules that both revisions hold in the same ``context``, with evidence
+    in both, are compared; ``status`` says so of every rule, with one row and no
+    path where nothing differs or is compared. The first ``max_paths`` paths of
+    a rule are given and ``truncated`` marks rules with more.
+    """
+    side = lambda df, name: df.select(*ids, F.struct(F.lit(True).alias("there"), context, evidence).alias(name))
+    status = (
+        F.when(F.col("b").isNull(), "missing_before").when(F.col("a").isNull(), "missing_after")
+        .when(~F.col(f"b.{context}").eqNullSafe(F.col(f"a.{context}")), "other_context")
+        .when(F.col(f"b.{evidence}").isNull() | F.col(f"a.{evidence}").isNull(), "no_evidence").otherwise("compared")
+    )
+    seen = side(before, "b").join(side(after, "a"), ids, "full").select(*ids, status.alias("status"))
+    fields = [c for c in before.columns if c not in (*ids, context, evidence)]
+    same = seen.where("status = 'compared'").select(*ids)
+    left, right = (df.select(*ids, *fields).join(same, ids, "left_semi") for df in (before, after))
+    own = Window.partitionBy(*ids)
+    found = diff_revisions(left, right, ids).withColumn("n", F.row_number().over(own.orderBy("path")))
+    found = found.withColumn("truncated", F.count(F.lit(1)).over(own) > max_paths).where(F.col("n") <= max_paths).drop("n")
+    return seen.join(found, ids, "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def diff_effective(before: DataFrame, after: DataFrame) -> DataFrame:

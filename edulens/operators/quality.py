@@ -53,6 +53,18 @@ def quality_gate(measures: DataFrame, blocking: dict[str, float], degradable: di
     )
 
 
+def probe(measures: DataFrame, blocking: dict[str, float], degradable: dict[str, float]) -> DataFrame:
+    """Health of each source by the gate's own rules, with nothing written:
+    whether it would be published, whether anything is below its floor, and what."""
+    gated = quality_gate(measures, blocking, degradable)
+    problems = F.concat_ws(",", F.nullif(F.col("blocking"), F.lit("")), F.nullif(F.col("degrading"), F.lit("")))
+    keys = [c for c in measures.columns if c not in (*blocking, *degradable, "programs")]
+    return gated.select(
+        *keys, (F.col("decision") != "rejected").alias("healthy"), (F.col("decision") != "passed").alias("needs_attention"),
+        F.nullif(problems, F.lit("")).alias("problems"),
+    )
+
+
 def snapshot_measures(programs: DataFrame, items: DataFrame, offerings: DataFrame, features: DataFrame, by: str) -> DataFrame:
     """Coverage ratios of a snapshot, one row per ``by``."""
     has = {"curriculum": items, "admission": offerings}

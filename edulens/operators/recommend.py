@@ -156,6 +156,31 @@ def fit_reasons(profiles: DataFrame, area_share: DataFrame, activity_share: Data
     )
 
 
+def recommend(
+    profiles: DataFrame, area_share: DataFrame, activity_share: DataFrame, subjects: DataFrame, programs: DataFrame, evidence: DataFrame, k: int = 10
+) -> DataFrame:
+    """The ``k`` best programs of every profile, 20 at most, each with its place,
+    scores, ``reasons`` in order and the reliability of what is behind it.
+
+    ``programs(program_id, code)``; ``evidence`` as ``recommendation_evidence``
+    takes it, by profile_id. Profiles without evidence are ``not_available``.
+    """
+    if not 1 <= k <= 20:
+        raise ValueError("k is from 1 to 20")
+    top = rank_fit(content_fit(profiles, area_share, activity_share, subjects).join(programs, "program_id"), k)
+    why = fit_reasons(profiles, area_share, activity_share, subjects).join(
+        top.select("profile_id", "program_id"), ["profile_id", "program_id"], "left_semi"
+    )
+    parts = F.array_sort(F.collect_list(F.struct("kind", "n", "key", "strength")))
+    why = why.groupBy("profile_id", "program_id").agg(parts.alias("reasons"))
+    behind = recommendation_evidence(evidence).select("profile_id", "reliability", "reliability_status")
+    out = top.join(why, ["profile_id", "program_id"], "left").join(behind, "profile_id", "left")
+    none = F.array().cast(why.schema["reasons"].dataType)
+    return out.withColumn("reasons", F.coalesce("reasons", none)).withColumn(
+        "reliability_status", F.coalesce("reliability_status", F.lit("not_available"))
+    )
+
+
 def recommendation_evidence(rows: DataFrame) -> DataFrame:
     """Reliability of ``rows(profile_confidence, worst_gap, n_runs, rows_without_run,
     n_sources)``: weighted over the parts that are known, null without a

@@ -419,17 +419,18 @@ add(
         "programs", *FIT,
     ),
 )
-add(
-    "wn19_fit_reasons", lambda s, d: recommend.fit_reasons(profiles(s, d), shares(s, d), activities(s, d), subject_areas(s, d)),
-    sql(
-        """WITH f AS (SELECT profile_id, program_id, kind, key, weight, share FROM profiles JOIN area_share ON area = key WHERE kind IN ('subject', 'negative')
+REASONS = """WITH f AS (SELECT profile_id, program_id, kind, key, weight, share FROM profiles JOIN area_share ON area = key WHERE kind IN ('subject', 'negative')
   UNION ALL SELECT profile_id, program_id, kind, key, weight, share FROM profiles JOIN activity_share ON activity = key WHERE kind = 'activity'
   UNION ALL SELECT profile_id, program_id, 'distinctive', key, weight, share FROM profiles JOIN (SELECT program_id, area, max(distinctiveness) AS share FROM subject_areas GROUP BY 1, 2) ON area = key WHERE kind = 'subject'),
   g AS (SELECT *, round(weight * share, 6) AS strength FROM f WHERE share > 0),
   h AS (SELECT *, row_number() OVER (PARTITION BY profile_id, program_id, kind ORDER BY strength DESC, key) AS n FROM g),
   i AS (SELECT *, row_number() OVER (PARTITION BY profile_id, program_id ORDER BY kind, n) AS place FROM h
     WHERE n <= CASE kind WHEN 'subject' THEN 3 WHEN 'negative' THEN 3 ELSE 2 END)
-  SELECT profile_id, program_id, kind, n, key, strength FROM i WHERE place <= 8""",
+  SELECT profile_id, program_id, kind, n, key, strength FROM i WHERE place <= 8"""
+add(
+    "wn19_fit_reasons", lambda s, d: recommend.fit_reasons(profiles(s, d), shares(s, d), activities(s, d), subject_areas(s, d)),
+    sql(
+        REASONS,
         *FIT,
     ),
 )
@@ -445,16 +446,17 @@ def evidence_rows(s, d):
     )
 
 
-add(
-    "rc3_recommendation_evidence", lambda s, d: recommend.recommendation_evidence(evidence_rows(s, d)).select("profile_id", "reliability", "reliability_status"),
-    sql(
-        """WITH e AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 <> 0 THEN round((c_custkey % 10) / 10.0::DOUBLE, 4) END AS p,
+EVIDENCE = """WITH e AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 <> 0 THEN round((c_custkey % 10) / 10.0::DOUBLE, 4) END AS p,
   CASE c_custkey % 4 WHEN 1 THEN 0.75::DOUBLE WHEN 2 THEN 0.9::DOUBLE WHEN 3 THEN 1.0::DOUBLE END AS c,
   CASE WHEN c_custkey % 5 > 0 THEN CASE WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 1.0::DOUBLE WHEN c_custkey % 3 > 0 THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END END AS f FROM customer),
   v AS (SELECT *, (p IS NOT NULL)::INT + (c IS NOT NULL)::INT + (f IS NOT NULL)::INT AS n FROM e)
   SELECT k AS profile_id, CASE WHEN p IS NOT NULL AND n >= 2 THEN round(round((coalesce(p * 0.5, 0) + coalesce(c * 0.3, 0) + coalesce(f * 0.2, 0)) /
     (0.5 + CASE WHEN c IS NULL THEN 0 ELSE 0.3 END + CASE WHEN f IS NULL THEN 0 ELSE 0.2 END), 8), 4) END AS reliability,
   CASE WHEN p IS NULL OR n < 2 THEN 'not_available' WHEN n = 3 THEN 'available' ELSE 'partial' END AS reliability_status FROM v"""
+add(
+    "rc3_recommendation_evidence", lambda s, d: recommend.recommendation_evidence(evidence_rows(s, d)).select("profile_id", "reliability", "reliability_status"),
+    sql(
+        EVIDENCE
     ),
 )
 

@@ -191,3 +191,8 @@ def _with(body: str, *names: str) -> str:
     if body[:5].upper() == "WITH ":
         return f"WITH {with_},\n{body[5:]}" if with_ else body
     return f"WITH {with_}\n{body}" if with_ else body
+
+
+def recursive(body: str, *names: str) -> str:
+    """``body``, further CTEs of which some refer to themselves, after the named CTEs."""
+    return sql("WITH " + body, *names).replace("WITH", "WITH RECURSIVE", 1)

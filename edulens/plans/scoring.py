@@ -443,14 +443,15 @@ def recs(s, d):
     return partitioned(s, d).where("part in ('primary', 'alternative')").select(F.col("request_id").alias("profile_id"), "program_id", F.col("n").alias("place"))
 
 
-add(
-    "wn18_plan_steps",
-    lambda s, d: decision.plan_steps(recs(s, d), calendar(s, d).join(event_links(s, d), "event_id"), F.lit(NOW).cast("timestamp")),
-    sql(f"""WITH r AS (SELECT request_id AS profile_id, program_id, n AS place FROM parts WHERE part IN ('primary', 'alternative')), x AS (
+PLAN = f"""WITH r AS (SELECT request_id AS profile_id, program_id, n AS place FROM parts WHERE part IN ('primary', 'alternative')), x AS (
   SELECT profile_id, 1 AS o, 'explore' AS step, CAST(program_id AS VARCHAR) AS what, CAST(NULL AS TIMESTAMP) AS first_at FROM r WHERE place = 1
   UNION ALL SELECT profile_id, 2, 'compare', string_agg(CAST(program_id AS VARCHAR), ',' ORDER BY place), NULL FROM r WHERE place <= 2 GROUP BY 1 HAVING count(*) = 2
   UNION ALL SELECT profile_id, 3, 'attend', CAST(event_id AS VARCHAR), min(starts_at) FROM r JOIN elinks USING (program_id) JOIN calendar USING (event_id) WHERE starts_at > TIMESTAMP '{NOW}' GROUP BY profile_id, event_id)
-  SELECT profile_id, step, what, first_at AS starts_at, row_number() OVER (PARTITION BY profile_id ORDER BY o, first_at NULLS FIRST, what) AS step_number FROM x""", *OUT, "scored", "parts", "calendar", "elinks"),
+  SELECT profile_id, step, what, first_at AS starts_at, row_number() OVER (PARTITION BY profile_id ORDER BY o, first_at NULLS FIRST, what) AS step_number FROM x"""
+add(
+    "wn18_plan_steps",
+    lambda s, d: decision.plan_steps(recs(s, d), calendar(s, d).join(event_links(s, d), "event_id"), F.lit(NOW).cast("timestamp")),
+    sql(PLAN, *OUT, "scored", "parts", "calendar", "elinks"),
 )
 add(
     "jn17_candidate_snapshot",
@@ -497,8 +498,40 @@ def actions(s, d):
     return e.select("owner_key", k.alias("seq"), act.alias("action"), (k % 6).alias("program_id"))
 
 
-add("ss4_decision_state", lambda s, d: decision.decision_state(actions(s, d)).select("owner_key", "revision", "rejected", F.size("shortlist").alias("shortlisted"), "choice"))
-add("ss7_sliding_cap", lambda s, d: stream.sliding_cap_batch(P.decision_events(s, d), 3, 86400))
+_ACTIONS = """acts AS (SELECT owner_key, event_id % 6 AS p, CASE event_type WHEN 'session_started' THEN 'add' WHEN 'program_added' THEN 'add'
+    WHEN 'comparison_started' THEN 'choose' WHEN 'comparison_completed' THEN 'remove'
+    ELSE CASE WHEN event_id % 2 = 0 THEN 'exclude' ELSE 'restore' END END AS act,
+    row_number() OVER (PARTITION BY owner_key ORDER BY event_id) AS n FROM decisions)"""
+add(
+    "ss4_decision_state",
+    lambda s, d: decision.decision_state(actions(s, d)).select("owner_key", "revision", "rejected", F.size("shortlist").alias("shortlisted"), "choice"),
+    P.recursive(
+        f"""{_ACTIONS}, fold(owner_key, n, short, gone, choice, revision, rejected) AS (
+    SELECT DISTINCT owner_key, 0::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT, 0, 0 FROM acts
+    UNION ALL SELECT owner_key, n, CASE WHEN ok AND act = 'add' THEN list_append(short, p)
+      WHEN ok AND act IN ('remove', 'exclude') THEN list_filter(short, lambda x: x <> p) ELSE short END,
+      CASE WHEN ok AND act = 'exclude' THEN list_append(gone, p) WHEN ok AND act = 'restore' THEN list_filter(gone, lambda x: x <> p) ELSE gone END,
+      CASE WHEN ok AND act = 'choose' THEN p WHEN ok AND act IN ('remove', 'exclude') AND choice = p THEN NULL ELSE choice END,
+      revision + ok::INT, rejected + (NOT ok)::INT
+    FROM (SELECT f.*, CASE act WHEN 'add' THEN NOT on_ AND NOT out_ WHEN 'exclude' THEN NOT out_ WHEN 'restore' THEN out_ ELSE on_ END AS ok
+      FROM (SELECT a.owner_key, a.n, a.act, a.p, short, gone, choice, revision, rejected,
+        list_contains(short, a.p) AS on_, list_contains(gone, a.p) AS out_ FROM fold JOIN acts a ON a.owner_key = fold.owner_key AND a.n = fold.n + 1) f))
+  SELECT owner_key, revision, rejected, CAST(len(short) AS INT) AS shortlisted, choice FROM fold QUALIFY row_number() OVER (PARTITION BY owner_key ORDER BY n DESC) = 1""",
+        "decisions",
+    ),
+)
+add(
+    "ss7_sliding_cap",
+    lambda s, d: stream.sliding_cap_batch(P.decision_events(s, d), 3, 86400),
+    P.recursive(
+        """e AS (SELECT owner_key, event_id, epoch_us(occurred_at) AS us, row_number() OVER (PARTITION BY owner_key ORDER BY epoch_us(occurred_at), event_id) AS n FROM decisions),
+  fold(owner_key, n, event_id, kept, ok) AS (SELECT DISTINCT owner_key, 0::BIGINT, NULL::BIGINT, []::BIGINT[], false FROM e
+    UNION ALL SELECT owner_key, n, event_id, CASE WHEN len(live) < 3 THEN list_append(live, us) ELSE live END, len(live) < 3
+    FROM (SELECT e.*, list_filter(kept, lambda x: x > e.us - 86400000000) AS live FROM fold JOIN e ON e.owner_key = fold.owner_key AND e.n = fold.n + 1))
+  SELECT owner_key, event_id FROM fold WHERE ok""",
+        "decisions",
+    ),
+)
 add(
     "ss6_split_client_events", lambda s, d: stream.split_client_events(P.decision_events(s, d))[1].groupBy("event_type").agg(F.count(F.lit(1)).alias("refused")),
     sql("SELECT event_type, count(*) AS refused FROM decisions WHERE event_type IN ('session_started', 'session_expired', 'final_choice_confirmed') GROUP BY 1", "decisions"),

@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from edulens.plans import analytics, records, rules, scoring
+from edulens.plans import analytics, guidance, records, rules, scoring
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-PLANS = (analytics, scoring, records, rules)
+PLANS = (analytics, scoring, records, rules, guidance)
 NAMES = sorted(n for m in PLANS for n in m.S)
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
