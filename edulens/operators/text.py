@@ -66,20 +66,27 @@ def extract_claims(documents: DataFrame, pattern: str, limit: int = CLAIMS_PER_D
     """Lines that match ``pattern``, with offset and page, once per document.
 
     Length is held to [CLAIM_MIN, CLAIM_MAX]; the first ``limit`` of a document
-    are its claims. Pages are counted by form feeds. Lines are exploded per
-    document and only matching ones are shuffled.
+    are its claims. Pages are counted by form feeds. Of a line that does not
+    match only the lengths go on; offsets are running sums of them, so the work
+    is linear in a document's length.
     """
-    lines = F.split("text", "\n", -1)
-    starts = F.aggregate(
-        F.slice(lines, 1, F.greatest(F.lit(0), F.col("line"))), F.lit(0), lambda s, x: s + F.length(x) + 1
-    )
-    df = documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.posexplode(lines).alias("line", "raw"))
-    trimmed = F.trim("raw")
-    kept = df.where(F.length(trimmed).between(CLAIM_MIN, CLAIM_MAX) & trimmed.rlike(pattern))
-    kept = kept.select(
-        "doc_id", "line", trimmed.alias("claim"), starts.alias("start"),
-        (F.size(F.split(F.substring("text", F.lit(1), starts), "\f", -1))).alias("page"),
+    def facts(x):
+        claim = F.trim(x)
+        fits = F.length(claim).between(CLAIM_MIN, CLAIM_MAX) & claim.rlike(pattern)
+        feeds = F.size(F.split(x, "\f", -1)) - 1
+        return F.struct((F.length(x) + 1).alias("size"), feeds.alias("feeds"), F.when(fits, claim).alias("claim"))
+
+    lines = F.transform(F.split("text", "\n", -1), facts)
+    df = documents.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("_row"), lines.alias("lines"))
+    df = df.select("doc_id", "_row", F.posexplode("lines").alias("line", "l"))
+    before = Window.partitionBy("_row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.select("doc_id", "_row", "line", "l.*").withColumns(
+        {
+            "start": F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int"),
+            "page": (F.coalesce(F.sum("feeds").over(before), F.lit(0)) + 1).cast("int"),
+        }
     )
+    kept = placed.where("claim is not null").select("doc_id", "line", "claim", "start", "page")
     digest = F.sha2(F.lower("claim"), 256)
     w = Window.partitionBy("doc_id", "digest").orderBy("line")
     n = Window.partitionBy("doc_id").orderBy("line")

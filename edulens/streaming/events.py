@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+KEEP_DAYS = 180
 SERVER_ONLY = ("session_started", "session_expired", "final_choice_confirmed")
 
 
@@ -42,10 +43,10 @@ def split_client_events(stream: DataFrame, server_only: tuple = SERVER_ONLY) ->
 
 def _cap_step(limit: int, seconds: int):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        if state.hasTimedOut:
+        if state.hasTimedOut:  # the last kept time is past the window
             state.remove()
             return
+        kept = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches)).sort_values(["occurred_at", "event_id"])
         accepted = []
         for t in pdf["occurred_at"]:
@@ -56,16 +57,22 @@ def _cap_step(limit: int, seconds: int):
                 kept.append(at)
             accepted.append(ok)
         state.update((kept,))
+        state.setTimeoutTimestamp(max(int((max(kept) + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"owner_key": pdf["owner_key"], "event_id": pdf["event_id"], "accepted": accepted})
 
     return step
 
 
-def sliding_cap(stream: DataFrame, limit: int, seconds: int) -> DataFrame:
+def sliding_cap(stream: DataFrame, limit: int, seconds: int, delay: str = "1 day") -> DataFrame:
     """An event passes if fewer than ``limit`` accepted ones lie in the
-    ``seconds`` before it; at most ``limit`` times are kept per key."""
-    return stream.groupBy("owner_key").applyInPandasWithState(
-        _cap_step(limit, seconds), "owner_key long, event_id long, accepted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout
+    ``seconds`` before it; at most ``limit`` times are kept per key, and a key's
+    state goes once the watermark is past the window of its last event."""
+    return stream.withWatermark("occurred_at", delay).groupBy("owner_key").applyInPandasWithState(
+        _cap_step(limit, seconds),
+        "owner_key long, event_id long, accepted boolean",
+        "times array<double>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -88,6 +95,9 @@ def sliding_cap_batch(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 def _decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     short, gone, choice, revision = state.get if state.exists else ([], [], None, 0)
     short, gone = list(short), list(gone)
     pdf = pd.concat(list(batches)).sort_values("seq")
@@ -115,17 +125,24 @@ def _decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
                 choice = None
         rows.append((int(key[0]), int(seq), ok, revision, len(short), len(short) != was))
     state.update((short, gone, choice, revision))
+    if "occurred_at" in pdf:
+        last = int(pdf["occurred_at"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last + KEEP_DAYS * 86_400_000, state.getCurrentWatermarkMs()) + 1)
     yield pd.DataFrame(rows, columns=["owner_key", "seq", "legal", "revision", "shortlist_size", "size_changed"])
 
 
 def decision_stream(stream: DataFrame) -> DataFrame:
-    """Decision state per owner as actions arrive, with derived facts."""
+    """Decision state per owner as actions arrive, with derived facts. With a
+    column ``occurred_at`` an owner's state goes KEEP_DAYS after the last action."""
+    timed = "occurred_at" in stream.columns
+    if timed:
+        stream = stream.withWatermark("occurred_at", "1 day")
     return stream.groupBy("owner_key").applyInPandasWithState(
         _decide,
         "owner_key long, seq long, legal boolean, revision int, shortlist_size int, size_changed boolean",
         "shortlist array<bigint>, excluded array<bigint>, choice bigint, revision int",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout,
     )
 
 

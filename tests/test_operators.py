@@ -212,6 +212,40 @@ def test_decision_stream_matches_fold(spark, tmp_path):
     assert last == {o: brute([a for a in actions() if a[0] == o])[3] for o in range(4)}
 
 
+def test_decision_stream_with_times_and_sessions(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(*a, t0 + dt.timedelta(minutes=a[1])) for a in actions()]
+    src = as_stream(spark, tmp_path, data, "owner_key long, seq long, action string, program_id long, occurred_at timestamp")
+    got = run_stream(spark, stream.decision_stream(src))
+    last = {r.owner_key: r.rev for r in got.groupBy("owner_key").agg(F.max("revision").alias("rev")).collect()}
+    assert last == {o: brute([a for a in actions() if a[0] == o])[3] for o in range(4)}
+    assert run_stream(spark, stream.session_windows(src), "complete").agg(F.sum("events")).first()[0] == len(data)
+
+
+def test_selector_trees_of_any_height(spark):
+    """all over any over all … nine levels deep, and a circle."""
+    kinds = ["all", "any"] * 4 + ["all"]
+    nodes = [(1, k, k - 1 if k else None, kind, None, None) for k, kind in enumerate(kinds)]
+    nodes += [(1, 9, 8, "equals", "f", ["x"]), (1, 10, 4, "in", "g", ["a", "b"]), (2, 0, None, "exists", "f", None)]
+    schema = "rule_id long, node_id int, parent_id int, kind string, field string, values array<string>"
+    ctx = [(1, "f", "x", "known"), (1, "g", "c", "known"), (2, "f", "y", "known"), (2, "g", "a", "unknown"), (3, "h", "z", "known")]
+    context = spark.createDataFrame(ctx, "request_id long, field string, value string, availability string")
+    got = {(r.request_id, r.rule_id): r.v for r in policy.eval_selectors(spark.createDataFrame(nodes, schema), context).collect()}
+    assert got == {(1, 1): 0.0, (1, 2): 1.0, (2, 1): 0.0, (2, 2): 1.0, (3, 1): 0.5, (3, 2): 0.0}
+    circle = spark.createDataFrame([(1, 1, 2, "all", None, None), (1, 2, 1, "any", None, None)], schema)
+    with pytest.raises(ValueError):
+        policy.eval_selectors(circle, context)
+
+
+def test_traverse_caps_nodes(spark):
+    edges = spark.createDataFrame([(k, 2 * k + i) for k in range(1, 200) for i in (0, 1)], "source long, target long")
+    roots = spark.createDataFrame([(1,), (150,)], "root long")
+    got = policy.traverse(edges, roots, 10, max_nodes=20)
+    assert {r.root: r["count"] for r in got.groupBy("root").count().collect()} == {1: 20, 150: 3}
+    assert {r.root for r in got.where("truncated").collect()} == {1}
+    assert policy.traverse(edges, roots, 10).where("root = 1").count() == 399
+
+
 def test_json_readers(spark, tmp_path):
     ok = {"external_key": "e1", "title": "T", "kind": "lecture", "starts_at": "2024-05-01T10:00:00+03:00", "ends_at": "2024-05-01T11:00:00+03:00", "venue": {"external_key": "v", "name": "V"}}
     bad = [dict(ok, ends_at="2024-05-01T09:00:00+03:00"), dict(ok, starts_at="2024-05-01T10:00:00"), dict(ok, kind="party"), dict(ok, title=None)]
