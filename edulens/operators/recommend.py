@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.reference_data import activity_table
-from ..functions.scalars import settled
+from ..functions.scalars import dot, settled
 
 # Weights of the content fit and of the evidence parts.
 SUBJECT, ACTIVITY, DISTINCTIVE, ANTI = 0.55, 0.25, 0.20, 0.60
 PROFILE_PART, CATALOG_PART, FRESHNESS_PART = 0.50, 0.30, 0.20
 NEUTRAL = 50.0
+PROFILE_BLOCK = 20_000
 
 
 def distinctive_subjects(loads: DataFrame, disciplines: DataFrame, k: int = 8) -> DataFrame:
@@ -62,50 +63,53 @@ def profile_confidence(answers: DataFrame, n_questions: int) -> DataFrame:
     )
 
 
+def _maps(df: DataFrame, key: str, **columns) -> DataFrame:
+    """One row per ``key``: for each name a map of ``(item, value)`` pairs that are not null."""
+    made = [F.map_from_entries(F.array_sort(F.collect_list(pair))).alias(name) for name, pair in columns.items()]
+    return df.groupBy(key).agg(*made)
+
+
 def content_fit(profiles: DataFrame, area_share: DataFrame, activity_share: DataFrame, subjects: DataFrame) -> DataFrame:
     """Content fit of every profile with every program.
 
     ``profiles`` is tall (build_profiles), shares are tall, ``subjects`` has
-    (program_id, area, distinctiveness). Parts are equi-joins on the keys that
-    both sides have; a preference that is missing counts as NEUTRAL. The output
-    is profiles x programs by definition; rank it with rank_fit.
+    (program_id, area, distinctiveness). Each profile and each program becomes
+    one row of maps with a fixed number of keys, so a pair is scored where it is
+    made and nothing is shuffled per key; a preference that is missing counts as
+    NEUTRAL. The output is profiles x programs by definition: give a query set
+    of profiles and rank with rank_fit, which keeps the best of each task first.
     """
-    kinds = profiles.groupBy("profile_id").agg(
-        F.bool_or(F.col("kind") == "subject").alias("has_subject"), F.bool_or(F.col("kind") == "activity").alias("has_activity")
-    )
-    pick = lambda k: profiles.where(F.col("kind") == k).select("profile_id", "key", "weight")
-    area = area_share.select("program_id", F.col("area").alias("key"), "share")
-    act = activity_share.select("program_id", F.col("activity").alias("key"), "share")
-    dist = subjects.groupBy("program_id", F.col("area").alias("key")).agg(F.sum("distinctiveness").alias("share"))
-    total = subjects.groupBy("program_id").agg(F.sum("distinctiveness").alias("d_total"))
-    matrix = activity_table(profiles.sparkSession)
+    tall = profiles.groupBy("profile_id", "kind", "key").agg(F.sum("weight").alias("weight"))
+    of = lambda kind: F.when(F.col("kind") == kind, F.struct("key", "weight"))
+    wanted = _maps(tall, "profile_id", p_subject=of("subject"), p_activity=of("activity"), p_anti=of("negative"))
     # An area's affinity for a profile: its own weight and that of its activities.
-    own = pick("subject").select("profile_id", "key", (F.col("weight") * 0.7).alias("weight"))
-    via = (
-        pick("activity")
-        .join(F.broadcast(matrix), F.col("key") == F.col("activity"))
-        .groupBy("profile_id", F.col("area").alias("key"))
-        .agg((F.sum(F.col("weight") * F.col("activity_weight")) * 0.3).alias("weight"))
-    )
+    matrix = activity_table(profiles.sparkSession)
+    own = tall.where("kind = 'subject'").select("profile_id", "key", (F.col("weight") * 0.7).alias("weight"))
+    via = tall.where("kind = 'activity'").join(F.broadcast(matrix), F.col("key") == F.col("activity"))
+    via = via.select("profile_id", F.col("area").alias("key"), (F.col("weight") * F.col("activity_weight") * 0.3).alias("weight"))
     affinity = own.unionByName(via).groupBy("profile_id", "key").agg(F.sum("weight").alias("weight"))
+    wanted = wanted.join(_maps(affinity, "profile_id", p_distinctive=F.struct("key", "weight")), "profile_id", "left")
 
-    def part(weights: DataFrame, shares: DataFrame, name: str) -> DataFrame:
-        return weights.join(shares, "key").select(
-            "profile_id", "program_id", F.lit(name).alias("part"), (F.col("weight") * F.col("share")).alias("x")
-        )
-
-    parts = (
-        part(pick("subject"), area, "subject")
-        .unionByName(part(pick("activity"), act, "activity"))
-        .unionByName(part(pick("negative"), area, "anti"))
-        .unionByName(part(affinity, dist, "distinctive"))
-    )
-    s = lambda n: F.coalesce(F.sum(F.when(F.col("part") == n, F.col("x"))), F.lit(0.0)) * 100
-    sums = parts.groupBy("profile_id", "program_id").agg(
-        *[s(n).alias(f"s_{n}") for n in ("subject", "activity", "anti", "distinctive")]
+    dist = subjects.groupBy("program_id", "area").agg(F.sum("distinctiveness").alias("share"))
+    offered = _maps(area_share, "program_id", area=F.struct(F.col("area"), F.col("share")))
+    offered = offered.join(_maps(activity_share, "program_id", activity=F.struct("activity", "share")), "program_id", "left")
+    offered = offered.join(_maps(dist, "program_id", distinct=F.struct("area", "share")), "program_id", "left")
+    total = subjects.groupBy("program_id").agg(F.sum("distinctiveness").alias("d_total"))
+    offered = offered.join(total, "program_id", "left")
+
+    points = lambda a, b: F.coalesce(dot(F.col(a), F.col(b)), F.lit(0.0)) * 100
+    # The query set goes to the programs where it is small; else Spark pairs blocks of both.
+    wanted = F.broadcast(wanted) if wanted.count() <= PROFILE_BLOCK else wanted
+    out = offered.crossJoin(wanted).withColumns(
+        {
+            "has_subject": F.size("p_subject") > 0,
+            "has_activity": F.size("p_activity") > 0,
+            "s_subject": points("p_subject", "area"),
+            "s_activity": points("p_activity", "activity"),
+            "s_anti": points("p_anti", "area"),
+            "s_distinctive": points("p_distinctive", "distinct"),
+        }
     )
-    programs = area_share.select("program_id").distinct()
-    out = kinds.join(programs).join(sums, ["profile_id", "program_id"], "left").join(total, "program_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     subject = F.when(F.col("has_subject"), z("s_subject")).otherwise(NEUTRAL)
     activity = F.when(F.col("has_activity"), z("s_activity")).otherwise(NEUTRAL)
