@@ -296,7 +296,7 @@ add(
 add(
     "src5_extract_text", lambda s, d: readers.extract_text(P.table(s, d, "pages")).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.col("text").contains("<").alias("markup")),
     r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style|nav|footer|noscript|svg)\b.*?</(script|style|nav|footer|noscript|svg)>', '<x>', 'g') AS h FROM pages),
-  b AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(h, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: trim(regexp_replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS t FROM a)
+  b AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(h, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS t FROM a)
   SELECT page_id, CAST(length(array_to_string(t, chr(10))) AS INT) AS n_chars, sha256(array_to_string(t, chr(10))) AS text_sha256, contains(array_to_string(t, chr(10)), '<') AS markup FROM b""",
 )
 
