@@ -63,7 +63,10 @@ def university_of(col: Column) -> Column:
 def scoped_program_id(col: Column, university: Column) -> Column:
     """A ``program:code`` id gets its university; scoped ones stay."""
     parts = F.split(col, ":")
-    return F.when(F.size(parts) == 2, F.concat_ws(":", F.get(parts, F.lit(0)), university, F.get(parts, F.lit(1)))).otherwise(col)
+    return F.when(
+        F.size(parts) == 2,
+        F.concat_ws(":", F.get(parts, F.lit(0)), university, F.get(parts, F.lit(1)))
+    ).otherwise(col)
 
 
 def code_from_id(col: Column) -> Column:

@@ -62,7 +62,10 @@ def admission_fit(matched: DataFrame, offerings: DataFrame) -> DataFrame:
     keys = ["applicant_id", "offering_id"]
     known = F.col("score").isNotNull()
     minimum = F.col("minimum_score")
-    ratio = F.when(known & minimum.isNotNull(), F.when(minimum == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("score") / minimum)))
+    ratio = F.when(
+        known & minimum.isNotNull(),
+        F.when(minimum == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("score") / minimum))
+    )
     per = matched.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count("score").alias("n_known"),
@@ -80,7 +83,10 @@ def admission_fit(matched: DataFrame, offerings: DataFrame) -> DataFrame:
     )
     c = percent(F.col("n_known") / F.col("n"))
     j = j.withColumns({"minimum_readiness": a, "passing_readiness": b, "data_completeness": c})
-    parts = [("minimum_readiness", MINIMUM_PART), ("passing_readiness", PASSING_PART), ("data_completeness", COMPLETENESS_PART)]
+    parts = [
+        ("minimum_readiness", MINIMUM_PART), ("passing_readiness", PASSING_PART),
+        ("data_completeness", COMPLETENESS_PART)
+    ]
     top = sum((F.coalesce(F.col(x) * w, F.lit(0.0)) for x, w in parts), F.lit(0.0))
     bottom = sum((F.when(F.col(x).isNotNull(), w).otherwise(0.0) for x, w in parts), F.lit(0.0))
     j = j.withColumn("fit_score", F.round(F.round(top / bottom, 8)).cast("int"))
@@ -119,14 +125,19 @@ def fit_summary(results: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def admission_fit_batch(applicants: DataFrame, programs: DataFrame, offerings: DataFrame, exams: DataFrame, **filters) -> tuple[DataFrame, DataFrame]:
+def admission_fit_batch(
+    applicants: DataFrame, programs: DataFrame, offerings: DataFrame, exams: DataFrame, **filters
+) -> tuple[DataFrame, DataFrame]:
     """Fit of every applicant with the one fitting offering of every program,
     and the programs that are gaps."""
     picked = pick_offering(programs, offerings, **filters)
     chosen = picked.where("offering_id is not null").select("program_id", "offering_id")
     pairs = applicants.select("applicant_id").distinct().join(chosen)
     matched = match_exam_scores(exams, applicants, pairs)
-    return admission_fit(matched, offerings.join(chosen, ["program_id", "offering_id"], "left_semi")), picked.where("gap is not null")
+    return admission_fit(
+        matched,
+        offerings.join(chosen, ["program_id", "offering_id"], "left_semi")
+    ), picked.where("gap is not null")
 
 
 def latest_year(offerings: DataFrame, form: str, funding: str) -> DataFrame:

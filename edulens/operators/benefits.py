@@ -16,14 +16,18 @@ def rule_scope(rules: DataFrame, targets: DataFrame, programs: DataFrame) -> Dat
     unresolved target and asks for review.
     """
     t = targets.select("rule_id", "kind", "value")
-    unresolved = t.where("kind is not null and value is null").select("rule_id").distinct().withColumn("open", F.lit(True))
+    unresolved = t.where(
+        "kind is not null and value is null"
+    ).select("rule_id").distinct().withColumn("open", F.lit(True))
     named = []  # programs that a target names, found by the target's own value
     for kind, column in (("program", "program_id"), ("direction", "direction_id")):
         own = programs.select("program_id", F.col(column).cast("string").alias("value"))
         named.append(t.where(F.col("kind") == kind).join(own, "value").select("rule_id", "program_id"))
     hits = named[0].unionByName(named[1]).distinct().withColumn("hit", F.lit(True))
     own = rules.select("rule_id", "university_id", "mode").join(unresolved, "rule_id", "left")
-    pairs = own.join(programs.select("program_id", "university_id"), "university_id").join(hits, ["rule_id", "program_id"], "left")
+    pairs = own.join(
+        programs.select("program_id", "university_id"), "university_id"
+    ).join(hits, ["rule_id", "program_id"], "left")
     hit = pairs.withColumns({"hit": F.coalesce("hit", F.lit(False)), "open": F.coalesce("open", F.lit(False))})
     verdict = (
         F.when(F.col("mode") == "all", "applies")
@@ -59,7 +63,9 @@ def confirm(facts: DataFrame, needed: DataFrame, scores: DataFrame) -> DataFrame
         F.count("threshold").alias("listed"),
     )
     state = (
-        F.when(F.col("listed") == 0, "not_required").when(F.col("yes"), "confirmed").when(F.col("known") > 0, "not_confirmed").otherwise("missing_score")
+        F.when(
+            F.col("listed") == 0, "not_required"
+        ).when(F.col("yes"), "confirmed").when(F.col("known") > 0, "not_confirmed").otherwise("missing_score")
     )
     return per.select("applicant_id", "fact_id", "rule_id", state.alias("confirmation"))
 
@@ -81,18 +87,26 @@ def benefit_eligibility(facts: DataFrame, rules: DataFrame, scoped: DataFrame, c
         .otherwise("eligible")
     )
     rank = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.col("outcome"))
-    best = F.max_by(F.struct("route", "rule_id", "outcome"), F.struct("rank", (F.col("route") == "bvi").alias("b"), (-F.col("rule_id")).alias("r")))
+    best = F.max_by(
+        F.struct("route", "rule_id", "outcome"),
+        F.struct("rank", (F.col("route") == "bvi").alias("b"), (-F.col("rule_id")).alias("r"))
+    )
     return (
         j.withColumn("outcome", status).withColumn("rank", rank)
         .groupBy("applicant_id", "program_id").agg(best.alias("b"), F.count_distinct("rule_id").alias("rules_seen"))
-        .select("applicant_id", "program_id", F.col("b.outcome").alias("status"), F.col("b.route").alias("route"), F.col("b.rule_id").alias("rule_id"), "rules_seen")
+        .select(
+            "applicant_id", "program_id", F.col("b.outcome").alias("status"), F.col("b.route").alias("route"),
+            F.col("b.rule_id").alias("rule_id"), "rules_seen"
+        )
     )
 
 
 def hundred_points(matched: DataFrame, rights: DataFrame) -> DataFrame:
     """Exam scores with 100 where an accepted right names the subject."""
     r = rights.select("applicant_id", "subject").distinct().withColumn("_full", F.lit(100.0))
-    return matched.join(r, ["applicant_id", "subject"], "left").withColumn("effective", F.coalesce("_full", "score")).drop("_full")
+    return matched.join(r, ["applicant_id", "subject"], "left").withColumn(
+        "effective", F.coalesce("_full", "score")
+    ).drop("_full")
 
 
 def best_choice_exams(exams: DataFrame) -> DataFrame:
@@ -101,7 +115,9 @@ def best_choice_exams(exams: DataFrame) -> DataFrame:
     keys = ["applicant_id", "offering_id", "group_id"]
     w = Window.partitionBy(*keys).orderBy(F.col("effective").desc(), "subject")
     ok = exams.where("effective is not null and (minimum_score is null or effective >= minimum_score)")
-    ranked = ok.withColumn("n", F.row_number().over(w)).withColumn("valid", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    ranked = ok.withColumn("n", F.row_number().over(w)).withColumn(
+        "valid", F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    )
     return ranked.where("n <= group_max and valid >= group_min")
 
 
@@ -116,8 +132,12 @@ def dedupe_achievements(facts: DataFrame) -> DataFrame:
 
 def apply_caps(awards: DataFrame, global_cap: float) -> DataFrame:
     """Points after a cap per category and one over all, used up in source order."""
-    cat = Window.partitionBy("applicant_id", "category").orderBy("place", "code", "year").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy("applicant_id").orderBy("place", "code", "year").rowsBetween(Window.unboundedPreceding, -1)
+    cat = Window.partitionBy("applicant_id", "category").orderBy("place", "code", "year").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    all_ = Window.partitionBy("applicant_id").orderBy("place", "code", "year").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     used = F.least(F.col("category_cap"), F.coalesce(F.sum("points").over(cat), F.lit(0.0)))
     inner = awards.withColumn("in_category", F.least("points", F.greatest(F.lit(0.0), F.col("category_cap") - used)))
     spent = F.coalesce(F.sum("in_category").over(all_), F.lit(0.0))
@@ -144,9 +164,13 @@ def competitive_score(matched: DataFrame, awards: DataFrame, eligible: DataFrame
     out = per.join(extra, "applicant_id", "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
     bvi = F.lit(False)
     if eligible is not None:
-        free = eligible.where("status = 'eligible' and route = 'bvi'").select("applicant_id").distinct().withColumn("_bvi", F.lit(True))
+        free = eligible.where(
+            "status = 'eligible' and route = 'bvi'"
+        ).select("applicant_id").distinct().withColumn("_bvi", F.lit(True))
         out, bvi = out.join(free, "applicant_id", "left"), F.coalesce(F.col("_bvi"), F.lit(False))
-    status = F.when(bvi, "not_applicable").when(F.col("failed"), "failed").when(F.col("missing") > 0, "partial").otherwise("complete")
+    status = F.when(bvi, "not_applicable").when(F.col("failed"), "failed").when(
+        F.col("missing") > 0, "partial"
+    ).otherwise("complete")
     total = F.when(status != "not_applicable", F.coalesce("exam_points", F.lit(0.0)) + F.col("bonus"))
     return out.select(*keys, total.alias("total"), status.alias("status"), "missing")
 
@@ -154,7 +178,12 @@ def competitive_score(matched: DataFrame, awards: DataFrame, eligible: DataFrame
 def admission_decision(scores: DataFrame, facts: DataFrame, rights: DataFrame) -> DataFrame:
     """Achievements that an accepted right has not already used."""
     used = rights.select("applicant_id", "code").distinct()
-    return scores.join(facts.join(used, ["applicant_id", "code"], "left_anti").groupBy("applicant_id").agg(F.count(F.lit(1)).alias("free_achievements")), "applicant_id", "left")
+    return scores.join(
+        facts.join(used, ["applicant_id", "code"], "left_anti").groupBy("applicant_id").agg(
+            F.count(F.lit(1)).alias("free_achievements")
+        ),
+        "applicant_id", "left"
+    )
 
 
 def verify_selection(selected: DataFrame, active: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def find_events(events: DataFrame, links: DataFrame, start=None, end=None, kind=None, program_ids: DataFrame | None = None, limit: int = 100) -> DataFrame:
+def find_events(
+    events: DataFrame, links: DataFrame, start=None, end=None, kind=None, program_ids: DataFrame | None = None,
+    limit: int = 100
+) -> DataFrame:
     """Events by date (ends included), kind and linked programs, with the total."""
     out = events
     if start is not None:
@@ -22,7 +25,9 @@ def find_events(events: DataFrame, links: DataFrame, start=None, end=None, kind=
     return out.orderBy("starts_at", "event_id").limit(limit).join(F.broadcast(total), F.lit(True))
 
 
-def find_points(points: DataFrame, point_links: DataFrame, events: DataFrame, event_links: DataFrame, wanted: DataFrame) -> DataFrame:
+def find_points(
+    points: DataFrame, point_links: DataFrame, events: DataFrame, event_links: DataFrame, wanted: DataFrame
+) -> DataFrame:
     """Points linked to a wanted program directly or by an event held there."""
     direct = point_links.join(wanted, "program_id", "left_semi").select("point_id")
     held = events.join(event_links.join(wanted, "program_id", "left_semi"), "event_id", "left_semi").select("point_id")
@@ -30,7 +35,9 @@ def find_points(points: DataFrame, point_links: DataFrame, events: DataFrame, ev
 
 
 def collect_links(entities: DataFrame, links: DataFrame, key: str, linked: str) -> DataFrame:
-    per = links.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(linked)), ",").alias("links"), F.count_distinct(linked).alias("n_links"))
+    per = links.groupBy(key).agg(
+        F.array_join(F.array_sort(F.collect_set(linked)), ",").alias("links"), F.count_distinct(linked).alias("n_links")
+    )
     return entities.join(per, key, "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
@@ -43,14 +50,20 @@ def recommended_places(events: DataFrame, links: DataFrame, wanted: DataFrame) -
 def public_catalog(canonical: DataFrame, overlays: DataFrame, units: DataFrame) -> DataFrame:
     """Programs that are not hidden and whose unit is published, with the
     overlay's title where it has one."""
-    j = canonical.join(overlays, "program_id", "left").join(units.where("published").select("unit_id"), "unit_id", "left_semi")
+    j = canonical.join(overlays, "program_id", "left").join(
+        units.where("published").select("unit_id"), "unit_id", "left_semi"
+    )
     return j.where("coalesce(hidden, false) = false").withColumn("title", F.coalesce("title_override", "name"))
 
 
 def public_editorial_events(events: DataFrame, targets: DataFrame, units: DataFrame) -> DataFrame:
     """Published events; those for selected units only while one is published."""
-    live = targets.join(units.where("published").select("unit_id"), "unit_id", "left_semi").groupBy("event_id").agg(F.count_distinct("unit_id").alias("n_targets"))
-    j = events.where("status = 'published'").join(live, "event_id", "left").withColumn("n_targets", F.coalesce("n_targets", F.lit(0)))
+    live = targets.join(
+        units.where("published").select("unit_id"), "unit_id", "left_semi"
+    ).groupBy("event_id").agg(F.count_distinct("unit_id").alias("n_targets"))
+    j = events.where("status = 'published'").join(live, "event_id", "left").withColumn(
+        "n_targets", F.coalesce("n_targets", F.lit(0))
+    )
     return j.where("audience <> 'selected' or n_targets > 0")
 
 

@@ -81,7 +81,10 @@ def conflicts(df: DataFrame, identity: list[str], value: str) -> DataFrame:
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*identity)
-        .agg(F.count_distinct(value).alias("n_values"), F.count(F.lit(1)).alias("n_records"), F.min(value).alias("low"), F.max(value).alias("high"))
+        .agg(
+            F.count_distinct(value).alias("n_values"), F.count(F.lit(1)).alias("n_records"), F.min(value).alias("low"),
+            F.max(value).alias("high")
+        )
         .where("n_values >= 2")
     )
 
@@ -110,7 +113,9 @@ def stale_rules(prev_rules: DataFrame, cur_rules: DataFrame, changes: DataFrame)
 
 def coverage_status(expected: Column, found: Column, review: Column) -> Column:
     return (
-        F.when((found >= expected) & (review == 0), "complete").when(found >= expected, "review_required").otherwise("partial")
+        F.when(
+            (found >= expected) & (review == 0), "complete"
+        ).when(found >= expected, "review_required").otherwise("partial")
     )
 
 
@@ -133,7 +138,9 @@ def catalog(programs: DataFrame, university: int, limit: int = 100) -> DataFrame
 def added_removed(prev: DataFrame, cur: DataFrame, key: str) -> DataFrame:
     a = prev.select(key).distinct()
     b = cur.select(key).distinct()
-    return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
+    return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(
+        a.exceptAll(b).withColumn("change", F.lit("removed"))
+    )
 
 
 def union_runs(*runs: DataFrame) -> DataFrame:

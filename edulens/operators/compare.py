@@ -23,7 +23,12 @@ def align_curricula(rows: DataFrame, pairs: DataFrame, semester: int | None = No
     """
     if semester is not None:
         rows = rows.where(F.col("semester") == semester)
-    side = F.explode(F.array(F.struct(F.col("a").alias("program_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("program_id"), F.lit(1).alias("side"))))
+    side = F.explode(
+        F.array(
+            F.struct(F.col("a").alias("program_id"), F.lit(0).alias("side")),
+            F.struct(F.col("b").alias("program_id"), F.lit(1).alias("side"))
+        )
+    )
     wanted = pairs.select("a", "b", side.alias("s")).select("a", "b", "s.program_id", "s.side")
     joined = wanted.join(rows, "program_id")
     one = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
@@ -61,7 +66,9 @@ def area_distribution(area_load: DataFrame) -> DataFrame:
     return df.withColumn("share", share).select("program_id", "area", "share", "place")
 
 
-def key_differences(pairs: DataFrame, program_totals: DataFrame, shares: DataFrame, aligned: DataFrame, k: int = 8) -> DataFrame:
+def key_differences(
+    pairs: DataFrame, program_totals: DataFrame, shares: DataFrame, aligned: DataFrame, k: int = 8
+) -> DataFrame:
     """Per pair: hours, credits, the ``k`` largest area gaps and discipline gaps."""
 
     def both(df: DataFrame, cols: list[str], on: list[str]) -> DataFrame:
@@ -74,33 +81,51 @@ def key_differences(pairs: DataFrame, program_totals: DataFrame, shares: DataFra
         return left.join(right, ["a", "b", *on], "full")
 
     t = both(program_totals, ["hours", "credits"], [])
-    sums = t.select("a", "b", F.expr("stack(2, 'hours', double(hours_b - hours_a), 'credits', double(credits_b - credits_a))").alias("kind", "delta"))
+    sums = t.select(
+        "a", "b",
+        F.expr(
+            "stack(2, 'hours', double(hours_b - hours_a), 'credits', double(credits_b - credits_a))"
+        ).alias("kind", "delta")
+    )
     sums = sums.select("a", "b", "kind", F.lit("total").alias("key"), "delta")
     gap = F.coalesce("share_b", F.lit(0.0)) - F.coalesce("share_a", F.lit(0.0))
-    areas = both(shares, ["share"], ["area"]).select("a", "b", F.lit("area").alias("kind"), F.col("area").alias("key"), F.round(gap, 4).alias("delta"))
+    areas = both(shares, ["share"], ["area"]).select(
+        "a", "b", F.lit("area").alias("kind"), F.col("area").alias("key"), F.round(gap, 4).alias("delta")
+    )
     strength = F.greatest(F.abs("hours_delta"), F.abs("credits_delta")).cast("double")
-    signed = F.when(F.abs("hours_delta") >= F.abs("credits_delta"), F.col("hours_delta")).otherwise(F.col("credits_delta"))
+    signed = F.when(
+        F.abs("hours_delta") >= F.abs("credits_delta"), F.col("hours_delta")
+    ).otherwise(F.col("credits_delta"))
     label = F.concat_ws("@", "name", F.coalesce(F.col("semester").cast("string"), F.lit("-")))
-    subjects = aligned.where(strength > 0).select("a", "b", F.lit("discipline").alias("kind"), label.alias("key"), signed.cast("double").alias("delta"))
+    subjects = aligned.where(strength > 0).select(
+        "a", "b", F.lit("discipline").alias("kind"), label.alias("key"), signed.cast("double").alias("delta")
+    )
     rank = Window.partitionBy("a", "b", "kind").orderBy(F.abs("delta").desc(), "key")
     return (
         sums.unionByName(areas.where("delta <> 0"))
         .unionByName(subjects)
         .withColumn("place", F.row_number().over(rank))
         .where(F.col("place") <= k)
-        .withColumn("direction", F.when(F.col("delta") > 0, "more_in_b").when(F.col("delta") < 0, "more_in_a").otherwise("equal"))
+        .withColumn(
+            "direction",
+            F.when(F.col("delta") > 0, "more_in_b").when(F.col("delta") < 0, "more_in_a").otherwise("equal")
+        )
     )
 
 
 def tradeoffs(differences: DataFrame, k: int = 3) -> DataFrame:
     """The first ``k`` directional area and discipline gaps, told from both sides."""
     rank = Window.partitionBy("a", "b").orderBy(F.when(F.col("kind") == "area", 0).otherwise(1), "place")
-    top = differences.where("kind in ('area', 'discipline') and direction <> 'equal'").withColumn("n", F.row_number().over(rank))
+    top = differences.where(
+        "kind in ('area', 'discipline') and direction <> 'equal'"
+    ).withColumn("n", F.row_number().over(rank))
     sides = F.array(
         F.struct(F.col("a").alias("program_id"), (F.col("direction") == "more_in_a").alias("gains")),
         F.struct(F.col("b").alias("program_id"), (F.col("direction") == "more_in_b").alias("gains")),
     )
-    return top.where(F.col("n") <= k).select("a", "b", "n", "kind", "key", F.explode(sides).alias("s")).select("a", "b", "n", "kind", "key", "s.*")
+    return top.where(F.col("n") <= k).select(
+        "a", "b", "n", "kind", "key", F.explode(sides).alias("s")
+    ).select("a", "b", "n", "kind", "key", "s.*")
 
 
 def summary_gaps(selection: DataFrame, rows: DataFrame) -> DataFrame:

@@ -25,9 +25,13 @@ def latency_report(observations: DataFrame, by: str, value: str, fraction: float
     """Median, and the value at index floor((n - 1) x fraction) of the order."""
     w = Window.partitionBy(by).orderBy(value)
     n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    r = observations.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1).withColumn("_at", F.floor((n - 1) * fraction))
+    r = observations.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1).withColumn(
+        "_at", F.floor((n - 1) * fraction)
+    )
     return r.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.median(value).alias("p50"), F.max(F.when(F.col("_i") == F.col("_at"), F.col(value))).alias("p95")
+        F.count(F.lit(1)).alias("n"), F.median(value).alias("p50"), F.max(
+            F.when(F.col("_i") == F.col("_at"), F.col(value))
+        ).alias("p95")
     )
 
 
@@ -37,7 +41,9 @@ def funnel(events: DataFrame, now=None, approximate: bool = False) -> DataFrame:
     size = json_field(F.col("payload"), "$.k", "int")
     owners = F.approx_count_distinct("owner_key") if approximate else F.count_distinct("owner_key")
     return live.groupBy("event_type").agg(
-        owners.alias("owners"), F.count(F.lit(1)).alias("events"), F.round(F.avg(F.when(size.between(0, 20), size)), 2).alias("average_size")
+        owners.alias("owners"), F.count(F.lit(1)).alias("events"), F.round(
+            F.avg(F.when(size.between(0, 20), size)), 2
+        ).alias("average_size")
     )
 
 
@@ -59,7 +65,13 @@ def questionnaire_stats(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("event_type") == "session_started").alias("started"),
         F.count_if(F.col("event_type") == "final_choice").alias("completed"),
-        F.round(F.try_divide(F.count_if(F.col("event_type") == "final_choice"), F.nullif(F.count_if(F.col("event_type") == "session_started"), F.lit(0))), 4).alias("completion_rate"),
+        F.round(
+            F.try_divide(
+                F.count_if(F.col("event_type") == "final_choice"),
+                F.nullif(F.count_if(F.col("event_type") == "session_started"), F.lit(0))
+            ),
+            4
+        ).alias("completion_rate"),
         F.median("gap").alias("median_response_ms"),
     )
 

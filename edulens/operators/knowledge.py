@@ -85,16 +85,26 @@ def claim_cycles(relations: DataFrame) -> DataFrame:
 
 def idempotent_actions(actions: DataFrame) -> DataFrame:
     """Per (actor, key): applied once, replayed, or in conflict."""
-    a = actions.groupBy("actor", "action_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("payload").alias("payloads"))
-    return a.withColumn("outcome", F.when(F.col("payloads") > 1, "conflict").when(F.col("n") > 1, "replayed").otherwise("applied"))
+    a = actions.groupBy("actor", "action_key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("payload").alias("payloads")
+    )
+    return a.withColumn(
+        "outcome",
+        F.when(F.col("payloads") > 1, "conflict").when(F.col("n") > 1, "replayed").otherwise("applied")
+    )
 
 
-def pending(claims: DataFrame, states: tuple = ("extracted", "pending_review", "needs_changes"), limit: int = 100) -> DataFrame:
+def pending(
+    claims: DataFrame,
+    states: tuple = ("extracted", "pending_review", "needs_changes"), limit: int = 100
+) -> DataFrame:
     open_ = latest_revision(claims, "claim_id").where(F.col("state").isin(*states))
     return open_.orderBy(F.col("recorded_at").desc(), "claim_id").limit(limit)
 
 
-def claims_as_known(claims: DataFrame, observations: DataFrame, sources: DataFrame, at, predicate: str | None = None) -> DataFrame:
+def claims_as_known(
+    claims: DataFrame, observations: DataFrame, sources: DataFrame, at, predicate: str | None = None
+) -> DataFrame:
     known = latest_revision(claims, "claim_id", recorded="recorded_at", as_of=at)
     if predicate is not None:
         known = known.where(F.col("predicate") == predicate)

@@ -144,7 +144,9 @@ def metric_query(
     return sort_limit(out, "value", group_by, descending, limit)
 
 
-def sort_limit(df: DataFrame, metric: str, keys: list[str], descending: bool = True, limit: int | None = 100) -> DataFrame:
+def sort_limit(
+    df: DataFrame, metric: str, keys: list[str], descending: bool = True, limit: int | None = 100
+) -> DataFrame:
     by = F.coalesce(F.col(metric), F.lit(-1))
     out = df.orderBy(by.desc() if descending else by.asc(), *keys)
     return out if limit is None else out.limit(limit)
@@ -169,7 +171,9 @@ def explain_metrics(tall: DataFrame, population: DataFrame) -> DataFrame:
     """Per metric: population, included, missing, evidence. ``tall`` has a row
     per program and metric that is known; ``population`` a row per program."""
     n = population.agg(F.count_distinct("program_id").alias("population"))
-    found = tall.groupBy("feature").agg(F.count("value").alias("included"), F.sum("evidence_count").alias("evidence_count"))
+    found = tall.groupBy("feature").agg(
+        F.count("value").alias("included"), F.sum("evidence_count").alias("evidence_count")
+    )
     # The count is a single row.
     return found.join(F.broadcast(n), F.lit(True)).withColumn("missing", F.col("population") - F.col("included"))
 
@@ -180,9 +184,14 @@ def metric_evidence(evidence: DataFrame, programs: DataFrame, codes: list[str])
 
 def rollup_query(rows: DataFrame, value: str = "value") -> DataFrame:
     """Means by university and direction with subtotals."""
-    return rows.rollup("university_id", "direction_id").agg(settled(F.avg(value), 6).alias("value"), F.count(value).alias("included"))
+    return rows.rollup("university_id", "direction_id").agg(
+        settled(F.avg(value), 6).alias("value"), F.count(value).alias("included")
+    )
 
 
 def distinctive(df: DataFrame, k: int, keys: list[str], order: list[Column]) -> DataFrame:
     """The first ``k`` rows of each key."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= k)
+    return df.withColumn(
+        "place",
+        F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ).where(F.col("place") <= k)

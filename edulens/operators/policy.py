@@ -14,7 +14,9 @@ RELATIONS = ("overrides", "supersedes", "amends", "exception")
 SCOPE_RANK = {"federal": 0, "university": 1, "direction": 2, "program": 3}
 
 
-def latest_revision(df: DataFrame, key: str, revision: str = "revision", recorded: str | None = None, as_of=None) -> DataFrame:
+def latest_revision(
+    df: DataFrame, key: str, revision: str = "revision", recorded: str | None = None, as_of=None
+) -> DataFrame:
     """Newest revision of each key, as known at ``as_of`` if given."""
     if as_of is not None:
         df = df.where(F.col(recorded) <= as_of)
@@ -38,7 +40,9 @@ def approval_state(events: DataFrame) -> DataFrame:
         .when(F.col("kind").isin("approved", "rejected"), F.col("_k") == "submitted")
         .otherwise(F.col("_k") != "submitted")
     )
-    s = e.groupBy("rule_id", "revision").agg(F.bool_and(legal).alias("_ok"), F.max_by("kind", "sequence").alias("_last"))
+    s = e.groupBy("rule_id", "revision").agg(
+        F.bool_and(legal).alias("_ok"), F.max_by("kind", "sequence").alias("_last")
+    )
     state = (
         F.when(~F.col("_ok"), "invalid").when(F.col("_last") == "submitted", "pending").otherwise(F.col("_last"))
     )
@@ -47,7 +51,9 @@ def approval_state(events: DataFrame) -> DataFrame:
 
 def approved(revisions: DataFrame, events: DataFrame, known_at) -> DataFrame:
     state = approval_state(events.where(F.col("recorded_at") <= known_at)).where("state = 'approved'")
-    return latest_revision(revisions.where(F.col("recorded_at") <= known_at).join(state, ["rule_id", "revision"]), "rule_id")
+    return latest_revision(
+        revisions.where(F.col("recorded_at") <= known_at).join(state, ["rule_id", "revision"]), "rule_id"
+    )
 
 
 def pending_revisions(revisions: DataFrame, events: DataFrame, limit: int = 100) -> DataFrame:
@@ -59,19 +65,29 @@ def rules_in_force(rules: DataFrame, requests: DataFrame, bucket: str | None = N
     """Rules known and valid for each request: recorded by ``known_at`` and
     valid at ``valid_at``. With ``bucket``, rows of both sides first meet on
     that column (a year, a family), which keeps the range join narrow."""
-    on = (F.col("recorded_at") <= F.col("known_at")) & in_interval(F.col("valid_at"), F.col("valid_start"), F.col("valid_end"))
+    on = (F.col("recorded_at") <= F.col("known_at")) & in_interval(
+        F.col("valid_at"), F.col("valid_start"), F.col("valid_end")
+    )
     if bucket is None:
         return requests.join(rules, on)
     r = rules.withColumnRenamed(bucket, "_b")
     return requests.join(r, (F.col(bucket) == F.col("_b")) & on).drop("_b")
 
 
-def as_of(revisions: DataFrame, requests: DataFrame, keys: list[str], known: str = "known_at", recorded: str = "recorded_at") -> DataFrame:
+def as_of(
+    revisions: DataFrame, requests: DataFrame, keys: list[str], known: str = "known_at", recorded: str = "recorded_at"
+) -> DataFrame:
     """The last revision each request could know, by one union and a running
     last value: no row meets more than its own key's history in order."""
     cols = [c for c in revisions.columns if c not in keys]
-    left = revisions.select(*keys, F.col(recorded).alias("_t"), F.lit(0).alias("_k"), F.struct(*cols).alias("_r"), F.lit(None).cast("bigint").alias("request_id"))
-    right = requests.select(*keys, F.col(known).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(left.schema["_r"].dataType).alias("_r"), F.col("request_id").cast("bigint"))
+    left = revisions.select(
+        *keys, F.col(recorded).alias("_t"), F.lit(0).alias("_k"), F.struct(*cols).alias("_r"),
+        F.lit(None).cast("bigint").alias("request_id")
+    )
+    right = requests.select(
+        *keys, F.col(known).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(left.schema["_r"].dataType).alias("_r"),
+        F.col("request_id").cast("bigint")
+    )
     order = Window.partitionBy(*keys).orderBy("_t", "_k", F.col("_r.revision"))
     last = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     out = left.unionByName(right).withColumn("_r", last).where("_k = 1")
@@ -118,7 +134,9 @@ def eval_selectors(nodes: DataFrame, context: DataFrame) -> DataFrame:
     while inner:
         height += 1
         child = level.select("rule_id", F.col("parent_id").alias("node_id"), F.col("level").alias("below"))
-        ready = child.groupBy("rule_id", "node_id").agg(F.max("below").alias("top"), F.count_if(F.col("below").isNull()).alias("open"))
+        ready = child.groupBy("rule_id", "node_id").agg(
+            F.max("below").alias("top"), F.count_if(F.col("below").isNull()).alias("open")
+        )
         ready = ready.where("open = 0 and node_id is not null").drop("open")
         level = settle(
             level.join(ready, ["rule_id", "node_id"], "left")
@@ -128,7 +146,9 @@ def eval_selectors(nodes: DataFrame, context: DataFrame) -> DataFrame:
         was, inner = inner, level.where("level is null and kind in ('all', 'any')").count()
         if inner == was:
             raise ValueError("selector nodes form a circle or an inner node has no children")
-    up = level.where("level > 0").select("rule_id", F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"), "kind", "level")
+    up = level.where("level > 0").select(
+        "rule_id", F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"), "kind", "level"
+    )
     done = cur.where("parent_id is null").select("request_id", "rule_id", "v")
     for h in range(1, height + 1):
         at = up.where(F.col("level") == h)
@@ -145,7 +165,9 @@ def eval_selectors(nodes: DataFrame, context: DataFrame) -> DataFrame:
     return done.groupBy("request_id", "rule_id").agg(F.min("v").alias("v"))
 
 
-def candidate_states(requests: DataFrame, rules: DataFrame, scopes: DataFrame, selectors: DataFrame | None = None) -> DataFrame:
+def candidate_states(
+    requests: DataFrame, rules: DataFrame, scopes: DataFrame, selectors: DataFrame | None = None
+) -> DataFrame:
     """State of each rule in scope for each request: future, expired,
     not_applicable, indeterminate or candidate."""
     j = scopes.join(requests, "request_id").join(rules, "rule_id")
@@ -161,7 +183,10 @@ def candidate_states(requests: DataFrame, rules: DataFrame, scopes: DataFrame, s
         .when(v == 0.5, "indeterminate")
         .otherwise("candidate")
     )
-    return j.select("request_id", "rule_id", "family_id", "authority", "scope_level", "revision", "content_hash", state.alias("state"))
+    return j.select(
+        "request_id", "rule_id", "family_id", "authority", "scope_level", "revision", "content_hash",
+        state.alias("state")
+    )
 
 
 def effective_rules(candidates: DataFrame, relations: DataFrame) -> DataFrame:
@@ -181,11 +206,16 @@ def effective_rules(candidates: DataFrame, relations: DataFrame) -> DataFrame:
     own = ["request_id", "family_id"]
     best = left.groupBy(*own).agg(F.max(F.struct("authority", "scope_rank")).alias("b"))
     top = left.join(best, own).where(F.struct("authority", "scope_rank") == F.col("b"))
-    won = top.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.min("rule_id").alias("rule_id"), F.min("content_hash").alias("content_hash"))
+    won = top.groupBy(*own).agg(
+        F.count(F.lit(1)).alias("n"), F.min("rule_id").alias("rule_id"), F.min("content_hash").alias("content_hash")
+    )
     all_ = c.groupBy(*own).agg(F.count(F.lit(1)).alias("candidates"))
     out = all_.join(won, own, "left")
     state = F.when(F.col("n").isNull(), "cycle").when(F.col("n") > 1, "ambiguous").otherwise("effective")
-    return out.select(*own, "candidates", state.alias("state"), F.when(F.col("n") == 1, F.col("rule_id")).alias("rule_id"), F.when(F.col("n") == 1, F.col("content_hash")).alias("content_hash"))
+    return out.select(
+        *own, "candidates", state.alias("state"), F.when(F.col("n") == 1, F.col("rule_id")).alias("rule_id"),
+        F.when(F.col("n") == 1, F.col("content_hash")).alias("content_hash")
+    )
 
 
 def family_pairs(candidates: DataFrame) -> DataFrame:
@@ -205,7 +235,9 @@ def changed_selections(before: DataFrame, after: DataFrame, keys: list[str]) ->
 
 
 def unpivot(df: DataFrame, ids: list[str]) -> DataFrame:
-    values = [F.struct(F.lit(c).alias("path"), F.col(c).cast("string").alias("value")) for c in sorted(df.columns) if c not in ids]
+    values = [F.struct(
+        F.lit(c).alias("path"), F.col(c).cast("string").alias("value")
+    ) for c in sorted(df.columns) if c not in ids]
     return df.select(*ids, F.inline(F.array(*values))).where("value is not null")
 
 
@@ -214,10 +246,14 @@ def diff_revisions(before: DataFrame, after: DataFrame, ids: list[str]) -> DataF
     a = unpivot(before, ids).withColumnRenamed("value", "before")
     b = unpivot(after, ids).withColumnRenamed("value", "after")
     change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed")
-    return a.join(b, [*ids, "path"], "full").where(~F.col("before").eqNullSafe(F.col("after"))).withColumn("change", change)
+    return a.join(b, [*ids, "path"], "full").where(
+        ~F.col("before").eqNullSafe(F.col("after"))
+    ).withColumn("change", change)
 
 
-def diff_owner_rules(before: DataFrame, after: DataFrame, ids: list[str], context: str, evidence: str, max_paths: int = 128) -> DataFrame:
+def diff_owner_rules(
+    before: DataFrame, after: DataFrame, ids: list[str], context: str, evidence: str, max_paths: int = 128
+) -> DataFrame:
     """Fields of an owner's rule that differ between two exact revisions.
 
     Only rules that both revisions hold in the same ``context``, with evidence
@@ -225,7 +261,10 @@ def diff_owner_rules(before: DataFrame, after: DataFrame, ids: list[str], contex
     path where nothing differs or is compared. The first ``max_paths`` paths of
     a rule are given and ``truncated`` marks rules with more.
     """
-    side = lambda df, name: df.select(*ids, F.struct(F.lit(True).alias("there"), context, evidence).alias(name))
+    side = lambda df, name: df.select(
+        *ids,
+        F.struct(F.lit(True).alias("there"), context, evidence).alias(name)
+    )
     status = (
         F.when(F.col("b").isNull(), "missing_before").when(F.col("a").isNull(), "missing_after")
         .when(~F.col(f"b.{context}").eqNullSafe(F.col(f"a.{context}")), "other_context")
@@ -237,16 +276,24 @@ def diff_owner_rules(before: DataFrame, after: DataFrame, ids: list[str], contex
     left, right = (df.select(*ids, *fields).join(same, ids, "left_semi") for df in (before, after))
     own = Window.partitionBy(*ids)
     found = diff_revisions(left, right, ids).withColumn("n", F.row_number().over(own.orderBy("path")))
-    found = found.withColumn("truncated", F.count(F.lit(1)).over(own) > max_paths).where(F.col("n") <= max_paths).drop("n")
+    found = found.withColumn(
+        "truncated", F.count(F.lit(1)).over(own) > max_paths
+    ).where(F.col("n") <= max_paths).drop("n")
     return seen.join(found, ids, "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def diff_effective(before: DataFrame, after: DataFrame) -> DataFrame:
     """Effective rules of two sets side by side per (request, family)."""
     keys = ["request_id", "family_id"]
-    a = before.select(*keys, F.col("rule_id").alias("was"), F.col("content_hash").alias("was_hash"), F.col("state").alias("was_state"))
-    b = after.select(*keys, F.col("rule_id").alias("is"), F.col("content_hash").alias("is_hash"), F.col("state").alias("is_state"))
-    sure = (F.coalesce("was_state", F.lit("effective")) == "effective") & (F.coalesce("is_state", F.lit("effective")) == "effective")
+    a = before.select(
+        *keys, F.col("rule_id").alias("was"), F.col("content_hash").alias("was_hash"), F.col("state").alias("was_state")
+    )
+    b = after.select(
+        *keys, F.col("rule_id").alias("is"), F.col("content_hash").alias("is_hash"), F.col("state").alias("is_state")
+    )
+    sure = (
+        F.coalesce("was_state", F.lit("effective")) == "effective"
+    ) & (F.coalesce("is_state", F.lit("effective")) == "effective")
     change = (
         F.when(~sure, "ambiguous").when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed")
         .when(F.col("was_hash") != F.col("is_hash"), "changed").otherwise("unchanged")
@@ -295,14 +342,18 @@ def follow_chains(step: DataFrame, node: str, target: str, max_rounds: int = 60)
     cur = settle(step.select(F.col(node).alias("node"), F.col(target).alias("target"), F.lit(1).alias("steps")))
     heads, before = cur.select(F.col("node").alias("_h")), None
     for _ in range(max_rounds):
-        ended = cur.join(heads, cur["target"] == heads["_h"], "left").withColumn("cyclic", F.col("_h").isNotNull()).drop("_h")
+        ended = cur.join(
+            heads, cur["target"] == heads["_h"], "left"
+        ).withColumn("cyclic", F.col("_h").isNotNull()).drop("_h")
         left = ended.where("cyclic").count()
         if left in (0, before):
             return ended
         before = left
         nxt = cur.select(F.col("node").alias("_n"), F.col("target").alias("_t"), F.col("steps").alias("_s"))
         cur = settle(cur.join(nxt, cur["target"] == nxt["_n"], "left").select(
-            "node", F.coalesce("_t", "target").alias("target"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps")
+            "node", F.coalesce("_t", "target").alias("target"), (
+                F.col("steps") + F.coalesce("_s", F.lit(0))
+            ).alias("steps")
         ))
     raise RuntimeError("chains did not settle")
 
@@ -318,8 +369,12 @@ def cyclic_nodes(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         single = cur.groupBy("source").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n")).where("n = 1")
-        ends = follow_chains(single, "source", "target").where("not cyclic").select(F.col("node").alias("_n"), F.col("target").alias("_e"))
-        cut = cur.join(ends, cur["target"] == ends["_n"], "left").select("source", F.coalesce("_e", "target").alias("target")).distinct()
+        ends = follow_chains(single, "source", "target").where("not cyclic").select(
+            F.col("node").alias("_n"), F.col("target").alias("_e")
+        )
+        cut = cur.join(ends, cur["target"] == ends["_n"], "left").select(
+            "source", F.coalesce("_e", "target").alias("target")
+        ).distinct()
         alive = cut.select(F.col("source").alias("_s")).distinct()
         cur = settle(cut.join(alive, cut["target"] == alive["_s"], "left_semi"))
         now = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("source", "target"))).first()
@@ -334,7 +389,9 @@ def impact(changed: DataFrame, edges: DataFrame, objects: DataFrame, depth: int
     actionability of the changes that reach them."""
     reach = traverse(edges, changed.select(F.col("rule_id").alias("root")).distinct(), depth)
     j = reach.join(changed.select(F.col("rule_id").alias("root"), "rank"), "root").join(objects, "node")
-    return j.groupBy("node", "kind").agg(F.min("depth").alias("distance"), F.max("rank").alias("rank"), F.count_distinct("root").alias("changes"))
+    return j.groupBy("node", "kind").agg(
+        F.min("depth").alias("distance"), F.max("rank").alias("rank"), F.count_distinct("root").alias("changes")
+    )
 
 
 def dirty_targets(affected: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -355,7 +412,9 @@ def compare_cycles(requests_a: DataFrame, requests_b: DataFrame, resolve) -> Dat
 
 def owner_impact(changes: DataFrame, owners: dict) -> DataFrame:
     """Each owner's own function on its changes, in one table."""
-    parts = [f(changes.where(F.col("owner") == name)).withColumn("owner", F.lit(name)) for name, f in sorted(owners.items())]
+    parts = [
+        f(changes.where(F.col("owner") == name)).withColumn("owner", F.lit(name)) for name, f in sorted(owners.items())
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -369,13 +428,17 @@ def validate_relations(relations: DataFrame, rules: DataFrame) -> DataFrame:
     a = r.select(*[F.col(c).alias(f"a_{c}") for c in r.columns])
     b = r.select(*[F.col(c).alias(f"b_{c}") for c in r.columns])
     rank = lambda c: F.create_map(*[F.lit(x) for kv in SCOPE_RANK.items() for x in kv])[F.col(c)]
-    j = relations.join(a, F.col("source_rule") == F.col("a_rule_id")).join(b, F.col("target_rule") == F.col("b_rule_id"))
+    j = relations.join(
+        a, F.col("source_rule") == F.col("a_rule_id")
+    ).join(b, F.col("target_rule") == F.col("b_rule_id"))
     problem = (
         F.when(F.col("a_family_id") != F.col("b_family_id"), "other_family")
         .when(F.col("a_authority") < F.col("b_authority"), "less_authority")
         .when((F.col("kind") == "exception") & (rank("a_scope_level") <= rank("b_scope_level")), "not_narrower")
     )
-    return j.withColumn("problem", problem).where("problem is not null").select("source_rule", "kind", "target_rule", "problem")
+    return j.withColumn("problem", problem).where("problem is not null").select(
+        "source_rule", "kind", "target_rule", "problem"
+    )
 
 
 def overlap(participants: DataFrame) -> DataFrame:
@@ -383,7 +446,9 @@ def overlap(participants: DataFrame) -> DataFrame:
     real; open bounds are null."""
     low, high = F.lit("0001-01-01").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")
     return participants.groupBy("conflict_id").agg(
-        F.max(F.coalesce("valid_start", low)).alias("start"), F.min(F.coalesce("valid_end", high)).alias("end"), F.count(F.lit(1)).alias("participants")
+        F.max(
+            F.coalesce("valid_start", low)
+        ).alias("start"), F.min(F.coalesce("valid_end", high)).alias("end"), F.count(F.lit(1)).alias("participants")
     ).withColumn("overlaps", F.col("start") < F.col("end"))
 
 

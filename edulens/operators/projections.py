@@ -23,7 +23,9 @@ def workload(items: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("course_count"),
     )
     basis = (
-        F.when(F.col("total_hours") > 0, "hours").when(F.col("total_credits") > 0, "credits").otherwise("normalized_workload")
+        F.when(F.col("total_hours") > 0, "hours").when(
+            F.col("total_credits") > 0, "credits"
+        ).otherwise("normalized_workload")
     )
     total = F.when(basis == "hours", F.col("total_hours")).otherwise(F.col("total_credits"))
     return totals.withColumn("basis", basis).withColumn("total_workload", total.cast("double"))
@@ -127,7 +129,10 @@ def feature_timeline(loads: DataFrame, features: DataFrame, force_unit: bool = F
     Shares are of the program's load; ``force_unit`` scales them to 1."""
     per = (
         loads.join(features.where("value > 0"), "discipline_id")
-        .groupBy("program_id", "feature", F.coalesce(F.col("semester").cast("string"), F.lit("unassigned")).alias("semester"))
+        .groupBy(
+            "program_id", "feature",
+            F.coalesce(F.col("semester").cast("string"), F.lit("unassigned")).alias("semester")
+        )
         .agg(
             F.sum(F.col("load") * F.col("value")).alias("part"),
             F.first("total_workload").alias("total"),
@@ -159,7 +164,10 @@ def select_basis(coverage: DataFrame, preferred: list[str], threshold: float = 0
     """First basis of ``preferred`` whose coverage reaches the threshold; a
     count of courses is comparable at any coverage above 0."""
     picks = [
-        F.when(F.col(b) > 0 if b == "course_count" else F.col(b) >= threshold, F.struct(F.lit(b).alias("b"), F.least(F.col(b), F.lit(1.0)).alias("c")))
+        F.when(
+            F.col(b) > 0 if b == "course_count" else F.col(b) >= threshold,
+            F.struct(F.lit(b).alias("b"), F.least(F.col(b), F.lit(1.0)).alias("c"))
+        )
         for b in preferred
     ]
     chosen = F.coalesce(*picks)

@@ -14,12 +14,20 @@ def validate(programs: DataFrame, weights: DataFrame, scores: DataFrame) -> Data
     """Violations ``(check_name, key)``: repeated program ids, weights that do
     not sum to 1, numeric scores without a number or the other way round."""
     repeated = programs.groupBy("program_id").count().where("count > 1")
-    uneven = weights.groupBy("discipline_id").agg(F.sum(F.col("weight").cast("decimal(12,4)")).alias("s")).where("s <> 1")
+    uneven = weights.groupBy("discipline_id").agg(
+        F.sum(F.col("weight").cast("decimal(12,4)")).alias("s")
+    ).where("s <> 1")
     odd = scores.where("(status = 'numeric') <> (score is not null)")
     return (
         repeated.select(F.lit("repeated_program").alias("check_name"), F.col("program_id").cast("string").alias("key"))
-        .unionByName(uneven.select(F.lit("weights_not_one").alias("check_name"), F.col("discipline_id").cast("string").alias("key")))
-        .unionByName(odd.select(F.lit("score_status").alias("check_name"), F.col("score_id").cast("string").alias("key")))
+        .unionByName(
+            uneven.select(
+                F.lit("weights_not_one").alias("check_name"), F.col("discipline_id").cast("string").alias("key")
+            )
+        )
+        .unionByName(
+            odd.select(F.lit("score_status").alias("check_name"), F.col("score_id").cast("string").alias("key"))
+        )
     )
 
 
@@ -32,7 +40,9 @@ def identity_continuity(cur: DataFrame, prev: DataFrame, key: str) -> DataFrame:
     """Share of previous identities that are still there."""
     p, c = prev.select(key).distinct(), cur.select(key).distinct()
     both = p.join(c.withColumn("_here", F.lit(1)), key, "left")
-    return both.agg(F.round(ratio(F.count("_here"), F.count(F.lit(1))), 6).alias("continuity"), F.count(F.lit(1)).alias("previous"))
+    return both.agg(
+        F.round(ratio(F.count("_here"), F.count(F.lit(1))), 6).alias("continuity"), F.count(F.lit(1)).alias("previous")
+    )
 
 
 def quality_gate(measures: DataFrame, blocking: dict[str, float], degradable: dict[str, float]) -> DataFrame:
@@ -60,19 +70,25 @@ def probe(measures: DataFrame, blocking: dict[str, float], degradable: dict[str,
     problems = F.concat_ws(",", F.nullif(F.col("blocking"), F.lit("")), F.nullif(F.col("degrading"), F.lit("")))
     keys = [c for c in measures.columns if c not in (*blocking, *degradable, "programs")]
     return gated.select(
-        *keys, (F.col("decision") != "rejected").alias("healthy"), (F.col("decision") != "passed").alias("needs_attention"),
+        *keys, (
+            F.col("decision") != "rejected"
+        ).alias("healthy"), (F.col("decision") != "passed").alias("needs_attention"),
         F.nullif(problems, F.lit("")).alias("problems"),
     )
 
 
-def snapshot_measures(programs: DataFrame, items: DataFrame, offerings: DataFrame, features: DataFrame, by: str) -> DataFrame:
+def snapshot_measures(
+    programs: DataFrame, items: DataFrame, offerings: DataFrame, features: DataFrame, by: str
+) -> DataFrame:
     """Coverage ratios of a snapshot, one row per ``by``."""
     has = {"curriculum": items, "admission": offerings}
     out = programs
     for name, df in has.items():
         out = out.join(df.select("program_id").distinct().withColumn(f"_{name}", F.lit(1)), "program_id", "left")
     known = items.select("program_id", "discipline_id").distinct()
-    covered = known.join(features.select("discipline_id").distinct().withColumn("_f", F.lit(1)), "discipline_id", "left")
+    covered = known.join(
+        features.select("discipline_id").distinct().withColumn("_f", F.lit(1)), "discipline_id", "left"
+    )
     tax = covered.groupBy("program_id").agg(F.count(F.lit(1)).alias("_n"), F.count("_f").alias("_k"))
     out = out.join(tax, "program_id", "left")
     n = F.count(F.lit(1))
@@ -80,7 +96,9 @@ def snapshot_measures(programs: DataFrame, items: DataFrame, offerings: DataFram
         n.alias("programs"),
         F.round(ratio(F.count("_curriculum"), n), 6).alias("curriculum_coverage"),
         F.round(ratio(F.count("_admission"), n), 6).alias("admission_coverage"),
-        F.round(ratio(F.coalesce(F.sum("_k"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))), 6).alias("taxonomy_coverage"),
+        F.round(
+            ratio(F.coalesce(F.sum("_k"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))), 6
+        ).alias("taxonomy_coverage"),
     )
 
 
@@ -95,7 +113,9 @@ def taxonomy_metrics(outcomes: DataFrame, items: DataFrame) -> DataFrame:
         F.count_if(F.col("areas") > 1).alias("conflicting_names"),
     )
     open_ = outcomes.where("method = 'unresolved'").select("discipline_id")
-    touched = items.join(open_, "discipline_id", "left_semi").agg(F.count_distinct("program_id").alias("unresolved_programs"))
+    touched = items.join(open_, "discipline_id", "left_semi").agg(
+        F.count_distinct("program_id").alias("unresolved_programs")
+    )
     totals = outcomes.agg(
         F.count(F.lit(1)).alias("disciplines"),
         F.count_if(F.col("method") == "keyword").alias("by_keyword"),
@@ -139,7 +159,9 @@ def semantic_quality(values: DataFrame) -> DataFrame:
 def unknown_queue(outcomes: DataFrame, items: DataFrame) -> DataFrame:
     """Unresolved names with how often and in how many programs they occur."""
     open_ = outcomes.where("method = 'unresolved'").select("discipline_id", "name")
-    per = items.groupBy("program_id", "discipline_id").agg(F.count(F.lit(1)).alias("n"), F.min("captured_at").alias("first"), F.max("captured_at").alias("last"))
+    per = items.groupBy("program_id", "discipline_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("captured_at").alias("first"), F.max("captured_at").alias("last")
+    )
     return (
         per.join(open_, "discipline_id")
         .groupBy("name")
@@ -155,11 +177,15 @@ def unknown_queue(outcomes: DataFrame, items: DataFrame) -> DataFrame:
 def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """Follow ``(alias, target)`` chains of any length: final target, steps, and
     whether the chain runs into a cycle (target null)."""
-    pick = aliases.groupBy("alias").agg(F.min("target").alias("target"), (F.count_distinct("target") > 1).alias("conflicting"))
+    pick = aliases.groupBy("alias").agg(
+        F.min("target").alias("target"), (F.count_distinct("target") > 1).alias("conflicting")
+    )
     ends = follow_chains(pick, "alias", "target")
     out = pick.select("alias", "conflicting").join(ends, F.col("alias").eqNullSafe(F.col("node")))
     return out.select(
-        "alias", F.when(~F.col("cyclic"), F.col("target")).alias("target"), F.when(~F.col("cyclic"), F.col("steps")).alias("steps"), "cyclic", "conflicting"
+        "alias", F.when(
+            ~F.col("cyclic"), F.col("target")
+        ).alias("target"), F.when(~F.col("cyclic"), F.col("steps")).alias("steps"), "cyclic", "conflicting"
     )
 
 
@@ -170,6 +196,8 @@ def release_report(rules: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "active").alias("active"),
         F.count_if(F.col("status") == "review").alias("review"),
         F.count_if(F.col("status") == "stale").alias("stale"),
-        F.count_if(F.col("target_subject").isNull() & (F.col("benefit_type") == "hundred_points")).alias("missing_subject"),
+        F.count_if(
+            F.col("target_subject").isNull() & (F.col("benefit_type") == "hundred_points")
+        ).alias("missing_subject"),
         F.count_if(F.col("confirmation").isNull()).alias("missing_confirmation"),
     )

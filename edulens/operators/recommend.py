@@ -69,7 +69,9 @@ def _maps(df: DataFrame, key: str, **columns) -> DataFrame:
     return df.groupBy(key).agg(*made)
 
 
-def content_fit(profiles: DataFrame, area_share: DataFrame, activity_share: DataFrame, subjects: DataFrame) -> DataFrame:
+def content_fit(
+    profiles: DataFrame, area_share: DataFrame, activity_share: DataFrame, subjects: DataFrame
+) -> DataFrame:
     """Content fit of every profile with every program.
 
     ``profiles`` is tall (build_profiles), shares are tall, ``subjects`` has
@@ -86,13 +88,18 @@ def content_fit(profiles: DataFrame, area_share: DataFrame, activity_share: Data
     matrix = activity_table(profiles.sparkSession)
     own = tall.where("kind = 'subject'").select("profile_id", "key", (F.col("weight") * 0.7).alias("weight"))
     via = tall.where("kind = 'activity'").join(F.broadcast(matrix), F.col("key") == F.col("activity"))
-    via = via.select("profile_id", F.col("area").alias("key"), (F.col("weight") * F.col("activity_weight") * 0.3).alias("weight"))
+    via = via.select(
+        "profile_id", F.col("area").alias("key"),
+        (F.col("weight") * F.col("activity_weight") * 0.3).alias("weight")
+    )
     affinity = own.unionByName(via).groupBy("profile_id", "key").agg(F.sum("weight").alias("weight"))
     wanted = wanted.join(_maps(affinity, "profile_id", p_distinctive=F.struct("key", "weight")), "profile_id", "left")
 
     dist = subjects.groupBy("program_id", "area").agg(F.sum("distinctiveness").alias("share"))
     offered = _maps(area_share, "program_id", area=F.struct(F.col("area"), F.col("share")))
-    offered = offered.join(_maps(activity_share, "program_id", activity=F.struct("activity", "share")), "program_id", "left")
+    offered = offered.join(
+        _maps(activity_share, "program_id", activity=F.struct("activity", "share")), "program_id", "left"
+    )
     offered = offered.join(_maps(dist, "program_id", distinct=F.struct("area", "share")), "program_id", "left")
     total = subjects.groupBy("program_id").agg(F.sum("distinctiveness").alias("d_total"))
     offered = offered.join(total, "program_id", "left")
@@ -133,7 +140,9 @@ def rank_fit(scores: DataFrame, k: int = 10) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def fit_reasons(profiles: DataFrame, area_share: DataFrame, activity_share: DataFrame, subjects: DataFrame) -> DataFrame:
+def fit_reasons(
+    profiles: DataFrame, area_share: DataFrame, activity_share: DataFrame, subjects: DataFrame
+) -> DataFrame:
     """Up to eight reasons a pair: 3 subjects, 2 activities, 3 against, 2 distinctive."""
     p = profiles.select("profile_id", "kind", "key", "weight")
     area = area_share.select("program_id", F.col("area").alias("key"), "share")
@@ -146,7 +155,9 @@ def fit_reasons(profiles: DataFrame, area_share: DataFrame, activity_share: Data
         .unionByName(p.where("kind = 'subject'").join(dist, "key").withColumn("kind", F.lit("distinctive")))
         .where("share > 0")
     )
-    caps = F.create_map(*[F.lit(x) for kv in {"subject": 3, "activity": 2, "negative": 3, "distinctive": 2}.items() for x in kv])
+    caps = F.create_map(
+        *[F.lit(x) for kv in {"subject": 3, "activity": 2, "negative": 3, "distinctive": 2}.items() for x in kv]
+    )
     strength = settled(F.col("weight") * F.col("share"), 6)
     w = Window.partitionBy("profile_id", "program_id", "kind").orderBy(F.col("strength").desc(), "key")
     all_ = Window.partitionBy("profile_id", "program_id").orderBy("kind", "n")
@@ -197,7 +208,9 @@ def recommendation_evidence(rows: DataFrame) -> DataFrame:
     )
     fresh = F.when(
         F.col("n_sources") > 0,
-        F.when((F.col("n_runs") == 1) & (F.col("rows_without_run") == 0), 1.0).when(F.col("n_runs") > 0, 0.75).otherwise(0.5),
+        F.when(
+            (F.col("n_runs") == 1) & (F.col("rows_without_run") == 0), 1.0
+        ).when(F.col("n_runs") > 0, 0.75).otherwise(0.5),
     )
     out = rows.withColumn("catalog", catalog).withColumn("freshness", fresh)
     parts = [("profile_confidence", PROFILE_PART), ("catalog", CATALOG_PART), ("freshness", FRESHNESS_PART)]
@@ -244,7 +257,9 @@ def ranking_stability(snapshots: DataFrame) -> DataFrame:
     """Each ranking against the one before: ``ids`` and ``scores`` in order."""
     w = Window.partitionBy("profile_id").orderBy("revision")
     prev_ids, prev_scores = F.lag("ids").over(w), F.lag("scores").over(w)
-    delta = F.array_max(F.zip_with("scores", "_scores", lambda a, b: F.abs(F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0)))))
+    delta = F.array_max(
+        F.zip_with("scores", "_scores", lambda a, b: F.abs(F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0))))
+    )
     df = snapshots.withColumn("_ids", prev_ids).withColumn("_scores", prev_scores).withColumn("delta", delta)
     same = F.slice("ids", 1, 3) == F.slice("_ids", 1, 3)
     state = (
@@ -264,7 +279,11 @@ def discriminating_dimensions(top2: DataFrame, gap: int = 5, least: float = 0.12
     d = top2.groupBy("profile_id", "dimension").agg(
         F.coalesce(one(1, "value"), F.lit(0.0)).alias("a"), F.coalesce(one(2, "value"), F.lit(0.0)).alias("b")
     )
-    close = top2.groupBy("profile_id").agg((one(1, "content_fit") - one(2, "content_fit")).alias("points")).where(F.col("points") <= gap)
-    d = d.join(close, "profile_id").withColumn("delta", F.round(F.col("a") - F.col("b"), 6)).where(F.abs("delta") >= least)
+    close = top2.groupBy("profile_id").agg(
+        (one(1, "content_fit") - one(2, "content_fit")).alias("points")
+    ).where(F.col("points") <= gap)
+    d = d.join(close, "profile_id").withColumn(
+        "delta", F.round(F.col("a") - F.col("b"), 6)
+    ).where(F.abs("delta") >= least)
     w = Window.partitionBy("profile_id").orderBy(F.abs("delta").desc(), "dimension")
     return d.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)

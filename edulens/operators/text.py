@@ -14,22 +14,37 @@ BAND = 0.05
 CLAIM_MIN, CLAIM_MAX, CLAIMS_PER_DOCUMENT = 32, 4000, 100
 
 
-def classify_areas(disciplines: DataFrame, overrides: DataFrame, aliases: DataFrame, rules: DataFrame, default: str = "universal_interdisciplinary") -> DataFrame:
+def classify_areas(
+    disciplines: DataFrame, overrides: DataFrame, aliases: DataFrame, rules: DataFrame,
+    default: str = "universal_interdisciplinary"
+) -> DataFrame:
     """Area per name: exact override, override of an alias, else the first
     keyword rule, else the default as unresolved. Names are classified once;
     rules are a fixed list of a few dozen rows."""
     names = disciplines.select(normalize_name(F.col("name")).alias("key")).distinct()
     exact = overrides.select(F.col("name").alias("key"), F.col("area").alias("exact_area"))
-    via = aliases.join(overrides, aliases["target"] == overrides["name"]).select(F.col("alias").alias("key"), F.col("area").alias("alias_area"))
-    hit = names.join(F.broadcast(rules), F.expr("contains(key, keyword)")).groupBy("key").agg(F.min_by("area", "rule").alias("rule_area"), F.min("rule").alias("rule"))
+    via = aliases.join(overrides, aliases["target"] == overrides["name"]).select(
+        F.col("alias").alias("key"), F.col("area").alias("alias_area")
+    )
+    hit = names.join(F.broadcast(rules), F.expr("contains(key, keyword)")).groupBy("key").agg(
+        F.min_by("area", "rule").alias("rule_area"), F.min("rule").alias("rule")
+    )
     j = names.join(exact, "key", "left").join(via, "key", "left").join(hit, "key", "left")
-    method = F.when(F.col("exact_area").isNotNull(), "override").when(F.col("alias_area").isNotNull(), "alias").when(F.col("rule_area").isNotNull(), "keyword").otherwise("unresolved")
+    method = F.when(
+        F.col("exact_area").isNotNull(), "override"
+    ).when(F.col("alias_area").isNotNull(), "alias").when(
+        F.col("rule_area").isNotNull(), "keyword"
+    ).otherwise("unresolved")
     area = F.coalesce("exact_area", "alias_area", "rule_area", F.lit(default))
-    found = j.select("key", area.alias("area"), method.alias("method"), F.when(method == "keyword", F.col("rule")).alias("rule"))
+    found = j.select(
+        "key", area.alias("area"), method.alias("method"), F.when(method == "keyword", F.col("rule")).alias("rule")
+    )
     return disciplines.withColumn("key", normalize_name(F.col("name"))).join(found, "key").drop("key")
 
 
-def classify_with(df: DataFrame, classifier: DataFrame | Callable[[DataFrame], DataFrame], **tables: DataFrame) -> DataFrame:
+def classify_with(
+    df: DataFrame, classifier: DataFrame | Callable[[DataFrame], DataFrame], **tables: DataFrame
+) -> DataFrame:
     """A replaceable classifier: a rules table, or a function of the frame."""
     return classifier(df) if callable(classifier) else classify_areas(df, rules=classifier, **tables)
 
@@ -57,8 +72,12 @@ def apply_reviewed(values: DataFrame, mappings: DataFrame) -> DataFrame:
 def publish_reviewed(proposals: DataFrame, reviews: DataFrame) -> DataFrame:
     """Proposals with their fate: published, rejected, stale (the source has
     changed since), or pending."""
-    j = proposals.join(reviews.select("proposal_id", "verdict", F.col("source_hash").alias("_hash")), "proposal_id", "left")
-    fate = F.when(F.col("verdict").isNull(), "pending").when(F.col("_hash") != F.col("source_hash"), "stale").when(F.col("verdict") == "accepted", "published").otherwise("rejected")
+    j = proposals.join(
+        reviews.select("proposal_id", "verdict", F.col("source_hash").alias("_hash")), "proposal_id", "left"
+    )
+    fate = F.when(F.col("verdict").isNull(), "pending").when(
+        F.col("_hash") != F.col("source_hash"), "stale"
+    ).when(F.col("verdict") == "accepted", "published").otherwise("rejected")
     return j.withColumn("fate", fate).drop("_hash")
 
 
@@ -77,7 +96,9 @@ def extract_claims(documents: DataFrame, pattern: str, limit: int = CLAIMS_PER_D
         return F.struct((F.length(x) + 1).alias("size"), feeds.alias("feeds"), F.when(fits, claim).alias("claim"))
 
     lines = F.transform(F.split("text", "\n", -1), facts)
-    df = documents.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("_row"), lines.alias("lines"))
+    df = documents.where(F.col("text").isNotNull()).select(
+        "doc_id", F.monotonically_increasing_id().alias("_row"), lines.alias("lines")
+    )
     df = df.select("doc_id", "_row", F.posexplode("lines").alias("line", "l"))
     before = Window.partitionBy("_row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     placed = df.select("doc_id", "_row", "line", "l.*").withColumns(
@@ -96,10 +117,14 @@ def extract_claims(documents: DataFrame, pattern: str, limit: int = CLAIMS_PER_D
 
 def match_disciplines(names: DataFrame, disciplines: DataFrame) -> DataFrame:
     """Exact identity by normalised name: matched, ambiguous or new."""
-    known = disciplines.groupBy(normalize_name(F.col("name")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("discipline_id").alias("only"))
+    known = disciplines.groupBy(normalize_name(F.col("name")).alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("discipline_id").alias("only")
+    )
     j = names.withColumn("key", normalize_name(F.col("name"))).join(known, "key", "left")
     state = F.when(F.col("n").isNull(), "new").when(F.col("n") > 1, "ambiguous").otherwise("matched")
-    return j.withColumn("state", state).withColumn("discipline_id", F.when(F.col("n") == 1, F.col("only"))).drop("key", "n", "only")
+    return j.withColumn("state", state).withColumn(
+        "discipline_id", F.when(F.col("n") == 1, F.col("only"))
+    ).drop("key", "n", "only")
 
 
 def resolve_entities(queries: DataFrame, entities: DataFrame, aliases: DataFrame, limit: int = 5) -> DataFrame:
@@ -109,20 +134,35 @@ def resolve_entities(queries: DataFrame, entities: DataFrame, aliases: DataFrame
     Equi-joins per kind; token subsets go through an inverted index. A context
     ``university_id`` on the query narrows where it is set.
     """
-    q = queries.select("query_id", F.col("university_id").alias("_u"), normalize_name(F.col("query")).alias("key"), query_tokens(F.col("query")).alias("tokens"))
-    e = entities.select("entity_id", "university_id", F.lower("code").alias("code"), normalize_name(F.col("name")).alias("name"))
-    ids = e.select("entity_id", "university_id", F.col("entity_id").cast("string").alias("key"), F.lit(1.0).alias("score"))
+    q = queries.select(
+        "query_id", F.col("university_id").alias("_u"), normalize_name(F.col("query")).alias("key"),
+        query_tokens(F.col("query")).alias("tokens")
+    )
+    e = entities.select(
+        "entity_id", "university_id", F.lower("code").alias("code"), normalize_name(F.col("name")).alias("name")
+    )
+    ids = e.select(
+        "entity_id", "university_id", F.col("entity_id").cast("string").alias("key"), F.lit(1.0).alias("score")
+    )
     exact = (
         ids.unionByName(e.select("entity_id", "university_id", F.col("code").alias("key"), F.lit(1.0).alias("score")))
         .unionByName(e.select("entity_id", "university_id", F.col("name").alias("key"), F.lit(0.95).alias("score")))
-        .unionByName(aliases.join(e, "entity_id").select("entity_id", "university_id", normalize_name(F.col("alias")).alias("key"), F.lit(0.9).alias("score")))
+        .unionByName(
+            aliases.join(e, "entity_id").select(
+                "entity_id", "university_id", normalize_name(F.col("alias")).alias("key"), F.lit(0.9).alias("score")
+            )
+        )
     )
     a = q.join(exact, "key").select("query_id", "_u", "entity_id", "university_id", "score")
     qt = q.select("query_id", "_u", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     et = e.select("entity_id", "university_id", F.explode(query_tokens(F.col("name"))).alias("token"))
-    b = qt.join(et, "token").groupBy("query_id", "_u", "entity_id", "university_id", "n").agg(F.count(F.lit(1)).alias("hit")).where("hit = n")
+    b = qt.join(et, "token").groupBy(
+        "query_id", "_u", "entity_id", "university_id", "n"
+    ).agg(F.count(F.lit(1)).alias("hit")).where("hit = n")
     found = a.unionByName(b.select("query_id", "_u", "entity_id", "university_id", F.lit(0.7).alias("score")))
-    found = found.where("_u is null or _u = university_id").groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))
+    found = found.where(
+        "_u is null or _u = university_id"
+    ).groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))
     return rank_matches(queries.select("query_id"), found, limit)
 
 
@@ -132,24 +172,37 @@ def rank_matches(queries: DataFrame, found: DataFrame, limit: int = 5, band: flo
     w = own.orderBy(F.col("score").desc(), "entity_id")
     best = F.max("score").over(own)
     near = F.count_if(F.round(F.col("score"), 6) >= F.round(F.col("best") - band, 6)).over(own)
-    r = found.withColumn("best", best).withColumn("near", near).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    r = found.withColumn("best", best).withColumn("near", near).withColumn(
+        "place", F.row_number().over(w)
+    ).where(F.col("place") <= limit)
     j = queries.join(r, "query_id", "left")
-    state = F.when(F.col("best").isNull(), "not_found").when(F.col("near") > 1, "ambiguous").when(F.col("best") == 1.0, "exact").otherwise("resolved")
+    state = F.when(
+        F.col("best").isNull(), "not_found"
+    ).when(F.col("near") > 1, "ambiguous").when(F.col("best") == 1.0, "exact").otherwise("resolved")
     return j.select("query_id", "entity_id", "score", "place", state.alias("status"))
 
 
 def narrow_by_tokens(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates with the most query tokens in their name; score .70 + best/terms/10."""
-    qt = queries.select("query_id", F.size(query_tokens(F.col("query"))).alias("terms"), F.explode(query_tokens(F.col("query"))).alias("token"))
+    qt = queries.select(
+        "query_id", F.size(query_tokens(F.col("query"))).alias("terms"),
+        F.explode(query_tokens(F.col("query"))).alias("token")
+    )
     ct = candidates.select("entity_id", F.explode(query_tokens(F.col("name"))).alias("token"))
     hits = qt.join(ct, "token").groupBy("query_id", "terms", "entity_id").agg(F.count(F.lit(1)).alias("overlap"))
     best = hits.withColumn("best", F.max("overlap").over(Window.partitionBy("query_id"))).where("overlap = best")
-    return best.select("query_id", "entity_id", "overlap", F.round(0.7 + F.col("best") / F.col("terms") / 10, 6).alias("score"))
+    return best.select(
+        "query_id", "entity_id", "overlap",
+        F.round(0.7 + F.col("best") / F.col("terms") / 10, 6).alias("score")
+    )
 
 
 def candidate_hash(candidates: DataFrame) -> DataFrame:
     line = F.concat_ws("|", F.col("entity_id").cast("string"), "name", "code")
-    return candidates.groupBy("query_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("candidates_sha256"), F.count(F.lit(1)).alias("n"))
+    return candidates.groupBy("query_id").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("candidates_sha256"),
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 def resolve_large(candidates: DataFrame, chooser: Callable[[pd.DataFrame], int | None], above: int = 50) -> DataFrame:
@@ -168,7 +221,9 @@ def resolve_large(candidates: DataFrame, chooser: Callable[[pd.DataFrame], int |
                 pick = None
             state = "resolved" if pick in ids else "ambiguous"
         chosen = pick if state == "resolved" else None
-        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]], "entity_id": pd.array([chosen], dtype="Int64"), "status": [state]})
+        return pd.DataFrame(
+            {"query_id": [pdf["query_id"].iloc[0]], "entity_id": pd.array([chosen], dtype="Int64"), "status": [state]}
+        )
 
     return candidates.groupBy("query_id").applyInPandas(run, "query_id long, entity_id long, status string")
 
@@ -204,7 +259,9 @@ def session_state(turns: DataFrame, key: str, order: str, slots: list[str], enti
     if entities:
         out = out.withColumn("entities", F.array_distinct(F.flatten(F.collect_list(entities).over(w))))
     state = F.struct(*[f"s_{c}" for c in slots])
-    changed = F.when(F.lag(state).over(step).isNull(), 1).otherwise((~state.eqNullSafe(F.lag(state).over(step))).cast("int"))
+    changed = F.when(F.lag(state).over(step).isNull(), 1).otherwise(
+        (~state.eqNullSafe(F.lag(state).over(step))).cast("int")
+    )
     out = out.withColumn("_c", changed).withColumn("revision", F.sum("_c").over(w)).drop("_c")
     missing = F.array_compact(F.array(*[F.when(F.col(f"s_{c}").isNull(), c) for c in slots]))
     return out.withColumn("missing", F.array_join(missing, ","))

@@ -10,7 +10,9 @@ from . import proxy as P
 from .proxy import sql
 
 MARKS = {"A": "exam_count", "N": "credit_count", "R": "graded_count"}
-_MATRIX = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{s}', {w}::DOUBLE)" for a, s, w in activity_rows()) + ") AS t(area, activity, activity_weight)"
+_MATRIX = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{a}', '{s}', {w}::DOUBLE)" for a, s, w in activity_rows()
+) + ") AS t(area, activity, activity_weight)"
 P.CTES["matrix"] = _MATRIX
 P.CTES["totals"] = """SELECT program_id, sum(hours) AS total_hours, sum(credits) AS total_credits, count(*) AS course_count,
   CASE WHEN sum(hours) > 0 THEN 'hours' WHEN sum(credits) > 0 THEN 'credits' ELSE 'normalized_workload' END AS basis,
@@ -82,19 +84,25 @@ def shares(spark, d):
 
 
 def activities(spark, d):
-    return projections.activity_share(loads(spark, d), P.area_weights(spark, d)).select("program_id", "activity", "share")
+    return projections.activity_share(
+        loads(spark, d), P.area_weights(spark, d)
+    ).select("program_id", "activity", "share")
 
 
 def rows_by_name(spark, d):
     """One row per (program, name, semester) for comparisons."""
     j = P.items(spark, d).join(P.disciplines(spark, d).select("discipline_id", "name"), "discipline_id")
-    return j.groupBy("program_id", "name", "semester").agg(F.sum("hours").alias("hours"), F.sum("credits").alias("credits"))
+    return j.groupBy("program_id", "name", "semester").agg(
+        F.sum("hours").alias("hours"), F.sum("credits").alias("credits")
+    )
 
 
 def selection(spark, d):
     """Three neighbouring programs per selection."""
     k = F.col("program_id")
-    return P.programs(spark, d).select((k / 3).cast("bigint").alias("selection_id"), "program_id", (k % 3).alias("place"))
+    return P.programs(spark, d).select(
+        (k / 3).cast("bigint").alias("selection_id"), "program_id", (k % 3).alias("place")
+    )
 
 
 def pairs(spark, d):
@@ -154,8 +162,14 @@ def profiles(spark, d):
     c = P.table(spark, d, "customer").where("c_custkey % 100 = 0")
     k = (F.col("c_custkey") / 100).cast("bigint")
     seg = F.col("c_mktsegment")
-    first = F.when(seg == "BUILDING", "engineering_technology").when(seg == "MACHINERY", "computer_science_data").when(seg == "HOUSEHOLD", "medicine_health").otherwise("economics_finance")
-    weight = lambda kind, key, w: F.struct(kind.alias("kind"), (F.lit(key) if isinstance(key, str) else key).alias("key"), F.lit(w).alias("weight"))
+    first = F.when(
+        seg == "BUILDING", "engineering_technology"
+    ).when(
+        seg == "MACHINERY", "computer_science_data"
+    ).when(seg == "HOUSEHOLD", "medicine_health").otherwise("economics_finance")
+    weight = lambda kind, key, w: F.struct(
+        kind.alias("kind"), (F.lit(key) if isinstance(key, str) else key).alias("key"), F.lit(w).alias("weight")
+    )
     rows = F.array(
         weight(F.lit("subject"), first, 0.75),
         weight(F.lit("subject"), "mathematics_statistics", 0.25),
@@ -198,7 +212,10 @@ P.CTES["fits"] = """WITH k AS (SELECT profile_id, bool_or(kind = 'subject') AS h
     LEFT JOIN n ON n.profile_id = k.profile_id AND n.program_id = p.program_id LEFT JOIN u ON u.profile_id = k.profile_id AND u.program_id = p.program_id)
   SELECT profile_id, program_id, round(sf, 4) AS subject_fit, round(af, 4) AS activity_fit, round(df, 4) AS distinctive_fit, round(ap, 4) AS anti_penalty,
   greatest(0, least(100, CAST(round(round(0.55 * sf + 0.25 * af + 0.2 * df - 0.6 * ap, 6)) AS INT))) AS content_fit FROM x"""
-FIT = (*SHARE, "area_share", "matrix", "activity_load", "activity_share", "disciplines", "subjects", "subject_areas", "profiles", "fits")
+FIT = (
+    *SHARE, "area_share", "matrix", "activity_load", "activity_share", "disciplines", "subjects", "subject_areas",
+    "profiles", "fits"
+)
 
 
 def ranked(spark, d, k=10):
@@ -237,7 +254,10 @@ for _a, _e in {
     "weighted_mean": "coalesce(sum(value * weight) / nullif(sum(CASE WHEN value IS NOT NULL THEN weight END), 0), avg(value))",
 }.items():
     add(f"ag1_{_a}_math_by_direction", _query(_a, ["direction_id"]), _query_sql(_e, ["direction_id"]))
-add("ag2_mean_by_two_keys", _query("mean", ["university_id", "direction_id"]), _query_sql("avg(value)", ["university_id", "direction_id"]))
+add(
+    "ag2_mean_by_two_keys", _query("mean", ["university_id", "direction_id"]),
+    _query_sql("avg(value)", ["university_id", "direction_id"])
+)
 add("ag1_value_by_program", _query("value", ["program_id"]), _query_sql("avg(value)", ["program_id"]))
 add(
     "ag1_distribution_by_university",
@@ -270,7 +290,10 @@ add(
 )
 add("ag5_workload", lambda s, d: projections.workload(P.items(s, d)), sql("SELECT * FROM totals", "items", "totals"))
 add("ag7_area_share", shares, sql("SELECT program_id, area, share FROM area_share", *SHARE, "area_share"))
-add("ag8_activity_share", activities, sql("SELECT program_id, activity, share FROM activity_share", *SHARE, "matrix", "activity_load", "activity_share"))
+add(
+    "ag8_activity_share", activities,
+    sql("SELECT program_id, activity, share FROM activity_share", *SHARE, "matrix", "activity_load", "activity_share")
+)
 add(
     "ag9_semester_share",
     lambda s, d: projections.semester_share(loads(s, d)).select("program_id", "semester", "share"),
@@ -289,7 +312,11 @@ def timeline(s, d):
     return projections.feature_timeline(loads(s, d), features(s, d))
 
 
-add("ag11_feature_timeline", lambda s, d: timeline(s, d).select("program_id", "feature", "semester", "first_semester", "share"), sql(f"WITH {_TL} SELECT * FROM timeline", *BASE, *FEAT))
+add(
+    "ag11_feature_timeline",
+    lambda s, d: timeline(s, d).select("program_id", "feature", "semester", "first_semester", "share"),
+    sql(f"WITH {_TL} SELECT * FROM timeline", *BASE, *FEAT)
+)
 add(
     "ag12_period_share",
     lambda s, d: projections.period_share(timeline(s, d)),
@@ -302,20 +329,29 @@ add(
 add(
     "ag13_assessments",
     lambda s, d: projections.assessments(P.items(s, d), MARKS),
-    sql("SELECT program_id, " + ", ".join(f"count(*) FILTER (assessment = '{m}') AS {n}" for m, n in MARKS.items()) + " FROM items GROUP BY 1", "items"),
+    sql(
+        "SELECT program_id, " + ", ".join(
+            f"count(*) FILTER (assessment = '{m}') AS {n}" for m, n in MARKS.items()
+        ) + " FROM items GROUP BY 1",
+        "items"
+    ),
 )
 
 
 def basis_coverage(s, d):
     n = F.count(F.lit(1))
     return P.items(s, d).where("position > 3").groupBy("program_id").agg(
-        (F.count("credits") / n).alias("credits"), (F.count(F.when(F.col("hours") > 10, 1)) / n).alias("hours"), (n / n).alias("course_count")
+        (F.count("credits") / n).alias("credits"), (
+            F.count(F.when(F.col("hours") > 10, 1)) / n
+        ).alias("hours"), (n / n).alias("course_count")
     )
 
 
 add(
     "ag6_select_basis",
-    lambda s, d: projections.select_basis(basis_coverage(s, d), ["hours", "credits", "course_count"]).withColumn("coverage", F.round("coverage", 6)),
+    lambda s, d: projections.select_basis(
+        basis_coverage(s, d), ["hours", "credits", "course_count"]
+    ).withColumn("coverage", F.round("coverage", 6)),
     sql(
         """WITH c AS (SELECT program_id, count(credits) / count(*)::DOUBLE AS cr, count(*) FILTER (hours > 10) / count(*)::DOUBLE AS h FROM items WHERE position > 3 GROUP BY 1)
   SELECT program_id, CASE WHEN h >= 0.8 THEN 'hours' WHEN cr >= 0.8 THEN 'credits' ELSE 'course_count' END AS basis,
@@ -326,7 +362,10 @@ add(
 )
 add(
     "ag15_offering_metrics",
-    lambda s, d: projections.offering_metrics(P.offerings(s, d), ["cutoff", "tuition"], (F.col("admission_year") == 1998) & (F.col("funding_type") == "F") & (F.col("study_form") == "1-URGENT")),
+    lambda s, d: projections.offering_metrics(
+        P.offerings(s, d), ["cutoff", "tuition"],
+        (F.col("admission_year") == 1998) & (F.col("funding_type") == "F") & (F.col("study_form") == "1-URGENT")
+    ),
     sql(
         """SELECT program_id, CASE WHEN count(cutoff) = 1 THEN max(cutoff) END AS cutoff, CASE WHEN count(tuition) = 1 THEN max(tuition) END AS tuition
   FROM offerings WHERE admission_year = 1998 AND funding_type = 'F' AND study_form = '1-URGENT' GROUP BY 1""",
@@ -356,23 +395,49 @@ add(
         *SHARE,
     ),
 )
-add("flt1_scope", lambda s, d: metrics.scope(P.programs(s, d), "university", [1, 3]), sql("SELECT * FROM programs WHERE university_id IN (1, 3)", "programs"))
 add(
-    "flt2_id_filter", lambda s, d: metrics.id_filter(P.programs(s, d), university_id=[0, 1, 2], direction_id=list(range(0, 20, 2))),
-    sql("SELECT * FROM programs WHERE university_id IN (0, 1, 2) AND direction_id IN (0, 2, 4, 6, 8, 10, 12, 14, 16, 18)", "programs"),
+    "flt1_scope",
+    lambda s, d: metrics.scope(P.programs(s, d), "university", [1, 3]),
+    sql("SELECT * FROM programs WHERE university_id IN (1, 3)", "programs")
 )
-add("flt3_metric_filter", lambda s, d: metrics.metric_filter(math_rows(s, d), "value", "gte", 0.1).select("program_id", "value"), sql("SELECT program_id, value FROM math WHERE value >= 0.1", *MATH))
 add(
-    "flt4_feature_filter", lambda s, d: metrics.feature_filter(P.programs(s, d), semantic(s, d), "software", "gt", 0.1).select("program_id", "code"),
-    sql("SELECT program_id, code FROM programs WHERE program_id IN (SELECT program_id FROM semantic WHERE feature = 'software' AND value > 0.1)", "programs", *SEM),
+    "flt2_id_filter", lambda s, d: metrics.id_filter(
+        P.programs(s, d), university_id=[0, 1, 2], direction_id=list(range(0, 20, 2))
+    ),
+    sql(
+        "SELECT * FROM programs WHERE university_id IN (0, 1, 2) AND direction_id IN (0, 2, 4, 6, 8, 10, 12, 14, 16, 18)",
+        "programs"
+    ),
 )
 add(
-    "flt5_offering_filter", lambda s, d: metrics.offering_filter(P.programs(s, d), P.offerings(s, d), admission_year=1999, funding_type="P").select("program_id"),
-    sql("SELECT program_id FROM programs WHERE program_id IN (SELECT program_id FROM offerings WHERE admission_year = 1999) AND program_id IN (SELECT program_id FROM offerings WHERE funding_type = 'P')", "programs", "offerings"),
+    "flt3_metric_filter",
+    lambda s, d: metrics.metric_filter(math_rows(s, d), "value", "gte", 0.1).select("program_id", "value"),
+    sql("SELECT program_id, value FROM math WHERE value >= 0.1", *MATH)
+)
+add(
+    "flt4_feature_filter", lambda s, d: metrics.feature_filter(
+        P.programs(s, d), semantic(s, d), "software", "gt", 0.1
+    ).select("program_id", "code"),
+    sql(
+        "SELECT program_id, code FROM programs WHERE program_id IN (SELECT program_id FROM semantic WHERE feature = 'software' AND value > 0.1)",
+        "programs", *SEM
+    ),
+)
+add(
+    "flt5_offering_filter", lambda s, d: metrics.offering_filter(
+        P.programs(s, d), P.offerings(s, d), admission_year=1999, funding_type="P"
+    ).select("program_id"),
+    sql(
+        "SELECT program_id FROM programs WHERE program_id IN (SELECT program_id FROM offerings WHERE admission_year = 1999) AND program_id IN (SELECT program_id FROM offerings WHERE funding_type = 'P')",
+        "programs", "offerings"
+    ),
 )
 add(
     "flt7_predicate_filter",
-    lambda s, d: metrics.predicate_filter(P.programs(s, d).select("program_id", "code"), ["code"], lambda p: [None if c.endswith("7") else c.endswith(("1", "2")) for c in p["code"]]).select("program_id", "verdict", "reason", "kept"),
+    lambda s, d: metrics.predicate_filter(
+        P.programs(s, d).select("program_id", "code"), ["code"],
+        lambda p: [None if c.endswith("7") else c.endswith(("1", "2")) for c in p["code"]]
+    ).select("program_id", "verdict", "reason", "kept"),
     sql(
         """SELECT program_id, CASE WHEN code LIKE '%7' THEN NULL ELSE code LIKE '%1' OR code LIKE '%2' END AS verdict, CASE WHEN code LIKE '%7' THEN 'indeterminate'
   WHEN code LIKE '%1' OR code LIKE '%2' THEN 'matched' ELSE 'not_matched' END AS reason, code LIKE '%1' OR code LIKE '%2' AS kept FROM programs""",
@@ -380,11 +445,29 @@ add(
     ),
 )
 add(
-    "jn1_attach_disciplines", lambda s, d: projections.attach_disciplines(P.items(s, d), P.disciplines(s, d))[0].groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("hours").alias("hours")),
-    sql("SELECT name, count(*) AS n, sum(hours) AS hours FROM items JOIN disciplines USING (discipline_id) GROUP BY 1", "items", "disciplines"),
+    "jn1_attach_disciplines", lambda s, d: projections.attach_disciplines(
+        P.items(s, d), P.disciplines(s, d)
+    )[0].groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("hours").alias("hours")
+    ),
+    sql(
+        "SELECT name, count(*) AS n, sum(hours) AS hours FROM items JOIN disciplines USING (discipline_id) GROUP BY 1",
+        "items", "disciplines"
+    ),
+)
+add(
+    "jn2_align_curricula",
+    lambda s, d: compare.align_curricula(rows_by_name(s, d), pairs(s, d)),
+    sql("SELECT * FROM aligned2", "programs", "items", "disciplines", "by_name", "pairs", "aligned", "aligned2")
+)
+add(
+    "cp1_compare_semester",
+    lambda s, d: compare.align_curricula(rows_by_name(s, d), pairs(s, d), semester=3),
+    sql(
+        "SELECT * FROM aligned2 WHERE semester = 3", "programs", "items", "disciplines", "by_name", "pairs", "aligned",
+        "aligned2"
+    )
 )
-add("jn2_align_curricula", lambda s, d: compare.align_curricula(rows_by_name(s, d), pairs(s, d)), sql("SELECT * FROM aligned2", "programs", "items", "disciplines", "by_name", "pairs", "aligned", "aligned2"))
-add("cp1_compare_semester", lambda s, d: compare.align_curricula(rows_by_name(s, d), pairs(s, d), semester=3), sql("SELECT * FROM aligned2 WHERE semester = 3", "programs", "items", "disciplines", "by_name", "pairs", "aligned", "aligned2"))
 add("jn3_program_pairs", pairs, sql("SELECT * FROM pairs", "programs", "pairs"))
 add("wn5_key_differences", differences, sql("SELECT * FROM differences", *DIFF))
 add(
@@ -398,11 +481,19 @@ add(
     ),
 )
 add(
-    "cp2_summary_gaps", lambda s, d: compare.summary_gaps(selection(s, d), P.items(s, d).where("program_id % 7 <> 0")).select("selection_id", "program_id"),
-    sql("SELECT program_id // 3 AS selection_id, program_id FROM programs WHERE program_id NOT IN (SELECT program_id FROM items WHERE program_id % 7 <> 0)", "programs", "items"),
+    "cp2_summary_gaps", lambda s, d: compare.summary_gaps(
+        selection(s, d), P.items(s, d).where("program_id % 7 <> 0")
+    ).select("selection_id", "program_id"),
+    sql(
+        "SELECT program_id // 3 AS selection_id, program_id FROM programs WHERE program_id NOT IN (SELECT program_id FROM items WHERE program_id % 7 <> 0)",
+        "programs", "items"
+    ),
 )
 add(
-    "st1_vector_delta", lambda s, d: compare.vector_delta(shares(s, d).where("program_id = 1"), shares(s, d).where("program_id = 2 and area <> 'medicine_health'"), "area", "share"),
+    "st1_vector_delta", lambda s, d: compare.vector_delta(
+        shares(s, d).where("program_id = 1"),
+        shares(s, d).where("program_id = 2 and area <> 'medicine_health'"), "area", "share"
+    ),
     sql(
         """SELECT area, round(coalesce(b.share, 0) - coalesce(a.share, 0), 6) AS delta FROM (SELECT * FROM area_share WHERE program_id = 1) a
   FULL JOIN (SELECT * FROM area_share WHERE program_id = 2 AND area <> 'medicine_health') b USING (area)""",
@@ -428,7 +519,9 @@ REASONS = """WITH f AS (SELECT profile_id, program_id, kind, key, weight, share
     WHERE n <= CASE kind WHEN 'subject' THEN 3 WHEN 'negative' THEN 3 ELSE 2 END)
   SELECT profile_id, program_id, kind, n, key, strength FROM i WHERE place <= 8"""
 add(
-    "wn19_fit_reasons", lambda s, d: recommend.fit_reasons(profiles(s, d), shares(s, d), activities(s, d), subject_areas(s, d)),
+    "wn19_fit_reasons", lambda s, d: recommend.fit_reasons(
+        profiles(s, d), shares(s, d), activities(s, d), subject_areas(s, d)
+    ),
     sql(
         REASONS,
         *FIT,
@@ -441,7 +534,10 @@ def evidence_rows(s, d):
     return P.table(s, d, "customer").select(
         k.alias("profile_id"),
         F.when(k % 4 != 0, F.round((k % 10) / 10.0, 4)).alias("profile_confidence"),
-        F.element_at(F.array(F.lit("blocking"), F.lit("degradable"), F.lit("informational"), F.lit("none")), (k % 4 + 1).cast("int")).alias("worst_gap"),
+        F.element_at(
+            F.array(F.lit("blocking"), F.lit("degradable"), F.lit("informational"), F.lit("none")),
+            (k % 4 + 1).cast("int")
+        ).alias("worst_gap"),
         (k % 3).alias("n_runs"), (k % 2).alias("rows_without_run"), (k % 5).alias("n_sources"),
     )
 
@@ -454,7 +550,9 @@ EVIDENCE = """WITH e AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 <> 0 THE
     (0.5 + CASE WHEN c IS NULL THEN 0 ELSE 0.3 END + CASE WHEN f IS NULL THEN 0 ELSE 0.2 END), 8), 4) END AS reliability,
   CASE WHEN p IS NULL OR n < 2 THEN 'not_available' WHEN n = 3 THEN 'available' ELSE 'partial' END AS reliability_status FROM v"""
 add(
-    "rc3_recommendation_evidence", lambda s, d: recommend.recommendation_evidence(evidence_rows(s, d)).select("profile_id", "reliability", "reliability_status"),
+    "rc3_recommendation_evidence", lambda s, d: recommend.recommendation_evidence(evidence_rows(s, d)).select(
+        "profile_id", "reliability", "reliability_status"
+    ),
     sql(
         EVIDENCE
     ),
@@ -470,7 +568,12 @@ _TOP = """top AS (SELECT profile_id, program_id, content_fit, place FROM (SELECT
   FROM fits JOIN programs USING (program_id)) WHERE place <= 10)"""
 add(
     "wn15_adaptive_dimensions",
-    lambda s, d: recommend.adaptive_dimensions(tall_top(s, d), profiles(s, d).select("profile_id").distinct().withColumn("confidence", F.round((F.col("profile_id") % 10) / 20.0, 4))).select("profile_id", "dimension", "significance", "place"),
+    lambda s, d: recommend.adaptive_dimensions(
+        tall_top(s, d),
+        profiles(s, d).select("profile_id").distinct().withColumn(
+            "confidence", F.round((F.col("profile_id") % 10) / 20.0, 4)
+        )
+    ).select("profile_id", "dimension", "significance", "place"),
     sql(
         f"""WITH {_TOP}, d AS (SELECT profile_id, area AS dimension, max(share) - min(share) AS spread, avg(share) AS mean FROM top JOIN area_share USING (program_id) GROUP BY 1, 2),
   e AS (SELECT *, round(least(1.0, spread * (0.5 + mean) * (1 - round((profile_id % 10) / 20.0::DOUBLE, 4))), 6) AS significance FROM d WHERE round(spread, 9) >= 0.08)
@@ -479,7 +582,9 @@ add(
     ),
 )
 add(
-    "wn17_discriminating_dimensions", lambda s, d: recommend.discriminating_dimensions(tall_top(s, d).where("place <= 2"), least=0.01).select("profile_id", "dimension", "delta", "n"),
+    "wn17_discriminating_dimensions", lambda s, d: recommend.discriminating_dimensions(
+        tall_top(s, d).where("place <= 2"), least=0.01
+    ).select("profile_id", "dimension", "delta", "n"),
     sql(
         f"""WITH {_TOP}, c AS (SELECT profile_id FROM top GROUP BY 1 HAVING max(CASE WHEN place = 1 THEN content_fit END) - max(CASE WHEN place = 2 THEN content_fit END) <= 5),
   d AS (SELECT profile_id, area AS dimension, round(coalesce(max(CASE WHEN place = 1 THEN share END), 0) - coalesce(max(CASE WHEN place = 2 THEN share END), 0), 6) AS delta
@@ -492,7 +597,10 @@ add(
 
 def build_all(s, d):
     p = projections.build_projections(P.items(s, d), P.area_weights(s, d), features(s, d))
-    return p.select("program_id", "total_hours", F.size("area_share").alias("areas"), F.size("activity_share").alias("activities"), F.coalesce(F.col("semantic")["math"], F.lit(0.0)).alias("math"))
+    return p.select(
+        "program_id", "total_hours", F.size("area_share").alias("areas"), F.size("activity_share").alias("activities"),
+        F.coalesce(F.col("semantic")["math"], F.lit(0.0)).alias("math")
+    )
 
 
 add(
@@ -505,7 +613,9 @@ add(
     ),
 )
 add(
-    "tx2_classify_features", lambda s, d: projections.unknown_features(P.disciplines(s, d), features(s, d), ["math", "mechanics", "software"]).select("discipline_id", "feature", "value", "confidence", "rule", "status"),
+    "tx2_classify_features", lambda s, d: projections.unknown_features(
+        P.disciplines(s, d), features(s, d), ["math", "mechanics", "software"]
+    ).select("discipline_id", "feature", "value", "confidence", "rule", "status"),
     sql(
         """SELECT d.discipline_id, f.feature, x.value, x.confidence, x.rule, CASE WHEN x.value IS NULL THEN 'unknown' ELSE 'available' END AS status
   FROM disciplines d CROSS JOIN (VALUES ('math'), ('mechanics'), ('software')) f(feature) LEFT JOIN features x ON x.discipline_id = d.discipline_id AND x.feature = f.feature""",
@@ -514,9 +624,18 @@ add(
 )
 add(
     "ag2_rollup", lambda s, d: metrics.rollup_query(math_rows(s, d)),
-    sql("SELECT university_id, direction_id, round(avg(value), 6) AS value, count(value) AS included FROM math GROUP BY ROLLUP (university_id, direction_id)", *MATH),
+    sql(
+        "SELECT university_id, direction_id, round(avg(value), 6) AS value, count(value) AS included FROM math GROUP BY ROLLUP (university_id, direction_id)",
+        *MATH
+    ),
 )
 add(
-    "jn8_metric_evidence", lambda s, d: metrics.metric_evidence(semantic(s, d), P.programs(s, d).where("university_id = 2").select("program_id"), ["math", "software"]),
-    sql("SELECT * FROM semantic WHERE feature IN ('math', 'software') AND program_id IN (SELECT program_id FROM programs WHERE university_id = 2)", "programs", *SEM),
+    "jn8_metric_evidence", lambda s, d: metrics.metric_evidence(
+        semantic(s, d),
+        P.programs(s, d).where("university_id = 2").select("program_id"), ["math", "software"]
+    ),
+    sql(
+        "SELECT * FROM semantic WHERE feature IN ('math', 'software') AND program_id IN (SELECT program_id FROM programs WHERE university_id = 2)",
+        "programs", *SEM
+    ),
 )

@@ -168,8 +168,12 @@ add(
 )
 add(
     "wn1_sort_limit",
-    lambda s, d: metrics.sort_limit(P.programs(s, d).select("program_id", "balance"), "balance", ["program_id"], True, 50),
-    sql("SELECT program_id, balance FROM programs ORDER BY coalesce(balance, -1) DESC, program_id LIMIT 50", "programs"),
+    lambda s, d: metrics.sort_limit(
+        P.programs(s, d).select("program_id", "balance"), "balance", ["program_id"], True, 50
+    ),
+    sql(
+        "SELECT program_id, balance FROM programs ORDER BY coalesce(balance, -1) DESC, program_id LIMIT 50", "programs"
+    ),
 )
 
 
@@ -230,7 +234,9 @@ P.CTES["ivalues"] = """SELECT l_orderkey * 10 + l_linenumber AS item_id, l_partk
   CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_discount AS DOUBLE) END AS value, l_returnflag AS flag FROM lineitem"""
 add(
     "tx3_inherit_defaults",
-    lambda s, d: text.inherit_defaults(item_values(s, d), defaults(s, d)).select("item_id", "value", "confidence", "origin"),
+    lambda s, d: text.inherit_defaults(item_values(s, d), defaults(s, d)).select(
+        "item_id", "value", "confidence", "origin"
+    ),
     sql(
         """SELECT item_id, CASE WHEN value IS NOT NULL THEN value WHEN discipline_id % 3 <> 0 THEN discipline_id % 10 / 10.0::DOUBLE END AS value,
   CASE WHEN value IS NOT NULL THEN 0.8::DOUBLE WHEN discipline_id % 3 <> 0 THEN 0.5 END AS confidence,
@@ -245,7 +251,9 @@ def mappings(s, d):
     k = F.col("item_id")
     old = F.when(k % 5 == 0, F.sha2(F.lit("old"), 256)).otherwise(F.col("source_hash"))
     return item_values(s, d).where(k % 4 == 1).select(
-        "item_id", "feature", old.alias("source_hash"), (k % 7 / 7.0).alias("value"), pick(k, "accepted", "accepted", "rejected").alias("state")
+        "item_id", "feature", old.alias("source_hash"), (k % 7 / 7.0).alias("value"), pick(
+            k, "accepted", "accepted", "rejected"
+        ).alias("state")
     ).distinct()
 
 
@@ -304,7 +312,9 @@ def rule_claims(s, d):
 add(
     "pl5_resolve_for_claims",
     lambda s, d: policy.resolve_for_claims(
-        U.effective(s, d), rule_claims(s, d), P.table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("claim_id"))
+        U.effective(s, d), rule_claims(s, d), P.table(s, d, "customer").where("c_acctbal > 0").select(
+            F.col("c_custkey").alias("claim_id")
+        )
     ).select("request_id", "family_id", "rule_id"),
     sql(
         """SELECT request_id, family_id, rule_id FROM eff JOIN customer ON c_custkey = rule_id
@@ -346,7 +356,9 @@ def raised(s, d):
     """A pending revision of every tenth rule that gives it more authority."""
     rules = U.newest(s, d)
     return rules.where("rule_id % 10 = 4").select(
-        *[F.lit(9).cast(rules.schema["authority"].dataType).alias(c) if c == "authority" else F.col(c) for c in rules.columns]
+        *[F.lit(9).cast(
+            rules.schema["authority"].dataType
+        ).alias(c) if c == "authority" else F.col(c) for c in rules.columns]
     )
 
 
@@ -377,7 +389,9 @@ def owner_rules(s, d, later):
 
 add(
     "pl13_diff_owner_rules",
-    lambda s, d: policy.diff_owner_rules(owner_rules(s, d, False), owner_rules(s, d, True), ["rule_id"], "context", "evidence")
+    lambda s, d: policy.diff_owner_rules(
+        owner_rules(s, d, False), owner_rules(s, d, True), ["rule_id"], "context", "evidence"
+    )
     .select("rule_id", "status", "path", "before", "after", "change", "truncated"),
     sql(
         """WITH r AS (SELECT * EXCLUDE (status), rule_id % 6 <> 5 AS was, rule_id % 6 <> 1 AS is_now FROM brules WHERE rule_id % 6 <> 5 OR rule_id % 6 <> 1),
@@ -420,8 +434,12 @@ def page_routes(s, d):
 add(
     "jn16_resolve_evidence",
     lambda s, d: knowledge.resolve_evidence(
-        P.table(s, d, "pages").select(F.col("page_id").alias("ref_id"), F.floor(F.col("page_id") / 2).alias("observation_id")),
-        P.table(s, d, "pages").select(F.col("page_id").alias("observation_id"), F.regexp_replace("url", "^http:", "https:").alias("url")),
+        P.table(s, d, "pages").select(
+            F.col("page_id").alias("ref_id"), F.floor(F.col("page_id") / 2).alias("observation_id")
+        ),
+        P.table(s, d, "pages").select(
+            F.col("page_id").alias("observation_id"), F.regexp_replace("url", "^http:", "https:").alias("url")
+        ),
         page_routes(s, d),
     ).select("ref_id", "observation_id"),
     r"""SELECT r.page_id AS ref_id, o.page_id AS observation_id FROM pages r JOIN (SELECT page_id, regexp_replace(url, '^http:', 'https:') AS u FROM pages) o
@@ -429,7 +447,9 @@ add(
 )
 add(
     "v6_probe",
-    lambda s, d: quality.probe(R.measures(s, d), {"curriculum_coverage": 0.8}, {"admission_coverage": 0.5, "taxonomy_coverage": 0.9}),
+    lambda s, d: quality.probe(
+        R.measures(s, d), {"curriculum_coverage": 0.8}, {"admission_coverage": 0.5, "taxonomy_coverage": 0.9}
+    ),
     sql(
         """SELECT university_id, curriculum_coverage >= 0.8 AS healthy, curriculum_coverage < 0.8 OR admission_coverage < 0.5 OR taxonomy_coverage < 0.9 AS needs_attention,
   list_aggregate(list_filter([CASE WHEN curriculum_coverage < 0.8 THEN 'curriculum_coverage' END, CASE WHEN admission_coverage < 0.5 THEN 'admission_coverage' END,
@@ -459,7 +479,12 @@ add(
     "fn4_subject_key",
     lambda s, d: P.table(s, d, "part").select(
         F.col("p_partkey").alias("part_id"),
-        fn.subject_key(F.concat_ws(" ", pick(F.col("p_partkey"), *SUBJECTS), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey"))), True).alias("subject"),
+        fn.subject_key(
+            F.concat_ws(
+                " ", pick(F.col("p_partkey"), *SUBJECTS), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey"))
+            ),
+            True
+        ).alias("subject"),
         fn.subject_key(pick(F.col("p_partkey"), *SUBJECTS)).alias("plain"),
     ),
     f"""SELECT p_partkey AS part_id, CASE WHEN p_partkey % 2 = 1 THEN {listed(*KEYS)}[p_partkey % 5 + 1]
@@ -482,7 +507,9 @@ add(
     "fn11_assessment_types",
     lambda s, d: P.table(s, d, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"),
-        F.array_join(fn.assessment_types(pick(F.col("l_orderkey") + F.col("l_linenumber"), *MARKS)), ",").alias("types"),
+        F.array_join(
+            fn.assessment_types(pick(F.col("l_orderkey") + F.col("l_linenumber"), *MARKS)), ","
+        ).alias("types"),
     ),
     f"SELECT l_orderkey AS order_id, l_linenumber AS line, {listed(*TYPES)}[(l_orderkey + l_linenumber) % 5 + 1] AS types FROM lineitem",
 )
@@ -535,5 +562,8 @@ add(
         fn.normalize_name(F.concat(F.lit(" ＡＢＣ Å ﬁ ß  "), F.upper("name")), True).alias("name"),
         fn.classification_name(F.concat(F.lit("Ёлка – "), "name"), True).alias("classified"),
     ),
-    sql("SELECT discipline_id, 'abc å fi ss ' || lower(name) AS name, 'елка - ' || lower(name) AS classified FROM disciplines", "disciplines"),
+    sql(
+        "SELECT discipline_id, 'abc å fi ss ' || lower(name) AS name, 'елка - ' || lower(name) AS classified FROM disciplines",
+        "disciplines"
+    ),
 )

@@ -29,7 +29,10 @@ def revisions(s, d):
     o = P.table(s, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     return o.select(
         F.col("o_custkey").alias("rule_id"), F.row_number().over(w).alias("revision"), F.floor(F.col("o_custkey") / 25).alias("family_id"),
-        (F.col("o_custkey") % 4).alias("authority"), F.element_at(F.array(*[F.lit(x) for x in ("federal", "university", "direction", "program")]), (F.col("o_custkey") % 4 + 1).cast("int")).alias("scope_level"),
+        (F.col("o_custkey") % 4).alias("authority"), F.element_at(
+            F.array(*[F.lit(x) for x in ("federal", "university", "direction", "program")]),
+            (F.col("o_custkey") % 4 + 1).cast("int")
+        ).alias("scope_level"),
         (F.col("o_custkey") % 6).cast("string").alias("scope_id"), F.sha2(k.cast("string"), 256).alias("content_hash"),
         F.col("o_orderdate").alias("valid_start"), F.lead("o_orderdate").over(w).alias("valid_end"), F.col("o_orderdate").alias("recorded_at"), k.alias("row_id"), F.col("o_orderstatus").alias("note"),
     )
@@ -39,10 +42,22 @@ P.CTES["rev"] = """SELECT o_custkey AS rule_id, CAST(row_number() OVER w AS INT)
   ['federal', 'university', 'direction', 'program'][o_custkey % 4 + 1] AS scope_level, CAST(o_custkey % 6 AS VARCHAR) AS scope_id, sha256(CAST(o_orderkey AS VARCHAR)) AS content_hash,
   o_orderdate AS valid_start, lead(o_orderdate) OVER w AS valid_end, o_orderdate AS recorded_at, o_orderkey AS row_id, o_orderstatus AS note FROM orders
   WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
-add("wn9_latest_revision", lambda s, d: policy.latest_revision(revisions(s, d), "rule_id").select("rule_id", "revision", "row_id"), sql("SELECT rule_id, revision, row_id FROM rev QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY revision DESC) = 1", "rev"))
 add(
-    "wn9_revision_as_of", lambda s, d: policy.latest_revision(revisions(s, d), "rule_id", recorded="recorded_at", as_of=F.lit(KNOWN).cast("timestamp")).select("rule_id", "revision", "row_id"),
-    sql(f"SELECT rule_id, revision, row_id FROM rev WHERE recorded_at <= TIMESTAMP '{KNOWN}' QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY revision DESC) = 1", "rev"),
+    "wn9_latest_revision",
+    lambda s, d: policy.latest_revision(revisions(s, d), "rule_id").select("rule_id", "revision", "row_id"),
+    sql(
+        "SELECT rule_id, revision, row_id FROM rev QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY revision DESC) = 1",
+        "rev"
+    )
+)
+add(
+    "wn9_revision_as_of", lambda s, d: policy.latest_revision(
+        revisions(s, d), "rule_id", recorded="recorded_at", as_of=F.lit(KNOWN).cast("timestamp")
+    ).select("rule_id", "revision", "row_id"),
+    sql(
+        f"SELECT rule_id, revision, row_id FROM rev WHERE recorded_at <= TIMESTAMP '{KNOWN}' QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY revision DESC) = 1",
+        "rev"
+    ),
 )
 
 
@@ -50,41 +65,74 @@ def approvals(s, d):
     """Each revision is submitted; some are approved or rejected, some out of order."""
     r = revisions(s, d).select("rule_id", "revision", "row_id", "recorded_at")
     k = F.col("row_id")
-    first = r.select("rule_id", "revision", F.lit(1).alias("sequence"), F.when(k % 17 == 0, "approved").otherwise("submitted").alias("kind"), "recorded_at")
+    first = r.select(
+        "rule_id", "revision", F.lit(1).alias("sequence"),
+        F.when(k % 17 == 0, "approved").otherwise("submitted").alias("kind"), "recorded_at"
+    )
     late = F.when(k % 23 == 0, F.col("recorded_at")).otherwise(F.col("recorded_at") + F.expr("INTERVAL 1 DAY"))
-    second = r.where(k % 4 != 0).select("rule_id", "revision", F.lit(2).alias("sequence"), F.when(k % 5 == 0, "rejected").otherwise("approved").alias("kind"), late.alias("recorded_at"))
+    second = r.where(k % 4 != 0).select(
+        "rule_id", "revision", F.lit(2).alias("sequence"),
+        F.when(k % 5 == 0, "rejected").otherwise("approved").alias("kind"), late.alias("recorded_at")
+    )
     return first.unionByName(second)
 
 
 P.CTES["appr"] = """SELECT rule_id, revision, row_id, recorded_at, CASE WHEN row_id % 17 = 0 OR (row_id % 4 <> 0 AND row_id % 23 = 0) THEN 'invalid' WHEN row_id % 4 = 0 THEN 'pending'
   WHEN row_id % 5 = 0 THEN 'rejected' ELSE 'approved' END AS state FROM rev"""
-add("wn10_approval_state", lambda s, d: policy.approval_state(approvals(s, d)), sql("SELECT rule_id, revision, state FROM appr", "rev", "appr"))
 add(
-    "pl14_pending_revisions", lambda s, d: policy.pending_revisions(revisions(s, d), approvals(s, d), 50).select("rule_id", "revision", "row_id"),
-    sql("SELECT rule_id, revision, row_id FROM appr WHERE state = 'pending' ORDER BY recorded_at, rule_id, revision LIMIT 50", "rev", "appr"),
+    "wn10_approval_state", lambda s, d: policy.approval_state(approvals(s, d)),
+    sql("SELECT rule_id, revision, state FROM appr", "rev", "appr")
+)
+add(
+    "pl14_pending_revisions", lambda s, d: policy.pending_revisions(
+        revisions(s, d), approvals(s, d), 50
+    ).select("rule_id", "revision", "row_id"),
+    sql(
+        "SELECT rule_id, revision, row_id FROM appr WHERE state = 'pending' ORDER BY recorded_at, rule_id, revision LIMIT 50",
+        "rev", "appr"
+    ),
 )
 add(
-    "pl1_approved", lambda s, d: policy.approved(revisions(s, d), approvals(s, d), F.lit("2020-01-01").cast("timestamp")).select("rule_id", "revision", "row_id"),
-    sql("SELECT rule_id, revision, row_id FROM appr WHERE state = 'approved' QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY revision DESC) = 1", "rev", "appr"),
+    "pl1_approved", lambda s, d: policy.approved(
+        revisions(s, d), approvals(s, d), F.lit("2020-01-01").cast("timestamp")
+    ).select("rule_id", "revision", "row_id"),
+    sql(
+        "SELECT rule_id, revision, row_id FROM appr WHERE state = 'approved' QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY revision DESC) = 1",
+        "rev", "appr"
+    ),
 )
 
 
 def requests(s, d):
     k = F.col("l_orderkey")
-    return P.table(s, d, "lineitem").where("l_linenumber = 1").groupBy(k.alias("request_id")).agg(F.min("l_shipdate").cast("timestamp").alias("known_at")).withColumns(
-        {"valid_at": F.col("known_at") - F.expr("INTERVAL 90 DAYS"), "family_id": F.floor(F.col("request_id") / 250), "rule_id": F.col("request_id") % 1000}
+    return P.table(s, d, "lineitem").where("l_linenumber = 1").groupBy(k.alias("request_id")).agg(
+        F.min("l_shipdate").cast("timestamp").alias("known_at")
+    ).withColumns(
+        {
+            "valid_at": F.col("known_at") - F.expr("INTERVAL 90 DAYS"), "family_id": F.floor(F.col("request_id") / 250),
+            "rule_id": F.col("request_id") % 1000
+        }
     )
 
 
 P.CTES["req"] = "SELECT l_orderkey AS request_id, min(l_shipdate) AS known_at, min(l_shipdate) - INTERVAL 90 DAY AS valid_at, l_orderkey // 250 AS family_id, l_orderkey % 1000 AS rule_id FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey"
 add(
-    "jn9_rules_in_force", lambda s, d: policy.rules_in_force(revisions(s, d).drop("rule_id"), requests(s, d), "family_id").groupBy("request_id").agg(F.count(F.lit(1)).alias("rules"), F.max("row_id").alias("last_row")),
-    sql("""SELECT request_id, count(*) AS rules, max(row_id) AS last_row FROM req JOIN rev ON rev.family_id = req.family_id AND recorded_at <= known_at AND valid_start <= valid_at
+    "jn9_rules_in_force", lambda s, d: policy.rules_in_force(
+        revisions(s, d).drop("rule_id"), requests(s, d), "family_id"
+    ).groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("rules"), F.max("row_id").alias("last_row")
+    ),
+    sql(
+        """SELECT request_id, count(*) AS rules, max(row_id) AS last_row FROM req JOIN rev ON rev.family_id = req.family_id AND recorded_at <= known_at AND valid_start <= valid_at
   AND (valid_end IS NULL OR valid_at < valid_end) GROUP BY 1""", "rev", "req"),
 )
 add(
-    "jn15_cycle_as_known", lambda s, d: policy.as_of(revisions(s, d).select("rule_id", "revision", "recorded_at", "row_id"), requests(s, d).select("request_id", "rule_id", "known_at"), ["rule_id"]).select("request_id", "rule_id", "revision", "row_id"),
-    sql("""SELECT request_id, q.rule_id, revision, row_id FROM req q LEFT JOIN (SELECT r.*, q.request_id AS rq, row_number() OVER (PARTITION BY q.request_id ORDER BY revision DESC) AS n FROM req q JOIN rev r
+    "jn15_cycle_as_known", lambda s, d: policy.as_of(
+        revisions(s, d).select("rule_id", "revision", "recorded_at", "row_id"),
+        requests(s, d).select("request_id", "rule_id", "known_at"), ["rule_id"]
+    ).select("request_id", "rule_id", "revision", "row_id"),
+    sql(
+        """SELECT request_id, q.rule_id, revision, row_id FROM req q LEFT JOIN (SELECT r.*, q.request_id AS rq, row_number() OVER (PARTITION BY q.request_id ORDER BY revision DESC) AS n FROM req q JOIN rev r
   ON r.rule_id = q.rule_id AND r.recorded_at <= q.known_at) x ON rq = request_id AND n = 1""", "rev", "req"),
 )
 
@@ -93,9 +141,14 @@ def context(s, d):
     """The query set: contexts of the requests whose id is divisible by 100."""
     k = (F.col("request_id") / 100).cast("bigint")
     r = requests(s, d).where("request_id % 100 = 0").select("request_id")
-    f = lambda name, value, av: F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), av.alias("availability"))
+    f = lambda name, value, av: F.struct(
+        F.lit(name).alias("field"), value.cast("string").alias("value"), av.alias("availability")
+    )
     known, maybe = F.lit("known"), F.when(k % 5 == 0, "unknown").otherwise("known")
-    return r.select("request_id", F.inline(F.array(f("university", k % 6, known), f("direction", k % 6, maybe), f("program", (k + 1) % 6, known))))
+    return r.select(
+        "request_id",
+        F.inline(F.array(f("university", k % 6, known), f("direction", k % 6, maybe), f("program", (k + 1) % 6, known)))
+    )
 
 
 P.CTES["ctx"] = """SELECT request_id, f AS field, CAST(CASE f WHEN 'program' THEN (request_id // 100 + 1) % 6 ELSE request_id // 100 % 6 END AS VARCHAR) AS value,
@@ -120,7 +173,10 @@ add("jn10_match_scope", in_scope, sql("SELECT * FROM inscope", *SC))
 
 
 def asked(s, d):
-    return requests(s, d).select("request_id", F.when(F.col("request_id") % 11 != 0, F.col("valid_at") + F.expr("INTERVAL 1000 DAYS")).alias("valid_at"))
+    return requests(s, d).select(
+        "request_id",
+        F.when(F.col("request_id") % 11 != 0, F.col("valid_at") + F.expr("INTERVAL 1000 DAYS")).alias("valid_at")
+    )
 
 
 def candidates(s, d):
@@ -136,7 +192,11 @@ add("pl3_candidate_states", candidates, sql("SELECT * FROM cand", *CAND))
 
 def relations(s, d):
     k = F.col("rule_id")
-    return newest(s, d).where(k % 15 == 0).select(k.alias("source_rule"), F.element_at(F.array(F.lit("overrides"), F.lit("exception")), (k % 2 + 1).cast("int")).alias("kind"), (k + 1).alias("target_rule"))
+    return newest(s, d).where(k % 15 == 0).select(
+        k.alias("source_rule"),
+        F.element_at(F.array(F.lit("overrides"), F.lit("exception")), (k % 2 + 1).cast("int")).alias("kind"),
+        (k + 1).alias("target_rule")
+    )
 
 
 P.CTES["rel"] = "SELECT rule_id AS source_rule, ['overrides', 'exception'][rule_id % 2 + 1] AS kind, rule_id + 1 AS target_rule FROM newest WHERE rule_id % 15 = 0"
@@ -156,28 +216,46 @@ def effective(s, d):
 
 add("pl4_effective_rules", effective, sql("SELECT * FROM eff", *EFF))
 add(
-    "jn11_family_pairs", lambda s, d: policy.family_pairs(candidates(s, d).where("state = 'candidate'")).groupBy("family_id").agg(F.count(F.lit(1)).alias("pairs")),
-    sql("""SELECT a.family_id, count(*) AS pairs FROM cand a JOIN cand b ON a.request_id = b.request_id AND a.family_id = b.family_id AND a.rule_id < b.rule_id WHERE a.state = 'candidate' AND b.state = 'candidate' GROUP BY 1""", *CAND),
-)
-add(
-    "pl8_diff_effective", lambda s, d: policy.diff_effective(effective(s, d), policy.effective_rules(candidates(s, d).where("rule_id % 3 <> 0"), relations(s, d))).groupBy("change").agg(F.count(F.lit(1)).alias("n")),
-    sql("""SELECT change, count(*) AS n FROM (SELECT CASE WHEN coalesce(a.state, 'effective') <> 'effective' OR coalesce(b.state, 'effective') <> 'effective' THEN 'ambiguous' WHEN a.rule_id IS NULL THEN 'added'
+    "jn11_family_pairs", lambda s, d: policy.family_pairs(
+        candidates(s, d).where("state = 'candidate'")
+    ).groupBy("family_id").agg(F.count(F.lit(1)).alias("pairs")),
+    sql(
+        """SELECT a.family_id, count(*) AS pairs FROM cand a JOIN cand b ON a.request_id = b.request_id AND a.family_id = b.family_id AND a.rule_id < b.rule_id WHERE a.state = 'candidate' AND b.state = 'candidate' GROUP BY 1""",
+        *CAND
+    ),
+)
+add(
+    "pl8_diff_effective", lambda s, d: policy.diff_effective(
+        effective(s, d),
+        policy.effective_rules(candidates(s, d).where("rule_id % 3 <> 0"), relations(s, d))
+    ).groupBy("change").agg(F.count(F.lit(1)).alias("n")),
+    sql(
+        """SELECT change, count(*) AS n FROM (SELECT CASE WHEN coalesce(a.state, 'effective') <> 'effective' OR coalesce(b.state, 'effective') <> 'effective' THEN 'ambiguous' WHEN a.rule_id IS NULL THEN 'added'
   WHEN b.rule_id IS NULL THEN 'removed' WHEN a.content_hash <> b.content_hash THEN 'changed' ELSE 'unchanged' END AS change FROM eff a FULL JOIN eff2 b USING (request_id, family_id)) GROUP BY 1""", *EFF, "eff2"),
 )
 add(
-    "st3_changed_selections", lambda s, d: policy.changed_selections(newest(s, d), revisions(s, d).where("revision = 1"), ["rule_id", "revision", "content_hash"]).select("rule_id", "revision", "side"),
-    sql("""(SELECT rule_id, revision, 'before' AS side FROM newest WHERE revision <> 1) UNION ALL (SELECT rule_id, revision, 'after' FROM rev WHERE revision = 1 AND rule_id IN (SELECT rule_id FROM newest WHERE revision <> 1))""", "rev", "newest"),
+    "st3_changed_selections", lambda s, d: policy.changed_selections(
+        newest(s, d), revisions(s, d).where("revision = 1"), ["rule_id", "revision", "content_hash"]
+    ).select("rule_id", "revision", "side"),
+    sql(
+        """(SELECT rule_id, revision, 'before' AS side FROM newest WHERE revision <> 1) UNION ALL (SELECT rule_id, revision, 'after' FROM rev WHERE revision = 1 AND rule_id IN (SELECT rule_id FROM newest WHERE revision <> 1))""",
+        "rev", "newest"
+    ),
 )
 add(
     "pl7_diff_revisions",
-    lambda s, d: policy.diff_revisions(revisions(s, d).where("revision = 1").select("rule_id", "note", "authority"), revisions(s, d).where("revision = 2").select("rule_id", "note", "authority"), ["rule_id"]).select("rule_id", "path", "before", "after", "change"),
+    lambda s, d: policy.diff_revisions(
+        revisions(s, d).where("revision = 1").select("rule_id", "note", "authority"),
+        revisions(s, d).where("revision = 2").select("rule_id", "note", "authority"), ["rule_id"]
+    ).select("rule_id", "path", "before", "after", "change"),
     sql("""WITH a AS (SELECT * FROM rev WHERE revision = 1), b AS (SELECT * FROM rev WHERE revision = 2)
   SELECT rule_id, 'note' AS path, a.note AS before, b.note AS after, CASE WHEN b.note IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a LEFT JOIN b USING (rule_id) WHERE a.note IS DISTINCT FROM b.note
   UNION ALL SELECT rule_id, 'authority', CAST(a.authority AS VARCHAR), NULL, 'removed' FROM a WHERE rule_id NOT IN (SELECT rule_id FROM b)""", "rev"),
 )
 add(
     "pl12_validate_relations", lambda s, d: policy.validate_relations(relations(s, d), newest(s, d)),
-    sql("""SELECT source_rule, kind, target_rule, CASE WHEN a.authority < b.authority THEN 'less_authority' ELSE 'not_narrower' END AS problem FROM rel JOIN newest a ON a.rule_id = source_rule JOIN newest b ON b.rule_id = target_rule
+    sql(
+        """SELECT source_rule, kind, target_rule, CASE WHEN a.authority < b.authority THEN 'less_authority' ELSE 'not_narrower' END AS problem FROM rel JOIN newest a ON a.rule_id = source_rule JOIN newest b ON b.rule_id = target_rule
   WHERE a.authority < b.authority OR (kind = 'exception' AND a.rule_id % 4 <= b.rule_id % 4)""", "rev", "newest", "rel"),
 )
 
@@ -194,7 +272,9 @@ def roots(s, d):
 _TRAV = """t AS (WITH RECURSIVE x(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer
   UNION ALL SELECT root, node * 2 + k, depth + 1 FROM x, (VALUES (1), (2)) v(k) WHERE depth < 6 AND node IN (SELECT c_custkey FROM customer)) SELECT * FROM x)"""
 add(
-    "pl9_traverse", lambda s, d: policy.traverse(edges(s, d), roots(s, d), 6).select("root", "node", "depth", "truncated"),
+    "pl9_traverse", lambda s, d: policy.traverse(edges(s, d), roots(s, d), 6).select(
+        "root", "node", "depth", "truncated"
+    ),
     f"WITH {_TRAV} SELECT root, node, CAST(depth AS INT) AS depth, depth = 6 AND node IN (SELECT c_custkey FROM customer) AS truncated FROM t",
 )
 
@@ -209,31 +289,51 @@ _IMP = f"""{_TRAV}, imp AS (SELECT node, lower(c_mktsegment) AS kind, CAST(min(d
 add("pl10_impact", impacted, f"WITH {_IMP} SELECT * FROM imp")
 _KINDS = [("building", "metrics"), ("building", "fit"), ("machinery", "fit"), ("household", "search")]
 add(
-    "snk12_dirty_targets", lambda s, d: policy.dirty_targets(impacted(s, d), s.createDataFrame(_KINDS, "kind string, projection string")),
+    "snk12_dirty_targets", lambda s, d: policy.dirty_targets(
+        impacted(s, d), s.createDataFrame(_KINDS, "kind string, projection string")
+    ),
     f"WITH {_IMP} SELECT DISTINCT node, projection FROM imp JOIN (VALUES " + ", ".join(map(str, _KINDS)) + ") v(kind, projection) USING (kind)",
 )
 add(
-    "kn3_cyclic_nodes", lambda s, d: policy.cyclic_nodes(P.table(s, d, "customer").where("c_custkey % 10 <> 9").select(F.col("c_custkey").alias("source"), F.when(F.col("c_custkey") % 10 == 4, F.col("c_custkey") - 2).otherwise(F.col("c_custkey") + 1).alias("target"))),
+    "kn3_cyclic_nodes", lambda s, d: policy.cyclic_nodes(
+        P.table(s, d, "customer").where("c_custkey % 10 <> 9").select(
+            F.col("c_custkey").alias("source"),
+            F.when(
+                F.col("c_custkey") % 10 == 4, F.col("c_custkey") - 2
+            ).otherwise(F.col("c_custkey") + 1).alias("target")
+        )
+    ),
     "SELECT c_custkey AS node FROM customer WHERE c_custkey % 10 <= 4",
 )
 add(
-    "jn14_overlap", lambda s, d: policy.overlap(revisions(s, d).select((F.col("row_id") / 3).cast("bigint").alias("conflict_id"), "valid_start", "valid_end")).select("conflict_id", "participants", "overlaps"),
-    sql("SELECT row_id // 3 AS conflict_id, count(*) AS participants, max(valid_start) < min(coalesce(valid_end, TIMESTAMP '9999-12-31')) AS overlaps FROM rev GROUP BY 1", "rev"),
+    "jn14_overlap", lambda s, d: policy.overlap(
+        revisions(s, d).select((F.col("row_id") / 3).cast("bigint").alias("conflict_id"), "valid_start", "valid_end")
+    ).select("conflict_id", "participants", "overlaps"),
+    sql(
+        "SELECT row_id // 3 AS conflict_id, count(*) AS participants, max(valid_start) < min(coalesce(valid_end, TIMESTAMP '9999-12-31')) AS overlaps FROM rev GROUP BY 1",
+        "rev"
+    ),
 )
 
 
 def selector_nodes(s, d):
     k = F.col("rule_id")
-    n = lambda i, up, kind, field, vals: F.struct(F.lit(i).alias("node_id"), F.lit(up).cast("int").alias("parent_id"), F.lit(kind).alias("kind"), F.lit(field).cast("string").alias("field"), vals.alias("values"))
+    n = lambda i, up, kind, field, vals: F.struct(
+        F.lit(i).alias("node_id"), F.lit(up).cast("int").alias("parent_id"), F.lit(kind).alias("kind"),
+        F.lit(field).cast("string").alias("field"), vals.alias("values")
+    )
     none, one = F.array().cast("array<string>"), F.array((k % 6).cast("string"))
     return newest(s, d).select("rule_id", F.inline(F.array(
-        n(1, None, "all", None, none), n(2, 1, "equals", "university", one), n(3, 1, "any", None, none), n(4, 3, "in", "direction", F.array((k % 6).cast("string"), F.lit("0"))), n(5, 3, "exists", "faculty", none),
+        n(1, None, "all", None, none), n(2, 1, "equals", "university", one), n(3, 1, "any", None, none), n(
+            4, 3, "in", "direction", F.array((k % 6).cast("string"), F.lit("0"))
+        ), n(5, 3, "exists", "faculty", none),
     )))
 
 
 add(
     "pl2_eval_selectors", lambda s, d: policy.eval_selectors(selector_nodes(s, d), context(s, d)),
-    sql("""SELECT u.request_id, rule_id, least(CASE WHEN u.value = CAST(rule_id % 6 AS VARCHAR) THEN 1.0 ELSE 0.0 END, CASE WHEN g.availability <> 'known' THEN 0.5 WHEN g.value IN (CAST(rule_id % 6 AS VARCHAR), '0') THEN 1.0 ELSE 0.0 END)::DOUBLE AS v
+    sql(
+        """SELECT u.request_id, rule_id, least(CASE WHEN u.value = CAST(rule_id % 6 AS VARCHAR) THEN 1.0 ELSE 0.0 END, CASE WHEN g.availability <> 'known' THEN 0.5 WHEN g.value IN (CAST(rule_id % 6 AS VARCHAR), '0') THEN 1.0 ELSE 0.0 END)::DOUBLE AS v
   FROM newest CROSS JOIN (SELECT * FROM ctx WHERE field = 'university') u JOIN (SELECT * FROM ctx WHERE field = 'direction') g ON g.request_id = u.request_id""", "rev", "req", "ctx", "newest"),
 )
 
@@ -241,7 +341,10 @@ add(
 # --- claims ---------------------------------------------------------------
 def claims(s, d):
     k = F.col("doc_id")
-    return P.table(s, d, "documents").select(k.alias("claim_id"), F.sha2(F.lower("text"), 256).alias("fingerprint"), F.concat_ws("/", "source", "lang").alias("identity"), (k % 3 + 1).cast("int").alias("revision"))
+    return P.table(s, d, "documents").select(
+        k.alias("claim_id"), F.sha2(F.lower("text"), 256).alias("fingerprint"),
+        F.concat_ws("/", "source", "lang").alias("identity"), (k % 3 + 1).cast("int").alias("revision")
+    )
 
 
 add(
@@ -250,7 +353,9 @@ add(
   FROM (SELECT doc_id, sha256(lower(text)) AS f FROM documents) GROUP BY 1""",
 )
 add(
-    "jn12_diff_claims", lambda s, d: knowledge.diff_claims(claims(s, d).where("claim_id % 5 <> 0"), claims(s, d).where("claim_id % 3 <> 0")).groupBy("change").agg(F.count(F.lit(1)).alias("n")),
+    "jn12_diff_claims", lambda s, d: knowledge.diff_claims(
+        claims(s, d).where("claim_id % 5 <> 0"), claims(s, d).where("claim_id % 3 <> 0")
+    ).groupBy("change").agg(F.count(F.lit(1)).alias("n")),
     """WITH c AS (SELECT doc_id, sha256(lower(text)) AS f, source || '/' || lang AS i FROM documents), a AS (SELECT * FROM c WHERE doc_id % 5 <> 0), b AS (SELECT * FROM c WHERE doc_id % 3 <> 0),
   ra AS (SELECT i, count(*) AS n FROM a WHERE f NOT IN (SELECT f FROM b) GROUP BY 1), rb AS (SELECT i, count(*) AS n FROM b WHERE f NOT IN (SELECT f FROM a) GROUP BY 1)
   SELECT change, count(*) AS n FROM (SELECT 'unchanged' AS change FROM b WHERE f IN (SELECT f FROM a) UNION ALL SELECT CASE WHEN rb.n IS NULL THEN 'removed' WHEN ra.n IS NULL THEN 'added' WHEN ra.n = 1 AND rb.n = 1 THEN 'revised' ELSE 'ambiguous' END FROM ra FULL JOIN rb USING (i)) GROUP BY 1""",
@@ -259,11 +364,19 @@ add(
 
 def reviews(s, d):
     k = F.col("event_id")
-    return P.table(s, d, "events").select(F.col("user_id").alias("claim_id"), k.alias("sequence"), F.element_at(F.array(*[F.lit(x) for x in ("extracted", "pending_review", "accepted", "rejected", "needs_changes")]), (k % 5 + 1).cast("int")).alias("state"))
+    return P.table(s, d, "events").select(
+        F.col("user_id").alias("claim_id"), k.alias("sequence"),
+        F.element_at(
+            F.array(*[F.lit(x) for x in ("extracted", "pending_review", "accepted", "rejected", "needs_changes")]),
+            (k % 5 + 1).cast("int")
+        ).alias("state")
+    )
 
 
 add(
-    "kn1_check_transitions", lambda s, d: knowledge.check_transitions(reviews(s, d)).select("sequence", "from_state", "state"),
+    "kn1_check_transitions", lambda s, d: knowledge.check_transitions(reviews(s, d)).select(
+        "sequence", "from_state", "state"
+    ),
     """WITH e AS (SELECT user_id, event_id AS sequence, ['extracted', 'pending_review', 'accepted', 'rejected', 'needs_changes'][event_id % 5 + 1] AS state FROM events),
   f AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY sequence) AS from_state FROM e)
   SELECT sequence, from_state, state FROM f WHERE CASE WHEN from_state IS NULL THEN state <> 'extracted' ELSE from_state || '>' || state NOT IN
@@ -273,18 +386,30 @@ add(
 
 def fetches(s, d):
     k = F.col("o_orderkey")
-    return P.table(s, d, "orders").select((F.col("o_custkey") % 200).alias("source_id"), k.alias("sequence"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("outcome"), (k % 3).cast("string").alias("content_hash"), F.col("o_orderdate").cast("timestamp").alias("attempted_at"))
+    return P.table(s, d, "orders").select(
+        (F.col("o_custkey") % 200).alias("source_id"), k.alias("sequence"),
+        F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("outcome"),
+        (k % 3).cast("string").alias("content_hash"),
+        F.col("o_orderdate").cast("timestamp").alias("attempted_at")
+    )
 
 
 add(
-    "kn2_diff_attempts", lambda s, d: knowledge.diff_attempts(fetches(s, d)).select("sequence", "before", "change", "out_of_order"),
+    "kn2_diff_attempts", lambda s, d: knowledge.diff_attempts(fetches(s, d)).select(
+        "sequence", "before", "change", "out_of_order"
+    ),
     """WITH a AS (SELECT o_custkey % 200 AS sid, o_orderkey AS sequence, o_orderstatus = 'F' AS bad, CAST(o_orderkey % 3 AS VARCHAR) AS h, o_orderdate AS t FROM orders),
   b AS (SELECT *, last_value(CASE WHEN NOT bad THEN h END IGNORE NULLS) OVER (PARTITION BY sid ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
   coalesce(t < lag(t) OVER (PARTITION BY sid ORDER BY sequence), false) AS out_of_order FROM a)
   SELECT sequence, before, CASE WHEN bad THEN 'unavailable' WHEN before IS NULL THEN 'new' WHEN before = h THEN 'unchanged' ELSE 'changed' END AS change, out_of_order FROM b""",
 )
 add(
-    "kn4_idempotent_actions", lambda s, d: knowledge.idempotent_actions(P.table(s, d, "events").select(F.col("user_id").alias("actor"), (F.col("event_id") % 50).alias("action_key"), F.when(F.col("event_id") % 7 == 0, F.col("props")).otherwise("same").alias("payload"))),
+    "kn4_idempotent_actions", lambda s, d: knowledge.idempotent_actions(
+        P.table(s, d, "events").select(
+            F.col("user_id").alias("actor"), (F.col("event_id") % 50).alias("action_key"),
+            F.when(F.col("event_id") % 7 == 0, F.col("props")).otherwise("same").alias("payload")
+        )
+    ),
     """SELECT user_id AS actor, event_id % 50 AS action_key, count(*) AS n, count(DISTINCT p) AS payloads, CASE WHEN count(DISTINCT p) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'replayed' ELSE 'applied' END AS outcome
   FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN props ELSE 'same' END AS p FROM events) GROUP BY 1, 2""",
 )
@@ -293,7 +418,9 @@ add(
 def claim_rows(s, d):
     k = F.col("o_orderkey")
     return P.table(s, d, "orders").select(
-        F.col("o_custkey").alias("claim_id"), k.cast("int").alias("revision"), F.element_at(F.array(*[F.lit(x) for x in ("extracted", "accepted", "pending_review")]), (k % 3 + 1).cast("int")).alias("state"),
+        F.col("o_custkey").alias("claim_id"), k.cast("int").alias("revision"), F.element_at(
+            F.array(*[F.lit(x) for x in ("extracted", "accepted", "pending_review")]), (k % 3 + 1).cast("int")
+        ).alias("state"),
         F.col("o_orderdate").cast("timestamp").alias("recorded_at"), F.col("o_orderpriority").alias("predicate"), (k % 100).alias("observation_id"),
     )
 
@@ -301,19 +428,36 @@ def claim_rows(s, d):
 P.CTES["claims"] = "SELECT o_custkey AS claim_id, CAST(o_orderkey AS INT) AS revision, ['extracted', 'accepted', 'pending_review'][o_orderkey % 3 + 1] AS state, o_orderdate AS recorded_at, o_orderpriority AS predicate, o_orderkey % 100 AS observation_id FROM orders"
 add(
     "kn5_pending", lambda s, d: knowledge.pending(claim_rows(s, d), limit=40).select("claim_id", "revision", "state"),
-    sql("SELECT claim_id, revision, state FROM (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY revision DESC) = 1) WHERE state <> 'accepted' ORDER BY recorded_at DESC, claim_id LIMIT 40", "claims"),
+    sql(
+        "SELECT claim_id, revision, state FROM (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY revision DESC) = 1) WHERE state <> 'accepted' ORDER BY recorded_at DESC, claim_id LIMIT 40",
+        "claims"
+    ),
 )
 add(
     "kn6_claims_as_known",
-    lambda s, d: knowledge.claims_as_known(claim_rows(s, d), P.table(s, d, "supplier").select(F.col("s_suppkey").alias("observation_id"), F.col("s_nationkey").alias("source_id")), P.table(s, d, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("source_name")), F.lit(KNOWN).cast("timestamp"), "2-HIGH").select("claim_id", "revision", "source_name"),
-    sql(f"""SELECT claim_id, revision, n_name AS source_name FROM (SELECT * FROM claims WHERE recorded_at <= TIMESTAMP '{KNOWN}' QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY revision DESC) = 1)
+    lambda s, d: knowledge.claims_as_known(
+        claim_rows(s, d),
+        P.table(s, d, "supplier").select(
+            F.col("s_suppkey").alias("observation_id"), F.col("s_nationkey").alias("source_id")
+        ),
+        P.table(s, d, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("source_name")),
+        F.lit(KNOWN).cast("timestamp"), "2-HIGH"
+    ).select("claim_id", "revision", "source_name"),
+    sql(
+        f"""SELECT claim_id, revision, n_name AS source_name FROM (SELECT * FROM claims WHERE recorded_at <= TIMESTAMP '{KNOWN}' QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY revision DESC) = 1)
   JOIN supplier ON s_suppkey = observation_id JOIN nation ON n_nationkey = s_nationkey WHERE predicate = '2-HIGH'""", "claims"),
 )
 
 
 def conflict_events(s, d):
     k = F.col("event_id")
-    return P.table(s, d, "events").select((k / 3).cast("bigint").alias("conflict_id"), (k % 3 + 1).alias("sequence"), F.col("ts").cast("timestamp").alias("recorded_at"), F.when(k % 3 == 0, "opened").when(k % 3 == 1, F.when(k % 2 == 0, "resolved").otherwise("dismissed")).otherwise(F.when(k % 4 == 0, "reopened").otherwise("resolved")).alias("kind"))
+    return P.table(s, d, "events").select(
+        (k / 3).cast("bigint").alias("conflict_id"), (k % 3 + 1).alias("sequence"),
+        F.col("ts").cast("timestamp").alias("recorded_at"),
+        F.when(k % 3 == 0, "opened").when(
+            k % 3 == 1, F.when(k % 2 == 0, "resolved").otherwise("dismissed")
+        ).otherwise(F.when(k % 4 == 0, "reopened").otherwise("resolved")).alias("kind")
+    )
 
 
 add(
@@ -323,45 +467,78 @@ add(
 )
 add(
     "kn7_blocked_revisions",
-    lambda s, d: knowledge.blocked_revisions(revisions(s, d), revisions(s, d).select("rule_id", "revision", (F.col("row_id") / 5).cast("bigint").alias("conflict_id")), knowledge.conflict_state(conflict_events(s, d))).select("rule_id", "revision"),
-    sql("""SELECT rule_id, revision FROM rev WHERE row_id // 5 IN (SELECT event_id // 3 FROM events GROUP BY 1 HAVING count(*) = 1 OR (count(*) = 3 AND max(event_id) % 4 = 0))""", "rev"),
+    lambda s, d: knowledge.blocked_revisions(
+        revisions(s, d),
+        revisions(s, d).select("rule_id", "revision", (F.col("row_id") / 5).cast("bigint").alias("conflict_id")),
+        knowledge.conflict_state(conflict_events(s, d))
+    ).select("rule_id", "revision"),
+    sql(
+        """SELECT rule_id, revision FROM rev WHERE row_id // 5 IN (SELECT event_id // 3 FROM events GROUP BY 1 HAVING count(*) = 1 OR (count(*) = 3 AND max(event_id) % 4 = 0))""",
+        "rev"
+    ),
 )
 
 
 def links_between(s, d):
     k = F.col("o_orderkey")
-    return P.table(s, d, "orders").select((k / 2).cast("bigint").alias("relation_id"), (k % 2).cast("int").alias("revision"), F.col("o_custkey").alias("claim_id"), (F.col("o_custkey") + 7).alias("other_id"), F.lit("derived_from").alias("kind"), F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("accepted").alias("state"))
+    return P.table(s, d, "orders").select(
+        (k / 2).cast("bigint").alias("relation_id"), (k % 2).cast("int").alias("revision"),
+        F.col("o_custkey").alias("claim_id"), (F.col("o_custkey") + 7).alias("other_id"),
+        F.lit("derived_from").alias("kind"),
+        F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("accepted").alias("state")
+    )
 
 
 add(
-    "kn8_relations_for", lambda s, d: knowledge.relations_for(claim_rows(s, d), links_between(s, d)).select("relation_id", "claim_id", "other_id"),
+    "kn8_relations_for", lambda s, d: knowledge.relations_for(
+        claim_rows(s, d), links_between(s, d)
+    ).select("relation_id", "claim_id", "other_id"),
     """WITH l AS (SELECT o_orderkey // 2 AS relation_id, o_custkey AS claim_id, o_custkey + 7 AS other_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey // 2 ORDER BY o_orderkey % 2 DESC) = 1),
   c AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT * FROM l WHERE claim_id IN (SELECT k FROM c) OR other_id IN (SELECT k FROM c)""",
 )
 add(
-    "flt12_allowlisted", lambda s, d: knowledge.allowlisted(P.table(s, d, "pages").select("page_id", F.regexp_replace("url", "^http:", "https:").alias("url")), P.table(s, d, "pages").select(F.parse_url("url", F.lit("HOST")).alias("host"), F.lit("/fr").alias("prefix")).distinct()).select("page_id"),
+    "flt12_allowlisted", lambda s, d: knowledge.allowlisted(
+        P.table(s, d, "pages").select("page_id", F.regexp_replace("url", "^http:", "https:").alias("url")),
+        P.table(s, d, "pages").select(
+            F.parse_url("url", F.lit("HOST")).alias("host"), F.lit("/fr").alias("prefix")
+        ).distinct()
+    ).select("page_id"),
     r"""SELECT page_id FROM (SELECT page_id, regexp_replace(url, '^http:', 'https:') AS u FROM pages) WHERE regexp_full_match(u, 'https://[^/?#@:]+/fr(/[^?#]*)?') AND u NOT LIKE '%/..%'""",
 )
 
 # --- texts ----------------------------------------------------------------
-AREA_RULES = (("widget", "engineering_technology"), ("gear", "engineering_technology"), ("ring", "mathematics_statistics"), ("gizmo", "computer_science_data"))
+AREA_RULES = (
+    ("widget", "engineering_technology"), ("gear", "engineering_technology"), ("ring", "mathematics_statistics"),
+    ("gizmo", "computer_science_data")
+)
 
 
 def rule_table(s):
-    return s.createDataFrame([(k, a, b) for k, (a, b) in enumerate(AREA_RULES)], "rule int, keyword string, area string")
+    return s.createDataFrame(
+        [(k, a, b) for k, (a, b) in enumerate(AREA_RULES)], "rule int, keyword string, area string"
+    )
 
 
 add(
     "tx1_classify_areas",
-    lambda s, d: text.classify_areas(P.disciplines(s, d).select("discipline_id", "name"), s.createDataFrame([("red plate", "art_design_media"), ("steel rod", "physics_astronomy")], "name string, area string"), s.createDataFrame([("hot rod", "steel rod")], "alias string, target string"), rule_table(s)).select("discipline_id", "area", "method", "rule"),
-    sql("""SELECT discipline_id, CASE WHEN name = 'red plate' THEN 'art_design_media' WHEN name = 'steel rod' OR name = 'hot rod' THEN 'physics_astronomy' WHEN contains(name, 'widget') OR contains(name, 'gear') THEN 'engineering_technology'
+    lambda s, d: text.classify_areas(
+        P.disciplines(s, d).select("discipline_id", "name"),
+        s.createDataFrame(
+            [("red plate", "art_design_media"), ("steel rod", "physics_astronomy")], "name string, area string"
+        ),
+        s.createDataFrame([("hot rod", "steel rod")], "alias string, target string"), rule_table(s)
+    ).select("discipline_id", "area", "method", "rule"),
+    sql(
+        """SELECT discipline_id, CASE WHEN name = 'red plate' THEN 'art_design_media' WHEN name = 'steel rod' OR name = 'hot rod' THEN 'physics_astronomy' WHEN contains(name, 'widget') OR contains(name, 'gear') THEN 'engineering_technology'
   WHEN contains(name, 'ring') THEN 'mathematics_statistics' WHEN contains(name, 'gizmo') THEN 'computer_science_data' ELSE 'universal_interdisciplinary' END AS area,
   CASE WHEN name IN ('red plate', 'steel rod') THEN 'override' WHEN name = 'hot rod' THEN 'alias' WHEN regexp_matches(name, 'widget|gear|ring|gizmo') THEN 'keyword' ELSE 'unresolved' END AS method,
   CASE WHEN name IN ('red plate', 'steel rod', 'hot rod') THEN NULL WHEN contains(name, 'widget') THEN 0 WHEN contains(name, 'gear') THEN 1 WHEN contains(name, 'ring') THEN 2 WHEN contains(name, 'gizmo') THEN 3 END AS rule FROM disciplines""", "disciplines"),
 )
 CLAIM = "(^|[ .,])(the|der|que|les)[ .,]"
 add(
-    "tx6_extract_claims", lambda s, d: text.extract_claims(P.table(s, d, "documents"), CLAIM).select("doc_id", "line", "start", "digest", "place"),
+    "tx6_extract_claims", lambda s, d: text.extract_claims(P.table(s, d, "documents"), CLAIM).select(
+        "doc_id", "line", "start", "digest", "place"
+    ),
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
   o AS (SELECT *, CAST(coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start, trim(raw, ' ') AS t FROM l),
   k AS (SELECT *, sha256(lower(t)) AS digest FROM o WHERE length(t) BETWEEN 32 AND 4000 AND regexp_matches(t, '(^|[ .,])(the|der|que|les)[ .,]')),
@@ -370,31 +547,57 @@ add(
 )
 add(
     "tx9_match_disciplines",
-    lambda s, d: text.match_disciplines(P.table(s, d, "part").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 5 == 0, "no such").otherwise(F.upper("p_name")).alias("name")), P.disciplines(s, d)).select("query_id", "state", "discipline_id"),
+    lambda s, d: text.match_disciplines(
+        P.table(s, d, "part").select(
+            F.col("p_partkey").alias("query_id"),
+            F.when(F.col("p_partkey") % 5 == 0, "no such").otherwise(F.upper("p_name")).alias("name")
+        ),
+        P.disciplines(s, d)
+    ).select("query_id", "state", "discipline_id"),
     """SELECT p_partkey AS query_id, CASE WHEN k IS NULL THEN 'new' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS state, CASE WHEN n = 1 THEN k END AS discipline_id FROM part q
   LEFT JOIN (SELECT p_name AS nm, count(*) AS n, min(p_partkey) AS k FROM part GROUP BY 1) x ON nm = q.p_name AND q.p_partkey % 5 <> 0""",
 )
 
 
 def entities(s, d):
-    return P.programs(s, d).select(F.col("program_id").alias("entity_id"), "university_id", "code", F.concat_ws(" ", F.lit("study program"), (F.col("program_id") % 40).cast("string"), (F.col("direction_id")).cast("string")).alias("name"))
+    return P.programs(s, d).select(
+        F.col("program_id").alias("entity_id"), "university_id", "code",
+        F.concat_ws(
+            " ", F.lit("study program"), (F.col("program_id") % 40).cast("string"),
+            (F.col("direction_id")).cast("string")
+        ).alias("name")
+    )
 
 
 def queries_of(s, d):
     k = F.col("c_custkey")
-    q = F.when(k % 4 == 0, F.concat(F.lit("SUPPLIER#"), F.lpad((k % 150).cast("string"), 9, "0"))).when(k % 4 == 1, F.concat_ws(" ", F.lit("program"), (k % 40).cast("string"))).when(k % 4 == 2, F.concat(F.lit("alias "), (k % 90).cast("string"))).otherwise("nothing like it")
-    return P.table(s, d, "customer").select(k.alias("query_id"), q.alias("query"), F.when(k % 8 == 1, (k % 5).cast("int")).alias("university_id"))
+    q = F.when(
+        k % 4 == 0,
+        F.concat(F.lit("SUPPLIER#"), F.lpad((k % 150).cast("string"), 9, "0"))
+    ).when(
+        k % 4 == 1, F.concat_ws(" ", F.lit("program"), (k % 40).cast("string"))
+    ).when(k % 4 == 2, F.concat(F.lit("alias "), (k % 90).cast("string"))).otherwise("nothing like it")
+    return P.table(s, d, "customer").select(
+        k.alias("query_id"), q.alias("query"),
+        F.when(k % 8 == 1, (k % 5).cast("int")).alias("university_id")
+    )
 
 
 def program_queries(s, d):
     """The query set: customers whose id is divisible by 100, asking for a program by number."""
     number = (F.col("c_custkey") / 100).cast("bigint") % 40
     asked = P.table(s, d, "customer").where("c_custkey % 100 = 0")
-    return asked.select(F.col("c_custkey").alias("query_id"), F.concat_ws(" ", F.lit("program"), number.cast("string")).alias("query"))
+    return asked.select(
+        F.col("c_custkey").alias("query_id"),
+        F.concat_ws(" ", F.lit("program"), number.cast("string")).alias("query")
+    )
 
 
 def entity_aliases(s, d):
-    return P.programs(s, d).select(F.col("program_id").alias("entity_id"), F.concat(F.lit("Alias "), (F.col("program_id") % 80).cast("string")).alias("alias"))
+    return P.programs(s, d).select(
+        F.col("program_id").alias("entity_id"),
+        F.concat(F.lit("Alias "), (F.col("program_id") % 80).cast("string")).alias("alias")
+    )
 
 
 _RES = """e AS (SELECT program_id AS id, university_id AS u, lower(code) AS code, program_id % 40 AS t1, direction_id AS t2, program_id % 80 AS al FROM programs),
@@ -405,31 +608,49 @@ _RES = """e AS (SELECT program_id AS id, university_id AS u, lower(code) AS code
   r2 AS (SELECT *, count(*) FILTER (score >= best - 0.05) OVER (PARTITION BY q) AS near FROM r)"""
 add(
     "tx7_resolve_entities", lambda s, d: text.resolve_entities(queries_of(s, d), entities(s, d), entity_aliases(s, d)),
-    sql(f"""WITH {_RES} SELECT c_custkey AS query_id, id AS entity_id, score, place, CASE WHEN best IS NULL THEN 'not_found' WHEN near > 1 THEN 'ambiguous' WHEN best = 1 THEN 'exact' ELSE 'resolved' END AS status
+    sql(
+        f"""WITH {_RES} SELECT c_custkey AS query_id, id AS entity_id, score, place, CASE WHEN best IS NULL THEN 'not_found' WHEN near > 1 THEN 'ambiguous' WHEN best = 1 THEN 'exact' ELSE 'resolved' END AS status
   FROM customer LEFT JOIN (SELECT * FROM r2 WHERE place <= 5) ON q = c_custkey""", "programs"),
 )
 add(
     "wn8_narrow_by_tokens", lambda s, d: text.narrow_by_tokens(program_queries(s, d), entities(s, d)),
-    sql("""WITH o AS (SELECT c_custkey AS query_id, program_id AS entity_id, 1 + (c_custkey // 100 % 40 = program_id % 40 OR c_custkey // 100 % 40 = direction_id)::INT AS overlap FROM customer, programs WHERE c_custkey % 100 = 0)
+    sql(
+        """WITH o AS (SELECT c_custkey AS query_id, program_id AS entity_id, 1 + (c_custkey // 100 % 40 = program_id % 40 OR c_custkey // 100 % 40 = direction_id)::INT AS overlap FROM customer, programs WHERE c_custkey % 100 = 0)
   SELECT query_id, entity_id, CAST(overlap AS BIGINT) AS overlap, round(0.7 + overlap / 2::DOUBLE / 10, 6) AS score FROM o QUALIFY overlap = max(overlap) OVER (PARTITION BY query_id)""", "programs"),
 )
 
 
 def candidate_sets(s, d):
-    return P.items(s, d).select("program_id", "discipline_id").distinct().join(P.disciplines(s, d), "discipline_id").select(F.col("program_id").alias("query_id"), F.col("discipline_id").alias("entity_id"), "name", F.col("p_brand").alias("code"))
+    return P.items(s, d).select("program_id", "discipline_id").distinct().join(
+        P.disciplines(s, d), "discipline_id"
+    ).select(
+        F.col("program_id").alias("query_id"), F.col("discipline_id").alias("entity_id"), "name",
+        F.col("p_brand").alias("code")
+    )
 
 
 add(
     "fn14_candidate_hash", lambda s, d: text.candidate_hash(candidate_sets(s, d)),
-    sql("""SELECT program_id AS query_id, sha256(string_agg(x, chr(10) ORDER BY x)) AS candidates_sha256, count(*) AS n FROM (SELECT DISTINCT program_id, discipline_id || '|' || name || '|' || p_brand AS x FROM items JOIN disciplines USING (discipline_id)) GROUP BY 1""", "items", "disciplines"),
-)
-add(
-    "tx8_resolve_large", lambda s, d: text.resolve_large(candidate_sets(s, d), lambda p: int(p["entity_id"].iloc[0]) if p["query_id"].iloc[0] % 2 else -1, above=300),
-    sql("""SELECT query_id, CASE WHEN n > 300 AND query_id % 2 = 1 THEN low END AS entity_id, CASE WHEN n <= 300 THEN 'small' WHEN query_id % 2 = 1 THEN 'resolved' ELSE 'ambiguous' END AS status
+    sql(
+        """SELECT program_id AS query_id, sha256(string_agg(x, chr(10) ORDER BY x)) AS candidates_sha256, count(*) AS n FROM (SELECT DISTINCT program_id, discipline_id || '|' || name || '|' || p_brand AS x FROM items JOIN disciplines USING (discipline_id)) GROUP BY 1""",
+        "items", "disciplines"
+    ),
+)
+add(
+    "tx8_resolve_large", lambda s, d: text.resolve_large(
+        candidate_sets(s, d),
+        lambda p: int(p["entity_id"].iloc[0]) if p["query_id"].iloc[0] % 2 else -1, above=300
+    ),
+    sql(
+        """SELECT query_id, CASE WHEN n > 300 AND query_id % 2 = 1 THEN low END AS entity_id, CASE WHEN n <= 300 THEN 'small' WHEN query_id % 2 = 1 THEN 'resolved' ELSE 'ambiguous' END AS status
   FROM (SELECT program_id AS query_id, count(DISTINCT discipline_id) AS n, min(discipline_id) AS low FROM items JOIN disciplines USING (discipline_id) GROUP BY 1)""", "items", "disciplines"),
 )
 add(
-    "tx10_parse_questions", lambda s, d: text.parse_questions(P.table(s, d, "conversations")).groupBy("intent", "form").agg(F.count(F.lit(1)).alias("n"), F.count("year").alias("years"), F.sum("n_words").alias("words")),
+    "tx10_parse_questions", lambda s, d: text.parse_questions(
+        P.table(s, d, "conversations")
+    ).groupBy("intent", "form").agg(
+        F.count(F.lit(1)).alias("n"), F.count("year").alias("years"), F.sum("n_words").alias("words")
+    ),
     r"""WITH t AS (SELECT lower(text) AS t FROM conversations), q AS (SELECT CASE WHEN regexp_matches(t, 'сравн|compare|versus') THEN 'compare' WHEN regexp_matches(t, 'поступ|балл|admission|score') THEN 'admission_fit'
   WHEN regexp_matches(t, 'посовет|рекоменд|recommend|suggest') THEN 'recommend' WHEN regexp_matches(t, 'сколько|доля|share|how many|average') THEN 'metric' ELSE 'unknown' END AS intent,
   CASE WHEN regexp_matches(t, 'заочн|distance') THEN 'extramural' WHEN regexp_matches(t, 'очн|full.?time') THEN 'full_time' END AS form,
@@ -441,11 +662,18 @@ add(
 def turn_slots(s, d):
     c = P.table(s, d, "conversations").where("role = 'user'")
     n = F.length("text")
-    return c.select("conv_id", "turn", F.when(n % 3 == 0, n % 5).alias("intent"), F.when(n % 2 == 0, n % 4).alias("year"), F.array((n % 7).cast("string")).alias("ents"))
+    return c.select(
+        "conv_id", "turn", F.when(n % 3 == 0, n % 5).alias("intent"), F.when(n % 2 == 0, n % 4).alias("year"),
+        F.array((n % 7).cast("string")).alias("ents")
+    )
 
 
 add(
-    "tx11_session_state", lambda s, d: text.session_state(turn_slots(s, d), "conv_id", "turn", ["intent", "year"], "ents").select("conv_id", "turn", "s_intent", "s_year", "revision", "missing", F.size("entities").alias("n_entities")),
+    "tx11_session_state", lambda s, d: text.session_state(
+        turn_slots(s, d), "conv_id", "turn", ["intent", "year"], "ents"
+    ).select(
+        "conv_id", "turn", "s_intent", "s_year", "revision", "missing", F.size("entities").alias("n_entities")
+    ),
     """WITH t AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN length(text) % 5 END AS intent, CASE WHEN length(text) % 2 = 0 THEN length(text) % 4 END AS year, length(text) % 7 AS e FROM conversations WHERE role = 'user'),
   s AS (SELECT *, last_value(intent IGNORE NULLS) OVER w AS s_intent, last_value(year IGNORE NULLS) OVER w AS s_year, len(list_distinct(list(e) OVER w)) AS n_entities FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
   c AS (SELECT *, CASE WHEN row_number() OVER x = 1 THEN 1 WHEN s_intent IS DISTINCT FROM lag(s_intent) OVER x OR s_year IS DISTINCT FROM lag(s_year) OVER x THEN 1 ELSE 0 END AS ch FROM s WINDOW x AS (PARTITION BY conv_id ORDER BY turn))
@@ -455,14 +683,29 @@ add(
 
 def predictions(s, d):
     k = F.col("doc_id")
-    return P.table(s, d, "labels").select("doc_id", F.when(k % 6 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"), F.when(k % 10 == 0, 1).otherwise(F.col("toxic")).alias("toxic"))
+    return P.table(s, d, "labels").select(
+        "doc_id",
+        F.when(k % 6 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"),
+        F.when(k % 10 == 0, 1).otherwise(F.col("toxic")).alias("toxic")
+    )
 
 
 add(
-    "ag24_accuracy", lambda s, d: evaluate.accuracy(predictions(s, d), P.table(s, d, "labels"), "doc_id", ["quality", "toxic"]),
+    "ag24_accuracy", lambda s, d: evaluate.accuracy(
+        predictions(s, d), P.table(s, d, "labels"), "doc_id", ["quality", "toxic"]
+    ),
     "SELECT count(*) AS cases, round(avg((doc_id % 6 <> 0)::INT), 3) AS quality_accuracy, round(avg((doc_id % 10 <> 0 OR toxic = 1)::INT), 3) AS toxic_accuracy FROM labels",
 )
-add("ag25_label_support", lambda s, d: evaluate.label_support(P.table(s, d, "labels").select(F.col("quality").alias("label"), F.when(F.col("doc_id") % 5 == 0, "held_out").otherwise("train").alias("split"))), "SELECT quality AS label, CASE WHEN doc_id % 5 = 0 THEN 'held_out' ELSE 'train' END AS split, count(*) AS n FROM labels GROUP BY 1, 2")
+add(
+    "ag25_label_support",
+    lambda s, d: evaluate.label_support(
+        P.table(s, d, "labels").select(
+            F.col("quality").alias("label"),
+            F.when(F.col("doc_id") % 5 == 0, "held_out").otherwise("train").alias("split")
+        )
+    ),
+    "SELECT quality AS label, CASE WHEN doc_id % 5 = 0 THEN 'held_out' ELSE 'train' END AS split, count(*) AS n FROM labels GROUP BY 1, 2"
+)
 add(
     "ag25_latency_report", lambda s, d: evaluate.latency_report(P.table(s, d, "events"), "event_type", "value"),
     """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
@@ -470,6 +713,15 @@ add(
 )
 add(
     "fn_scalars",
-    lambda s, d: P.disciplines(s, d).select("discipline_id", fn.discipline_id(fn.classification_name(F.concat(F.lit("  "), F.upper("name"), F.lit("   x")))).alias("hashed"), fn.code_from_id(F.concat_ws(":", F.lit("program"), F.lit("u1"), "p_brand")).alias("code"), fn.university_of(F.concat_ws(":", F.lit("program"), F.lit("u1"), "p_brand")).alias("university"), F.size(fn.query_tokens(F.concat_ws(".", "name", "p_type"))).alias("tokens")),
-    sql("""SELECT discipline_id, 'discipline:' || substr(sha256(name || ' x'), 1, 16) AS hashed, p_brand AS code, 'university:u1' AS university, CAST(len(list_distinct(string_split(lower(name || ' ' || p_type), ' '))) AS INT) AS tokens FROM disciplines""", "disciplines"),
+    lambda s, d: P.disciplines(s, d).select(
+        "discipline_id",
+        fn.discipline_id(fn.classification_name(F.concat(F.lit("  "), F.upper("name"), F.lit("   x")))).alias("hashed"),
+        fn.code_from_id(F.concat_ws(":", F.lit("program"), F.lit("u1"), "p_brand")).alias("code"),
+        fn.university_of(F.concat_ws(":", F.lit("program"), F.lit("u1"), "p_brand")).alias("university"),
+        F.size(fn.query_tokens(F.concat_ws(".", "name", "p_type"))).alias("tokens")
+    ),
+    sql(
+        """SELECT discipline_id, 'discipline:' || substr(sha256(name || ' x'), 1, 16) AS hashed, p_brand AS code, 'university:u1' AS university, CAST(len(list_distinct(string_split(lower(name || ' ' || p_type), ' '))) AS INT) AS tokens FROM disciplines""",
+        "disciplines"
+    ),
 )

@@ -22,7 +22,9 @@ def add(name, fn, oracle=None):
 
 def pairs(s, d):
     """Every customer with the offerings of their own orders."""
-    return P.table(s, d, "orders").select(F.col("o_custkey").alias("applicant_id"), F.col("o_orderkey").alias("offering_id"))
+    return P.table(s, d, "orders").select(
+        F.col("o_custkey").alias("applicant_id"), F.col("o_orderkey").alias("offering_id")
+    )
 
 
 P.CTES["ap_pairs"] = "SELECT o_custkey AS applicant_id, o_orderkey AS offering_id FROM orders"
@@ -58,22 +60,34 @@ add("jn5_match_exam_scores", matched, sql("SELECT * FROM matched", *FIT))
 add("af1_admission_fit", fit, sql("SELECT * FROM fit", *FIT, "fit"))
 add(
     "af3_exam_reasons", lambda s, d: admission.exam_reasons(matched(s, d)).groupBy("offering_id", "reason").agg(F.count(F.lit(1)).alias("n")),
-    sql("""SELECT offering_id, CASE WHEN resolution <> 'matched' THEN 'gap_' || resolution WHEN minimum_score IS NULL THEN 'no_minimum'
+    sql(
+        """SELECT offering_id, CASE WHEN resolution <> 'matched' THEN 'gap_' || resolution WHEN minimum_score IS NULL THEN 'no_minimum'
   WHEN score >= minimum_score THEN 'meets_minimum' ELSE 'below_minimum' END AS reason, count(*) AS n FROM matched GROUP BY 1, 2""", *FIT),
 )
 add(
     "ag27_fit_summary", lambda s, d: admission.fit_summary(fit(s, d), ["status"]),
-    sql("SELECT status, count(*) AS results, count(*) FILTER (status = 'insufficient_data') AS insufficient FROM fit GROUP BY 1", *FIT, "fit"),
+    sql(
+        "SELECT status, count(*) AS results, count(*) FILTER (status = 'insufficient_data') AS insufficient FROM fit GROUP BY 1",
+        *FIT, "fit"
+    ),
 )
 _PICK = dict(year=1998, form="1-URGENT", funding="F")
 P.CTES["picked"] = """SELECT program_id, coalesce(n, 0) AS n_offerings, CASE WHEN n = 1 THEN only_id END AS offering_id,
   CASE WHEN n IS NULL THEN 'offering_missing' WHEN n > 1 THEN 'offering_ambiguous' END AS gap FROM programs LEFT JOIN
   (SELECT program_id, count(*) AS n, min(offering_id) AS only_id FROM offerings WHERE admission_year = 1998 AND study_form = '1-URGENT'
   AND funding_type = 'F' GROUP BY 1) USING (program_id)"""
-add("jn4_pick_offering", lambda s, d: admission.pick_offering(P.programs(s, d), P.offerings(s, d), **_PICK), sql("SELECT * FROM picked", "programs", "offerings", "picked"))
 add(
-    "af4_admission_fit_batch", lambda s, d: admission.admission_fit_batch(P.applicants(s, d), P.programs(s, d), P.offerings(s, d), P.exams(s, d), **_PICK)[0],
-    sql("SELECT * FROM fit", "programs", "offerings", "exams", "applicants", "picked", "ap_pairs", "matched", "fit").replace(
+    "jn4_pick_offering",
+    lambda s, d: admission.pick_offering(P.programs(s, d), P.offerings(s, d), **_PICK),
+    sql("SELECT * FROM picked", "programs", "offerings", "picked")
+)
+add(
+    "af4_admission_fit_batch", lambda s, d: admission.admission_fit_batch(
+        P.applicants(s, d), P.programs(s, d), P.offerings(s, d), P.exams(s, d), **_PICK
+    )[0],
+    sql(
+        "SELECT * FROM fit", "programs", "offerings", "exams", "applicants", "picked", "ap_pairs", "matched", "fit"
+    ).replace(
         P.settle(P.CTES["ap_pairs"]), "SELECT a.applicant_id, k.offering_id FROM (SELECT DISTINCT applicant_id FROM applicants) a CROSS JOIN picked k WHERE k.offering_id IS NOT NULL"
     ),
 )
@@ -83,7 +97,12 @@ def passing(s, d):
     k = F.col("o_orderkey")
     return P.table(s, d, "orders").select(
         k.alias("offering_id"), F.inline(F.array(*[
-            F.struct(F.lit(t).alias("score_type"), F.when(k % m != 0, "numeric").otherwise("bvi").alias("status"), F.when(k % 9 == c, "quota").otherwise("general").alias("competition_type"), F.when(k % m != 0, (k * c) % 101 + 100.0).alias("score"))
+            F.struct(
+                F.lit(t).alias("score_type"),
+                F.when(k % m != 0, "numeric").otherwise("bvi").alias("status"),
+                F.when(k % 9 == c, "quota").otherwise("general").alias("competition_type"),
+                F.when(k % m != 0, (k * c) % 101 + 100.0).alias("score")
+            )
             for t, m, c in (("F", 3, 1), ("average", 4, 2), ("P", 5, 3))
         ])),
     )
@@ -94,13 +113,17 @@ _PASS = """passing AS (SELECT o_orderkey AS offering_id, t AS score_type, CASE W
   FROM orders CROSS JOIN (VALUES ('F', 3, 1), ('average', 4, 2), ('P', 5, 3)) v(t, m, c))"""
 add(
     "af2_select_cutoff", lambda s, d: admission.select_cutoff(passing(s, d), P.offerings(s, d)),
-    sql(f"""WITH {_PASS} SELECT offering_id, score AS cutoff, score_type FROM (SELECT *, row_number() OVER (PARTITION BY offering_id ORDER BY
+    sql(
+        f"""WITH {_PASS} SELECT offering_id, score AS cutoff, score_type FROM (SELECT *, row_number() OVER (PARTITION BY offering_id ORDER BY
   CASE WHEN score_type = funding_type THEN 0 ELSE 1 END, score) AS n FROM passing JOIN offerings USING (offering_id) WHERE status = 'numeric'
   AND competition_type = 'general' AND (score_type = funding_type OR score_type = 'average')) WHERE n = 1""", "offerings"),
 )
 add(
     "ag19_latest_year", lambda s, d: admission.latest_year(P.offerings(s, d), "1-URGENT", "P"),
-    sql("SELECT program_id, max(admission_year) AS latest_year FROM offerings WHERE study_form = '1-URGENT' AND funding_type = 'P' GROUP BY 1", "offerings"),
+    sql(
+        "SELECT program_id, max(admission_year) AS latest_year FROM offerings WHERE study_form = '1-URGENT' AND funding_type = 'P' GROUP BY 1",
+        "offerings"
+    ),
 )
 
 
@@ -108,7 +131,9 @@ add(
 def rules(s, d):
     k = F.col("p_partkey")
     return P.table(s, d, "part").select(
-        k.alias("rule_id"), F.floor(k / 8 % 5).alias("university_id"), F.element_at(F.array(F.lit("all"), F.lit("only"), F.lit("except")), (k % 3 + 1).cast("int")).alias("mode"),
+        k.alias("rule_id"), F.floor(k / 8 % 5).alias("university_id"), F.element_at(
+            F.array(F.lit("all"), F.lit("only"), F.lit("except")), (k % 3 + 1).cast("int")
+        ).alias("mode"),
         F.floor(k / 2).alias("olympiad_id"), F.when(k % 4 == 0, "bvi").when(k % 7 == 0, "special").otherwise("hundred_points").alias("route"),
         F.when(k % 11 == 0, "review").otherwise("active").alias("status"), (k % 3 + 1).alias("max_level"), (2020 + k % 4).alias("min_year"),
     )
@@ -123,7 +148,9 @@ def targets(s, d):
     k = F.col("rule_id")
     t = rules(s, d).where("mode <> 'all'")
     return t.select("rule_id", F.lit("program").alias("kind"), (k % 60).cast("string").alias("value")).unionByName(
-        t.where(k % 6 == 0).select("rule_id", F.lit("direction").alias("kind"), F.when(k % 12 != 0, (k % 25).cast("string")).alias("value"))
+        t.where(k % 6 == 0).select(
+            "rule_id", F.lit("direction").alias("kind"), F.when(k % 12 != 0, (k % 25).cast("string")).alias("value")
+        )
     )
 
 
@@ -153,11 +180,15 @@ P.CTES["bfacts"] = """SELECT c_custkey AS applicant_id, c_custkey * 3 AS fact_id
 
 
 def needed(s, d):
-    return rules(s, d).where("rule_id % 2 = 0").select("rule_id", (F.col("rule_id") % 11).alias("subject"), F.lit(75.0).alias("threshold"))
+    return rules(s, d).where("rule_id % 2 = 0").select(
+        "rule_id", (F.col("rule_id") % 11).alias("subject"), F.lit(75.0).alias("threshold")
+    )
 
 
 def confirmed(s, d):
-    f = facts(s, d).join(rules(s, d).select("rule_id", "olympiad_id"), "olympiad_id").select("applicant_id", "fact_id", "rule_id")
+    f = facts(s, d).join(
+        rules(s, d).select("rule_id", "olympiad_id"), "olympiad_id"
+    ).select("applicant_id", "fact_id", "rule_id")
     return benefits.confirm(f, needed(s, d), P.applicants(s, d))
 
 
@@ -184,12 +215,19 @@ add("ab2_rule_scope", scoped, sql("SELECT * FROM bscope", *BEN))
 add("ab3_confirm", confirmed, sql("SELECT * FROM bconfirm", "brules", "bfacts", "applicants", "bconfirm"))
 add("ab1_benefit_eligibility", eligible, sql("SELECT * FROM beligible", *ELIG))
 add(
-    "ab9_rules_for_programs", lambda s, d: benefits.rules_for_programs(rules(s, d), scoped(s, d)).select("rule_id", "program_id", "olympiad_id"),
-    sql("SELECT rule_id, program_id, olympiad_id FROM brules JOIN bscope USING (rule_id) WHERE scope = 'applies'", *BEN),
+    "ab9_rules_for_programs", lambda s, d: benefits.rules_for_programs(rules(s, d), scoped(s, d)).select(
+        "rule_id", "program_id", "olympiad_id"
+    ),
+    sql(
+        "SELECT rule_id, program_id, olympiad_id FROM brules JOIN bscope USING (rule_id) WHERE scope = 'applies'", *BEN
+    ),
 )
 add(
     "ab9_rules_for_olympiad", lambda s, d: benefits.rules_for_olympiad(rules(s, d), scoped(s, d)),
-    sql("SELECT olympiad_id, count(DISTINCT rule_id) AS rules, count(DISTINCT program_id) AS programs FROM brules LEFT JOIN (SELECT * FROM bscope WHERE scope = 'applies') USING (rule_id) GROUP BY 1", *BEN),
+    sql(
+        "SELECT olympiad_id, count(DISTINCT rule_id) AS rules, count(DISTINCT program_id) AS programs FROM brules LEFT JOIN (SELECT * FROM bscope WHERE scope = 'applies') USING (rule_id) GROUP BY 1",
+        *BEN
+    ),
 )
 
 
@@ -207,16 +245,25 @@ def hundred(s, d):
     return benefits.hundred_points(matched(s, d), rights(s, d))
 
 
-add("ab4_hundred_points", lambda s, d: hundred(s, d).select("applicant_id", "offering_id", "subject", "effective"), sql("SELECT applicant_id, offering_id, subject, effective FROM hundred", *HUND))
+add(
+    "ab4_hundred_points",
+    lambda s, d: hundred(s, d).select("applicant_id", "offering_id", "subject", "effective"),
+    sql("SELECT applicant_id, offering_id, subject, effective FROM hundred", *HUND)
+)
 
 
 def with_groups(s, d):
-    return hundred(s, d).withColumn("group_id", F.col("subject") % 3).withColumn("group_max", F.lit(1)).withColumn("group_min", F.lit(1))
+    return hundred(s, d).withColumn(
+        "group_id", F.col("subject") % 3
+    ).withColumn("group_max", F.lit(1)).withColumn("group_min", F.lit(1))
 
 
 add(
-    "wn12_best_choice_exams", lambda s, d: benefits.best_choice_exams(with_groups(s, d)).select("applicant_id", "offering_id", "group_id", "subject", "effective"),
-    sql("""SELECT applicant_id, offering_id, group_id, subject, effective FROM (SELECT *, subject % 3 AS group_id, row_number() OVER
+    "wn12_best_choice_exams", lambda s, d: benefits.best_choice_exams(with_groups(s, d)).select(
+        "applicant_id", "offering_id", "group_id", "subject", "effective"
+    ),
+    sql(
+        """SELECT applicant_id, offering_id, group_id, subject, effective FROM (SELECT *, subject % 3 AS group_id, row_number() OVER
   (PARTITION BY applicant_id, offering_id, subject % 3 ORDER BY effective DESC, subject) AS n FROM hundred WHERE effective IS NOT NULL
   AND (minimum_score IS NULL OR effective >= minimum_score)) WHERE n = 1""", *HUND),
 )
@@ -224,7 +271,9 @@ add(
 
 def achievement_facts(s, d):
     k = F.col("l_orderkey")
-    return P.table(s, d, "lineitem").where("l_linenumber <= 4").groupBy((k % 1000).alias("applicant_id"), (F.col("l_partkey") % 9).alias("code"), (F.year("l_shipdate")).alias("year")).agg(
+    return P.table(s, d, "lineitem").where("l_linenumber <= 4").groupBy(
+        (k % 1000).alias("applicant_id"), (F.col("l_partkey") % 9).alias("code"), (F.year("l_shipdate")).alias("year")
+    ).agg(
         F.min(k * 10 + F.col("l_linenumber")).alias("place")
     ).withColumn("evidence", F.col("place") % 4 != 0)
 
@@ -252,11 +301,21 @@ def awards(s, d):
 
 add(
     "wn13_dedupe_achievements",
-    lambda s, d: benefits.dedupe_achievements(achievement_facts(s, d).where("evidence").join(achievement_rules(s, d), "code")).select("applicant_id", "code", "year", "points", "place"),
+    lambda s, d: benefits.dedupe_achievements(
+        achievement_facts(s, d).where("evidence").join(achievement_rules(s, d), "code")
+    ).select("applicant_id", "code", "year", "points", "place"),
     sql("SELECT applicant_id, code, year, points, place FROM adedup", "afacts", "adedup"),
 )
-add("wn14_apply_caps", lambda s, d: awards(s, d).select("applicant_id", "place", "in_category", "award"), sql("SELECT applicant_id, place, in_category, award FROM awards", "afacts", "adedup", "awards"))
-add("ab6_achievements", lambda s, d: awards(s, d).groupBy("applicant_id").agg(F.sum("award").alias("bonus")), sql("SELECT applicant_id, sum(award) AS bonus FROM awards GROUP BY 1", "afacts", "adedup", "awards"))
+add(
+    "wn14_apply_caps",
+    lambda s, d: awards(s, d).select("applicant_id", "place", "in_category", "award"),
+    sql("SELECT applicant_id, place, in_category, award FROM awards", "afacts", "adedup", "awards")
+)
+add(
+    "ab6_achievements",
+    lambda s, d: awards(s, d).groupBy("applicant_id").agg(F.sum("award").alias("bonus")),
+    sql("SELECT applicant_id, sum(award) AS bonus FROM awards GROUP BY 1", "afacts", "adedup", "awards")
+)
 P.CTES["competitive"] = """SELECT applicant_id, offering_id, CASE WHEN NOT bvi THEN coalesce(points, 0) + coalesce(bonus, 0) END AS total,
   CASE WHEN bvi THEN 'not_applicable' WHEN failed THEN 'failed' WHEN missing > 0 THEN 'partial' ELSE 'complete' END AS status, missing FROM (
   SELECT applicant_id, offering_id, sum(effective) AS points, coalesce(bool_or(effective < minimum_score), false) AS failed, count(*) - count(effective) AS missing,
@@ -272,17 +331,29 @@ def competitive(s, d):
 add("ab5_competitive_score", competitive, sql("SELECT * FROM competitive", *COMP))
 add(
     "ab7_admission_decision",
-    lambda s, d: benefits.admission_decision(competitive(s, d), achievement_facts(s, d), rights(s, d).withColumnRenamed("subject", "code")).select("applicant_id", "offering_id", "total", "status", "free_achievements"),
-    sql("""SELECT c.applicant_id, offering_id, total, status, free_achievements FROM competitive c LEFT JOIN (SELECT f.applicant_id, count(*) AS free_achievements FROM afacts f
+    lambda s, d: benefits.admission_decision(
+        competitive(s, d), achievement_facts(s, d), rights(s, d).withColumnRenamed("subject", "code")
+    ).select("applicant_id", "offering_id", "total", "status", "free_achievements"),
+    sql(
+        """SELECT c.applicant_id, offering_id, total, status, free_achievements FROM competitive c LEFT JOIN (SELECT f.applicant_id, count(*) AS free_achievements FROM afacts f
   WHERE NOT EXISTS (SELECT 1 FROM brights r WHERE r.applicant_id = f.applicant_id AND r.subject = f.code) GROUP BY 1) x ON x.applicant_id = c.applicant_id""", *COMP),
 )
 add(
     "ab8_verify_selection",
     lambda s, d: benefits.verify_selection(
-        rules(s, d).where("rule_id % 5 <> 0").select("rule_id", F.sha2(F.concat_ws("|", "route", "status"), 256).alias("content_hash")),
-        rules(s, d).where("rule_id % 7 <> 0").select("rule_id", F.sha2(F.concat_ws("|", "route", F.when(F.col("rule_id") % 4 == 0, "x").otherwise(F.col("status"))), 256).alias("content_hash")),
+        rules(s, d).where("rule_id % 5 <> 0").select(
+            "rule_id",
+            F.sha2(F.concat_ws("|", "route", "status"), 256).alias("content_hash")
+        ),
+        rules(s, d).where("rule_id % 7 <> 0").select(
+            "rule_id",
+            F.sha2(
+                F.concat_ws("|", "route", F.when(F.col("rule_id") % 4 == 0, "x").otherwise(F.col("status"))), 256
+            ).alias("content_hash")
+        ),
     ),
-    sql("""SELECT * FROM (SELECT rule_id, sha256(route || '|' || status) AS selected FROM brules WHERE rule_id % 5 <> 0) FULL JOIN
+    sql(
+        """SELECT * FROM (SELECT rule_id, sha256(route || '|' || status) AS selected FROM brules WHERE rule_id % 5 <> 0) FULL JOIN
   (SELECT rule_id, sha256(route || '|' || CASE WHEN rule_id % 4 = 0 THEN 'x' ELSE status END) AS active FROM brules WHERE rule_id % 7 <> 0) USING (rule_id)
   WHERE selected IS DISTINCT FROM active""", "brules"),
 )
@@ -322,21 +393,34 @@ add("flt10_constraint_outcomes", outcomes, sql("SELECT * FROM outcomes", *OUT))
 
 def priced(s, d):
     o = P.offerings(s, d)
-    return o.withColumn("funding_type", F.when(F.col("funding_type") == "F", "budget").otherwise(F.col("funding_type"))).withColumn("currency", F.when(F.col("offering_id") % 3 == 0, "USD").otherwise("RUB"))
+    return o.withColumn(
+        "funding_type",
+        F.when(F.col("funding_type") == "F", "budget").otherwise(F.col("funding_type"))
+    ).withColumn("currency", F.when(F.col("offering_id") % 3 == 0, "USD").otherwise("RUB"))
 
 
 add(
-    "flt11_tuition_outcome", lambda s, d: decision.tuition_outcome(priced(s, d), requests(s, d).select("request_id").distinct().withColumn("max_tuition", 20000.0 + F.col("request_id") * 100)),
-    sql("""WITH o AS (SELECT program_id, count(*) FILTER (funding_type <> 'F') AS n, min(CASE WHEN funding_type <> 'F' AND offering_id % 3 <> 0 THEN tuition END) AS cheapest FROM offerings GROUP BY 1)
+    "flt11_tuition_outcome", lambda s, d: decision.tuition_outcome(
+        priced(s, d),
+        requests(s, d).select("request_id").distinct().withColumn("max_tuition", 20000.0 + F.col("request_id") * 100)
+    ),
+    sql(
+        """WITH o AS (SELECT program_id, count(*) FILTER (funding_type <> 'F') AS n, min(CASE WHEN funding_type <> 'F' AND offering_id % 3 <> 0 THEN tuition END) AS cheapest FROM offerings GROUP BY 1)
   SELECT request_id, program_id, cheapest, CASE WHEN n = 0 THEN 'not_applicable' WHEN cheapest IS NULL THEN 'insufficient_data' WHEN cheapest <= 20000 + request_id * 100 THEN 'satisfied' ELSE 'violated' END AS outcome
   FROM o CROSS JOIN (SELECT DISTINCT request_id FROM requests)""", "offerings", "requests"),
 )
 
 
 def scored(s, d):
-    per = outcomes(s, d).groupBy("request_id", "program_id").agg(F.bool_or(F.col("outcome") == "violated").alias("violated"), F.bool_or(F.col("outcome") == "insufficient_data").alias("insufficient"))
+    per = outcomes(s, d).groupBy("request_id", "program_id").agg(
+        F.bool_or(F.col("outcome") == "violated").alias("violated"),
+        F.bool_or(F.col("outcome") == "insufficient_data").alias("insufficient")
+    )
     k = F.col("request_id") * 3 + F.col("program_id") * 7
-    return per.withColumn("content_fit", (k % 101).cast("int")).withColumn("fit_status", F.when(k % 5 == 0, "unlikely").when(k % 7 == 0, "insufficient_data").otherwise("realistic"))
+    return per.withColumn("content_fit", (k % 101).cast("int")).withColumn(
+        "fit_status",
+        F.when(k % 5 == 0, "unlikely").when(k % 7 == 0, "insufficient_data").otherwise("realistic")
+    )
 
 
 P.CTES["scored"] = """SELECT request_id, program_id, bool_or(outcome = 'violated') AS violated, bool_or(outcome = 'insufficient_data') AS insufficient,
@@ -351,23 +435,38 @@ def partitioned(s, d):
     return decision.partition_candidates(scored(s, d))
 
 
-add("wn3_partition_candidates", lambda s, d: partitioned(s, d).select("request_id", "program_id", "content_fit", "n", "part"), sql("SELECT * FROM parts", *OUT, "scored", "parts"))
 add(
-    "jn13_drop_chosen", lambda s, d: decision.drop_chosen(scored(s, d).select("request_id", "program_id"), partitioned(s, d).where("part = 'primary'").select("request_id", "program_id")),
-    sql("SELECT request_id, program_id FROM scored EXCEPT SELECT request_id, program_id FROM parts WHERE part = 'primary'", *OUT, "scored", "parts"),
+    "wn3_partition_candidates",
+    lambda s, d: partitioned(s, d).select("request_id", "program_id", "content_fit", "n", "part"),
+    sql("SELECT * FROM parts", *OUT, "scored", "parts")
+)
+add(
+    "jn13_drop_chosen", lambda s, d: decision.drop_chosen(
+        scored(s, d).select("request_id", "program_id"),
+        partitioned(s, d).where("part = 'primary'").select("request_id", "program_id")
+    ),
+    sql(
+        "SELECT request_id, program_id FROM scored EXCEPT SELECT request_id, program_id FROM parts WHERE part = 'primary'",
+        *OUT, "scored", "parts"
+    ),
 )
 
 
 def suggestions(s, d):
-    r = requests(s, d).select("request_id").distinct().select("request_id", F.col("request_id").alias("profile_id"), F.col("request_id").alias("applicant_id"))
+    r = requests(s, d).select("request_id").distinct().select(
+        "request_id", F.col("request_id").alias("profile_id"), F.col("request_id").alias("applicant_id")
+    )
     f = scored(s, d).select(F.col("request_id").alias("profile_id"), "program_id", "content_fit")
-    a = scored(s, d).where("program_id % 3 <> 0").select(F.col("request_id").alias("applicant_id"), "program_id", F.col("fit_status").alias("status"))
+    a = scored(s, d).where("program_id % 3 <> 0").select(
+        F.col("request_id").alias("applicant_id"), "program_id", F.col("fit_status").alias("status")
+    )
     return decision.suggest(r, f, outcomes(s, d), a).select("request_id", "program_id", "part", "n", "completeness")
 
 
 add(
     "rc6_suggest", suggestions,
-    sql("""WITH j AS (SELECT request_id, program_id, content_fit, violated, insufficient, CASE WHEN program_id % 3 <> 0 THEN fit_status END AS fit_status FROM scored),
+    sql(
+        """WITH j AS (SELECT request_id, program_id, content_fit, violated, insufficient, CASE WHEN program_id % 3 <> 0 THEN fit_status END AS fit_status FROM scored),
   k AS (SELECT *, CASE WHEN fit_status = 'unlikely' OR violated THEN 'ineligible' WHEN fit_status = 'insufficient_data' OR insufficient THEN 'insufficient' ELSE 'usable' END AS kind FROM j),
   r AS (SELECT *, row_number() OVER (PARTITION BY request_id, kind ORDER BY content_fit DESC NULLS LAST, program_id) AS n FROM k)
   SELECT request_id, program_id, CASE WHEN kind <> 'usable' THEN kind WHEN n <= 3 THEN 'primary' ELSE 'alternative' END AS part, n,
@@ -378,13 +477,18 @@ add(
 # --- events, places -------------------------------------------------------
 def calendar(s, d):
     return P.table(s, d, "events").select(
-        "event_id", F.col("ts").alias("starts_at"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 50).alias("point_id")
+        "event_id", F.col("ts").alias("starts_at"), F.col("event_type").alias("kind"), F.when(
+            F.col("event_id") % 3 != 0, F.col("event_id") % 50
+        ).alias("point_id")
     )
 
 
 def event_links(s, d):
     k = F.col("event_id")
-    return calendar(s, d).select("event_id", F.explode(F.array(k % 97, (k / 10).cast("bigint") % 89)).alias("program_id")).distinct()
+    return calendar(s, d).select(
+        "event_id",
+        F.explode(F.array(k % 97, (k / 10).cast("bigint") % 89)).alias("program_id")
+    ).distinct()
 
 
 P.CTES["calendar"] = "SELECT event_id, ts AS starts_at, event_type AS kind, CASE WHEN event_id % 3 <> 0 THEN event_id % 50 END AS point_id FROM events"
@@ -396,51 +500,90 @@ def wanted(s, d):
 
 
 add(
-    "flt8_find_events", lambda s, d: campus.find_events(calendar(s, d), event_links(s, d), "2024-01-05", "2024-01-20", "signup", wanted(s, d), limit=50).select("event_id", "starts_at", "total"),
-    sql("""WITH e AS (SELECT * FROM calendar WHERE CAST(starts_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND kind = 'signup' AND event_id IN
+    "flt8_find_events", lambda s, d: campus.find_events(
+        calendar(s, d), event_links(s, d), "2024-01-05", "2024-01-20", "signup", wanted(s, d), limit=50
+    ).select("event_id", "starts_at", "total"),
+    sql(
+        """WITH e AS (SELECT * FROM calendar WHERE CAST(starts_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND kind = 'signup' AND event_id IN
   (SELECT event_id FROM elinks WHERE program_id IN (SELECT program_id FROM programs WHERE university_id = 3)))
   SELECT event_id, starts_at, (SELECT count(*) FROM e) AS total FROM e ORDER BY starts_at, event_id LIMIT 50""", "programs", "calendar", "elinks"),
 )
 add(
     "flt9_find_points",
-    lambda s, d: campus.find_points(s.range(50).withColumnRenamed("id", "point_id").join(calendar(s, d).select("point_id").distinct(), "point_id"), P.programs(s, d).select((F.col("program_id") % 50).alias("point_id"), "program_id"), calendar(s, d), event_links(s, d), wanted(s, d)),
-    sql("""WITH w AS (SELECT program_id FROM programs WHERE university_id = 3) SELECT DISTINCT point_id FROM calendar c WHERE point_id IS NOT NULL AND (point_id IN (SELECT program_id % 50 FROM w)
+    lambda s, d: campus.find_points(
+        s.range(50).withColumnRenamed("id", "point_id").join(calendar(s, d).select("point_id").distinct(), "point_id"),
+        P.programs(s, d).select((F.col("program_id") % 50).alias("point_id"), "program_id"), calendar(s, d),
+        event_links(s, d), wanted(s, d)
+    ),
+    sql(
+        """WITH w AS (SELECT program_id FROM programs WHERE university_id = 3) SELECT DISTINCT point_id FROM calendar c WHERE point_id IS NOT NULL AND (point_id IN (SELECT program_id % 50 FROM w)
   OR point_id IN (SELECT point_id FROM calendar JOIN elinks USING (event_id) WHERE program_id IN (SELECT program_id FROM w)))""", "programs", "calendar", "elinks"),
 )
 add(
-    "jn6_collect_links", lambda s, d: campus.collect_links(calendar(s, d), event_links(s, d), "event_id", "program_id").select("event_id", "links", "n_links"),
-    sql("SELECT event_id, array_to_string(list(program_id ORDER BY program_id), ',') AS links, count(*) AS n_links FROM calendar JOIN elinks USING (event_id) GROUP BY 1", "calendar", "elinks"),
+    "jn6_collect_links", lambda s, d: campus.collect_links(
+        calendar(s, d), event_links(s, d), "event_id", "program_id"
+    ).select("event_id", "links", "n_links"),
+    sql(
+        "SELECT event_id, array_to_string(list(program_id ORDER BY program_id), ',') AS links, count(*) AS n_links FROM calendar JOIN elinks USING (event_id) GROUP BY 1",
+        "calendar", "elinks"
+    ),
 )
 add(
-    "jn7_recommended_places", lambda s, d: campus.recommended_places(calendar(s, d), event_links(s, d), wanted(s, d)).select("event_id", "has_point"),
-    sql("SELECT event_id, point_id IS NOT NULL AS has_point FROM calendar WHERE event_id IN (SELECT event_id FROM elinks WHERE program_id IN (SELECT program_id FROM programs WHERE university_id = 3))", "programs", "calendar", "elinks"),
+    "jn7_recommended_places", lambda s, d: campus.recommended_places(
+        calendar(s, d), event_links(s, d), wanted(s, d)
+    ).select("event_id", "has_point"),
+    sql(
+        "SELECT event_id, point_id IS NOT NULL AS has_point FROM calendar WHERE event_id IN (SELECT event_id FROM elinks WHERE program_id IN (SELECT program_id FROM programs WHERE university_id = 3))",
+        "programs", "calendar", "elinks"
+    ),
 )
 
 
 def overlay(s, d):
     k = F.col("program_id")
-    return P.programs(s, d).where(k % 4 == 0).select("program_id", (k % 8 == 0).alias("hidden"), F.when(k % 12 == 0, F.concat(F.lit("Title "), k.cast("string"))).alias("title_override"))
+    return P.programs(s, d).where(k % 4 == 0).select(
+        "program_id", (k % 8 == 0).alias("hidden"),
+        F.when(k % 12 == 0, F.concat(F.lit("Title "), k.cast("string"))).alias("title_override")
+    )
 
 
 add(
     "flt14_public_catalog",
-    lambda s, d: campus.public_catalog(P.programs(s, d).withColumn("unit_id", F.col("direction_id")).withColumnRenamed("code", "name"), overlay(s, d), P.table(s, d, "nation").select(F.col("n_nationkey").alias("unit_id"), (F.col("n_nationkey") % 3 != 0).alias("published"))).select("program_id", "title"),
-    sql("SELECT program_id, CASE WHEN program_id % 12 = 0 THEN 'Title ' || program_id ELSE code END AS title FROM programs WHERE direction_id % 3 <> 0 AND program_id % 8 <> 0", "programs"),
+    lambda s, d: campus.public_catalog(
+        P.programs(s, d).withColumn("unit_id", F.col("direction_id")).withColumnRenamed("code", "name"), overlay(s, d),
+        P.table(s, d, "nation").select(
+            F.col("n_nationkey").alias("unit_id"), (F.col("n_nationkey") % 3 != 0).alias("published")
+        )
+    ).select("program_id", "title"),
+    sql(
+        "SELECT program_id, CASE WHEN program_id % 12 = 0 THEN 'Title ' || program_id ELSE code END AS title FROM programs WHERE direction_id % 3 <> 0 AND program_id % 8 <> 0",
+        "programs"
+    ),
 )
 add(
     "flt15_public_editorial_events",
     lambda s, d: campus.public_editorial_events(
-        calendar(s, d).withColumn("status", F.when(F.col("event_id") % 4 != 0, "published").otherwise("draft")).withColumn("audience", F.when(F.col("event_id") % 30 == 0, "all").otherwise("selected")),
-        event_links(s, d).select("event_id", (F.col("program_id") % 25).alias("unit_id")), P.table(s, d, "nation").select(F.col("n_nationkey").alias("unit_id"), (F.col("n_nationkey") % 3 != 0).alias("published")),
+        calendar(s, d).withColumn(
+            "status",
+            F.when(F.col("event_id") % 4 != 0, "published").otherwise("draft")
+        ).withColumn("audience", F.when(F.col("event_id") % 30 == 0, "all").otherwise("selected")),
+        event_links(s, d).select(
+            "event_id", (F.col("program_id") % 25).alias("unit_id")
+        ), P.table(s, d, "nation").select(
+            F.col("n_nationkey").alias("unit_id"), (F.col("n_nationkey") % 3 != 0).alias("published")
+        ),
     ).select("event_id", "audience", "n_targets"),
-    sql("""SELECT event_id, CASE WHEN event_id % 30 = 0 THEN 'all' ELSE 'selected' END AS audience, coalesce(n, 0) AS n_targets FROM calendar LEFT JOIN
+    sql(
+        """SELECT event_id, CASE WHEN event_id % 30 = 0 THEN 'all' ELSE 'selected' END AS audience, coalesce(n, 0) AS n_targets FROM calendar LEFT JOIN
   (SELECT event_id, count(DISTINCT program_id % 25) AS n FROM elinks WHERE program_id % 25 IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 <> 0) GROUP BY 1) USING (event_id)
   WHERE event_id % 4 <> 0 AND (event_id % 30 = 0 OR n > 0)""", "calendar", "elinks"),
 )
 
 
 def recs(s, d):
-    return partitioned(s, d).where("part in ('primary', 'alternative')").select(F.col("request_id").alias("profile_id"), "program_id", F.col("n").alias("place"))
+    return partitioned(s, d).where("part in ('primary', 'alternative')").select(
+        F.col("request_id").alias("profile_id"), "program_id", F.col("n").alias("place")
+    )
 
 
 PLAN = f"""WITH r AS (SELECT request_id AS profile_id, program_id, n AS place FROM parts WHERE part IN ('primary', 'alternative')), x AS (
@@ -450,13 +593,21 @@ PLAN = f"""WITH r AS (SELECT request_id AS profile_id, program_id, n AS place FR
   SELECT profile_id, step, what, first_at AS starts_at, row_number() OVER (PARTITION BY profile_id ORDER BY o, first_at NULLS FIRST, what) AS step_number FROM x"""
 add(
     "wn18_plan_steps",
-    lambda s, d: decision.plan_steps(recs(s, d), calendar(s, d).join(event_links(s, d), "event_id"), F.lit(NOW).cast("timestamp")),
+    lambda s, d: decision.plan_steps(
+        recs(s, d), calendar(s, d).join(event_links(s, d), "event_id"), F.lit(NOW).cast("timestamp")
+    ),
     sql(PLAN, *OUT, "scored", "parts", "calendar", "elinks"),
 )
 add(
     "jn17_candidate_snapshot",
-    lambda s, d: decision.candidate_snapshot(P.programs(s, d), P.items(s, d).where("hours = 50").select("program_id", F.col("discipline_id").alias("fingerprint")), P.offerings(s, d), P.table(s, d, "region").select(F.col("r_regionkey").alias("university_id"), F.col("r_name").alias("university"))).select("program_id", "n_fingerprints", "fingerprint", "n_offerings", "university", "repeated"),
-    sql("""SELECT p.program_id, f.n AS n_fingerprints, f.fp AS fingerprint, o.n AS n_offerings, r_name AS university, coalesce(f.n > 1, false) AS repeated FROM programs p
+    lambda s, d: decision.candidate_snapshot(
+        P.programs(s, d),
+        P.items(s, d).where("hours = 50").select("program_id", F.col("discipline_id").alias("fingerprint")),
+        P.offerings(s, d),
+        P.table(s, d, "region").select(F.col("r_regionkey").alias("university_id"), F.col("r_name").alias("university"))
+    ).select("program_id", "n_fingerprints", "fingerprint", "n_offerings", "university", "repeated"),
+    sql(
+        """SELECT p.program_id, f.n AS n_fingerprints, f.fp AS fingerprint, o.n AS n_offerings, r_name AS university, coalesce(f.n > 1, false) AS repeated FROM programs p
   LEFT JOIN (SELECT program_id, count(*) AS n, min(discipline_id) AS fp FROM items WHERE hours = 50 GROUP BY 1) f USING (program_id)
   LEFT JOIN (SELECT program_id, count(*) AS n FROM offerings GROUP BY 1) o USING (program_id) LEFT JOIN region ON r_regionkey = university_id""", "programs", "items", "offerings"),
 )
@@ -464,11 +615,14 @@ add(
 # --- funnels and streams over the event table -----------------------------
 add(
     "ag20_funnel", lambda s, d: evaluate.funnel(P.decision_events(s, d), F.lit(NOW).cast("timestamp")),
-    sql(f"""SELECT event_type, count(DISTINCT owner_key) AS owners, count(*) AS events, round(avg(CASE WHEN CAST(payload->>'$.k' AS INT) BETWEEN 0 AND 20 THEN CAST(payload->>'$.k' AS INT) END), 2) AS average_size
+    sql(
+        f"""SELECT event_type, count(DISTINCT owner_key) AS owners, count(*) AS events, round(avg(CASE WHEN CAST(payload->>'$.k' AS INT) BETWEEN 0 AND 20 THEN CAST(payload->>'$.k' AS INT) END), 2) AS average_size
   FROM decisions WHERE expires_at > TIMESTAMP '{NOW}' GROUP BY 1""", "decisions"),
 )
 add(
-    "ag20_conversions", lambda s, d: evaluate.conversions(P.decision_events(s, d), "session_started", ["final_choice", "program_added"]),
+    "ag20_conversions", lambda s, d: evaluate.conversions(
+        P.decision_events(s, d), "session_started", ["final_choice", "program_added"]
+    ),
     sql("""SELECT count(DISTINCT CASE WHEN event_type = 'session_started' THEN owner_key END) AS base_owners,
   round(count(DISTINCT CASE WHEN event_type = 'final_choice' THEN owner_key END) * 100.0::DOUBLE / count(DISTINCT CASE WHEN event_type = 'session_started' THEN owner_key END), 2) AS final_choice_percent,
   round(count(DISTINCT CASE WHEN event_type = 'program_added' THEN owner_key END) * 100.0::DOUBLE / count(DISTINCT CASE WHEN event_type = 'session_started' THEN owner_key END), 2) AS program_added_percent
@@ -476,25 +630,46 @@ add(
 )
 add(
     "ag21_questionnaire_stats", lambda s, d: evaluate.questionnaire_stats(P.decision_events(s, d)),
-    sql("""WITH g AS (SELECT *, epoch_ms(occurred_at) - epoch_ms(lag(occurred_at) OVER (PARTITION BY owner_key ORDER BY occurred_at, event_id)) AS gap FROM decisions)
+    sql(
+        """WITH g AS (SELECT *, epoch_ms(occurred_at) - epoch_ms(lag(occurred_at) OVER (PARTITION BY owner_key ORDER BY occurred_at, event_id)) AS gap FROM decisions)
   SELECT count(*) AS events, count(*) FILTER (event_type = 'session_started') AS started, count(*) FILTER (event_type = 'final_choice') AS completed,
   round(count(*) FILTER (event_type = 'final_choice')::DOUBLE / count(*) FILTER (event_type = 'session_started'), 4) AS completion_rate, median(gap) AS median_response_ms FROM g""", "decisions"),
 )
-add("flt13_live", lambda s, d: evaluate.live(P.decision_events(s, d), F.lit(NOW).cast("timestamp")).select("event_id", "owner_key"), sql(f"SELECT event_id, owner_key FROM decisions WHERE expires_at > TIMESTAMP '{NOW}'", "decisions"))
 add(
-    "flt13_purge", lambda s, d: evaluate.purge(P.decision_events(s, d), F.lit(NOW).cast("timestamp"), 100).select("event_id"),
-    sql(f"SELECT event_id FROM decisions WHERE event_id NOT IN (SELECT event_id FROM decisions WHERE expires_at <= TIMESTAMP '{NOW}' ORDER BY expires_at, event_id LIMIT 100)", "decisions"),
+    "flt13_live",
+    lambda s, d: evaluate.live(P.decision_events(s, d), F.lit(NOW).cast("timestamp")).select("event_id", "owner_key"),
+    sql(f"SELECT event_id, owner_key FROM decisions WHERE expires_at > TIMESTAMP '{NOW}'", "decisions")
+)
+add(
+    "flt13_purge", lambda s, d: evaluate.purge(
+        P.decision_events(s, d), F.lit(NOW).cast("timestamp"), 100
+    ).select("event_id"),
+    sql(
+        f"SELECT event_id FROM decisions WHERE event_id NOT IN (SELECT event_id FROM decisions WHERE expires_at <= TIMESTAMP '{NOW}' ORDER BY expires_at, event_id LIMIT 100)",
+        "decisions"
+    ),
 )
 add(
-    "ss7_sliding_rate", lambda s, d: evaluate.sliding_rate(P.decision_events(s, d), "owner_key", 86400).select("event_id", "recent"),
-    sql("SELECT event_id, count(*) OVER (PARTITION BY owner_key ORDER BY epoch(date_trunc('second', occurred_at))::BIGINT RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS recent FROM decisions", "decisions"),
+    "ss7_sliding_rate", lambda s, d: evaluate.sliding_rate(
+        P.decision_events(s, d), "owner_key", 86400
+    ).select("event_id", "recent"),
+    sql(
+        "SELECT event_id, count(*) OVER (PARTITION BY owner_key ORDER BY epoch(date_trunc('second', occurred_at))::BIGINT RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS recent FROM decisions",
+        "decisions"
+    ),
 )
 
 
 def actions(s, d):
     e = P.decision_events(s, d)
     k = F.col("event_id")
-    act = F.when(F.col("event_type") == "session_started", "add").when(F.col("event_type") == "program_added", "add").when(F.col("event_type") == "comparison_started", "choose").when(F.col("event_type") == "comparison_completed", "remove").otherwise(F.when(k % 2 == 0, "exclude").otherwise("restore"))
+    act = F.when(
+        F.col("event_type") == "session_started", "add"
+    ).when(F.col("event_type") == "program_added", "add").when(
+        F.col("event_type") == "comparison_started", "choose"
+    ).when(
+        F.col("event_type") == "comparison_completed", "remove"
+    ).otherwise(F.when(k % 2 == 0, "exclude").otherwise("restore"))
     return e.select("owner_key", k.alias("seq"), act.alias("action"), (k % 6).alias("program_id"))
 
 
@@ -504,7 +679,9 @@ _ACTIONS = """acts AS (SELECT owner_key, event_id % 6 AS p, CASE event_type WHEN
     row_number() OVER (PARTITION BY owner_key ORDER BY event_id) AS n FROM decisions)"""
 add(
     "ss4_decision_state",
-    lambda s, d: decision.decision_state(actions(s, d)).select("owner_key", "revision", "rejected", F.size("shortlist").alias("shortlisted"), "choice"),
+    lambda s, d: decision.decision_state(actions(s, d)).select(
+        "owner_key", "revision", "rejected", F.size("shortlist").alias("shortlisted"), "choice"
+    ),
     P.recursive(
         f"""{_ACTIONS}, fold(owner_key, n, short, gone, choice, revision, rejected) AS (
     SELECT DISTINCT owner_key, 0::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT, 0, 0 FROM acts
@@ -533,12 +710,23 @@ add(
     ),
 )
 add(
-    "ss6_split_client_events", lambda s, d: stream.split_client_events(P.decision_events(s, d))[1].groupBy("event_type").agg(F.count(F.lit(1)).alias("refused")),
-    sql("SELECT event_type, count(*) AS refused FROM decisions WHERE event_type IN ('session_started', 'session_expired', 'final_choice_confirmed') GROUP BY 1", "decisions"),
+    "ss6_split_client_events", lambda s, d: stream.split_client_events(P.decision_events(s, d))[1].groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("refused")
+    ),
+    sql(
+        "SELECT event_type, count(*) AS refused FROM decisions WHERE event_type IN ('session_started', 'session_expired', 'final_choice_confirmed') GROUP BY 1",
+        "decisions"
+    ),
 )
 add(
-    "ss5_reject_stale_revisions", lambda s, d: stream.reject_stale_revisions(P.decision_events(s, d).select("owner_key", F.col("event_id").alias("seq"), (F.col("event_id") / 100 + F.col("event_id") % 3).cast("int").alias("base_revision"))).select("seq", "stale"),
-    sql("""WITH t AS (SELECT owner_key, event_id AS seq, CAST(floor(event_id / 100.0 + event_id % 3) AS INT) AS base_revision FROM decisions)
+    "ss5_reject_stale_revisions", lambda s, d: stream.reject_stale_revisions(
+        P.decision_events(s, d).select(
+            "owner_key", F.col("event_id").alias("seq"),
+            (F.col("event_id") / 100 + F.col("event_id") % 3).cast("int").alias("base_revision")
+        )
+    ).select("seq", "stale"),
+    sql(
+        """WITH t AS (SELECT owner_key, event_id AS seq, CAST(floor(event_id / 100.0 + event_id % 3) AS INT) AS base_revision FROM decisions)
   SELECT seq, coalesce(base_revision < max(base_revision) OVER (PARTITION BY owner_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM t""", "decisions"),
 )
 add(

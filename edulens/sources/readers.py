@@ -29,7 +29,9 @@ def read_events_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     title or zoned start, an unknown kind, or an end not after the start."""
     rows = spark.read.schema(EVENTS).json(path, multiLine=True).select(F.inline("events"))
     zoned = F.col("starts_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    typed = rows.withColumn("starts", F.when(zoned, F.col("starts_at").try_cast("timestamp"))).withColumn("ends", F.col("ends_at").try_cast("timestamp"))
+    typed = rows.withColumn(
+        "starts", F.when(zoned, F.col("starts_at").try_cast("timestamp"))
+    ).withColumn("ends", F.col("ends_at").try_cast("timestamp"))
     why = (
         F.when(F.col("external_key").isNull() | F.col("title").isNull(), "missing_identity")
         .when(~F.col("kind").isin(*EVENT_KINDS), "unknown_kind")
@@ -44,7 +46,9 @@ def read_points_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     """Campus points with both coordinates or neither, and the refused rows."""
     rows = spark.read.schema(POINTS).json(path, multiLine=True).select(F.inline("points"))
     typed = rows.withColumns({c: F.col(c).try_cast("decimal(9,6)") for c in ("latitude", "longitude")})
-    why = F.when(F.col("external_key").isNull(), "missing_identity").when(F.col("latitude").isNull() != F.col("longitude").isNull(), "one_coordinate")
+    why = F.when(F.col("external_key").isNull(), "missing_identity").when(
+        F.col("latitude").isNull() != F.col("longitude").isNull(), "one_coordinate"
+    )
     marked = typed.withColumn("reason", why)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
@@ -82,7 +86,9 @@ def extract_text(pages: DataFrame, limit: int | None = None) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "text": [html_text(h) for h in pdf["html"]]})
 
-    out = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(run, "page_id long, text string")
+    out = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), "html"
+    ).mapInPandas(run, "page_id long, text string")
     return out if limit is None else out.withColumn("text", F.substring("text", 1, limit))
 
 
@@ -90,7 +96,9 @@ def snapshot_outcome(prev: DataFrame, cur: DataFrame) -> DataFrame:
     """New, changed or unchanged against the last successful snapshot."""
     p = prev.select("source_id", F.col("content_hash").alias("_h"))
     j = cur.withColumn("content_hash", F.sha2("body", 256)).join(p, "source_id", "left")
-    state = F.when(F.col("_h").isNull(), "new").when(F.col("_h") == F.col("content_hash"), "unchanged").otherwise("changed")
+    state = F.when(F.col("_h").isNull(), "new").when(
+        F.col("_h") == F.col("content_hash"), "unchanged"
+    ).otherwise("changed")
     return j.withColumn("outcome", state).drop("_h", "body")
 
 
@@ -99,9 +107,14 @@ def due_sources(registry: DataFrame, attempts: DataFrame, now, limit: int = 100)
     or past their retry time or interval; longest overdue first."""
     w = Window.partitionBy("source_id").orderBy(F.col("revision").desc())
     latest = registry.withColumn("_n", F.row_number().over(w)).where("_n = 1 and enabled").drop("_n")
-    last = attempts.groupBy("source_id").agg(F.max_by(F.struct("revision", "completed_at", "next_retry_at"), "completed_at").alias("a"))
+    last = attempts.groupBy("source_id").agg(
+        F.max_by(F.struct("revision", "completed_at", "next_retry_at"), "completed_at").alias("a")
+    )
     j = latest.join(last, "source_id", "left")
-    due = F.coalesce(F.col("a.next_retry_at"), F.col("a.completed_at") + F.make_dt_interval(secs=F.col("interval_seconds")))
+    due = F.coalesce(
+        F.col("a.next_retry_at"),
+        F.col("a.completed_at") + F.make_dt_interval(secs=F.col("interval_seconds"))
+    )
     j = j.withColumn("due_at", due)
     ready = F.col("a").isNull() | (F.col("a.revision") != F.col("revision")) | (F.col("due_at") <= now)
     return j.where(ready).orderBy(F.col("due_at").asc_nulls_first(), "source_id").limit(limit).drop("a")
@@ -115,9 +128,13 @@ def poll_backoff(attempts: DataFrame) -> DataFrame:
     ok = F.col("outcome") == "ok"
     streak = F.sum(F.when(ok, 1).otherwise(0)).over(upto)
     e = attempts.withColumn("_s", streak)
-    r = F.sum(F.when(ok, 0).otherwise(1)).over(Window.partitionBy("source_id", "_s").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0))
+    r = F.sum(F.when(ok, 0).otherwise(1)).over(
+        Window.partitionBy("source_id", "_s").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
+    )
     e = e.withColumn("retry_count", F.least(r, F.lit(10)).cast("int"))
-    delay = F.when(ok, F.col("interval_seconds")).otherwise(F.least(F.col("interval_seconds") * F.pow(F.lit(2), F.least(F.col("retry_count") - 1, F.lit(10))), F.lit(86400)))
+    delay = F.when(ok, F.col("interval_seconds")).otherwise(
+        F.least(F.col("interval_seconds") * F.pow(F.lit(2), F.least(F.col("retry_count") - 1, F.lit(10))), F.lit(86400))
+    )
     good = F.last(F.when(ok, F.col("content_hash")), ignorenulls=True).over(upto)
     return e.withColumn("delay_seconds", delay.cast("long")).withColumn("last_good_hash", good).drop("_s")
 

@@ -56,7 +56,9 @@ def scoped_sync(target: DataFrame, source: DataFrame | None, keys: list[str], ki
 def append_revision(history: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """History with a new revision where the content hash is not the latest."""
     w = Window.partitionBy(key).orderBy(F.col("revision").desc())
-    last = history.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, F.col("revision").alias("_r"), F.col("content_hash").alias("_h"))
+    last = history.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(
+        key, F.col("revision").alias("_r"), F.col("content_hash").alias("_h")
+    )
     new = current.join(last, key, "left").where(~F.col("content_hash").eqNullSafe(F.col("_h")))
     new = new.withColumn("revision", F.coalesce(F.col("_r"), F.lit(0)) + 1)
     return history.unionByName(new.select(*history.columns))
@@ -81,7 +83,9 @@ def changed_items(items: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     """Items whose hash is unknown or is not the only one known before."""
     p = previous.groupBy(key).agg(F.collect_set("source_hash").alias("_h"))
     j = items.join(p, key, "left")
-    same = F.col("source_hash").isNotNull() & F.col("_h").isNotNull() & (F.size("_h") == 1) & (F.col("_h")[0] == F.col("source_hash"))
+    same = F.col("source_hash").isNotNull() & F.col("_h").isNotNull() & (F.size("_h") == 1) & (
+        F.col("_h")[0] == F.col("source_hash")
+    )
     return j.where(~F.coalesce(same, F.lit(False))).drop("_h")
 
 
@@ -98,15 +102,21 @@ def runs(df: DataFrame, status: str, limit: int = 50) -> DataFrame:
 
 
 def previous_good(df: DataFrame) -> DataFrame:
-    return df.where("status = 'completed'").groupBy("university_id").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
+    return df.where("status = 'completed'").groupBy("university_id").agg(
+        F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id")
+    )
 
 
 def recover_stale(df: DataFrame, now, timeout_seconds: int) -> DataFrame:
     """Running rows without a sign of life become failed, with the reason."""
     beat = F.coalesce("heartbeat_at", "started_at")
-    dead = (F.col("status") == "running") & (F.unix_seconds(beat) < F.unix_seconds(F.lit(now).cast("timestamp")) - timeout_seconds)
+    dead = (F.col("status") == "running") & (
+        F.unix_seconds(beat) < F.unix_seconds(F.lit(now).cast("timestamp")) - timeout_seconds
+    )
     why = F.when(F.col("projection_status") == "running", "abandoned_in_projection").otherwise("abandoned")
-    return df.withColumn("reason", F.when(dead, why)).withColumn("status", F.when(dead, "failed").otherwise(F.col("status")))
+    return df.withColumn("reason", F.when(dead, why)).withColumn(
+        "status", F.when(dead, "failed").otherwise(F.col("status"))
+    )
 
 
 def mark_document_stale(facts: DataFrame, documents: DataFrame) -> DataFrame:
