@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -77,20 +77,28 @@ def sliding_cap(stream: DataFrame, limit: int, seconds: int, delay: str = "1 day
 
 
 def sliding_cap_batch(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """The same over a table: a fold per owner over its events in order. The
-    fold's state holds ``limit`` times at most."""
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros("occurred_at").alias("at"), "event_id")))
+    """The same over a table: a fold over each stretch of an owner's events in
+    which no two neighbours are ``seconds`` apart. What lies before such a gap
+    cannot count after it, so a long history is many short folds. The fold's
+    state holds ``limit`` times at most."""
+    span = seconds * 1_000_000
+    timed = events.select("owner_key", "event_id", F.unix_micros("occurred_at").alias("at"))
+    order = Window.partitionBy("owner_key").orderBy("at", "event_id")
+    opens = F.coalesce(F.col("at") - F.lag("at").over(order) >= span, F.lit(True)).cast("int")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    stretches = timed.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(upto))
+    rows = F.array_sort(F.collect_list(F.struct("at", "event_id")))
     zero = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<bigint>").alias("ok"))
 
     def fold(s, e):
-        kept = F.filter(s["kept"], lambda x: x > e["at"] - seconds * 1_000_000)
+        kept = F.filter(s["kept"], lambda x: x > e["at"] - span)
         fits = F.size(kept) < limit
         return F.struct(
             F.when(fits, F.array_append(kept, e["at"])).otherwise(kept).alias("kept"),
             F.when(fits, F.array_append(s["ok"], e["event_id"])).otherwise(s["ok"]).alias("ok"),
         )
 
-    per = events.groupBy("owner_key").agg(F.aggregate(rows, zero, fold, lambda s: s["ok"]).alias("ok"))
+    per = stretches.groupBy("owner_key", "stretch").agg(F.aggregate(rows, zero, fold, lambda s: s["ok"]).alias("ok"))
     return per.select("owner_key", F.explode("ok").alias("event_id"))
 
 
@@ -158,8 +166,6 @@ def session_windows(stream: DataFrame, gap: str = "30 minutes", delay: str = "1
 
 def reject_stale_revisions(turns: DataFrame) -> DataFrame:
     """Turns written against a revision older than the newest seen before them."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("owner_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max("base_revision").over(w)
     return turns.withColumn("stale", F.coalesce(F.col("base_revision") < newest, F.lit(False)))
