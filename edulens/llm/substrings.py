@@ -149,8 +149,13 @@ class Block:
         out = [[] for _ in range(1 + both)]
         for docs, starts, buf in self.chunks([len(p) > 0 for p in per_doc]):
             pos = np.concatenate([per_doc[d] + s for d, s in zip(docs, starts)])
-            for half, seed in zip(out, _SEEDS):
-                half.append(Names(buf, seed).at(pos, length))
+            # A long text goes piece by piece, each with the bytes that its last names reach over.
+            for at in range(0, len(buf), CHUNK_BYTES):
+                low, high = np.searchsorted(pos, [at, at + CHUNK_BYTES])
+                if low < high:
+                    part = buf[at : at + CHUNK_BYTES + length]
+                    for half, seed in zip(out, _SEEDS):
+                        half.append(Names(part, seed).at(pos[low:high] - at, length))
         return [np.concatenate(h) if h else np.zeros(0, np.uint64) for h in out]
 
     def split(self, flat: np.ndarray, per_doc: list[np.ndarray]) -> list[np.ndarray]:
@@ -166,10 +171,10 @@ class Block:
 
     def near(self, size: int, first: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Which of ``size`` places lie in one of the ranges [first, after)."""
-        edge = np.zeros(size + 1, np.int64)
+        edge = np.zeros(size + 1, np.int32)
         np.add.at(edge, first.clip(0, size), 1)
         np.add.at(edge, after.clip(0, size), -1)
-        return np.cumsum(edge[:size]) > 0
+        return np.cumsum(edge[:size], dtype=np.int32) > 0
 
     def known(self, hit1, hit2) -> list[np.ndarray]:
         """Places that repeat because the longer name of a sample does."""

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from edulens.llm import common, embeddings, simhash, substrings
@@ -213,6 +214,23 @@ def substrings_brute(rows, n):
     return sorted(out, key=str)
 
 
+def test_long_texts_are_named_piece_by_piece(monkeypatch):
+    rng = random.Random(2)
+    texts = sorted((rng.randbytes(k) for k in (150, 3000, 260, 9000, 220)), key=lambda t: hashlib.sha256(t).hexdigest())
+    pdf = pd.DataFrame(
+        {
+            "digest": [[hashlib.sha256(t).hexdigest() for t in texts]], "n": [[1] * len(texts)],
+            "size": [[len(t) for t in texts]], "data": [zstandard.ZstdCompressor().compress(b"".join(texts))],
+        }
+    )
+    block = substrings.Block(pdf, 200)
+    whole = block.named(block.round1(), 68, True)
+    for chunk in (100, 701, 4000):
+        monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)
+        assert all((a == b).all() for a, b in zip(whole, block.named(block.round1(), 68, True)))
+    assert len(whole[0]) == sum(map(len, block.round1())) > 500
+
+
 @pytest.mark.parametrize("n", [200, 50])
 def test_substrings_equal_brute_force(spark, n):
     rng = random.Random(n)
