@@ -76,11 +76,10 @@ def shingle_hashes(text: str | None, k: int, seed: int = SEED) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
 
 
-def fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = SEED, words: int = 1) -> list[int]:
-    """SimHash of the k-word shingles of one text, as signed 64-bit words; the
-    first is the plain one, more come from remixing the shingles' hashes.
-    Null, empty and blank texts give 0 in every word."""
-    h = shingle_hashes(text, k, seed)
+def fingerprint(h: np.ndarray, words: int = 1) -> list[int]:
+    """SimHash of a text's shingle hashes, as signed 64-bit words; the first is
+    the plain one, more come from remixing the hashes. Without shingles every
+    word is 0."""
     out = []
     for _ in range(words):
         ones = np.zeros(64, np.int64)
@@ -100,14 +99,21 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def fingerprints(rows: DataFrame, k: int = SHINGLE_WORDS, words: int = 1) -> DataFrame:
-    """``(doc_id, h, f0, f1, ...)`` for every row of ``keyed``; null and blank texts have 0."""
-    names = [f"f{w}" for w in range(words)]
+def fingerprints(rows: DataFrame, k: int = SHINGLE_WORDS, words: int = 1, sets: bool = False) -> DataFrame:
+    """``(doc_id, h, same, f0, f1, ...)`` for every row of ``keyed``; null and
+    blank texts have 0 in every word. ``same`` is a hash of the set of shingles
+    where ``sets`` are wanted, else 0."""
+    names = ["same", *[f"f{w}" for w in range(words)]]
+
+    def facts(text: str | None) -> list[int]:
+        h = shingle_hashes(text, k)
+        same = xxhash.xxh64_intdigest(np.unique(h).tobytes()) if sets else 0
+        return [same - (same >> 63 << 64), *fingerprint(h, words)]
 
     def run(batches):
         for b in batches:
-            found = np.array([fingerprint(t.as_py(), k, SEED, words) for t in b.column("text")], np.int64)
-            columns = [b.column("doc_id"), b.column("h"), *map(pa.array, found.reshape(-1, words).T.copy())]
+            found = np.array([facts(t.as_py()) for t in b.column("text")], np.int64).reshape(-1, words + 1)
+            columns = [b.column("doc_id"), b.column("h"), *map(pa.array, found.T.copy())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", *names])
 
     return rows.mapInArrow(run, "doc_id long, h long, " + ", ".join(f"{n} long" for n in names))
@@ -246,8 +252,9 @@ def near_links(uniq: DataFrame, near: Nearness) -> DataFrame:
 def confirmed(links: DataFrame, uniq: DataFrame, rows: DataFrame, near: Nearness) -> DataFrame:
     """The links whose texts' sets of shingles are similar by SIMILARITY or more.
 
-    A fingerprint stands for the text of its first row. Sets hold 32 bits of
-    each shingle's hash; they travel with links, one or two a text.
+    Texts of one set are one row of ``uniq``, under the text of its first row.
+    Sets hold 32 bits of each shingle's hash; they travel with links, one or two
+    a text.
     """
 
     def sets(batches):
@@ -279,9 +286,12 @@ def confirmed(links: DataFrame, uniq: DataFrame, rows: DataFrame, near: Nearness
 
 def groups(rows: DataFrame, near: Nearness, check: bool = False) -> DataFrame:
     """``(doc_id, h, f0, ..., least)`` for every row of ``keyed``; ``least`` is
-    ``struct<none, id, h>`` of the first row of its group, those without an id last."""
+    ``struct<none, id, h>`` of the first row of its group, those without an id
+    last. With ``check`` links are confirmed on the sets of shingles, also those
+    between texts of one fingerprint."""
     names = [f"f{w}" for w in range(near.words)]
-    fps = shared_checkpoint(fingerprints(rows, near.shingle, near.words))
+    fps = shared_checkpoint(fingerprints(rows, near.shingle, near.words, check))
+    names.append("same")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
     uniq = fps.groupBy(*names).agg(F.min(first).alias("low"))
     uniq = shared_checkpoint(uniq.withColumn("row", F.monotonically_increasing_id()))
