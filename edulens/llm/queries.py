@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import embeddings, language, packing, pieces, quality_model, rules, secrets, simhash, substrings, warc
+from . import embeddings, language, packing, pieces, quality_model, rules, secrets, simhash, spelling, substrings, warc
 
-MODULES = (simhash, packing, pieces, embeddings, substrings, rules, warc, quality_model, secrets, language)
+MODULES = (simhash, packing, pieces, embeddings, substrings, rules, warc, quality_model, secrets, language, spelling)
 
 
 def queries() -> dict:
