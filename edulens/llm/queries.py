@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import embeddings, language, packing, phrases, pieces, quality_model, rules, secrets, simhash, spelling, substrings, warc
+from . import embeddings, language, packing, page_text, phrases, pieces, quality_model, rules, secrets, simhash, spelling, substrings, warc
 
-MODULES = (simhash, packing, pieces, embeddings, substrings, rules, warc, quality_model, secrets, language, spelling, phrases)
+MODULES = (simhash, packing, pieces, embeddings, substrings, rules, warc, quality_model, secrets, language, spelling, phrases, page_text)
 
 
 def queries() -> dict:
