@@ -46,7 +46,8 @@ CLASS[list(b".,;:!?\n\x0b\x0c\r")] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-SHARDS = "shard long, tokens binary, words array<struct<lang:string,word:string,n:long>>"
+SHARDS = "shard long, tokens binary, words binary"
+LISTED = "shard long, at long, lang string, word string, n long"
 KEPT = "shard long, tokens binary, ids binary"
 
 
@@ -122,17 +123,33 @@ def shard_row(held: dict[str, list], number: int) -> pa.RecordBatch:
         at, seen = coded.indices.to_numpy(), np.concatenate(seen)
         own = coded.dictionary.cast(pa.string())
         n = np.bincount(at[~seen], minlength=len(own))
-        words.append(pa.StructArray.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array(n)], ["lang", "word", "n"]))
+        words.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array(n)], ["lang", "word", "n"]))
         tokens.append((at + base, np.concatenate(follows), seen))
         base += len(own)
     if base >> PLACE_BITS:
         raise ValueError("too many distinct words in a shard")
-    listed = pa.ListArray.from_arrays(pa.array([0, base], pa.int32()), pa.concat_arrays(words))
     data = pack(*(np.concatenate(x) for x in zip(*tokens)))
-    columns = [pa.array([number]), pa.array([data], pa.binary()), listed]
+    listed = pa.BufferOutputStream()
+    with pa.ipc.new_stream(listed, words[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for w in words:
+            out.write_batch(w)
+    columns = [pa.array([number]), pa.array([data], pa.binary()), pa.array([listed.getvalue().to_pybytes()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["shard", "tokens", "words"])
 
 
+def list_words(batches):
+    """``(shard, at, lang, word, n)`` of the words of shards, numbered from 0."""
+    for b in batches:
+        for shard, words in zip(*b.columns):
+            base = 0
+            for w in pa.ipc.open_stream(words.as_py()):
+                n = w.num_rows
+                columns = [pa.array(np.full(n, shard.as_py())), pa.array(np.arange(base, base + n)), *w.columns]
+                whole = pa.RecordBatch.from_arrays(columns, ["shard", "at", *w.schema.names])
+                yield from (whole.slice(k, 50_000) for k in range(0, n, 50_000))
+                base += n
+
+
 def make_shards(batches, partition: int, shard_words: int, block_bytes: int, depth: int = DEPTH):
     """Shards of at least ``shard_words`` words (the last: any number)."""
     held: dict[str, list] = {}
@@ -337,10 +354,10 @@ def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, min_count: int,
         return make_shards(batches, TaskContext.get().partitionId(), shard_words, BLOCK_BYTES, depth)
 
     shards = shared_checkpoint(texts.where("text is not null").mapInArrow(cut, SHARDS))
-    listed = shards.select("shard", F.posexplode("words").alias("at", "w")).select("shard", "at", "w.*")
+    listed = shards.select("shard", "words").mapInArrow(list_words, LISTED)
     totals = listed.groupBy("lang").agg(F.sum("n").alias("n"))
 
-    own = F.shiftleft("shard", PLACE_BITS).bitwiseOR(F.col("at").cast("long"))
+    own = F.shiftleft("shard", PLACE_BITS).bitwiseOR(F.col("at"))
     same = Window.partitionBy("lang", "word")
     known = listed.withColumn("own", own).withColumns({"f": F.sum("n").over(same), "id": F.min("own").over(same)})
     known = shared_checkpoint(known.where(F.col("f") >= min_count).select(
@@ -348,7 +365,7 @@ def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, min_count: int,
     ))
     words = known.where("w is not null").select("id", "w.*", "f")
 
-    places = known.groupBy("shard").agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "id")).alias("frequent"))
+    places = known.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("frequent"))
     kept = shards.select("shard", "tokens").join(places, "shard").select("shard", "tokens", "frequent")
     kept = shared_checkpoint(kept.mapInArrow(keep_frequent, KEPT))
 

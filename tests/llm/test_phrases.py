@@ -74,9 +74,9 @@ def test_one_text_over_many_shards_counts_each_phrase_once():
     batch = pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array([text, "z z"])], ["lang", "text"])
     got, words = Counter(), Counter()
     for row in phrases.make_shards([batch], 0, 64, 50):
-        own = [w["word"].as_py() for w in row.column("words")[0].values]
-        for w in row.column("words")[0].values:
-            words[w["word"].as_py()] += w["n"].as_py()
+        listed = next(phrases.list_words([row.select(["shard", "words"])]))
+        own = listed.column("word").to_pylist()
+        words.update(dict(zip(own, listed.column("n").to_pylist())))
         at, follows, seen = phrases.unpack(row.column("tokens")[0].as_py())
         t, place = phrases.with_breaks(at + 1, follows)
         mark = np.zeros(len(t), bool)
