@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder in ``spark.checkpoint.dir``. Where
-    that is unset, only a local master may take a temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, only a local
+    master may take a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
         if own is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read again. Beside its
+    lineage this cuts the estimated size, which a checkpoint hands on: joined over
+    and over it becomes a number of millions of digits."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SLICE_ROWS = 1000
 
 
@@ -116,7 +131,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Rounds needed grow with the logarithm of the longest path. Loops, repeats
     and null ends are ignored; an empty input gives an empty result.
     """
-    cur = shared_checkpoint(
+    cur = shared_table(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     mark = None
@@ -130,7 +145,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = shared_checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = small.where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        cur = shared_checkpoint(nxt)
+        cur = shared_table(nxt)
         now = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             break

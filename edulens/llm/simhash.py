@@ -37,6 +37,8 @@ SAMPLE = 8
 BLOCK = 256
 HELD_EDGES = 1_000_000
 SIMILARITY = 0.8
+#: Bounds of a block of a family whose parts are compared.
+FAMILY_ROWS, FAMILY_BYTES = 1024, 16_000_000
 
 
 @dataclass(frozen=True)
@@ -249,13 +251,10 @@ def near_links(uniq: DataFrame, near: Nearness) -> DataFrame:
     return placed.groupBy("leaf").applyInPandas(lambda pdf: leaf_forest(pdf, near), "a long, b long")
 
 
-def confirmed(links: DataFrame, uniq: DataFrame, rows: DataFrame, near: Nearness) -> DataFrame:
-    """The links whose texts' sets of shingles are similar by SIMILARITY or more.
-
-    Texts of one set are one row of ``uniq``, under the text of its first row.
-    Sets hold 32 bits of each shingle's hash; they travel with links, one or two
-    a text.
-    """
+def shingle_sets(links: DataFrame, uniq: DataFrame, rows: DataFrame, near: Nearness) -> DataFrame:
+    """``(row, shingles)`` for every row that has a link: 32 bits of each shingle's
+    hash, sorted. Texts of one set are one row of ``uniq``, under the text of its
+    first row."""
 
     def sets(batches):
         for b in batches:
@@ -263,6 +262,17 @@ def confirmed(links: DataFrame, uniq: DataFrame, rows: DataFrame, near: Nearness
             data = pa.array([s.tobytes() for s in found], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("row"), data], ["row", "shingles"])
 
+    ends = links.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    key = uniq.join(ends, "row").select("row", "low.*")
+    texts = rows.select("text", "h", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
+    texts = texts.join(key, ["none", "id", "h"]).select("row", "text").dropDuplicates(["row"])
+    return shared_checkpoint(texts.mapInArrow(sets, "row long, shingles binary"))
+
+
+def confirmed(links: DataFrame, own: DataFrame) -> DataFrame:
+    """The links whose sets of shingles are similar by SIMILARITY or more. Sets
+    travel with links, one or two a text."""
+
     def similar(batches):
         for b in batches:
             keep = []
@@ -272,16 +282,99 @@ def confirmed(links: DataFrame, uniq: DataFrame, rows: DataFrame, near: Nearness
                 keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = shared_checkpoint(links.distinct())
-    ends = links.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    key = uniq.join(ends, "row").select("row", "low.*")
-    texts = rows.select("text", "h", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
-    texts = texts.join(key, ["none", "id", "h"]).select("row", "text").dropDuplicates(["row"])
-    own = shared_checkpoint(texts.mapInArrow(sets, "row long, shingles binary"))
     left = own.select(F.col("row").alias("a"), F.col("shingles").alias("left"))
     right = own.select(F.col("row").alias("b"), F.col("shingles").alias("right"))
     pairs = links.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return pairs.mapInArrow(similar, "a long, b long")
+    return shared_checkpoint(pairs.mapInArrow(similar, "a long, b long"))
+
+
+def verified_pairs(row: np.ndarray, label: np.ndarray, side: np.ndarray, fp: np.ndarray, sets: list, radius: int):
+    """Edges that join parts of two blocks of one family (``side`` 0 and 1, or 0
+    alone), each confirmed on the sets. Parts that are joined are not compared
+    again; every other pair within ``radius`` bits of different parts is."""
+    size = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if size.sum() else np.zeros(0, np.int64)
+    end = np.cumsum(size)
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
+    part = np.unique(label, return_inverse=True)[1]
+    found = []
+    one = not side.any()
+    for x in np.nonzero(side == 0)[0]:
+        other = np.arange(x + 1, len(row)) if one else np.nonzero(side == 1)[0]
+        other = other[part[other] != part[x]]
+        other = other[np.minimum(size[other], size[x]) >= SIMILARITY * np.maximum(size[other], size[x])]
+        other = other[np.bitwise_count(fp[other] ^ fp[x]).sum(axis=1, dtype=np.int64) <= radius]
+        if not len(other):
+            continue
+        own = ids[end[x] - size[x] : end[x]]
+        mark[own] = 1
+        both = np.array([mark[ids[end[y] - size[y] : end[y]]].sum() for y in other])
+        mark[own] = 0
+        for y in other[both >= SIMILARITY * (size[x] + size[other] - both)]:
+            if part[y] != part[x]:
+                found.append((row[x], row[y]))
+                part[part == part[y]] = part[x]
+    return found
+
+
+def family_links(links: DataFrame, held: DataFrame, own: DataFrame, uniq: DataFrame, near: Nearness) -> DataFrame:
+    """Further edges, so that nothing is lost where links of a forest failed.
+
+    A family is what ``links`` connect, whether they held or not: forests span a
+    leaf's candidates, so every pair of candidates lies in one family. Where the
+    links that held leave a family in parts, the parts are compared with their
+    sets, in pairs of blocks of a bounded number of rows and bytes. Blocks of one
+    part are not paired with each other, so a large part that holds together is
+    sent once a block of the rest.
+    """
+    names = [f"f{w}" for w in range(near.words)]
+    label = connected_components(held).select(F.col("node").alias("row"), F.col("component").alias("label"))
+    members = connected_components(links).select(F.col("node").alias("row"), F.col("component").alias("family"))
+    members = members.join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    members = shared_checkpoint(members.join(own.select("row", F.length("shingles").alias("bytes")), "row"))
+    apart = members.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    open_ = shared_checkpoint(members.join(shared_checkpoint(apart.select("family")), "family"))
+
+    weight = F.lit(1 / FAMILY_ROWS) + F.col("bytes") / FAMILY_BYTES
+    parts = open_.groupBy("family", "label").agg(F.sum(weight).alias("w"))
+    few = parts.where("w < 1").groupBy("family").agg(F.ceil(F.sum("w")).alias("n"))
+    parts = parts.join(few, "family", "left").select(
+        "family", "label", F.when(F.col("w") >= 1, F.col("label")).otherwise(-1).alias("part"),
+        F.when(F.col("w") >= 1, F.ceil("w")).otherwise(F.col("n")).alias("n"),
+    )
+    placed = open_.join(shared_checkpoint(parts), ["family", "label"])
+    by = F.when(F.col("part") >= 0, F.col("row")).otherwise(F.col("label"))
+    block = F.struct("part", F.pmod(F.xxhash64(by), F.col("n")).alias("k")).alias("block")
+    placed = shared_checkpoint(placed.select("row", "family", "label", block))
+    blocks = placed.select("family", "block").distinct()
+    first, second = (blocks.select("family", F.col("block").alias(c)) for c in ("x", "y"))
+    pure = (F.col("x.part") == F.col("y.part")) & (F.col("x.part") >= 0)
+    pairs = shared_checkpoint(first.join(second, "family").where((F.col("x") <= F.col("y")) & ~pure))
+    sent = [
+        placed.withColumnRenamed("block", c).join(pairs if c == "x" else pairs.where("x <> y"), ["family", c])
+        .select("row", "label", "family", "x", "y", F.lit(k).alias("side"))
+        for k, c in enumerate(("x", "y"))
+    ]
+    held_rows = own.join(uniq.select("row", *names), "row")
+    sent = sent[0].unionByName(sent[1]).join(held_rows, "row")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "row"], ignore_index=True)
+        fp = pdf[names].to_numpy(np.int64).view(np.uint64)
+        sets = [np.frombuffer(s, "<u4") for s in pdf["shingles"]]
+        edges = verified_pairs(*(pdf[c].to_numpy() for c in ("row", "label", "side")), fp, sets, near.radius)
+        return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+
+    return sent.groupBy("family", "x", "y").applyInPandas(compare, "a long, b long")
+
+
+def similar_links(links: DataFrame, uniq: DataFrame, rows: DataFrame, near: Nearness) -> DataFrame:
+    """Edges confirmed on the sets of shingles that connect all that ``links`` and
+    the other candidates of their families connect."""
+    links = shared_checkpoint(links.distinct())
+    own = shingle_sets(links, uniq, rows, near)
+    held = confirmed(links, own)
+    return held.unionByName(shared_checkpoint(family_links(links, held, own, uniq, near)))
 
 
 def groups(rows: DataFrame, near: Nearness, check: bool = False) -> DataFrame:
@@ -296,7 +389,7 @@ def groups(rows: DataFrame, near: Nearness, check: bool = False) -> DataFrame:
     uniq = fps.groupBy(*names).agg(F.min(first).alias("low"))
     uniq = shared_checkpoint(uniq.withColumn("row", F.monotonically_increasing_id()))
     links = near_links(uniq, near)
-    comp = connected_components(confirmed(links, uniq, rows, near) if check else links)
+    comp = connected_components(similar_links(links, uniq, rows, near) if check else links)
     comp = shared_checkpoint(comp.join(uniq.select(F.col("row").alias("node"), "low"), "node"))
     least = shared_checkpoint(comp.groupBy("component").agg(F.min("low").alias("least")))
     linked = comp.join(least, "component").select(F.col("node").alias("row"), "least")

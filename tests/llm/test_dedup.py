@@ -87,6 +87,44 @@ def test_trees_find_all_pairs_in_memory():
     assert found == want
 
 
+def family_texts(changed, families=4, size=300, words=304, seed=9):
+    rng = random.Random(seed)
+    out = []
+    for f in range(families):
+        base = [f"w{f}x{k}" for k in range(words)]
+        for _ in range(size):
+            own = base[:]
+            for p in rng.sample(range(words), changed):
+                own[p] = f"r{rng.randrange(10**9)}"
+            out.append(" ".join(own))
+    return out
+
+
+def kept_exactly(texts):
+    """Rows that exact grouping at 0.8 on five-word shingle sets leaves."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label, holders = np.arange(len(sets)), {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for i, s in enumerate(sets):
+        both = Counter(j for x in s for j in holders[x] if j < i)
+        j = [j for j, n in both.items() if n >= 0.8 * (len(s) + len(sets[j]) - n)]
+        label = common.merge_labels(label, np.full(len(j), i), np.array(j, np.int64))
+    return set(np.unique(label).tolist())
+
+
+@pytest.mark.parametrize("changed,rows_a_block", [(5, 1024), (4, 1024), (5, 40), (4, 40)])
+def test_families_near_the_threshold_lose_no_links(spark, monkeypatch, changed, rows_a_block):
+    monkeypatch.setattr(simhash, "FAMILY_ROWS", rows_a_block)
+    texts = family_texts(changed)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id for r in simhash.drop_near_duplicates(spark, df, "").select("doc_id").collect()}
+    want = kept_exactly(texts)
+    assert want <= got  # nothing goes that exact grouping keeps
+    assert len(texts) - len(got) >= 0.95 * (len(texts) - len(want))
+
+
 @pytest.mark.parametrize("depth", [6, 10, 14])
 def test_copies_of_a_fingerprint_grow_slowly(depth):
     rng = np.random.default_rng(4)
