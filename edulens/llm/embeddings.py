@@ -31,7 +31,9 @@ THRESHOLD = 0.93
 CHUNK = 4096
 MAX_CENTRES = 64
 LEVELS = 4  # radii 1, 1/2, 1/4, 1/8; the threshold is a distance of 0.37
-SAMPLE = 1024  # points of a cell among which its centres are sought
+#: Points of a cell among which its centres are sought. Up to 1000 of them Spark
+#: takes from each task before it shuffles (WindowGroupLimit).
+SAMPLE = 1000
 SLICE = 8192  # points that meet the centres of their cell in one group
 BLOCK = 1024  # points of one tree in memory
 SLACK = 1e-9
@@ -156,6 +158,14 @@ def thinned(x: np.ndarray, radius: float, least: int) -> np.ndarray:
 PLACED = "label string, cell string, cid long, n long, unit array<double>"
 
 
+def first_of_cells(large: DataFrame) -> DataFrame:
+    """The first SAMPLE points of each cell, numbered ``c``, in the order of a hash;
+    so the first of a cell, its centre, is first in its child too."""
+    order = Window.partitionBy("label", "cell").orderBy(F.xxhash64("cid", F.lit(7)), "cid")
+    numbered = large.withColumn("c", F.row_number().over(order)).where(F.col("c") <= SAMPLE)
+    return numbered.select("label", "cell", "wanted", "slices", "c", "unit")
+
+
 def split_cells(placed: DataFrame, radius: float) -> DataFrame:
     """``placed`` with cells of more than CHUNK points split: ``cell`` becomes
     that of the nearest centre, at ``far``; ``parent`` is the cell before."""
@@ -164,13 +174,7 @@ def split_cells(placed: DataFrame, radius: float) -> DataFrame:
     slices = F.ceil(F.col("size") / SLICE).cast("int")
     sizes = shared_checkpoint(sizes.select("label", "cell", wanted.alias("wanted"), slices.alias("slices")))
     large = placed.join(sizes, ["label", "cell"])
-    # A hash orders the points, so the first of a cell, its centre, is first in its child too.
-    order = Window.partitionBy("label", "cell").orderBy(F.xxhash64("cid", F.lit(7)), "cid")
-    sample = (
-        large.withColumn("c", F.row_number().over(order))
-        .where(F.col("c") <= SAMPLE)
-        .select("label", "cell", "wanted", "slices", "c", "unit")
-    )
+    sample = first_of_cells(large)
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.sort_values("c")["unit"].to_numpy()).astype(np.float64)

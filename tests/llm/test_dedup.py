@@ -296,3 +296,10 @@ def test_substrings_empty_table_and_stage(spark):
     rows = [(1, "start " + long, "en", "s", 9), (2, long + " end", "en", "s", 9), (3, "clean", "en", "s", 5), (4, None, "en", "s", None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in substrings.cut_repeats(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert got == {1: ("start ", 6), 2: (" end", 4), 3: ("clean", 5), 4: (None, None)}
+
+
+def test_centres_are_sought_without_sorting_whole_cells(spark):
+    large = spark.range(5000).selectExpr("string(id % 2) AS label", "string(id % 2) AS cell", "id AS cid", "2L AS wanted", "1 AS slices", "array(1.0D) AS unit")
+    first = embeddings.first_of_cells(large)
+    assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
+    assert first.count() == 2 * embeddings.SAMPLE
