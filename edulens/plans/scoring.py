@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import admission, benefits, campus, decision, evaluate
 from ..streaming import events as stream
+from ..streaming import timed
 from . import proxy as P
 from .proxy import sql
 
@@ -733,3 +734,59 @@ add(
     "ss3_with_expiry", lambda s, d: stream.with_expiry(P.decision_events(s, d)).select("event_id", "expires_at"),
     sql("SELECT event_id, occurred_at + INTERVAL 180 DAY AS expires_at FROM decisions", "decisions"),
 )
+
+CAPS = {"auth": 2, "ops": 5, "sensitive": 3}
+PATHS = ["/auth/login", "/ops/jobs", "/decision/items", "/proftest/profile", "/programs"]
+
+
+def calls(s, d):
+    """Events as requests: most of them change something on one of five paths."""
+    e = P.decision_events(s, d)
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("event_id") % 5 + 1).cast("int"))
+    return e.withColumns({"path": path, "method": F.when(F.col("event_id") % 7 == 0, "GET").otherwise("post")})
+
+
+_CALLS = f"""calls AS (SELECT owner_key, event_id, epoch_us(occurred_at) AS us, path,
+    CASE WHEN event_id % 7 = 0 OR path = '/programs' THEN NULL WHEN path = '/auth/login' THEN 'auth' WHEN path = '/ops/jobs' THEN 'ops' ELSE 'sensitive' END AS class
+    FROM (SELECT *, {PATHS}[event_id % 5 + 1] AS path FROM decisions)),
+  e AS (SELECT *, CASE class WHEN 'auth' THEN 2 WHEN 'ops' THEN 5 ELSE 3 END AS cap,
+    row_number() OVER (PARTITION BY owner_key, class, path ORDER BY us, event_id) AS n FROM calls WHERE class IS NOT NULL)"""
+add(
+    "ss7_capped_by_class",
+    lambda s, d: timed.cap_table(
+        timed.class_caps(calls(s, d), CAPS), ["owner_key", "cap_class", "path"], 864000
+    ).select("owner_key", "cap_class", "event_id", "accepted"),
+    P.recursive(
+        f"""{_CALLS}, fold(owner_key, class, path, n, event_id, kept, ok) AS (
+    SELECT DISTINCT owner_key, class, path, 0::BIGINT, NULL::BIGINT, []::BIGINT[], false FROM e
+    UNION ALL SELECT owner_key, class, path, n, event_id, CASE WHEN len(live) < cap THEN list_append(live, us) ELSE live END, len(live) < cap
+    FROM (SELECT e.*, list_filter(kept, lambda x: x > e.us - 864000000000) AS live FROM fold
+      JOIN e ON e.owner_key = fold.owner_key AND e.class = fold.class AND e.path = fold.path AND e.n = fold.n + 1))
+  SELECT owner_key, class AS cap_class, event_id, ok AS accepted FROM fold WHERE n > 0
+  UNION ALL SELECT owner_key, NULL, event_id, true FROM calls WHERE class IS NULL""",
+        "decisions",
+    ),
+)
+add(
+    "ss5_session_turns",
+    lambda s, d: timed.turns_table(
+        P.decision_events(s, d).withColumn(
+            "expected", F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 4 + 1).cast("int")
+        ), 432000
+    ),
+    P.recursive(
+        """t AS (SELECT owner_key, event_id, epoch_us(occurred_at) AS us, CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 4 + 1 AS INT) END AS expected,
+    row_number() OVER (PARTITION BY owner_key ORDER BY epoch_us(occurred_at), event_id) AS n FROM decisions),
+  fold(owner_key, n, event_id, verdict, revision, until) AS (
+    SELECT DISTINCT owner_key, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, 0, NULL::BIGINT FROM t
+    UNION ALL SELECT owner_key, n, event_id, verdict,
+      CAST(CASE verdict WHEN 'opened' THEN 1 WHEN 'no_session' THEN 0 WHEN 'applied' THEN revision + 1 ELSE revision END AS INT),
+      CASE WHEN verdict = 'opened' THEN us + 432000000000 WHEN live THEN until END
+    FROM (SELECT *, CASE WHEN NOT live AND expected IS NOT NULL THEN 'no_session' WHEN NOT live THEN 'opened'
+        WHEN expected <> revision THEN 'stale' ELSE 'applied' END AS verdict
+      FROM (SELECT t.*, fold.revision, fold.until, coalesce(t.us < fold.until, false) AS live
+        FROM fold JOIN t ON t.owner_key = fold.owner_key AND t.n = fold.n + 1)))
+  SELECT owner_key, event_id, verdict, revision FROM fold WHERE n > 0""",
+        "decisions",
+    ),
+)

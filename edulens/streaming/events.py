@@ -52,7 +52,7 @@ def _cap_step(limit: int, seconds: int):
         for t in pdf["occurred_at"]:
             at = t.timestamp()
             kept = [x for x in kept if x > at - seconds]
-            ok = len(kept) < limit
+            ok = sum(x <= at for x in kept) < limit  # what lies after a late row does not count
             if ok:
                 kept.append(at)
             accepted.append(ok)
@@ -65,7 +65,8 @@ def _cap_step(limit: int, seconds: int):
 
 def sliding_cap(stream: DataFrame, limit: int, seconds: int, delay: str = "1 day") -> DataFrame:
     """An event passes if fewer than ``limit`` accepted ones lie in the
-    ``seconds`` before it; at most ``limit`` times are kept per key, and a key's
+    ``seconds`` before it, judged at once in the order of arrival; ``timed.cap_in_order``
+    waits for the watermark and gives the verdicts of the table. At most ``limit`` times are kept per key, and a key's
     state goes once the watermark is past the window of its last event."""
     return stream.withWatermark("occurred_at", delay).groupBy("owner_key").applyInPandasWithState(
         _cap_step(limit, seconds),
