@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import evaluate, knowledge, policy, text
+from ..operators import evaluate, graph, knowledge, policy, text
 from . import proxy as P
 from .proxy import sql
 
@@ -287,6 +287,58 @@ def impacted(s, d):
 
 _IMP = f"""{_TRAV}, imp AS (SELECT node, lower(c_mktsegment) AS kind, CAST(min(depth) AS INT) AS distance, max(root % 3) AS rank, count(DISTINCT root) AS changes FROM t JOIN customer ON c_custkey = node GROUP BY 1, 2)"""
 add("pl10_impact", impacted, f"WITH {_IMP} SELECT * FROM imp")
+
+
+def ringed(s, d):
+    """Customers in tens: a ring of three, a way into it, a way past it, and ways on
+    to the next ten within fifty."""
+    k, c = F.col("c_custkey"), P.table(s, d, "customer")
+    ring = c.where("c_custkey % 10 <> 9").select(k.alias("source"), F.when(k % 10 == 4, k - 2).otherwise(k + 1).alias("target"))
+    return ring.unionByName(c.where("c_custkey % 50 < 40").select(k.alias("source"), (k + 10).alias("target")))
+
+
+_RING = """e AS (SELECT c_custkey AS a, CASE WHEN c_custkey % 10 = 4 THEN c_custkey - 2 ELSE c_custkey + 1 END AS b FROM customer WHERE c_custkey % 10 <> 9
+    UNION ALL SELECT c_custkey, c_custkey + 10 FROM customer WHERE c_custkey % 50 < 40),
+  r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+  scc AS (SELECT x.a AS node, least(min(y.a), x.a) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"""
+add("pl9_components", lambda s, d: graph.strong_components(ringed(s, d)), f"WITH RECURSIVE {_RING} SELECT node, component FROM scc")
+add(
+    "pl9_cyclic_edges", lambda s, d: graph.cyclic_edges(ringed(s, d)),
+    f"""WITH RECURSIVE {_RING} SELECT e.a AS source, e.b AS target, coalesce(x.component = y.component, false) AS cyclic
+  FROM e LEFT JOIN scc x ON x.node = e.a LEFT JOIN scc y ON y.node = e.b""",
+)
+
+
+def ways(s, d):
+    k = F.col("c_custkey")
+    out = P.table(s, d, "customer").select(k.alias("source"), F.posexplode(F.array(k * 2 + 1, k * 2 + 2, k + 7)).alias("n", "target"))
+    return out.select((F.col("source") * 3 + F.col("n")).alias("edge_id"), "source", "target")
+
+
+def previews(s, d):
+    k = F.col("c_custkey")
+    return P.table(s, d, "customer").select((k % 20).alias("request"), k.alias("root"), (k % 3).alias("rank"))
+
+
+_WAYS = """e AS (SELECT c_custkey AS source, c_custkey * 3 + n AS edge_id, CASE n WHEN 0 THEN c_custkey * 2 + 1 WHEN 1 THEN c_custkey * 2 + 2 ELSE c_custkey + 7 END AS target
+    FROM customer, (VALUES (0), (1), (2)) v(n)),
+  x(request, root, node, path, rank, depth) AS (SELECT c_custkey % 20, c_custkey, c_custkey, []::BIGINT[], c_custkey % 3, 0 FROM customer
+    UNION ALL SELECT request, root, target, list_append(path, edge_id), rank, depth + 1 FROM x JOIN e ON e.source = x.node WHERE depth < 4),
+  best AS (SELECT *, max(rank) OVER (PARTITION BY request, node) AS top, row_number() OVER (PARTITION BY request, node ORDER BY depth, root, path) AS i FROM x WHERE depth > 0),
+  imp AS (SELECT request, node, CAST(depth AS INT) AS distance, root, path, top AS rank, depth = 4 AND node IN (SELECT c_custkey FROM customer) AS leads_on,
+    row_number() OVER (PARTITION BY request ORDER BY depth, node) <= 1000 AS kept FROM best WHERE i = 1)"""
+add(
+    "pl10_impact_paths",
+    lambda s, d: graph.impact_paths(previews(s, d), ways(s, d), 4).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/")),
+    f"WITH RECURSIVE {_WAYS} SELECT * REPLACE (array_to_string(path, '/') AS path) FROM imp",
+)
+add(
+    "pl10_impact_summary",
+    lambda s, d: graph.impact_summary(graph.impact_paths(previews(s, d), ways(s, d), 4), ways(s, d)),
+    f"""WITH RECURSIVE {_WAYS} SELECT request, count(*) FILTER (WHERE kept) AS objects, 0::BIGINT AS cycles, bool_or(leads_on OR NOT kept) AS truncated,
+  CASE WHEN bool_or(leads_on OR NOT kept) THEN 'partial' ELSE 'complete' END AS status,
+  CASE WHEN NOT bool_or(leads_on OR NOT kept) THEN max(rank) END AS rank FROM imp GROUP BY request""",
+)
 _KINDS = [("building", "metrics"), ("building", "fit"), ("machinery", "fit"), ("household", "search")]
 add(
     "snk12_dirty_targets", lambda s, d: policy.dirty_targets(
