@@ -625,3 +625,72 @@ add(
         "offerings"
     ),
 )
+
+
+def captured(s, d, records, field):
+    """JSON documents of five events each; some are cut off, some hold another list."""
+    doc = F.floor(F.col("event_id") / 5)
+    rows = P.table(s, d, "events").select(doc.alias("doc"), "event_id", records.alias("r"))
+    lists = rows.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "r"))), lambda x: x["r"]).alias(field))
+    body = F.to_json(F.struct(field))
+    body = F.when(F.col("doc") % 17 == 0, F.expr(f"left(to_json(struct({field})), length(to_json(struct({field}))) - 1)")).when(
+        F.col("doc") % 19 == 0, "{}"
+    ).otherwise(body)
+    return lists.select(F.col("doc").cast("string").alias("document"), body.alias("body"))
+
+
+def told(good, refused, *extra):
+    columns = ["document", "external_key", *extra]
+    nothing = [F.lit(None).cast(good.schema[c].dataType).alias(c) for c in extra]
+    return good.select(*columns, F.lit("accepted").alias("outcome")).unionByName(
+        refused.select("document", "external_key", *nothing, F.col("reason").alias("outcome"))
+    )
+
+
+def event_records():
+    k, at = F.col("event_id"), F.col("ts").cast("timestamp")
+    text = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.when(k % 13 == 0, "").otherwise("Z")
+    kind = F.element_at(F.array(*map(F.lit, [*readers.EVENT_KINDS, "party"])), (k % 7 + 1).cast("int"))
+    ends = F.when(k % 5 < 4, F.concat(text(at + F.make_interval(hours=(k % 5 - 1).cast("int"))), F.lit("Z")))
+    return F.struct(
+        F.when(k % 11 > 0, k.cast("string")).alias("external_key"), F.lit("T").alias("title"), kind.alias("kind"),
+        F.concat(text(at), zone).alias("starts_at"), ends.alias("ends_at"),
+    )
+
+
+def src3(s, d):
+    good, refused = readers.parse_events(captured(s, d, event_records(), "events"))
+    return told(good.withColumn("starts", F.unix_seconds("starts")), refused, "starts")
+
+
+_DOCS = """rec AS (SELECT event_id AS k, event_id // 5 AS doc, ts FROM events),
+  broken AS (SELECT DISTINCT CAST(doc AS VARCHAR) AS document, CASE WHEN doc % 17 = 0 THEN 'malformed_document' ELSE 'no_records' END AS outcome FROM rec WHERE doc % 17 = 0 OR doc % 19 = 0),
+  fine AS (SELECT *, CAST(doc AS VARCHAR) AS document, CASE WHEN k % 11 > 0 THEN CAST(k AS VARCHAR) END AS external_key FROM rec WHERE doc % 17 > 0 AND doc % 19 > 0)"""
+add(
+    "src3_parse_events", src3,
+    f"""WITH {_DOCS}, o AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'missing_identity' WHEN k % 7 = 6 THEN 'unknown_kind' WHEN k % 13 = 0 THEN 'bad_start'
+    WHEN k % 5 < 2 THEN 'ends_before_start' ELSE 'accepted' END AS outcome FROM fine)
+  SELECT document, external_key, CASE WHEN outcome = 'accepted' THEN CAST(floor(epoch(ts)) AS BIGINT) END AS starts, outcome FROM o
+  UNION ALL SELECT document, NULL, NULL, outcome FROM broken""",
+)
+
+
+def src4(s, d):
+    k = F.col("event_id")
+    point = F.struct(
+        F.when(k % 11 > 0, k.cast("string")).alias("external_key"), (k % 200 - 100).cast("string").alias("latitude"),
+        F.when(k % 3 > 0, (k % 180).cast("string")).alias("longitude"),
+    )
+    good, refused = readers.parse_points(captured(s, d, point, "points"))
+    return told(good.withColumns({c: F.col(c).cast("double") for c in ("latitude", "longitude")}), refused, "latitude", "longitude")
+
+
+add(
+    "src4_parse_points", src4,
+    f"""WITH {_DOCS}, o AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'missing_identity' WHEN k % 3 = 0 THEN 'one_coordinate'
+    WHEN k % 200 - 100 NOT BETWEEN -90 AND 90 THEN 'bad_coordinate' ELSE 'accepted' END AS outcome FROM fine)
+  SELECT document, external_key, CASE WHEN outcome = 'accepted' THEN CAST(k % 200 - 100 AS DOUBLE) END AS latitude,
+    CASE WHEN outcome = 'accepted' THEN CAST(k % 180 AS DOUBLE) END AS longitude, outcome FROM o
+  UNION ALL SELECT document, NULL, NULL, NULL, outcome FROM broken""",
+)

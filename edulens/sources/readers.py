@@ -24,33 +24,75 @@ EVENT_KINDS = ("additional_education", "open_day", "lecture", "competition", "ca
 DROPPED = {"script", "style", "noscript", "svg", "nav", "footer"}
 
 
-def read_events_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Events of JSON documents, typed, and the rows that are refused: no key,
-    title or zoned start, an unknown kind, or an end not after the start."""
-    rows = spark.read.schema(EVENTS).json(path, multiLine=True).select(F.inline("events"))
+def documents_of(spark: SparkSession, path: str) -> DataFrame:
+    """``(document, body)`` of whole files."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.input_file_name().alias("document"), F.col("value").alias("body"))
+
+
+def unpacked(documents: DataFrame, schema: str, field: str) -> tuple[DataFrame, DataFrame]:
+    """Records of JSON ``documents(document, body)``, and ``(document, reason)`` of
+    those that give none to read: not JSON of that shape (also null and empty),
+    or without the field. A document with an empty list is in neither."""
+    parsed = F.from_json("body", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    marked = documents.select("document", "body", parsed.alias("p")).withColumn(
+        "reason",
+        F.when(F.col("p").isNull() | F.col("p._broken").isNotNull() | (F.trim("body") == ""), "malformed_document")
+        .when(F.col(f"p.{field}").isNull(), "no_records"),
+    )
+    return (
+        marked.where("reason is null").select("document", F.inline(f"p.{field}")),
+        marked.where("reason is not null").select("document", "reason"),
+    )
+
+
+def parted(marked: DataFrame, broken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted records, and refused ones with the documents that gave none."""
+    good = marked.where("reason is null").drop("reason")
+    return good, marked.where("reason is not null").unionByName(broken, allowMissingColumns=True)
+
+
+def parse_events(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of JSON documents, typed, and what is refused with its reason: no
+    key, title or zoned start, an unknown kind, an end not after the start, or
+    a document that is malformed or has no list of events."""
+    rows, broken = unpacked(documents, EVENTS, "events")
     zoned = F.col("starts_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     typed = rows.withColumn(
         "starts", F.when(zoned, F.col("starts_at").try_cast("timestamp"))
     ).withColumn("ends", F.col("ends_at").try_cast("timestamp"))
     why = (
         F.when(F.col("external_key").isNull() | F.col("title").isNull(), "missing_identity")
-        .when(~F.col("kind").isin(*EVENT_KINDS), "unknown_kind")
+        .when(~F.coalesce(F.col("kind").isin(*EVENT_KINDS), F.lit(False)), "unknown_kind")
         .when(F.col("starts").isNull(), "bad_start")
         .when(F.col("ends") <= F.col("starts"), "ends_before_start")
     )
-    marked = typed.withColumn("reason", why)
-    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+    return parted(typed.withColumn("reason", why), broken)
 
 
-def read_points_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Campus points with both coordinates or neither, and the refused rows."""
-    rows = spark.read.schema(POINTS).json(path, multiLine=True).select(F.inline("points"))
-    typed = rows.withColumns({c: F.col(c).try_cast("decimal(9,6)") for c in ("latitude", "longitude")})
-    why = F.when(F.col("external_key").isNull(), "missing_identity").when(
-        F.col("latitude").isNull() != F.col("longitude").isNull(), "one_coordinate"
+def parse_points(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Campus points with both coordinates or neither, within their bounds, and
+    what is refused with its reason."""
+    rows, broken = unpacked(documents, POINTS, "points")
+    typed = rows.withColumns({f"_{c}": F.col(c).try_cast("decimal(9,6)") for c in ("latitude", "longitude")})
+    wrong = [F.col(c).isNotNull() & F.coalesce(~F.col(f"_{c}").between(-top, top), F.lit(True)) for c, top in (("latitude", 90), ("longitude", 180))]
+    why = (
+        F.when(F.col("external_key").isNull(), "missing_identity")
+        .when(F.col("latitude").isNull() != F.col("longitude").isNull(), "one_coordinate")
+        .when(wrong[0] | wrong[1], "bad_coordinate")
     )
-    marked = typed.withColumn("reason", why)
-    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+    typed = typed.withColumn("reason", why).withColumns({c: F.col(f"_{c}") for c in ("latitude", "longitude")})
+    return parted(typed.drop("_latitude", "_longitude"), broken)
+
+
+def read_events_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``parse_events`` of files."""
+    return parse_events(documents_of(spark, path))
+
+
+def read_points_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``parse_points`` of files."""
+    return parse_points(documents_of(spark, path))
 
 
 class _Text(HTMLParser):

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
+
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], immutable: list[str] = ()) -> DataFrame:
     """Target after the source's rows, each with its ``change``: inserted,
@@ -133,3 +135,43 @@ def write_version(df: DataFrame, root: str, version: str, partition_by: list[str
     path = f"{root}/version={version}"
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     return path
+
+
+def bucket_of(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """A new table in folders by the hash of ``key``, for ``replace_in_buckets``."""
+    laid = df.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket")
+    laid.write.mode("errorifexists").partitionBy("bucket").parquet(path)
+
+
+def replace_in_buckets(path: str, fresh: DataFrame, key: str, buckets: int, affected: DataFrame | None = None) -> int:
+    """Replace all rows of the keys in ``affected`` (those of ``fresh``, if not
+    given) by the rows of ``fresh``; returns how many buckets were written.
+
+    Only buckets with such a key are read and written, by a dynamic partition
+    overwrite; the files of others stay as they are. What is written is settled
+    before, so the table is never read while it is overwritten. A null key is a
+    key. Rows of ``fresh`` for keys that are not affected are an error.
+    """
+    spark = fresh.sparkSession
+    names = spark.read.parquet(path).drop("bucket").columns
+    keys = settle((fresh if affected is None else affected).select(key).distinct())
+    if affected is not None:
+        stray = fresh.join(keys.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+        if not stray.isEmpty():
+            raise ValueError("fresh rows of keys that are not affected")
+    touched = sorted(r[0] for r in keys.select(bucket_of(key, buckets)).distinct().collect())  # at most ``buckets``
+    if not touched:
+        return 0
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    kept = old.join(keys.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+    rows = settle(kept.select(*names).unionByName(fresh.select(*names)).withColumn("bucket", bucket_of(key, buckets)))
+    left = {r[0] for r in rows.select("bucket").distinct().collect()}
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for bucket in set(touched) - left:  # no row is left, so nothing overwrote it
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(touched)
