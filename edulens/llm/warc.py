@@ -1,6 +1,6 @@
 """WARC records and a Merkle fixity audit of replicas.
 
-Pages become WARC response records; records are laid out by offset in archives
+Pages become WARC resource records; records are laid out by offset in archives
 of bounded size. Each archive is a tree: leaves hash records, nodes hash the
 ordered digests and offset ranges of FAN children. Two replicas are compared
 by their roots, and only below nodes that differ is the next level joined, so
@@ -14,8 +14,11 @@ follows from the archive size, not from the data.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +28,17 @@ ARCHIVE_RECORDS = 4096
 FAN = 16
 
 
-def record_bytes(page_id: Column, url: Column, body: Column) -> Column:
+#: Pages have no time of capture, so records carry this one unless told another.
+NO_DATE = "1970-01-01T00:00:00Z"
+
+
+def record_bytes(page_id: Column, url: Column, body: Column, date: str = NO_DATE) -> Column:
     """The whole WARC record of one page, as text in UTF-8; nulls are empty."""
     text = F.coalesce(body, F.lit(""))
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"),
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"),
         F.coalesce(page_id.cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "),
+        F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
         F.coalesce(url, F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
         F.octet_length(text).cast("string"),
@@ -91,7 +98,9 @@ def audit(
     ``source`` is a manifest and ``replica`` has ``(archive, offset, length,
     digest)`` as read back at the manifest's offsets; a record that could not
     be read is not in it. Status is ``corrupt``, ``missing`` or ``extra``
-    (nothing is recorded at that offset). Intact replicas give no rows.
+    (nothing is recorded at that offset). Intact replicas give no rows. A null
+    digest of the replica counts as not read; an empty replica lacks every
+    record; an empty source has only extra ones.
     """
     run = Window.partitionBy("archive").orderBy("offset")
     known = source.withColumn("node", F.row_number().over(run).cast("long") - 1)
@@ -125,7 +134,8 @@ def audit(
 
 def damaged_copy(records: DataFrame, laid: DataFrame) -> DataFrame:
     """A replica of ``records`` with known damage, for the registered query: by
-    the last digits of its digest a record is lost or has its last byte cut."""
+    the last digits of its digest a record is lost or has its last byte cut. Null
+    records have no place in ``laid`` and none here; no records, no replica."""
     tail = F.substring("digest", 63, 2)
     cut = F.expr("substring(record, 1, length(record) - 1)")
     raw = records.withColumn("digest", F.sha2("record", 256)).where(tail != "01")
@@ -139,6 +149,55 @@ def damaged_copy(records: DataFrame, laid: DataFrame) -> DataFrame:
     return read.join(where, "of").select("archive", "offset", "length", "digest")
 
 
+def write_archives(records: DataFrame, laid: DataFrame, path: str) -> None:
+    """Write the archives of a manifest as files, ``archive=N`` each in one file of
+    records in order of offset. The text writer ends every row with the line end
+    that is taken off the record, so the file is the records and nothing else.
+    Copies of a record are written once."""
+    own = records.select(F.sha2("record", 256).alias("digest"), "record").dropDuplicates(["digest"])
+    rows = laid.select("archive", "offset", "digest").join(own, "digest")
+    rows = rows.repartition("archive").sortWithinPartitions("archive", "offset")
+    rows = rows.select(F.expr("substring(record, 1, length(record) - 2)").alias("value"), "archive")
+    rows.write.mode("errorifexists").option("lineSep", "\r\n").partitionBy("archive").text(path)
+
+
+HEAD = re.compile(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*\r\n")
+LENGTH = re.compile(rb"^Content-Length:[ \t]*([0-9]+)[ \t]*\r$", re.I | re.M)
+
+
+def records_of(data: bytes):
+    """``(offset, length)`` of the records of an archive file. What is no record,
+    or is cut off, goes up to the next record's head or the end as one piece."""
+    at = 0
+    while at < len(data):
+        head = HEAD.match(data, at)
+        size = LENGTH.search(head[0]) if head else None
+        end = head.end() + int(size[1]) + 4 if size else 0
+        if not size or data[end - 4 : end] != b"\r\n\r\n":
+            after = data.find(b"\r\n\r\nWARC/1.", at + 1)
+            end = after + 4 if after >= 0 else len(data)
+        yield at, end - at
+        at = end
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``(archive, offset, length, digest)`` of the records of archive files as
+    ``write_archives`` lays them, a replica for ``audit``. An archive file is
+    read by one task; ARCHIVE_RECORDS bounds it."""
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b.column("path"), b.column("content")):
+                archive, data = int(re.search(r"archive=([0-9]+)", name.as_py())[1]), data.as_py()
+                found = [(archive, at, n, hashlib.sha256(data[at : at + n]).hexdigest()) for at, n in records_of(data)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+                if found:
+                    yield pa.RecordBatch.from_arrays(columns, ["archive", "offset", "length", "digest"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    return files.select("path", "content").mapInArrow(run, "archive long, offset long, length long, digest string")
+
+
 def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct page record with its place and what the audit says of a
     damaged copy of the archives."""
@@ -153,9 +212,9 @@ def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = f"""
 WITH r AS (
-  SELECT page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10),
+  SELECT page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10),
     'WARC-Record-ID: <urn:page:', coalesce(CAST(page_id AS VARCHAR), ''), '>', chr(13), chr(10),
-    'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+    'WARC-Date: {NO_DATE}', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
     'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR), chr(13), chr(10), chr(13), chr(10),
     coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS record FROM pages),
 u AS (
