@@ -39,6 +39,7 @@ HELD_EDGES = 1_000_000
 SIMILARITY = 0.8
 #: Bounds of a block of a family whose parts are compared.
 FAMILY_ROWS, FAMILY_BYTES = 1024, 16_000_000
+COLUMNS = 4096  # shingles in a matrix at once
 
 
 @dataclass(frozen=True)
@@ -293,30 +294,47 @@ def verified_pairs(row: np.ndarray, label: np.ndarray, side: np.ndarray, fp: np.
     alone), each confirmed on the sets. Parts that are joined are not compared
     again; every other pair within ``radius`` bits of different parts is."""
     size = np.array([len(s) for s in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if size.sum() else np.zeros(0, np.int64)
-    end = np.cumsum(size)
-    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
+    one = not side.any()
+    first = np.nonzero(side == 0)[0]
+    second = first if one else np.nonzero(side == 1)[0]
+    both = in_common(sets, first, second)
     part = np.unique(label, return_inverse=True)[1]
     found = []
-    one = not side.any()
-    for x in np.nonzero(side == 0)[0]:
-        other = np.arange(x + 1, len(row)) if one else np.nonzero(side == 1)[0]
-        other = other[part[other] != part[x]]
-        other = other[np.minimum(size[other], size[x]) >= SIMILARITY * np.maximum(size[other], size[x])]
+    for i, x in enumerate(first):
+        near = np.minimum(size[second], size[x]) >= SIMILARITY * np.maximum(size[second], size[x])
+        near &= (part[second] != part[x]) & (both[i] >= SIMILARITY * (size[x] + size[second] - both[i]))
+        other = second[near]
+        if one:
+            other = other[other > x]
         other = other[np.bitwise_count(fp[other] ^ fp[x]).sum(axis=1, dtype=np.int64) <= radius]
-        if not len(other):
-            continue
-        own = ids[end[x] - size[x] : end[x]]
-        mark[own] = 1
-        both = np.array([mark[ids[end[y] - size[y] : end[y]]].sum() for y in other])
-        mark[own] = 0
-        for y in other[both >= SIMILARITY * (size[x] + size[other] - both)]:
+        for y in other:
             if part[y] != part[x]:
                 found.append((row[x], row[y]))
                 part[part == part[y]] = part[x]
     return found
 
 
+def in_common(sets: list, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many shingles each of the sets ``first`` has in common with each of
+    ``second``: products of 0-1 matrices over the shingles that two sets have."""
+    out = np.zeros((len(first), len(second)), np.float32)
+    every = np.concatenate(sets)
+    if not len(every):
+        return out
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    kept = times[column] > 1
+    row, column = row[kept], (np.cumsum(times > 1) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[a:b], column[a:b] - at] = 1
+        out += held[first] @ held[second].T
+    return out
+
+
 def family_links(links: DataFrame, held: DataFrame, own: DataFrame, uniq: DataFrame, near: Nearness) -> DataFrame:
     """Further edges, so that nothing is lost where links of a forest failed.
 
