@@ -34,7 +34,9 @@ MIN_COUNT = 30
 TOP = 2000
 SCORE_SCALE = 2_000_000
 COVER_PERCENT = 80
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
+#: Shards that share a list of words; what they emit is added up first.
+TOGETHER = 4
 BLOCK_BYTES = 1 << 20
 #: A word id is the shard's number and the word's place in it.
 PLACE_BITS, SEQUENCE_BITS = 25, 13
@@ -46,9 +48,9 @@ CLASS[list(b".,;:!?\n\x0b\x0c\r")] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-SHARDS = "shard long, tokens binary, words binary"
+SHARDS = "shard long, tokens array<binary>, words binary"
 LISTED = "shard long, at long, lang string, word string, n long"
-KEPT = "shard long, tokens binary, ids binary"
+KEPT = "shard long, tokens array<binary>, ids binary"
 
 
 def cut_words(raw: np.ndarray) -> tuple[pa.Array, np.ndarray, bool]:
@@ -114,26 +116,33 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (t >> 2).astype(np.int64), (t & 1).astype(bool), (t >> 1 & 1).astype(bool)
 
 
-def shard_row(held: dict[str, list], number: int) -> pa.RecordBatch:
-    """One shard from lists of (words, follows, seen) by language."""
-    tokens, words, base = [], [], 0
-    for lang in sorted(held):
-        parts, follows, seen = zip(*held[lang])
-        coded = pa.concat_arrays(parts).dictionary_encode()
-        at, seen = coded.indices.to_numpy(), np.concatenate(seen)
-        own = coded.dictionary.cast(pa.string())
-        n = np.bincount(at[~seen], minlength=len(own))
+def shards_row(shards: list[dict[str, list]], number: int) -> pa.RecordBatch:
+    """Shards with one list of words, each from lists of (words, follows, seen) by
+    language."""
+    tokens: list[list] = [[] for _ in shards]
+    words, base = [], 0
+    for lang in sorted(set().union(*shards)):
+        parts = [[x for x in held.get(lang, ())] for held in shards]
+        coded = pa.concat_arrays([x[0] for p in parts for x in p]).dictionary_encode()
+        at, own, done = coded.indices.to_numpy(), coded.dictionary.cast(pa.string()), 0
+        n = np.zeros(len(own), np.int64)
+        for k, p in enumerate(parts):
+            if p:
+                follows, seen = (np.concatenate([x[c] for x in p]) for c in (1, 2))
+                mine = at[done : done + len(seen)]
+                n += np.bincount(mine[~seen], minlength=len(own))
+                tokens[k].append((mine + base, follows, seen))
+                done += len(seen)
         words.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array(n)], ["lang", "word", "n"]))
-        tokens.append((at + base, np.concatenate(follows), seen))
         base += len(own)
     if base >> PLACE_BITS:
         raise ValueError("too many distinct words in a shard")
-    data = pack(*(np.concatenate(x) for x in zip(*tokens)))
+    data = [pack(*(np.concatenate(x) for x in zip(*t))) for t in tokens]
     listed = pa.BufferOutputStream()
     with pa.ipc.new_stream(listed, words[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         for w in words:
             out.write_batch(w)
-    columns = [pa.array([number]), pa.array([data], pa.binary()), pa.array([listed.getvalue().to_pybytes()], pa.binary())]
+    columns = [pa.array([number]), pa.array([data], pa.list_(pa.binary())), pa.array([listed.getvalue().to_pybytes()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["shard", "tokens", "words"])
 
 
@@ -151,8 +160,10 @@ def list_words(batches):
 
 
 def make_shards(batches, partition: int, shard_words: int, block_bytes: int, depth: int = DEPTH):
-    """Shards of at least ``shard_words`` words (the last: any number)."""
+    """Shards of at least ``shard_words`` words (the last: any number), in rows of
+    TOGETHER shards."""
     held: dict[str, list] = {}
+    full: list[dict] = []
     size = made = 0
     tail, tail_follows, open_, cut = None, None, False, False
     for lang, raw, more in blocks(batches, block_bytes):
@@ -180,12 +191,17 @@ def make_shards(batches, partition: int, shard_words: int, block_bytes: int, dep
         tail, tail_follows = new_tail[keep:], new_follows[keep:]
         open_ = not after and (len(words) > 0 or open_)
         if size >= shard_words:
-            yield shard_row(held, partition << SEQUENCE_BITS | made)
-            made, held, size, cut = made + 1, {}, 0, True
+            full.append(held)
+            held, size, cut = {}, 0, True
+        if len(full) == TOGETHER:
+            yield shards_row(full, partition << SEQUENCE_BITS | made)
+            made, full = made + 1, []
             if made >> SEQUENCE_BITS:
                 raise ValueError("too many shards in a partition")
     if held:
-        yield shard_row(held, partition << SEQUENCE_BITS | made)
+        full.append(held)
+    if full:
+        yield shards_row(full, partition << SEQUENCE_BITS | made)
 
 
 def with_breaks(ids: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,20 +299,40 @@ def keep_frequent(batches):
     order of their ids. A word alone in its piece goes."""
     for b in batches:
         for shard, tokens, frequent in zip(*b.columns):
-            at, follows, seen = unpack(tokens.as_py())
             place, ids = (frequent.values.field(k).to_numpy() for k in (0, 1))
             order = np.argsort(ids)
-            new = np.zeros(int(at.max()) + 1, np.int64)
+            new = np.zeros(int(place.max()) + 1, np.int64)
             new[place[order]] = np.arange(1, len(ids) + 1)
-            word = new[at]
-            kept = word > 0
-            joined = follows & kept & np.concatenate([[False], kept[:-1]])
-            kept &= joined | np.concatenate([joined[1:], [False]])
-            data = pack(word[kept], joined[kept], seen[kept])
-            columns = [pa.array([shard.as_py()]), pa.array([data], pa.binary()), pa.array([ids[order].astype("<i8").tobytes()], pa.binary())]
+            data = []
+            for part in tokens.as_py():
+                at, follows, seen = unpack(part)
+                word = np.where(at < len(new), new[np.minimum(at, len(new) - 1)], 0)
+                kept = word > 0
+                joined = follows & kept & np.concatenate([[False], kept[:-1]])
+                kept &= joined | np.concatenate([joined[1:], [False]])
+                data.append(pack(word[kept], joined[kept], seen[kept]))
+            columns = [pa.array([shard.as_py()]), pa.array([data], pa.list_(pa.binary())), pa.array([ids[order].astype("<i8").tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "tokens", "ids"])
 
 
+def added_up(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of keys and a last one of counts, a row per key with its sum."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.lexsort(columns[-2::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)
+    start = np.flatnonzero(new)
+    return [*(c[start] for c in columns[:-1]), np.add.reduceat(columns[-1], start) if len(start) else columns[-1]]
+
+
+def indexed(word: np.ndarray, follows: np.ndarray, seen: np.ndarray, depth: int) -> FMIndex:
+    text, place = with_breaks(word, follows)
+    mark = np.zeros(len(text), bool)
+    mark[place] = seen
+    return FMIndex(text, depth, mark)
+
+
 def emitted(columns: dict[str, np.ndarray], at_once: int = 100_000):
     whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
     for at in range(0, whole.num_rows, at_once):
@@ -304,44 +340,50 @@ def emitted(columns: dict[str, np.ndarray], at_once: int = 100_000):
 
 
 def count_pairs(batches):
-    """``(shard, a, b, n)`` of the pairs of words of each shard, those counted
-    elsewhere with 0: longer phrases run through them."""
+    """``(shard, a, b, n)`` of the pairs of words of each row of shards, those
+    counted elsewhere with 0: longer phrases run through them."""
     for b in batches:
         for shard, tokens, ids in zip(*b.columns):
-            word, follows, seen = unpack(tokens.as_py())
-            if not len(word):
-                continue
-            text, place = with_breaks(word, follows)
-            mark = np.zeros(len(text), bool)
-            mark[place] = seen
-            ids = np.frombuffer(ids.as_py(), "<i8")
-            for rows, n in phrases(FMIndex(text, 2, mark), 2):
-                number = np.full(len(n), shard.as_py())
-                yield from emitted({"shard": number, "a": ids[rows[:, 0] - 1], "b": ids[rows[:, 1] - 1], "n": n})
+            found = None
+            for part in tokens.as_py():
+                word, follows, seen = unpack(part)
+                if len(word):
+                    rows, n = next(phrases(indexed(word, follows, seen, 2), 2))
+                    own = [rows[:, 0], rows[:, 1], n]
+                    found = own if found is None else added_up([found, own])
+            if found is not None:
+                ids_ = np.frombuffer(ids.as_py(), "<i8")
+                number = np.full(len(found[0]), shard.as_py())
+                yield from emitted({"shard": number, "a": ids_[found[0] - 1], "b": ids_[found[1] - 1], "n": found[2]})
 
 
 def longer_phrases(batches, depth: int):
     """``(w0, w1, ..., n)`` of the phrases of three words or more that run along
-    frequent pairs, from ``(tokens, ids, pairs)`` of shards; words beyond a
-    phrase's end are -1."""
+    frequent pairs, from ``(tokens, ids, pairs)`` of rows of shards; words beyond
+    a phrase's end are -1."""
     for b in batches:
         for tokens, ids, pairs in zip(*b.columns):
-            word, follows, seen = unpack(tokens.as_py())
-            ids = np.frombuffer(ids.as_py(), "<i8")
-            first, second = (np.searchsorted(ids, pairs.values.field(k).to_numpy()) + 1 for k in (0, 1))
-            known = np.sort(first * (len(ids) + 1) + second)
-            key = np.concatenate([[0], word[:-1]]) * (len(ids) + 1) + word
-            found = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            joined = follows & (known[found] == key)
-            kept = joined | np.concatenate([joined[1:], [False]])
-            text, place = with_breaks(word[kept], joined[kept])
-            mark = np.zeros(len(text), bool)
-            mark[place] = seen[kept]
-            for rows, n in phrases(FMIndex(text, depth, mark), depth):
-                if rows.shape[1] > 2:
-                    rows, n = rows[n > 0], n[n > 0]
-                    out = {f"w{k}": ids[rows[:, k] - 1] if k < rows.shape[1] else np.full(len(n), -1) for k in range(depth)}
-                    yield from emitted(out | {"n": n})
+            ids = np.append(np.frombuffer(ids.as_py(), "<i8"), -1)
+            size = len(ids)
+            first, second = (np.searchsorted(ids[:-1], pairs.values.field(k).to_numpy()) + 1 for k in (0, 1))
+            known = np.sort(first * size + second)
+            found = None
+            for part in tokens.as_py():
+                word, follows, seen = unpack(part)
+                key = np.concatenate([[0], word[:-1]]) * size + word
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                joined = follows & (known[at] == key)
+                kept = joined | np.concatenate([joined[1:], [False]])
+                if not kept.any():
+                    continue
+                for rows, n in phrases(indexed(word[kept], joined[kept], seen[kept], depth), depth):
+                    if rows.shape[1] > 2:
+                        rows, n = rows[n > 0], n[n > 0]
+                        blank = np.zeros(len(n), np.int64)
+                        own = [rows[:, k] if k < rows.shape[1] else blank for k in range(depth)] + [n]
+                        found = own if found is None else added_up([found, own])
+            if found is not None:
+                yield from emitted({f"w{k}": ids[c - 1] for k, c in enumerate(found[:-1])} | {"n": found[-1]})
 
 
 def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, min_count: int, depth: int, shard_words: int):

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from edulens.llm import packing, pieces, secrets, simhash, substrings
+from edulens.llm import language, packing, pieces, quality_model, rules, secrets, simhash, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -66,3 +66,27 @@ def test_substrings_and_secrets(docs, texts):
     doubled = docs.unionByName(docs)
     assert all(r.n_removed == r.n_bytes and r.n_spans == (r.n_bytes > 0) for r in substrings.remove_repeats(doubled).collect())
     assert all(r.spans == "" for r in secrets.scan_secrets(docs).collect())
+
+
+def test_rules_and_models(spark, docs, texts):
+    labelled = [(10 + k, f"{'fine prose of words' if k % 2 else 'x $$ ## x'} {k} " * 30, "en" if k % 2 else "de", "s", 0) for k in range(40)]
+    every = docs.unionByName(spark.createDataFrame(labelled, DOCS))
+    doubled = spark.createDataFrame([(7, f"{texts[0]}\n{texts[0]}", None, None, None)], DOCS)
+    got = {r.doc_id: r for r in rules.quality_rules(docs.unionByName(doubled)).collect()}
+    n = len(texts[0].split(" "))
+    assert (got[0].n_words, got[1].n_words, got[2].n_words) == (n, 1, 0)
+    assert got[7].n_words == got[7].n_repeat_words == 2 * n and got[7].n_dup_lines == 1 and got[7].base_failed
+    assert [r.doc_id for r in rules.drop_rejected(spark, docs, "").select("doc_id").collect()] == [0]
+    labels = spark.createDataFrame([(10 + k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    scored = {r.doc_id: r.score for r in quality_model.classify(every, quality_model.train(every, labels)).collect()}
+    assert len(scored) == every.count() and all(0 <= x <= 1 for x in scored.values())
+    told = {r.doc_id: r.lang_pred for r in language.identify(every, language.train(every)).collect()}
+    assert told[2] == "und" and {told[0], told[1]} <= {"en", "de"}
+
+
+def test_stages_of_the_pipeline(spark, docs, texts):
+    near = spark.createDataFrame([(5, texts[0] + " and one more word", None, None, None)], DOCS)
+    kept = simhash.drop_near_duplicates(spark, docs.unionByName(near), "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, 1, 2]
+    packed = packing.pack_stage(spark, docs.withColumnRenamed("n_chars", "piece"), "")
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == {0, 1, 2}

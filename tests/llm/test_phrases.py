@@ -77,13 +77,11 @@ def test_one_text_over_many_shards_counts_each_phrase_once():
         listed = next(phrases.list_words([row.select(["shard", "words"])]))
         own = listed.column("word").to_pylist()
         words.update(dict(zip(own, listed.column("n").to_pylist())))
-        at, follows, seen = phrases.unpack(row.column("tokens")[0].as_py())
-        t, place = phrases.with_breaks(at + 1, follows)
-        mark = np.zeros(len(t), bool)
-        mark[place] = seen
-        for found, n in phrases.phrases(phrases.FMIndex(t, 4, mark), 4):
-            for r, c in zip(found.tolist(), n.tolist()):
-                got[tuple(own[x - 1] for x in r)] += c
+        for part in row.column("tokens")[0].as_py():
+            at, follows, seen = phrases.unpack(part)
+            for found, n in phrases.phrases(phrases.indexed(at + 1, follows, seen, 4), 4):
+                for r, c in zip(found.tolist(), n.tolist()):
+                    got[tuple(own[x - 1] for x in r)] += c
     want, want_words = Counter(), Counter()
     for piece in [*text.split("."), "z z"]:
         ws = piece.split()
