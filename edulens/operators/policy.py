@@ -11,6 +11,7 @@ from ..functions.lineage import settle
 from ..functions.scalars import in_interval
 
 RELATIONS = ("overrides", "supersedes", "amends", "exception")
+LEAVES, INNER = ("equals", "in", "exists"), ("all", "any")
 SCOPE_RANK = {"federal": 0, "university": 1, "direction": 2, "program": 3}
 
 
@@ -105,6 +106,84 @@ def match_scope(rules: DataFrame, context: DataFrame) -> DataFrame:
     )
 
 
+def check_kinds(nodes: DataFrame) -> None:
+    other = nodes.where(~F.coalesce(F.col("kind").isin(*LEAVES, *INNER), F.lit(False))).select("rule_id", "node_id", "kind").first()
+    if other is not None:
+        raise ValueError(f"selector node {other.node_id} of rule {other.rule_id} is of unknown kind {other.kind}")
+
+
+def selector_trace(nodes: DataFrame, context: DataFrame) -> DataFrame:
+    """``(request_id, rule_id, node_id, state, reason)`` of every node: state
+    ``match``, ``no_match`` or ``indeterminate``, and why.
+
+    Reasons of leaves: field_unknown, field_unavailable, field_missing (no row
+    of the context; an ``exists`` then does not match), value_exists,
+    value_matched, value_mismatched; of inner nodes: the state of the children
+    that decided, as all_matched, child_mismatched, child_indeterminate,
+    any_matched, none_matched. A request's context is one map, a rule's tree one
+    array in order of height, so a request and a rule make one row and the tree
+    is folded in place. Raises as ``eval_selectors`` does.
+    """
+    check_kinds(nodes)
+    leaf = F.col("kind").isin(*LEAVES)
+    height = settle(nodes.select("rule_id", "node_id", "parent_id", F.when(leaf, 0).alias("height")))
+    left = height.where("height is null").count()
+    level = 0
+    while left:
+        level += 1
+        below = height.where("parent_id is not null").groupBy("rule_id", F.col("parent_id").alias("node_id")).agg(
+            F.max("height").alias("top"), F.count_if(F.col("height").isNull()).alias("open")
+        ).where("open = 0").drop("open")
+        height = settle(height.join(below, ["rule_id", "node_id"], "left").select(
+            "rule_id", "node_id", "parent_id", F.coalesce("height", F.when(F.col("top") == level - 1, level)).alias("height")
+        ))
+        was, left = left, height.where("height is null").count()
+        if was == left:
+            raise ValueError("selector nodes form a circle or an inner node has no children")
+    fields = ["height", "node_id", "parent_id", "kind", "field", "values"]
+    own = nodes.join(height.select("rule_id", "node_id", "height"), ["rule_id", "node_id"])
+    trees = own.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("tree"))
+    known = F.map_from_entries(F.collect_list(F.struct("field", F.struct("availability", "value").alias("v"))))
+    asked = context.groupBy("request_id").agg(known.alias("context"))
+
+    told = "array<struct<node_id:int,parent_id:int,v:double,reason:string>>"
+
+    def judge(n):
+        c = F.col("context")[n["field"]]
+        present = c["availability"] == "known"
+        value = (
+            F.when(c.isNull() & (n["kind"] == "exists"), 0.0).when(~F.coalesce(present, F.lit(False)), 0.5)
+            .when((n["kind"] == "exists") | F.array_contains(n["values"], c["value"]), 1.0).otherwise(0.0)
+        )
+        reason = (
+            F.when(c.isNull(), "field_missing").when(c["availability"] == "unavailable", "field_unavailable")
+            .when(~F.coalesce(present, F.lit(False)), "field_unknown").when(n["kind"] == "exists", "value_exists")
+            .when(value == 1, "value_matched").otherwise("value_mismatched")
+        )
+        return value, reason
+
+    def fold(done, n):
+        value, reason = judge(n)
+        children = F.filter(done, lambda d: d["parent_id"] == n["node_id"])
+        low, high = (f(F.transform(children, lambda d: d["v"])) for f in (F.array_min, F.array_max))
+        every = n["kind"] == "all"
+        v = F.when(n["height"] == 0, value).when(every, low).otherwise(high)
+        why = (
+            F.when(n["height"] == 0, reason)
+            .when(v == 0.5, "child_indeterminate")
+            .when(every, F.when(v == 1, "all_matched").otherwise("child_mismatched"))
+            .otherwise(F.when(v == 1, "any_matched").otherwise("none_matched"))
+        )
+        one = F.struct(
+            n["node_id"].cast("int").alias("node_id"), n["parent_id"].cast("int").alias("parent_id"), v.alias("v"), why.alias("reason")
+        )
+        return F.array_append(done, one)
+
+    traced = asked.join(trees).select("request_id", "rule_id", F.explode(F.aggregate("tree", F.array().cast(told), fold)).alias("n"))
+    state = F.when(F.col("n.v") == 1, "match").when(F.col("n.v") == 0, "no_match").otherwise("indeterminate")
+    return traced.select("request_id", "rule_id", "n.node_id", state.alias("state"), "n.reason")
+
+
 def eval_selectors(nodes: DataFrame, context: DataFrame) -> DataFrame:
     """Kleene value of each rule's selector tree per request.
 
@@ -112,9 +191,10 @@ def eval_selectors(nodes: DataFrame, context: DataFrame) -> DataFrame:
     in, exists; inner all, any. Values are 0, 0.5 (unknown) and 1, so all is a
     minimum and any a maximum. Nodes are folded bottom up, those whose children
     are all folded at once; rounds grow with the height of the highest tree.
-    Raises if a rule's nodes run in a circle.
+    Raises if a rule's nodes run in a circle, or a node is of another kind.
     """
-    is_leaf = F.col("kind").isin("equals", "in", "exists")
+    check_kinds(nodes)
+    is_leaf = F.col("kind").isin(*LEAVES)
     leaves = nodes.where(is_leaf)
     requests = context.select("request_id").distinct()
     asked = leaves.join(requests)  # every request asks every leaf

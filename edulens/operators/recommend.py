@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.reference_data import activity_table
+from ..functions.lineage import settle
 from ..functions.scalars import dot, settled
 
 # Weights of the content fit and of the evidence parts.
@@ -141,18 +142,24 @@ def rank_fit(scores: DataFrame, k: int = 10) -> DataFrame:
 
 
 def fit_reasons(
-    profiles: DataFrame, area_share: DataFrame, activity_share: DataFrame, subjects: DataFrame
+    profiles: DataFrame, area_share: DataFrame, activity_share: DataFrame, subjects: DataFrame,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Up to eight reasons a pair: 3 subjects, 2 activities, 3 against, 2 distinctive."""
+    """Up to eight reasons a pair: 3 subjects, 2 activities, 3 against, 2 distinctive.
+    With ``pairs(profile_id, program_id)`` only those are looked at: a profile's
+    keys go to its own programs, and no key brings all of its holders together."""
     p = profiles.select("profile_id", "kind", "key", "weight")
+    at = ["key"]
+    if pairs is not None:
+        p, at = p.join(pairs.select("profile_id", "program_id").distinct(), "profile_id"), ["program_id", "key"]
     area = area_share.select("program_id", F.col("area").alias("key"), "share")
     act = activity_share.select("program_id", F.col("activity").alias("key"), "share")
     dist = subjects.groupBy("program_id", F.col("area").alias("key")).agg(F.max("distinctiveness").alias("share"))
     found = (
-        p.where("kind = 'subject'").join(area, "key")
-        .unionByName(p.where("kind = 'activity'").join(act, "key"))
-        .unionByName(p.where("kind = 'negative'").join(area, "key"))
-        .unionByName(p.where("kind = 'subject'").join(dist, "key").withColumn("kind", F.lit("distinctive")))
+        p.where("kind = 'subject'").join(area, at)
+        .unionByName(p.where("kind = 'activity'").join(act, at))
+        .unionByName(p.where("kind = 'negative'").join(area, at))
+        .unionByName(p.where("kind = 'subject'").join(dist, at).withColumn("kind", F.lit("distinctive")))
         .where("share > 0")
     )
     caps = F.create_map(
@@ -183,9 +190,8 @@ def recommend(
     if not 1 <= k <= 20:
         raise ValueError("k is from 1 to 20")
     top = rank_fit(content_fit(profiles, area_share, activity_share, subjects).join(programs, "program_id"), k)
-    why = fit_reasons(profiles, area_share, activity_share, subjects).join(
-        top.select("profile_id", "program_id"), ["profile_id", "program_id"], "left_semi"
-    )
+    top = settle(top)  # its scores are made once for the reasons and the result
+    why = fit_reasons(profiles, area_share, activity_share, subjects, top)
     parts = F.array_sort(F.collect_list(F.struct("kind", "n", "key", "strength")))
     why = why.groupBy("profile_id", "program_id").agg(parts.alias("reasons"))
     behind = recommendation_evidence(evidence).select("profile_id", "reliability", "reliability_status")

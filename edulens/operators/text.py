@@ -154,11 +154,7 @@ def resolve_entities(queries: DataFrame, entities: DataFrame, aliases: DataFrame
         )
     )
     a = q.join(exact, "key").select("query_id", "_u", "entity_id", "university_id", "score")
-    qt = q.select("query_id", "_u", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    et = e.select("entity_id", "university_id", F.explode(query_tokens(F.col("name"))).alias("token"))
-    b = qt.join(et, "token").groupBy(
-        "query_id", "_u", "entity_id", "university_id", "n"
-    ).agg(F.count(F.lit(1)).alias("hit")).where("hit = n")
+    b = holders(q, e.select("entity_id", "university_id", query_tokens(F.col("name")).alias("own")))
     found = a.unionByName(b.select("query_id", "_u", "entity_id", "university_id", F.lit(0.7).alias("score")))
     found = found.where(
         "_u is null or _u = university_id"
@@ -166,6 +162,26 @@ def resolve_entities(queries: DataFrame, entities: DataFrame, aliases: DataFrame
     return rank_matches(queries.select("query_id"), found, limit)
 
 
+def holders(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(query_id, _u, entity_id, university_id)`` of entities ``(entity_id,
+    university_id, own)`` that hold all ``tokens`` of a query.
+
+    Tokens are ordered by how many entities hold them. A query is joined on its
+    rarest token only and the others are looked up in the entity's own list, so
+    a token that every name has makes no rows beside a rarer one. A query
+    without tokens, or with one that no entity has, is held by none.
+    """
+    index = entities.select("entity_id", "university_id", "own", F.explode("own").alias("token"))
+    held = index.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    asked = queries.select("query_id", "_u", "tokens", F.explode("tokens").alias("token")).join(held, "token", "left")
+    rarest = asked.groupBy("query_id", "_u", "tokens").agg(
+        F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token")).alias("r")
+    ).where("r.held > 0")
+    found = rarest.select("query_id", "_u", "tokens", "r.token").join(index, "token")
+    found = found.where(F.size(F.array_except("tokens", "own")) == 0)
+    return found.select("query_id", "_u", "entity_id", "university_id").distinct()
+
+
 def rank_matches(queries: DataFrame, found: DataFrame, limit: int = 5, band: float = BAND) -> DataFrame:
     """Best candidates of each query; ambiguous if another is within ``band``."""
     own = Window.partitionBy("query_id")

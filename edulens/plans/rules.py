@@ -390,6 +390,25 @@ add(
 )
 
 
+add(
+    "pl2_selector_trace",
+    lambda s, d: policy.selector_trace(selector_nodes(s, d), context(s, d)).groupBy("request_id", "node_id", "state", "reason").agg(
+        F.count(F.lit(1)).alias("rules")
+    ),
+    sql(
+        """WITH l AS (SELECT u.request_id, rule_id, (u.value = CAST(rule_id % 6 AS VARCHAR))::INT * 2 AS a,
+    CASE WHEN g.availability <> 'known' THEN 1 WHEN g.value IN (CAST(rule_id % 6 AS VARCHAR), '0') THEN 2 ELSE 0 END AS b, g.availability AS av
+    FROM newest CROSS JOIN (SELECT * FROM ctx WHERE field = 'university') u JOIN (SELECT * FROM ctx WHERE field = 'direction') g ON g.request_id = u.request_id),
+  n AS (SELECT request_id, 2 AS node_id, a AS v, CASE WHEN a = 2 THEN 'value_matched' ELSE 'value_mismatched' END AS reason FROM l
+    UNION ALL SELECT request_id, 4, b, CASE WHEN av = 'unavailable' THEN 'field_unavailable' WHEN b = 1 THEN 'field_unknown' WHEN b = 2 THEN 'value_matched' ELSE 'value_mismatched' END FROM l
+    UNION ALL SELECT request_id, 5, 0, 'field_missing' FROM l
+    UNION ALL SELECT request_id, 3, b, CASE b WHEN 1 THEN 'child_indeterminate' WHEN 2 THEN 'any_matched' ELSE 'none_matched' END FROM l
+    UNION ALL SELECT request_id, 1, least(a, b), CASE least(a, b) WHEN 1 THEN 'child_indeterminate' WHEN 2 THEN 'all_matched' ELSE 'child_mismatched' END FROM l)
+  SELECT request_id, node_id, CASE v WHEN 2 THEN 'match' WHEN 1 THEN 'indeterminate' ELSE 'no_match' END AS state, reason, count(*) AS rules FROM n GROUP BY ALL""",
+        "rev", "req", "ctx", "newest"),
+)
+
+
 # --- claims ---------------------------------------------------------------
 def claims(s, d):
     k = F.col("doc_id")

@@ -289,3 +289,40 @@ def test_resolution_is_repeatable(spark):
     a = rows(text.resolve_entities(q, ent, al), "query_id", "entity_id", "score", "status")
     assert a == rows(text.resolve_entities(q.repartition(7), ent.repartition(5), al), "query_id", "entity_id", "score", "status")
     assert a == [(1, 1, 1.0, "exact"), (2, 2, 0.9, "resolved"), (3, 1, 0.7, "ambiguous"), (3, 3, 0.7, "ambiguous"), (4, None, None, "not_found"), (5, None, None, "not_found")]
+
+
+def test_holders_join_on_the_rarest_token(spark):
+    import random
+
+    rng = random.Random(3)
+    names = [["common", *rng.sample("abcdefgh", rng.randint(0, 3))] for _ in range(60)]
+    asked = [rng.sample(["common", *"abcdefgh", "unknown"], rng.randint(0, 3)) for _ in range(40)]
+    ent = spark.createDataFrame([(i, i % 3, n) for i, n in enumerate(names)], "entity_id int, university_id int, own array<string>")
+    q = spark.createDataFrame([(i, None, t) for i, t in enumerate(asked)], "query_id int, _u int, tokens array<string>")
+    want = sorted(((i, j) for i, t in enumerate(asked) if t for j, n in enumerate(names) if set(t) <= set(n)), key=str)
+    assert rows(text.holders(q, ent), "query_id", "entity_id") == want
+
+
+def test_selector_trace_agrees_with_values_and_gives_reasons(spark):
+    kinds = ["all", "any"] * 4 + ["all"]
+    nodes = [(1, k, k - 1 if k else None, kind, None, None) for k, kind in enumerate(kinds)]
+    nodes += [(1, 9, 8, "equals", "f", ["x"]), (1, 10, 4, "in", "g", ["a", "b"]), (2, 0, None, "exists", "f", None)]
+    schema = "rule_id long, node_id int, parent_id int, kind string, field string, values array<string>"
+    ctx = [(1, "f", "x", "known"), (1, "g", "c", "known"), (2, "f", "y", "known"), (2, "g", "a", "unavailable"), (3, "h", "z", "known"), (3, "g", None, "unknown")]
+    context = spark.createDataFrame(ctx, "request_id long, field string, value string, availability string")
+    df = spark.createDataFrame(nodes, schema)
+    got = {(r.request_id, r.rule_id, r.node_id): (r.state, r.reason) for r in policy.selector_trace(df, context).collect()}
+    name = {1.0: "match", 0.0: "no_match", 0.5: "indeterminate"}
+    for r in policy.eval_selectors(df, context).collect():
+        assert got[r.request_id, r.rule_id, 0][0] == name[r.v]
+    assert len(got) == 3 * len(nodes)
+    assert got[1, 1, 9] == ("match", "value_matched") and got[1, 1, 10] == ("no_match", "value_mismatched")
+    assert got[1, 1, 4] == ("no_match", "child_mismatched") and got[1, 1, 8] == ("match", "all_matched")
+    assert got[2, 1, 10] == ("indeterminate", "field_unavailable") and got[3, 1, 10] == ("indeterminate", "field_unknown")
+    assert got[3, 1, 9] == ("indeterminate", "field_missing") and got[3, 2, 0] == ("no_match", "field_missing")
+    assert got[1, 2, 0] == ("match", "value_exists") and got[2, 1, 7] == ("no_match", "none_matched")
+    for judge in (policy.selector_trace, policy.eval_selectors):
+        with pytest.raises(ValueError):
+            judge(spark.createDataFrame([(1, 0, None, "not", None, None), (1, 1, 0, "exists", "f", None)], schema), context)
+        with pytest.raises(ValueError):
+            judge(spark.createDataFrame([(1, 1, 2, "all", None, None), (1, 2, 1, "any", None, None)], schema), context)
