@@ -225,7 +225,7 @@ def near_words(vocab: DataFrame, at_once: int = FILTER_WORDS) -> DataFrame:
     a-z and U+00C0 to U+00FF only and are distinct. An empty vocabulary gives an
     empty result."""
     other = vocab.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = vocab.join(other.limit(0), F.lit(True)).select("word", "n", "near", "near_n")
+    pairs = vocab.sparkSession.createDataFrame([], "word string, n long, near string, near_n long")
     for shards in rounds(vocab, at_once):
         found = candidates(vocab, shards).join(other, "near").select("word", "n", "near", "near_n")
         pairs = pairs.unionByName(shared_checkpoint(found))
