@@ -7,10 +7,14 @@ left or the right splits its interval by the neighbouring words and keeps the
 other one in step, so all phrases of a depth come with their counts. Counts are
 summed across shards.
 
-Scale: a phrase that is frequent has frequent parts, so the words are counted
-first, then the pairs of frequent words, and longer phrases only along frequent
-pairs. What is frequent goes back to the shards that hold it through joins, never
-a broadcast. A shard holds a bounded number of words of any languages; a text
+Scale: nearly all phrases are rare, so shards first add up short hashes of all
+phrases of up to four words (a count-min sketch with one hash, dealt by ranges of
+hashes; about a byte each). A sum is never below the count of a phrase, so what
+stays below the least count is dropped and nothing frequent is. The hashes that
+are left go back to the shards that sent them through a join, never a broadcast,
+and the indexes count only such phrases, spelled out, exactly. A phrase that is
+frequent has frequent parts, so longer ones are sought only along those that are
+left. A shard holds a bounded number of words of any languages; a text
 larger than that is cut, and the next shard sees the last words before the cut
 without counting them. The ranking is by range partitions, so a language that
 holds most rows is in no single task.
@@ -21,7 +25,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,8 +44,11 @@ SHARD_WORDS = 1 << 19
 #: Shards that share a list of words; what they emit is added up first.
 TOGETHER = 4
 BLOCK_BYTES = 1 << 20
-#: A word id is the shard's number and the word's place in it.
 PLACE_BITS, SEQUENCE_BITS = 25, 13
+#: Odd factors of phrase hashes.
+MIX, SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+#: Counters of the sketch that are added up at once, as a power of two.
+RANGE_BITS = 22
 
 #: What each byte is: 0 in a word, 1 between words, 2 between pieces.
 CLASS = np.zeros(256, np.uint8)
@@ -48,9 +57,9 @@ CLASS[list(b".,;:!?\n\x0b\x0c\r")] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-SHARDS = "shard long, tokens array<binary>, words binary"
-LISTED = "shard long, at long, lang string, word string, n long"
-KEPT = "shard long, tokens array<binary>, ids binary"
+SHARDS = "shard long, tokens array<binary>, words binary, size long"
+SENT = "range long, shard long, slots binary"
+FOUND = "lang string, phrase string, n long"
 
 
 def cut_words(raw: np.ndarray) -> tuple[pa.Array, np.ndarray, bool]:
@@ -120,7 +129,7 @@ def shards_row(shards: list[dict[str, list]], number: int) -> pa.RecordBatch:
     """Shards with one list of words, each from lists of (words, follows, seen) by
     language."""
     tokens: list[list] = [[] for _ in shards]
-    words, base = [], 0
+    words, base, size = [], 0, 0
     for lang in sorted(set().union(*shards)):
         parts = [[x for x in held.get(lang, ())] for held in shards]
         coded = pa.concat_arrays([x[0] for p in parts for x in p]).dictionary_encode()
@@ -135,6 +144,7 @@ def shards_row(shards: list[dict[str, list]], number: int) -> pa.RecordBatch:
                 done += len(seen)
         words.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array(n)], ["lang", "word", "n"]))
         base += len(own)
+        size += int(n.sum())
     if base >> PLACE_BITS:
         raise ValueError("too many distinct words in a shard")
     data = [pack(*(np.concatenate(x) for x in zip(*t))) for t in tokens]
@@ -142,8 +152,8 @@ def shards_row(shards: list[dict[str, list]], number: int) -> pa.RecordBatch:
     with pa.ipc.new_stream(listed, words[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         for w in words:
             out.write_batch(w)
-    columns = [pa.array([number]), pa.array([data], pa.list_(pa.binary())), pa.array([listed.getvalue().to_pybytes()], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "tokens", "words"])
+    columns = [pa.array([number]), pa.array([data], pa.list_(pa.binary())), pa.array([listed.getvalue().to_pybytes()], pa.binary()), pa.array([size])]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "tokens", "words", "size"])
 
 
 def list_words(batches):
@@ -281,38 +291,107 @@ class FMIndex:
         return row, word, Intervals(left, right, n)
 
 
-def phrases(index: FMIndex, depth: int):
+def phrases(index: FMIndex, depth: int, left=None):
     """Yield ``(words, count)`` of all phrases of 2, 3, ... ``depth`` words, a row
-    each, extended to the left and to the right in turn."""
+    each, extended to the left and to the right in turn; where ``left`` tells which
+    rows are left, only those are yielded and extended."""
     word, iv = index.words()
     rows = word[:, None]
     for n in range(2, depth + 1):
         row, word, iv = index.extend_left(iv) if n % 2 == 0 else index.extend_right(iv)
         parts = [word[:, None], rows[row]] if n % 2 == 0 else [rows[row], word[:, None]]
         rows = np.concatenate(parts, axis=1)
+        if left is not None:
+            good = left(rows)
+            rows, iv = rows[good], Intervals(iv.left[good], iv.right[good], iv.size[good])
         yield rows, index.count(iv)
 
 
-def keep_frequent(batches):
-    """Shards cut down to their frequent words, from ``(shard, tokens, frequent)``
-    with ``frequent`` a list of (place, id); words are renumbered from 1 in the
-    order of their ids. A word alone in its piece goes."""
+def word_hashes(listed: pa.Table) -> np.ndarray:
+    """64 bits of each word and its language, the same in every shard."""
+    lang, word = (listed.column(c).to_numpy() for c in ("lang", "word"))
+    return pd.util.hash_array(word, categorize=False) * MIX + pd.util.hash_array(lang)
+
+
+def slot(code: np.ndarray, bits: int) -> np.ndarray:
+    return (code * SPREAD) >> np.uint64(64 - bits)
+
+
+def phrase_hashes(code: np.ndarray, follows: np.ndarray, depth: int):
+    """Hashes of all phrases of 1, 2, ... ``depth`` words from those of a shard's words."""
+    start, own = np.arange(len(code)), code
+    yield own
+    for k in range(1, depth):
+        start = start[: np.searchsorted(start, len(code) - k)]
+        inside = follows[start + k]
+        own, start = own[: len(start)][inside], start[inside]
+        own = own * MIX + code[start + k]
+        yield own
+
+
+def pack_slots(slots: np.ndarray) -> bytes:
+    """Rising numbers below 2^32 as gaps, byte by byte of all of them."""
+    return np.diff(slots, prepend=slots.dtype.type(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_slots(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(gaps).view("<u4").ravel(), dtype=np.int64)
+
+
+def shard_rows(batch: pa.RecordBatch):
+    """``(words, columns)`` of each row of shards, the words as a table."""
+    for at in range(batch.num_rows):
+        one = batch.slice(at, 1)
+        yield pa.Table.from_batches(list_words([one.select(["shard", "words"])])), {c: one.column(c)[0].as_py() for c in one.schema.names if c != "words"}
+
+
+def send_slots(batches, bits: int, range_bits: int, depth: int, min_count: int):
+    """``(range, shard, slots)``: slots of all phrases of a row of shards, with how
+    often each occurs, in ranges of 2^range_bits. Counts beyond ``min_count`` say
+    no more than that, and a phrase seen in two shards may count twice here."""
+    kind = np.min_scalar_type(min_count)
     for b in batches:
-        for shard, tokens, frequent in zip(*b.columns):
-            place, ids = (frequent.values.field(k).to_numpy() for k in (0, 1))
-            order = np.argsort(ids)
-            new = np.zeros(int(place.max()) + 1, np.int64)
-            new[place[order]] = np.arange(1, len(ids) + 1)
-            data = []
-            for part in tokens.as_py():
-                at, follows, seen = unpack(part)
-                word = np.where(at < len(new), new[np.minimum(at, len(new) - 1)], 0)
-                kept = word > 0
-                joined = follows & kept & np.concatenate([[False], kept[:-1]])
-                kept &= joined | np.concatenate([joined[1:], [False]])
-                data.append(pack(word[kept], joined[kept], seen[kept]))
-            columns = [pa.array([shard.as_py()]), pa.array([data], pa.list_(pa.binary())), pa.array([ids[order].astype("<i8").tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "tokens", "ids"])
+        for listed, row in shard_rows(b):
+            own, found = word_hashes(listed), []
+            for part in row["tokens"]:
+                at, follows, _ = unpack(part)
+                found += (slot(g, bits).astype(np.uint32 if bits <= 32 else np.uint64) for g in phrase_hashes(own[at], follows, depth))
+            found = np.concatenate(found)
+            found.sort()
+            first = np.flatnonzero(np.diff(found, prepend=~found[:1]))
+            n = np.minimum(np.diff(first, append=len(found)), min_count).astype(kind)
+            slots = found[first].astype(np.int64)
+            del found, first
+            of = slots >> range_bits
+            edge = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(slots))
+            sent = [
+                zstandard.compress(pack_slots(slots[x:y] - (of[x] << range_bits)) + n[x:y].tobytes(), 1)
+                for x, y in zip(edge[:-1], edge[1:])
+            ]
+            columns = [pa.array(of[edge[:-1]]), pa.array(np.full(len(sent), row["shard"])), pa.array(sent, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["range", "shard", "slots"])
+
+
+def slots_left(sent: pa.Table, range_bits: int, min_count: int) -> pa.Table:
+    """For each shard its slots of a range whose counts come to ``min_count``."""
+    kind = np.min_scalar_type(min_count)
+    total = np.zeros(1 << range_bits, np.int64)
+
+    def slots(data):
+        raw = zstandard.decompress(data.as_py())
+        size = len(raw) // (4 + kind.itemsize)
+        return unpack_slots(raw[: 4 * size]), np.frombuffer(raw[4 * size :], kind)
+
+    for data in sent.column("slots"):
+        at, n = slots(data)
+        total[at] += n
+    kept = []
+    for data in sent.column("slots"):
+        at = slots(data)[0]
+        at = at[total[at] >= min_count]
+        kept.append(zstandard.compress(pack_slots(at), 1) if len(at) else None)
+    return sent.set_column(sent.schema.get_field_index("slots"), "slots", pa.array(kept, pa.binary())).filter(pc.is_valid(pa.array(kept, pa.binary())))
 
 
 def added_up(parts: list[np.ndarray]) -> list[np.ndarray]:
@@ -333,121 +412,116 @@ def indexed(word: np.ndarray, follows: np.ndarray, seen: np.ndarray, depth: int)
     return FMIndex(text, depth, mark)
 
 
-def emitted(columns: dict[str, np.ndarray], at_once: int = 100_000):
-    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
-    for at in range(0, whole.num_rows, at_once):
-        yield whole.slice(at, at_once)
+def emitted(columns: list, at_once: int = 100_000):
+    for at in range(0, len(columns[0]), at_once):
+        yield pa.RecordBatch.from_arrays([c.slice(at, at_once) for c in columns], ["lang", "phrase", "n"])
 
 
-def count_pairs(batches):
-    """``(shard, a, b, n)`` of the pairs of words of each row of shards, those
-    counted elsewhere with 0: longer phrases run through them."""
+def count_left(batches, bits: int, range_bits: int, depth: int):
+    """``(lang, phrase, n)`` of the words and phrases whose slots are left, from
+    rows of shards with ``left``, a list of (range, slots); and the number of
+    words of each language with a null phrase."""
     for b in batches:
-        for shard, tokens, ids in zip(*b.columns):
-            found = None
-            for part in tokens.as_py():
-                word, follows, seen = unpack(part)
-                if len(word):
-                    rows, n = next(phrases(indexed(word, follows, seen, 2), 2))
-                    own = [rows[:, 0], rows[:, 1], n]
-                    found = own if found is None else added_up([found, own])
-            if found is not None:
-                ids_ = np.frombuffer(ids.as_py(), "<i8")
-                number = np.full(len(found[0]), shard.as_py())
-                yield from emitted({"shard": number, "a": ids_[found[0] - 1], "b": ids_[found[1] - 1], "n": found[2]})
-
+        for listed, row in shard_rows(b):
+            n = listed.column("n").to_numpy()
+            every = listed.group_by("lang").aggregate([("n", "sum")])
+            langs, ns = (every.column(c).combine_chunks() for c in ("lang", "n_sum"))
+            yield from emitted([langs, pa.nulls(len(langs), pa.string()), ns])
+            parts = [unpack_slots(zstandard.decompress(x["slots"])) + (x["range"] << range_bits) for x in row["left"] or ()]
+            if not parts:
+                continue
+            slots = np.sort(np.concatenate(parts)).astype(np.uint64)
+
+            def is_left(code):
+                own = slot(code, bits)
+                return slots[np.minimum(np.searchsorted(slots, own), len(slots) - 1)] == own
+
+            code = word_hashes(listed)
+            at_left = np.flatnonzero(is_left(code))
+            new = np.zeros(len(code), np.int64)
+            new[at_left] = np.arange(1, len(at_left) + 1)
+            code = np.append(np.uint64(0), code[at_left])
+            lang, word = (listed.column(c).combine_chunks().take(pa.array(at_left)) for c in ("lang", "word"))
+            counted = pa.array(n[at_left] > 0)
+            yield from emitted([lang.filter(counted), word.filter(counted), pa.array(n[at_left]).filter(counted)])
+
+            def rows_left(rows):
+                own = code[rows[:, 0]]
+                for k in range(1, rows.shape[1]):
+                    own = own * MIX + code[rows[:, k]]
+                return is_left(own)
 
-def longer_phrases(batches, depth: int):
-    """``(w0, w1, ..., n)`` of the phrases of three words or more that run along
-    frequent pairs, from ``(tokens, ids, pairs)`` of rows of shards; words beyond
-    a phrase's end are -1."""
-    for b in batches:
-        for tokens, ids, pairs in zip(*b.columns):
-            ids = np.append(np.frombuffer(ids.as_py(), "<i8"), -1)
-            size = len(ids)
-            first, second = (np.searchsorted(ids[:-1], pairs.values.field(k).to_numpy()) + 1 for k in (0, 1))
-            known = np.sort(first * size + second)
             found = None
-            for part in tokens.as_py():
-                word, follows, seen = unpack(part)
-                key = np.concatenate([[0], word[:-1]]) * size + word
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                joined = follows & (known[at] == key)
-                kept = joined | np.concatenate([joined[1:], [False]])
+            for part in row["tokens"]:
+                at, follows, seen = unpack(part)
+                at = new[at]
+                joined = follows & (at > 0) & np.append(False, at[:-1] > 0)
+                second = np.flatnonzero(joined)
+                joined[second] = rows_left(np.stack([at[second - 1], at[second]], axis=1))
+                kept = joined | np.append(joined[1:], False)
                 if not kept.any():
                     continue
-                for rows, n in phrases(indexed(word[kept], joined[kept], seen[kept], depth), depth):
-                    if rows.shape[1] > 2:
-                        rows, n = rows[n > 0], n[n > 0]
-                        blank = np.zeros(len(n), np.int64)
-                        own = [rows[:, k] if k < rows.shape[1] else blank for k in range(depth)] + [n]
-                        found = own if found is None else added_up([found, own])
+                for rows, n in phrases(indexed(at[kept], joined[kept], seen[kept], depth), depth, rows_left):
+                    rows, n = rows[n > 0], n[n > 0]
+                    blank = np.zeros(len(n), np.int64)
+                    own = [rows[:, k] if k < rows.shape[1] else blank for k in range(depth)] + [n]
+                    found = own if found is None else added_up([found, own])
             if found is not None:
-                yield from emitted({f"w{k}": ids[c - 1] for k, c in enumerate(found[:-1])} | {"n": found[-1]})
+                spelled = [word.take(pa.array(c - 1, mask=c == 0)) for c in found[:-1]]
+                phrase = pc.binary_join_element_wise(*spelled, " ", null_handling="skip")
+                yield from emitted([lang.take(pa.array(found[0] - 1)), phrase, pa.array(found[-1])])
 
 
 def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, min_count: int, depth: int, shard_words: int):
-    """``(words, totals, counts)``: frequent words ``(id, lang, word)``, ``(lang, n)``
-    of all words, and ``(key, f)`` of the frequent phrases of 1 to ``depth``
-    words, the key being an array of word ids."""
+    """``(totals, counts)``: ``(lang, n)`` of all words, and ``(lang, phrase, f)``
+    of the frequent phrases of 1 to ``depth`` words, joined by spaces."""
     texts = docs.select(F.coalesce(lang_col, F.lit("und")).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def cut(batches):
         return make_shards(batches, TaskContext.get().partitionId(), shard_words, BLOCK_BYTES, depth)
 
     shards = shared_checkpoint(texts.where("text is not null").mapInArrow(cut, SHARDS))
-    listed = shards.select("shard", "words").mapInArrow(list_words, LISTED)
-    totals = listed.groupBy("lang").agg(F.sum("n").alias("n"))
-
-    own = F.shiftleft("shard", PLACE_BITS).bitwiseOR(F.col("at"))
-    same = Window.partitionBy("lang", "word")
-    known = listed.withColumn("own", own).withColumns({"f": F.sum("n").over(same), "id": F.min("own").over(same)})
-    known = shared_checkpoint(known.where(F.col("f") >= min_count).select(
-        "shard", "at", "id", "f", F.when(F.col("own") == F.col("id"), F.struct("lang", "word")).alias("w")
-    ))
-    words = known.where("w is not null").select("id", "w.*", "f")
-
-    places = known.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("frequent"))
-    kept = shards.select("shard", "tokens").join(places, "shard").select("shard", "tokens", "frequent")
-    kept = shared_checkpoint(kept.mapInArrow(keep_frequent, KEPT))
-
-    pairs = kept.mapInArrow(count_pairs, "shard long, a long, b long, n long")
-    pairs = pairs.withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("f") >= min_count)
-    pairs = shared_checkpoint(pairs.select("shard", "a", "b", "f"))
-    lists = pairs.groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    columns = ", ".join(f"w{k} long" for k in range(depth))
-    long_ = kept.join(lists, "shard").select("tokens", "ids", "pairs")
-    long_ = long_.mapInArrow(lambda batches: longer_phrases(batches, depth), f"{columns}, n long")
-    at = [f"w{k}" for k in range(depth)]
-    long_ = long_.groupBy(*at).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-
-    counts = words.select(F.array("id").alias("key"), "f")
-    counts = counts.unionByName(pairs.select(F.array("a", "b").alias("key"), "f").distinct())
-    counts = counts.unionByName(long_.select(F.array_remove(F.array(*at), F.lit(-1).cast("long")).alias("key"), "f"))
-    return words, totals, shared_checkpoint(counts)
+    # As many slots as words or more; as many ranges as tasks or more, of bounded size.
+    size = shards.agg(F.sum("size")).first()[0] or 0
+    ranges = (2 * shuffle_width(docs.sparkSession)).bit_length()
+    bits = max(ranges, size.bit_length())
+    range_bits = min(RANGE_BITS, bits - ranges)
+
+    sent = shards.drop("size").mapInArrow(lambda batches: send_slots(batches, bits, range_bits, depth, min_count), SENT)
+    left = sent.groupBy("range").applyInArrow(lambda sent: slots_left(sent, range_bits, min_count), SENT)
+    left = left.groupBy("shard").agg(F.collect_list(F.struct("range", "slots")).alias("left"))
+    found = shards.drop("size").join(left, "shard", "left")
+    found = found.mapInArrow(lambda batches: count_left(batches, bits, range_bits, depth), FOUND)
+    counts = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    counts = shared_checkpoint(counts.where(F.col("phrase").isNull() | (F.col("f") >= min_count)))
+    return counts.where("phrase is null").select("lang", F.col("f").alias("n")), counts.where("phrase is not null")
 
 
 def best_cuts(counts: DataFrame) -> DataFrame:
-    """``(key, a, l, r, score)`` of every phrase of two words or more by its
-    lowest-scoring cut; ties go to the first."""
-    sized = counts.where(F.size("key") > 1).select("key", F.col("f").alias("a"))
-    cut = sized.select("key", "a", F.explode(F.sequence(F.lit(1), F.size("key") - 1)).alias("k"))
-    cut = cut.withColumns({"head": F.expr("slice(key, 1, k)"), "rest": F.expr("slice(key, k + 1, size(key))")})
-    heads = counts.select(F.col("key").alias("head"), F.col("f").alias("l"))
-    rests = counts.select(F.col("key").alias("rest"), F.col("f").alias("r"))
-    cut = cut.join(heads, "head").join(rests, "rest")
+    """``(lang, phrase, a, l, r, score)`` of every phrase of two words or more by
+    its lowest-scoring cut; ties go to the first."""
+    sized = counts.select("lang", "phrase", F.split("phrase", " ").alias("key"), F.col("f").alias("a")).where(F.size("key") > 1)
+    cut = sized.select("*", F.explode(F.sequence(F.lit(1), F.size("key") - 1)).alias("k"))
+    head, rest = (F.array_join(F.expr(f"slice(key, {x})"), " ") for x in ("1, k", "k + 1, size(key)"))
+    cut = cut.select("lang", "phrase", "a", "k", head.alias("head"), rest.alias("rest"))
+    heads = counts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l"))
+    rests = counts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
+    cut = cut.join(heads, ["lang", "head"]).join(rests, ["lang", "rest"])
     exact = f"(cast({SCORE_SCALE} as decimal(7,0)) * cast(a as decimal(19,0))) div (cast(l as decimal(19,0)) + r)"
-    scored = cut.select("key", F.struct(F.expr(exact).alias("score"), "k", "a", "l", "r").alias("s"))
-    return scored.groupBy("key").agg(F.min("s").alias("s")).select("key", "s.a", "s.l", "s.r", "s.score")
+    scored = cut.select("lang", "phrase", F.struct(F.expr(exact).alias("score"), "k", "a", "l", "r").alias("s"))
+    scored = scored.groupBy("lang", "phrase").agg(F.min("s").alias("s"))
+    return scored.select("lang", "phrase", "s.a", "s.l", "s.r", "s.score")
 
 
 def uncovered(scored: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     """Phrases that no longer phrase holds with ``percent`` of their occurrences."""
-    parts = counts.where(F.size("key") > 2).select("key", "f", F.explode(F.sequence(F.lit(2), F.size("key") - 1)).alias("m"))
-    parts = parts.select("key", "f", "m", F.explode(F.expr("sequence(1, size(key) - m + 1)")).alias("at"))
-    top = parts.groupBy(F.expr("slice(key, at, m)").alias("key")).agg(F.max("f").alias("most"))
+    parts = counts.select("lang", F.split("phrase", " ").alias("key"), "f").where(F.size("key") > 2)
+    parts = parts.select("*", F.explode(F.sequence(F.lit(2), F.size("key") - 1)).alias("m"))
+    parts = parts.select("*", F.explode(F.expr("sequence(1, size(key) - m + 1)")).alias("at"))
+    parts = parts.select("lang", F.array_join(F.expr("slice(key, at, m)"), " ").alias("phrase"), "f")
+    top = parts.groupBy("lang", "phrase").agg(F.max("f").alias("most"))
     held = F.coalesce(F.col("most"), F.lit(0)).cast("decimal(19,0)") * 100 >= F.col("a").cast("decimal(19,0)") * percent
-    return scored.join(top, "key", "left").where(~held).drop("most")
+    return scored.join(top, ["lang", "phrase"], "left").where(~held).drop("most")
 
 
 def ranked(rows: DataFrame, by: list, top: int) -> DataFrame:
@@ -479,12 +553,8 @@ def collocations(
     count again; other columns are not looked at; an empty table gives an empty
     result. Ties in score and count go by the phrase in code-point order.
     """
-    words, totals, counts = phrase_counts(docs, lang_col, text_col, min_count, depth, shard_words)
-    best = shared_checkpoint(uncovered(best_cuts(counts), counts, COVER_PERCENT))
-    spelled = best.select("key", F.posexplode("key").alias("at", "id")).join(words.drop("f"), "id")
-    each = F.array_sort(F.collect_list(F.struct("at", "word")))
-    spelled = spelled.groupBy("key").agg(F.first("lang").alias("lang"), F.concat_ws(" ", each["word"]).alias("phrase"))
-    rows = best.join(spelled, "key").drop("key")
+    totals, counts = phrase_counts(docs, lang_col, text_col, min_count, depth, shard_words)
+    rows = shared_checkpoint(uncovered(best_cuts(counts), counts, COVER_PERCENT))
     found = ranked(rows, [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], top)
     return found.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
