@@ -59,7 +59,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 SHARDS = "shard long, tokens array<binary>, words binary, size long"
 SENT = "range long, shard long, slots binary"
-FOUND = "lang string, phrase string, n long"
+PACKED = "range long, lang string, counts binary"
 
 
 def cut_words(raw: np.ndarray) -> tuple[pa.Array, np.ndarray, bool]:
@@ -412,21 +412,52 @@ def indexed(word: np.ndarray, follows: np.ndarray, seen: np.ndarray, depth: int)
     return FMIndex(text, depth, mark)
 
 
-def emitted(columns: list, at_once: int = 100_000):
-    for at in range(0, len(columns[0]), at_once):
-        yield pa.RecordBatch.from_arrays([c.slice(at, at_once) for c in columns], ["lang", "phrase", "n"])
+def packed_counts(of: np.ndarray, lang: pa.Array, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    """``(range, lang, counts)``: sorted phrases of a range and language, compressed
+    with their counts."""
+    rows = pa.table({"range": of, "lang": lang.dictionary_encode().indices, "phrase": phrase, "n": n})
+    rows = rows.add_column(4, "at", pa.array(np.arange(len(n)))).sort_by([(c, "ascending") for c in ("range", "lang", "phrase")])
+    of, code, n, at = (rows.column(c).to_numpy() for c in ("range", "lang", "n", "at"))
+    wide = pa.large_string()
+    text = pc.binary_join_element_wise(rows.column("phrase").combine_chunks().cast(wide), pa.scalar("", wide), pa.scalar("\n", wide))
+    _, offsets, data = text.buffers()
+    offsets, data = np.frombuffer(offsets, np.int64, len(text) + 1), memoryview(data or b"")
+    edge = np.append(np.flatnonzero((np.diff(of, prepend=-2) != 0) | (np.diff(code, prepend=-1) != 0)), len(n))
+    packed = []
+    for x, y in zip(edge[:-1], edge[1:]):
+        size = np.array([y - x], "<i8").tobytes()
+        counts = n[x:y].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+        packed.append(zstandard.compress(size + counts + bytes(data[offsets[x] : offsets[y]]), 3))
+    columns = [pa.array(of[edge[:-1]]), lang.take(pa.array(at[edge[:-1]])), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["range", "lang", "counts"])
+
+
+def add_counts(packed: pa.Table, min_count: int) -> pa.Table:
+    """``(lang, phrase, f)`` of the phrases of a range and language with at least
+    ``min_count``; the empty phrase always stays."""
+    phrase, counts = [], []
+    for data in packed.column("counts"):
+        raw = zstandard.decompress(data.as_py())
+        end = 8 + 8 * int.from_bytes(raw[:8], "little")
+        counts.append(np.ascontiguousarray(np.frombuffer(raw[8:end], np.uint8).reshape(8, -1).T).view("<i8").ravel())
+        phrase += raw[end:].decode().split("\n")[:-1]
+    rows = pa.table({"phrase": pa.array(phrase, pa.string()), "f": np.concatenate(counts)})
+    rows = rows.group_by("phrase").aggregate([("f", "sum")])
+    rows = rows.filter((pc.field("f_sum") >= min_count) | (pc.field("phrase") == ""))
+    lang = pa.array([packed.column("lang")[0].as_py()] * rows.num_rows, pa.string())
+    return pa.table({"lang": lang, "phrase": rows.column("phrase"), "f": rows.column("f_sum")})
 
 
 def count_left(batches, bits: int, range_bits: int, depth: int):
-    """``(lang, phrase, n)`` of the words and phrases whose slots are left, from
-    rows of shards with ``left``, a list of (range, slots); and the number of
-    words of each language with a null phrase."""
+    """``packed_counts`` of the words and phrases whose slots are left, from rows
+    of shards with ``left``, a list of (range, slots); and in range -1 the number
+    of words of each language, as the empty phrase."""
     for b in batches:
         for listed, row in shard_rows(b):
             n = listed.column("n").to_numpy()
             every = listed.group_by("lang").aggregate([("n", "sum")])
             langs, ns = (every.column(c).combine_chunks() for c in ("lang", "n_sum"))
-            yield from emitted([langs, pa.nulls(len(langs), pa.string()), ns])
+            yield packed_counts(np.full(len(langs), -1), langs, pa.array([""] * len(langs)), ns.to_numpy())
             parts = [unpack_slots(zstandard.decompress(x["slots"])) + (x["range"] << range_bits) for x in row["left"] or ()]
             if not parts:
                 continue
@@ -436,20 +467,26 @@ def count_left(batches, bits: int, range_bits: int, depth: int):
                 own = slot(code, bits)
                 return slots[np.minimum(np.searchsorted(slots, own), len(slots) - 1)] == own
 
+            def range_of(code):
+                return (slot(code, bits) >> np.uint64(range_bits)).astype(np.int64)
+
             code = word_hashes(listed)
             at_left = np.flatnonzero(is_left(code))
             new = np.zeros(len(code), np.int64)
             new[at_left] = np.arange(1, len(at_left) + 1)
             code = np.append(np.uint64(0), code[at_left])
             lang, word = (listed.column(c).combine_chunks().take(pa.array(at_left)) for c in ("lang", "word"))
-            counted = pa.array(n[at_left] > 0)
-            yield from emitted([lang.filter(counted), word.filter(counted), pa.array(n[at_left]).filter(counted)])
+            of, n, counted = range_of(code[1:]), n[at_left], n[at_left] > 0
+            yield packed_counts(of[counted], lang.filter(pa.array(counted)), word.filter(pa.array(counted)), n[counted])
 
-            def rows_left(rows):
+            def row_hashes(rows):
                 own = code[rows[:, 0]]
                 for k in range(1, rows.shape[1]):
-                    own = own * MIX + code[rows[:, k]]
-                return is_left(own)
+                    own = np.where(rows[:, k] > 0, own * MIX + code[rows[:, k]], own)
+                return own
+
+            def rows_left(rows):
+                return is_left(row_hashes(rows))
 
             found = None
             for part in row["tokens"]:
@@ -469,7 +506,8 @@ def count_left(batches, bits: int, range_bits: int, depth: int):
             if found is not None:
                 spelled = [word.take(pa.array(c - 1, mask=c == 0)) for c in found[:-1]]
                 phrase = pc.binary_join_element_wise(*spelled, " ", null_handling="skip")
-                yield from emitted([lang.take(pa.array(found[0] - 1)), phrase, pa.array(found[-1])])
+                of = range_of(row_hashes(np.stack(found[:-1], axis=1)))
+                yield packed_counts(of, lang.take(pa.array(found[0] - 1)), phrase, found[-1])
 
 
 def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, min_count: int, depth: int, shard_words: int):
@@ -491,10 +529,12 @@ def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, min_count: int,
     left = sent.groupBy("range").applyInArrow(lambda sent: slots_left(sent, range_bits, min_count), SENT)
     left = left.groupBy("shard").agg(F.collect_list(F.struct("range", "slots")).alias("left"))
     found = shards.drop("size").join(left, "shard", "left")
-    found = found.mapInArrow(lambda batches: count_left(batches, bits, range_bits, depth), FOUND)
-    counts = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    counts = shared_checkpoint(counts.where(F.col("phrase").isNull() | (F.col("f") >= min_count)))
-    return counts.where("phrase is null").select("lang", F.col("f").alias("n")), counts.where("phrase is not null")
+    found = found.mapInArrow(lambda batches: count_left(batches, bits, range_bits, depth), PACKED)
+    counts = found.groupBy("range", "lang").applyInArrow(
+        lambda packed: add_counts(packed, min_count), "lang string, phrase string, f long"
+    )
+    counts = shared_checkpoint(counts)
+    return counts.where("phrase = ''").select("lang", F.col("f").alias("n")), counts.where("phrase <> ''")
 
 
 def best_cuts(counts: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from edulens.llm import phrases
@@ -120,3 +122,48 @@ def test_same_as_sql(spark):
     got = phrases.op12_phrase_collocations(spark, sf)
     assert [d[0] for d in con.description] == got.columns
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+@pytest.mark.parametrize("least", [30, 400])
+def test_only_phrases_that_may_be_frequent_leave_their_shards(least):
+    rng = random.Random(3)
+    said = [rng.choice(["new york times", *(f"w{rng.randrange(500)}" for _ in range(30))]) for _ in range(30_000)]
+    texts = [" ".join(said[at : at + 3000]) for at in range(0, len(said), 3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    rows = [r.drop_columns("size") for r in phrases.make_shards([batch], 0, 2000, 500)]
+    sent = pa.Table.from_batches([b for r in rows for b in phrases.send_slots([r], 17, 12, 4, least)])
+    assert len(rows) > 1 and sent.get_total_buffer_size() < 2 * 4 * 30_000
+    left = {}
+    for of in set(sent.column("range").to_pylist()):
+        for x in phrases.slots_left(sent.filter(pc.field("range") == of), 12, least).to_pylist():
+            left.setdefault(x["shard"], []).append({"range": x["range"], "slots": x["slots"]})
+    got = Counter()
+    for r in rows:
+        own = r.append_column("left", pa.array([left.get(r.column("shard")[0].as_py())]))
+        for packed in phrases.count_left([own], 17, 12, 4):
+            for at in range(packed.num_rows):
+                for x in phrases.add_counts(pa.Table.from_batches([packed.slice(at, 1)]), 1).to_pylist():
+                    got[x["lang"], tuple(x["phrase"].split())] += x["f"]
+    want = Counter({("en", ()): sum(len(t.split()) for t in texts)})
+    for t in texts:
+        ws = t.split()
+        for m in (1, 2, 3, 4):
+            want.update(("en", tuple(ws[i : i + m])) for i in range(len(ws) - m + 1))
+    frequent = {g for g, f in want.items() if f >= least}
+    assert ("en", ("new", "york", "times")) in frequent
+    assert all(got[g] == f for g, f in want.items() if g in frequent or g in got)
+    assert len(got) - len(frequent) < 0.01 * len(want)
+
+
+def test_rare_phrases_take_little_shuffle(spark):
+    rng = np.random.default_rng(4)
+    rows = [(" ".join(f"w{x}" for x in rng.integers(0, 3000, 10_000)), "en") for _ in range(40)]
+    df = table(spark, rows).repartition(2).localCheckpoint()
+
+    def written():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    before = written()
+    assert phrases.collocations(df).count() == 0
+    assert 0 < written() - before < 8 * 400_000
