@@ -167,3 +167,32 @@ def test_rare_phrases_take_little_shuffle(spark):
     before = written()
     assert phrases.collocations(df).count() == 0
     assert 0 < written() - before < 8 * 400_000
+
+
+@pytest.mark.parametrize("bits", [20, 32, 34])
+def test_slots_of_any_width_are_sent_whole(bits):
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["a", "b.", *(f"w{x}" for x in range(300))]) for _ in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], ["lang", "text"])
+    for row in phrases.make_shards([batch], 0, 300, 100):
+        row = row.drop_columns("size")
+        listed = pa.Table.from_batches(phrases.list_words([row.select(["shard", "words"])]))
+        want = Counter()
+        for part in row.column("tokens")[0].as_py():
+            at, follows, _ = phrases.unpack(part)
+            for own in phrases.phrase_hashes(phrases.word_hashes(listed)[at], follows, 4):
+                want.update(phrases.slot(own, bits).tolist())
+        for least in (1, 2, 4):
+            sent = pa.Table.from_batches(phrases.send_slots([row], bits, bits - 8, 4, least))
+            got = set()
+            for x in range(sent.num_rows):
+                for left in phrases.slots_left(sent.slice(x, 1), bits - 8, least).to_pylist() if bits < 32 else ():
+                    own = phrases.unpack_slots(phrases.zstandard.decompress(left["slots"]))
+                    got.update((own + (left["range"] << bits - 8)).tolist())
+            if bits < 32:
+                assert got == {k for k, n in want.items() if n >= least}
+            raw = [phrases.zstandard.decompress(x) for x in sent.column("slots").to_pylist()]
+            of = sent.column("range").to_pylist()
+            sent_ = [(phrases.unpack_slots(x[: len(x) // 5 * 4]) + (z << bits - 8)).tolist() for x, z in zip(raw, of)]
+            assert sorted(x for s in sent_ for x in s) == sorted(want)
+            assert sum(sum(x[len(x) // 5 * 4 :]) for x in raw) == sum(min(n, least) for n in want.values())
