@@ -44,6 +44,7 @@ SHARD_WORDS = 1 << 19
 #: Shards that share a list of words; what they emit is added up first.
 TOGETHER = 4
 BLOCK_BYTES = 1 << 20
+#: Most distinct words of a row of shards, and rows of a partition, as powers of two.
 PLACE_BITS, SEQUENCE_BITS = 25, 13
 #: Odd factors of phrase hashes.
 MIX, SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
