@@ -53,3 +53,7 @@ def test_conflict_steps_of_one_moment_are_in_order(spark):
     rows = [(1, 1, "opened", "2024-01-02"), (1, 2, "resolved", "2024-01-02"), (2, 1, "opened", "2024-01-02"), (2, 2, "resolved", "2024-01-01")]
     e = spark.createDataFrame(rows, "conflict_id int, sequence int, kind string, at string").selectExpr("*", "cast(at as timestamp) as recorded_at")
     assert sorted(map(tuple, knowledge.conflict_state(e).collect())) == [(1, "resolved"), (2, "invalid")]
+
+
+def test_blocked_revisions_where_times_start_again(spark, copies):
+    same(spark, copies, "kn7_blocked_revisions")
