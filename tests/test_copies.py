@@ -4,10 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import SF, TABLES, plain
 
 import __spark_entry__
-from edulens.operators import knowledge
+from edulens.operators import benefits, knowledge
 
 KEYS = {
     "customer": {"c_custkey": "c"}, "supplier": {"s_suppkey": "s"}, "part": {"p_partkey": "p"}, "orders": {"o_orderkey": "o", "o_custkey": "c"},
@@ -57,3 +58,41 @@ def test_conflict_steps_of_one_moment_are_in_order(spark):
 
 def test_blocked_revisions_where_times_start_again(spark, copies):
     same(spark, copies, "kn7_blocked_revisions")
+
+
+def benefit_tables(spark):
+    """40 programs of which rules name a few, 30 rules, 60 applicants."""
+    p = spark.range(40).selectExpr("id as program_id", "id % 2 as university_id", "id % 7 as direction_id")
+    r = spark.range(30).selectExpr(
+        "id as rule_id", "id % 2 as university_id", "element_at(array('all', 'only', 'except'), int(id % 3 + 1)) as mode", "id div 5 as olympiad_id",
+        "if(id % 4 = 0, 'bvi', 'hundred_points') as route", "'active' as status", "3 as max_level", "2020 as min_year",
+    )
+    named = spark.range(30).where("id % 3 <> 0")
+    t = named.selectExpr("id as rule_id", "'program' as kind", "string(id % 4) as value").unionByName(
+        named.where("id % 5 = 0").selectExpr("id as rule_id", "'direction' as kind", "if(id % 2 = 0, string(id % 7), null) as value")
+    )
+    f = spark.range(60).selectExpr("id as applicant_id", "id as fact_id", "id % 6 as olympiad_id", "int(id % 5) as level", "int(2018 + id % 7) as result_year")
+    c = f.join(r, "olympiad_id").selectExpr("applicant_id", "fact_id", "rule_id", "element_at(array('confirmed', 'missing_score', 'not_required'), int((fact_id + rule_id) % 3 + 1)) as confirmation")
+    return f, r, t, p, c
+
+
+def test_best_rules_by_groups_of_programs(spark):
+    f, r, t, p, c = benefit_tables(spark)
+    groups = benefits.alike(p, t)
+    assert groups.count() < 20 and groups.agg({"stands_for": "sum"}).first()[0] == 40
+    want = benefits.benefit_eligibility(f, r, benefits.rule_scope(r, t, p), c).select("applicant_id", "status", "route", "rule_id").distinct()
+    got = benefits.best_rules(f, r, t, p, c)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rules_for_olympiad_by_groups_of_programs(spark):
+    f, r, t, p, c = benefit_tables(spark)
+    scoped = benefits.rule_scope(r, t, p).where("scope = 'applies'")
+    want = r.join(scoped, "rule_id", "left").groupBy("olympiad_id").agg(F.count_distinct("rule_id"), F.count_distinct("program_id"))
+    got = benefits.rules_for_olympiad(r, t, p).select("olympiad_id", "rules", "programs")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["ab4_hundred_points", "ab5_competitive_score", "ab7_admission_decision", "wn12_best_choice_exams"])
+def test_benefits_over_copies(spark, copies, name):
+    same(spark, copies, name)
