@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_oracles import SF, TABLES, plain
 
 import __spark_entry__
-from edulens.operators import benefits, knowledge
+from edulens.operators import benefits, knowledge, policy
 
 KEYS = {
     "customer": {"c_custkey": "c"}, "supplier": {"s_suppkey": "s"}, "part": {"p_partkey": "p"}, "orders": {"o_orderkey": "o", "o_custkey": "c"},
@@ -96,3 +96,20 @@ def test_rules_for_olympiad_by_groups_of_programs(spark):
 @pytest.mark.parametrize("name", ["ab4_hundred_points", "ab5_competitive_score", "ab7_admission_decision", "wn12_best_choice_exams"])
 def test_benefits_over_copies(spark, copies, name):
     same(spark, copies, name)
+
+
+def test_selectors_of_rules_that_are_alike(spark):
+    """40 rules with two trees and 30 requests with two contexts: the counts are those of the whole
+    trace, and only four pairs are folded."""
+    tree = "inline(array(struct(1, cast(null as int), 'all', cast(null as string), cast(array() as array<string>)), struct(2, 1, 'equals', 'a', array(string(id % 2))), struct(3, 1, 'exists', 'b', cast(array() as array<string>))))"
+    nodes = spark.range(40).selectExpr("id as rule_id", tree + " as (node_id, parent_id, kind, field, values)")
+    ctx = spark.range(30).selectExpr("id as request_id", "inline(array(struct('a', string(id % 2), 'known'), struct('b', 'x', 'known'))) as (field, value, availability)")
+    assert policy.alike(nodes, "rule_id").select("like").distinct().count() == policy.alike(ctx, "request_id").select("like").distinct().count() == 2
+    whole = policy.trace(nodes, ctx)
+    got = policy.selector_trace(nodes, ctx)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.select(got.columns).collect()))
+    keys = ["request_id", "node_id", "state", "reason"]
+    want = whole.groupBy(*keys).agg(F.count(F.lit(1)))
+    assert sorted(map(tuple, policy.selector_counts(nodes, ctx).collect())) == sorted(map(tuple, want.collect()))
+    values = policy.eval_selectors(nodes, ctx)
+    assert sorted(map(tuple, values.collect())) == sorted(map(tuple, policy.selector_values(nodes, ctx).select(values.columns).collect()))
