@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_oracles import SF, TABLES, plain
 
 import __spark_entry__
-from edulens.operators import benefits, knowledge, policy
+from edulens.operators import benefits, knowledge, policy, recommend
 
 KEYS = {
     "customer": {"c_custkey": "c"}, "supplier": {"s_suppkey": "s"}, "part": {"p_partkey": "p"}, "orders": {"o_orderkey": "o", "o_custkey": "c"},
@@ -113,3 +113,18 @@ def test_selectors_of_rules_that_are_alike(spark):
     assert sorted(map(tuple, policy.selector_counts(nodes, ctx).collect())) == sorted(map(tuple, want.collect()))
     values = policy.eval_selectors(nodes, ctx)
     assert sorted(map(tuple, values.collect())) == sorted(map(tuple, policy.selector_values(nodes, ctx).select(values.columns).collect()))
+
+
+def test_profiles_that_are_alike_are_fitted_once(spark):
+    p = spark.range(12).selectExpr("id as profile_id", "inline(array(struct('subject', concat('a', id % 2), 0.75D), struct('negative', 'a2', 0.5D))) as (kind, key, weight)")
+    area = spark.range(9).selectExpr("id as program_id", "inline(array(struct('a0', (id % 3) / 4), struct('a1', (id % 4) / 5), struct('a2', 0.2D))) as (area, share)")
+    act = spark.createDataFrame([(0, "analytical", 0.5)], "program_id long, activity string, share double")
+    subjects = area.withColumnRenamed("share", "distinctiveness")
+    codes = spark.range(9).selectExpr("id as program_id", "string(id) as code")
+    each = recommend.pair_fit(p, area, act, subjects)
+    got = recommend.content_fit(p, area, act, subjects)
+    assert sorted(map(tuple, got.select(each.columns).collect())) == sorted(map(tuple, each.collect()))
+    keys = ["profile_id", "program_id", "place", "content_fit"]
+    want = recommend.rank_fit(each.join(codes, "program_id"), 3).select(keys)
+    top = recommend.best_fit(p, area, act, subjects, codes, 3).select(keys)
+    assert sorted(map(tuple, top.collect())) == sorted(map(tuple, want.collect()))
